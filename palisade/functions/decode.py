@@ -64,7 +64,8 @@ def padded_base64(text: Column) -> Column:
 
 
 def strict_base64_text(text: Column) -> Column:
-    return utf8_text(F.unbase64(padded_base64(text)))
+    # The try form: the optimizer may evaluate this ahead of the tests that guard it.
+    return utf8_text(F.try_to_binary(padded_base64(text), F.lit("base64")))
 
 
 def hex_text(text: Column) -> Column:
@@ -106,38 +107,36 @@ def layered_decode(df: DataFrame, column: str, output: str = "decoded", max_laye
     layers = []
     for n in range(max_layers):
         data = F.col(f"_data{n}")
-        hexed = F.when(data.rlike("(?d)^[0-9a-fA-F]+$") & (F.length(data) >= 4), hex_text(data))
-        b64 = F.when(
-            data.rlike("(?d)^[A-Za-z0-9+/=]+$") & (F.length(data) > 10),
-            strict_base64_text(F.rtrim(data, F.lit("\n"))),
-        )
-        work = work.withColumns({f"_hex{n}": hexed, f"_b64{n}": b64}).withColumn(
-            f"_plain{n}",
-            F.when(is_meaningful(F.col(f"_hex{n}")), F.col(f"_hex{n}")).when(
-                is_meaningful(F.col(f"_b64{n}")), F.col(f"_b64{n}")
+        zipped = F.startswith(F.regexp_replace(data, "[^A-Za-z0-9+/]", ""), F.lit("H4sI"))
+        work = work.withColumn(f"_gz{n}", _gunzip_base64(F.when(zipped, data)))
+        candidates = F.array(
+            _candidate("plain", F.when(data.rlike("(?d)^[0-9a-fA-F]+$") & (F.length(data) >= 4), hex_text(data))),
+            _candidate(
+                "plain",
+                F.when(
+                    data.rlike("(?d)^[A-Za-z0-9+/=]+$") & (F.length(data) > 10),
+                    strict_base64_text(F.rtrim(data, F.lit("\n"))),
+                ),
             ),
+            _candidate("gzip", F.col(f"_gz{n}")),
+            _candidate("percent", F.when(F.contains(data, F.lit("%")), percent_decoded(data))),
         )
-        zipped = F.col(f"_plain{n}").isNull() & F.startswith(
-            F.regexp_replace(data, "[^A-Za-z0-9+/]", ""), F.lit("H4sI")
-        )
-        work = work.withColumn(f"_gz{n}", _gunzip_base64(F.when(zipped, data)))
-        url = F.when(F.contains(data, F.lit("%")), percent_decoded(data))
-        work = work.withColumn(f"_url{n}", url)
-        gz_ok = is_meaningful(F.col(f"_gz{n}"))
-        url_ok = (F.col(f"_url{n}") != data) & is_meaningful(F.col(f"_url{n}"))
-        plain = F.col(f"_plain{n}")
-        work = work.withColumns(
-            {
-                f"_layer{n}": F.when(plain.isNotNull(), plain)
-                .when(gz_ok, F.col(f"_gz{n}"))
-                .when(url_ok, F.col(f"_url{n}")),
-                f"_data{n + 1}": F.when(plain.isNotNull(), strip(plain)).when(gz_ok, None).when(url_ok, F.col(f"_url{n}")),
-            }
+        # A lambda variable holds each candidate, so none is decoded again for its tests.
+        accepted = F.filter(
+            candidates,
+            lambda c: F.coalesce(is_meaningful(c["text"]), F.lit(False)) & ((c["kind"] != "percent") | (c["text"] != data)),
         )
-        layers.append(f"_layer{n}")
+        work = work.withColumn(f"_layer{n}", F.get(accepted, F.lit(0)))
+        kind, text = F.col(f"_layer{n}.kind"), F.col(f"_layer{n}.text")
+        work = work.withColumn(f"_data{n + 1}", F.when(kind == "plain", strip(text)).when(kind == "percent", text))
+        layers.append(f"_layer{n}.text")
     return work.select(*df.columns, F.coalesce(*[F.col(x) for x in reversed(layers)]).alias(output))
 
 
+def _candidate(kind: str, text: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+
 @F.pandas_udf("string")
 def _unescape(texts: pd.Series) -> pd.Series:
     def one(text):

@@ -67,6 +67,14 @@ def _variant_text(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.variant_get(value, "$", "string"))
 
 
+def _own_entries(section: str, taken: Column) -> Column:
+    """Entries of one section whose name no later section repeats."""
+    own = F.filter(F.map_entries(F.col(f"manifest.{section}")), lambda e: ~F.array_contains(taken, e["key"]))
+    return F.transform(
+        own, lambda e: F.struct(F.lit(section).alias("section"), e["key"].alias("name"), e["value"].alias("value"))
+    )
+
+
 def merged_npm_versions(files: DataFrame) -> DataFrame:
     """repo_id, path, section, name, version (null if not text). A name in several sections keeps the last one.
 
@@ -76,11 +84,7 @@ def merged_npm_versions(files: DataFrame) -> DataFrame:
     for i, section in enumerate(NPM_SECTIONS):
         later = [F.coalesce(F.map_keys(F.col(f"manifest.{s}")), F.array().cast("array<string>")) for s in NPM_SECTIONS[i + 1:]]
         taken = F.concat(*later) if later else F.array().cast("array<string>")
-        entries = F.map_entries(F.col(f"manifest.{section}"))
-        own = F.filter(entries, lambda e, taken=taken: ~F.array_contains(taken, e["key"])) if later else entries
-        parts.append(
-            F.transform(own, lambda e, s=section: F.struct(F.lit(s).alias("section"), e["key"].alias("name"), e["value"].alias("value")))
-        )
+        parts.append(_own_entries(section, taken))
     rows = npm_manifests(files).select(
         "repo_id", "path", "_scripts", F.explode_outer(F.flatten(F.array_compact(F.array(*parts)))).alias("d")
     ).where("d is not null")

