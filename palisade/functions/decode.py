@@ -8,7 +8,7 @@ import gzip
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palisade.functions.text import find_all, is_meaningful, java_regex, strip
 
@@ -87,7 +87,7 @@ def percent_decoded(text: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _gunzip_base64(texts: pd.Series) -> pd.Series:
     def one(text):
         if text is None:
@@ -137,7 +137,7 @@ def _candidate(kind: str, text: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     def one(text):
         if text is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palisade.functions.text import explode_lines, java_regex, strip, truncate
 from palisade.schema import as_findings
@@ -203,7 +203,7 @@ def manifest_errors(files: DataFrame) -> DataFrame:
 
 # ---- look-alike names ----------------------------------------------------------------------------------------------
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(names: pd.Series, popular: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp ratio; argument order matters, the measure is not symmetric."""
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(names, popular)])

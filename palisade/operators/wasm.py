@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palisade.schema import as_findings
 
@@ -64,7 +64,12 @@ def _imports(data: bytes | None) -> list[dict[str, str]]:
     return found
 
 
-@F.pandas_udf("array<struct<module:string,name:string>>")
+_IMPORTS = T.ArrayType(
+    T.StructType([T.StructField("module", T.StringType()), T.StructField("name", T.StringType())])
+)
+
+
+@F.pandas_udf(_IMPORTS)
 def read_imports(raw: pd.Series) -> pd.Series:
     return raw.map(_imports)
 

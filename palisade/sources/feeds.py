@@ -53,7 +53,7 @@ def load_malware(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fresh(feed: DataFrame, ttl_seconds: int, as_of: Column) -> DataFrame:
-    age = as_of.cast("timestamp").cast("double") - F.col("fetched_at").cast("double")
+    age = as_of.cast("timestamp").cast("double") - F.col("fetched_at").cast("timestamp").cast("double")
     return feed.where(age < ttl_seconds)
 
 
