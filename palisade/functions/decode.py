@@ -126,7 +126,10 @@ def layered_decode(df: DataFrame, column: str, output: str = "decoded", max_laye
             candidates,
             lambda c: F.coalesce(is_meaningful(c["text"]), F.lit(False)) & ((c["kind"] != "percent") | (c["text"] != data)),
         )
-        work = work.withColumn(f"_layer{n}", F.get(accepted, F.lit(0)))
+        # A one-row generator keeps the optimizer from writing this layer out again for each later use.
+        work = work.select(
+            *work.columns, F.explode_outer(F.array(F.get(accepted, F.lit(0)))).alias(f"_layer{n}")
+        )
         kind, text = F.col(f"_layer{n}.kind"), F.col(f"_layer{n}.text")
         work = work.withColumn(f"_data{n + 1}", F.when(kind == "plain", strip(text)).when(kind == "percent", text))
         layers.append(f"_layer{n}.text")

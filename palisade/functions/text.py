@@ -58,10 +58,6 @@ def explode_lines(df: DataFrame, text: str = "content", keep: tuple[str, ...] =
     ).where("line is not null")
 
 
-def count_newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
 def context(line: Column, target: Column, radius: int = 40) -> Column:
     """Window around the first occurrence of ``target``; the whole line when it is absent."""
     at = F.position(target, line) - 1
@@ -105,23 +101,14 @@ def fold_case(text: Column) -> Column:
 MATCH_BLOCK = 256
 
 
-def _running_before(values: Column) -> Column:
-    """Exclusive prefix sums of a short int array."""
-    zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("total"))
-    return F.aggregate(
-        values,
-        zero,
-        lambda acc, x: F.struct(
-            F.concat(acc["out"], F.array(acc["total"])).alias("out"), (acc["total"] + x).alias("total")
-        ),
-        lambda acc: acc["out"],
+def _running_before(values: str) -> str:
+    """Exclusive prefix sums of a short int array, as SQL."""
+    return (
+        f"aggregate({values}, named_struct('out', cast(array() AS array<int>), 'total', 0), "
+        "(acc, x) -> named_struct('out', concat(acc.out, array(acc.total)), 'total', acc.total + x), acc -> acc.out)"
     )
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
-
-
 def locate_matches(df: DataFrame, keep: list[str], gaps: str = "gaps", hits: str = "hits") -> DataFrame:
     """Turn the pieces of one text (``split``) and its matches (``regexp_extract_all``) into one row per match.
 
@@ -129,76 +116,66 @@ def locate_matches(df: DataFrame, keep: list[str], gaps: str = "gaps", hits: str
     Matches are cut into blocks that carry their own offset and border context, so a file with
     hundreds of thousands of matches costs about as much per match as one with ten.
     """
-    block = F.lit(MATCH_BLOCK)
-    pieces = df.select(
+    size, behind, ahead = MATCH_BLOCK, LOOK_BEHIND, LOOK_AHEAD
+    newlines = "length({0}) - length(replace({0}, '\n', ''))"
+    pieces = df.selectExpr(
         *keep,
-        F.col(gaps).alias("_g"),
-        F.col(hits).alias("_h"),
-        F.zip_with(gaps, F.concat(F.col(hits), F.array(F.lit(""))), lambda g, h: F.concat(g, h)).alias("_gh"),
-    ).select(
+        f"{gaps} AS _g",
+        f"{hits} AS _h",
+        f"zip_with({gaps}, concat({hits}, array('')), (g, h) -> concat(g, h)) AS _gh",
+    ).selectExpr(
         *keep,
         "_g",
         "_h",
-        F.transform("_gh", F.length).alias("_chars"),
-        F.transform("_gh", count_newlines).alias("_breaks"),
-        F.transform("_gh", lambda x: F.left(x, F.lit(LOOK_AHEAD))).alias("_heads"),
-        F.transform("_gh", lambda x: F.right(x, F.lit(LOOK_BEHIND))).alias("_tails"),
+        "transform(_gh, x -> length(x)) AS _chars",
+        f"transform(_gh, x -> {newlines.format('x')}) AS _breaks",
+        f"transform(_gh, x -> left(x, {ahead})) AS _heads",
+        f"transform(_gh, x -> right(x, {behind})) AS _tails",
     )
+    block_ids = f"sequence(0, cast(floor(greatest(size(_h) - 1, 0) / {size}) AS int))"
+    first = f"greatest(b * {size} - {behind}, 0)"
+    before = f"array_join(slice(_tails, {first} + 1, b * {size} - {first}), '')"
+    after = f"array_join(slice(_heads, (b + 1) * {size} + 1, {ahead} + 1), '')"
 
-    def cut(name: str, b: Column) -> Column:
-        return F.slice(name, b * block + 1, block)
-
-    def block_at(b: Column) -> Column:
-        first = F.greatest(b * block - LOOK_BEHIND, F.lit(0))
-        before = F.array_join(F.slice("_tails", first + 1, b * block - first), "")
-        after = F.array_join(F.slice("_heads", (b + 1) * block + 1, F.lit(LOOK_AHEAD + 1)), "")
-        return F.struct(
-            b.alias("_b"),
-            cut("_g", b).alias("_g"),
-            cut("_h", b).alias("_h"),
-            cut("_chars", b).alias("_chars"),
-            cut("_breaks", b).alias("_breaks"),
-            F.concat(cut("_heads", b), F.array(F.left(after, F.lit(LOOK_AHEAD)))).alias("_heads"),
-            F.concat(F.array(F.right(before, F.lit(LOOK_BEHIND))), cut("_tails", b)).alias("_tails"),
-        )
-
-    last_block = F.floor(F.greatest(F.size("_h") - 1, F.lit(0)) / MATCH_BLOCK).cast("int")
-    block_ids = F.sequence(F.lit(0), last_block)
-    chars_before = _running_before(F.transform(block_ids, lambda b: _total(cut("_chars", b))))
-    breaks_before = _running_before(F.transform(block_ids, lambda b: _total(cut("_breaks", b))))
-    blocks = pieces.select(
+    def cut(name: str) -> str:
+        return f"slice({name}, b * {size} + 1, {size})"
+
+    def total(name: str) -> str:
+        return f"aggregate({cut(name)}, 0, (acc, x) -> acc + x)"
+
+    blocks = pieces.selectExpr(
         *keep,
-        chars_before.alias("_chars_before"),
-        breaks_before.alias("_breaks_before"),
-        F.transform(block_ids, block_at).alias("_blocks"),
-    ).select(*keep, "_chars_before", "_breaks_before", F.inline_outer("_blocks")).select(
+        _running_before(f"transform({block_ids}, b -> {total('_chars')})") + " AS _chars_before",
+        _running_before(f"transform({block_ids}, b -> {total('_breaks')})") + " AS _breaks_before",
+        f"transform({block_ids}, b -> named_struct('_b', b, '_g', {cut('_g')}, '_h', {cut('_h')}, "
+        f"'_chars', {cut('_chars')}, '_breaks', {cut('_breaks')}, "
+        f"'_heads', concat({cut('_heads')}, array(left({after}, {ahead}))), "
+        f"'_tails', concat(array(right({before}, {behind})), {cut('_tails')}))) AS _blocks",
+    ).selectExpr(*keep, "_chars_before", "_breaks_before", "inline_outer(_blocks)").selectExpr(
         *keep,
         "_b",
         "_g",
         "_h",
         "_heads",
         "_tails",
-        F.get("_chars_before", F.col("_b")).alias("_chars_before"),
-        F.get("_breaks_before", F.col("_b")).alias("_breaks_before"),
-        _running_before(F.col("_chars")).alias("_chars"),
-        _running_before(F.col("_breaks")).alias("_breaks"),
+        "get(_chars_before, _b) AS _chars_before",
+        "get(_breaks_before, _b) AS _breaks_before",
+        _running_before("_chars") + " AS _chars",
+        _running_before("_breaks") + " AS _breaks",
+    )
+    near = f"greatest(i + 1 - {behind}, 0)"
+    earlier = f"array_join(slice(_tails, {near} + 1, i + 1 - {near}), '')"
+    later = f"array_join(slice(_heads, i + 2, {ahead}), '')"
+    return blocks.selectExpr(
+        *keep,
+        "inline_outer(transform(sequence(0, greatest(size(_h) - 1, 0)), i -> named_struct("
+        f"'occurrence', _b * {size} + i, "
+        "'start', _chars_before + get(_chars, i) + length(get(_g, i)), "
+        f"'line_no', _breaks_before + get(_breaks, i) + {newlines.format('get(_g, i)')} + 1, "
+        "'matched', get(_h, i), "
+        f"'before', right(concat({earlier}, right(get(_g, i), {behind})), {behind}), "
+        f"'after', left({later}, {ahead}))))",
     )
-
-    def describe(i: Column) -> Column:
-        this_gap = F.get(F.col("_g"), i)
-        first = F.greatest(i + 1 - LOOK_BEHIND, F.lit(0))
-        earlier = F.array_join(F.slice("_tails", first + 1, i + 1 - first), "")
-        later = F.array_join(F.slice("_heads", i + 2, F.lit(LOOK_AHEAD)), "")
-        return F.struct(
-            (F.col("_b") * MATCH_BLOCK + i).alias("occurrence"),
-            (F.col("_chars_before") + F.get(F.col("_chars"), i) + F.length(this_gap)).alias("start"),
-            (F.col("_breaks_before") + F.get(F.col("_breaks"), i) + count_newlines(this_gap) + 1).alias("line_no"),
-            F.get(F.col("_h"), i).alias("matched"),
-            F.right(F.concat(earlier, F.right(this_gap, F.lit(LOOK_BEHIND))), F.lit(LOOK_BEHIND)).alias("before"),
-            F.left(later, F.lit(LOOK_AHEAD)).alias("after"),
-        )
-
-    return blocks.select(*keep, F.inline_outer(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_h") - 1, F.lit(0))), describe)))
 
 
 def find_all(df: DataFrame, pattern: str, text: str = "content", keep: tuple[str, ...] = ("repo_id", "path"),

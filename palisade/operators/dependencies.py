@@ -45,6 +45,11 @@ YARN_REGISTRIES = (NPM_REGISTRY, "registry.yarnpkg.com")
 NPM_SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
 MIN_RATIO = 0.75
 
+DEPENDENCY_FILES = (
+    "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "requirements.txt", "pipfile",
+    "pipfile.lock", "gemfile", "gemfile.lock", "go.mod", "go.sum",
+)
+
 ANALYZER = "dependency"
 
 

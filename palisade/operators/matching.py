@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palisade.functions.text import (
     explode_lines, fold_case, java_regex, locate_matches, strip, truncate,
 )
+from palisade.functions.urls import is_under, url_host
 from palisade.rules.base import LineRule, Rule
+from palisade.rules.network import CALL_URL, SAFE_HOSTS
 from palisade.schema import as_findings
 
 
@@ -27,7 +29,7 @@ def _any(conditions: Sequence[Column]) -> Column:
 
 _RULE_COLUMNS = (
     "rule_id string, analyzer string, severity string, confidence string, category string, title string, "
-    "description string, cut int, tail string, snippet_cut int, before int, after int, cap int, with_line boolean"
+    "description string, cut int, tail string, snippet_cut int, before int, after int, cap int, with_line boolean, calls_url boolean"
 )
 
 
@@ -42,6 +44,7 @@ def _rule_table(rules: Sequence[Rule | LineRule], index: Column) -> Column:
                 "category": r.category, "title": r.title, "description": r.description, "cut": r.cut,
                 "tail": getattr(r, "tail", ""), "snippet_cut": getattr(r, "snippet_cut", 0), "before": before,
                 "after": after, "cap": cap, "with_line": getattr(r, "with_line", True),
+                "calls_url": getattr(r, "calls_url", False),
             }
         )
     return F.get(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{_RULE_COLUMNS.replace(' ', ':').replace(',:', ',')}>>"), index)
@@ -90,6 +93,13 @@ def match_content(files: DataFrame, rules: Sequence[Rule], text: str = "content"
     """One finding per occurrence of each rule."""
     found = occurrences(files, rules, text).withColumn("_r", _rule_table(rules, F.col("rule")))
     rule = F.col("_r")
+    url = F.lit(None).cast("string")
+    if any(r.calls_url for r in rules):
+        # The address inside the call is looked for with case, so HTTP:// counts as unknown.
+        inner = F.regexp_extract("matched", java_regex(CALL_URL), 0)
+        url = F.when(rule["calls_url"], F.when(inner != "", inner).otherwise("UNKNOWN"))
+        found = found.withColumn("_url", url).where(~rule["calls_url"] | ~is_under(url_host(F.col("_url")), SAFE_HOSTS))
+        url = F.col("_url")
     shown = F.when(
         F.length("matched") > rule["cut"], F.concat(F.left("matched", rule["cut"]), F.lit("..."))
     ).otherwise(F.col("matched"))
@@ -103,11 +113,13 @@ def match_content(files: DataFrame, rules: Sequence[Rule], text: str = "content"
             "_r.confidence",
             "_r.category",
             "_r.title",
-            F.when(rule["cut"] > 0, F.concat(rule["description"], shown, rule["tail"]))
+            F.when(url.isNotNull(), F.concat(rule["description"], url))
+            .when(rule["cut"] > 0, F.concat(rule["description"], shown, rule["tail"]))
             .otherwise(rule["description"])
             .alias("description"),
             F.when(rule["with_line"], F.col("line_no")).alias("line_no"),
             snippet_of(rule).alias("snippet"),
+            url.alias("raw_value"),
         )
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions.text import context, explode_lines, file_name
@@ -44,9 +46,7 @@ KEYWORDS = [
 
 GATE = text_below(500_000)
 
-_NAME_OF = dict(INVISIBLE)
 _ANY_INVISIBLE = "[" + "".join(c for c, _ in INVISIBLE) + "]"
-_ANY_LOOK_ALIKE = "[" + "".join(c for c, _ in LOOK_ALIKES) + "]"
 
 # One row per (keyword, letter pair) that changes the keyword; each yields its own finding.
 DISGUISES = [
@@ -67,94 +67,94 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit("'"), shown, F.lit("'"))
 
 
-def _suspect_lines(files: DataFrame, marker: str) -> DataFrame:
-    """Lines that hold any of the marked characters, from files that do."""
-    gated = files.where(GATE() & F.col("content").rlike(marker))
-    return explode_lines(gated).where(F.col("line").rlike(marker))
-
-
-def _first_lines(lines: DataFrame, chars: list[str]) -> DataFrame:
-    """First line per file and character, with that line."""
-    table = F.array(*[F.lit(c) for c in chars])
-    per_line = lines.select(
+_TEXTS = {
+    "U1": ("medium", "zero_width_char", "Invisible characters change what code does without showing in an editor."),
+    "U2": ("high", "bidi_override", "Override characters make code read differently from how it runs (CVE-2021-42574)."),
+    "U3": ("high", "homoglyph", ""),
+}
+
+
+def _sought(kinds: tuple[str, ...]) -> tuple[str, Column]:
+    """A character class that every affected line meets, and the table of (rule, text, title, description) to look for."""
+    marker, rows = "", []
+
+    def row(rule_id: str, text: str, title: str, description: str) -> None:
+        rows.append({"rule_id": rule_id, "text": text, "title": title, "description": description})
+
+    if "U1" in kinds:
+        marker += "".join(c for c, _ in INVISIBLE)
+        for char, name in INVISIBLE:
+            row("U1", char, f"Zero-width/invisible Unicode character: {name}", _TEXTS["U1"][2])
+    if "U2" in kinds:
+        marker += "".join(BIDI_OVERRIDES)
+        for char in BIDI_OVERRIDES:
+            row("U2", char, "Bidirectional text override character detected (Trojan Source)", _TEXTS["U2"][2])
+    if "U3" in kinds:
+        marker += "".join(c for c, _ in LOOK_ALIKES)
+        for keyword, disguised in DISGUISES:
+            row("U3", disguised, f"Homoglyph attack: '{keyword}' disguised with Cyrillic characters",
+                f"'{disguised}' looks like '{keyword}' but is another identifier.")
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<rule_id:string,text:string,title:string,description:string>>")
+    return f"[{marker}]", table
+
+
+def content_tricks(files: DataFrame, kinds: tuple[str, ...] = ("U1", "U2", "U3")) -> DataFrame:
+    """Invisible characters and overrides on their first line per file, look-alike keywords on every line.
+
+    One pass for all kinds: files and then lines without any of the characters drop out by one regular expression, and
+    the first line comes from a minimum that is combined before the shuffle.
+    """
+    marker, table = _sought(kinds)
+    lines = explode_lines(files.where(GATE() & F.col("content").rlike(marker))).where(F.col("line").rlike(marker))
+    hits = lines.select(
         "repo_id", "path", "line_no", "line",
-        F.explode_outer(F.filter(table, lambda c: F.contains(F.col("line"), c))).alias("char"),
-    ).where("char is not null")
-    windowed = per_line.select("repo_id", "path", "char", "line_no", context(F.col("line"), F.col("char")).alias("snippet"))
-    return windowed.groupBy("repo_id", "path", "char").agg(
-        F.min(F.struct("line_no", "snippet")).alias("first")
-    ).select("repo_id", "path", "char", "first.*")
+        F.explode_outer(F.filter(table, lambda t: F.contains(F.col("line"), t["text"]))).alias("t"),
+    ).where("t is not null")
+    first = (
+        hits.select(
+            "repo_id", "path", "line_no", "t", context(F.col("line"), F.col("t.text")).alias("snippet"),
+            F.when(F.col("t.rule_id") == "U3", F.col("line_no")).alias("_each"),
+        )
+        .groupBy("repo_id", "path", "t", "_each")
+        .agg(F.min(F.struct("line_no", "snippet")).alias("first"))
+    )
 
+    def by_rule(position: int) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for k, v in _TEXTS.items() for x in (k, v[position])]), F.col("t.rule_id"))
 
-def invisible_characters(files: DataFrame) -> DataFrame:
-    first = _first_lines(_suspect_lines(files, _ANY_INVISIBLE), [c for c, _ in INVISIBLE])
-    names = F.create_map(*[F.lit(x) for pair in INVISIBLE for x in pair])
     return as_findings(
         first.select(
             "repo_id",
             "path",
-            F.lit("U1").alias("rule_id"),
-            F.lit("medium").alias("severity"),
+            "t.rule_id",
+            by_rule(0).alias("severity"),
             F.lit("high").alias("confidence"),
-            F.lit("zero_width_char").alias("category"),
-            F.concat(F.lit("Zero-width/invisible Unicode character: "), F.element_at(names, F.col("char"))).alias("title"),
-            F.lit("Invisible characters change what code does without showing in an editor.").alias("description"),
-            "line_no",
-            "snippet",
-            quoted(F.col("char")).alias("raw_value"),
+            by_rule(1).alias("category"),
+            "t.title",
+            "t.description",
+            "first.line_no",
+            "first.snippet",
+            F.when(F.col("t.rule_id") != "U3", quoted(F.col("t.text"))).alias("raw_value"),
         ),
         "unicode",
     )
 
 
+def invisible_characters(files: DataFrame) -> DataFrame:
+    return content_tricks(files, ("U1",))
+
+
 def bidi_overrides(files: DataFrame) -> DataFrame:
-    marker = "[" + "".join(BIDI_OVERRIDES) + "]"
-    return as_findings(
-        _first_lines(_suspect_lines(files, marker), BIDI_OVERRIDES).select(
-            "repo_id",
-            "path",
-            F.lit("U2").alias("rule_id"),
-            F.lit("high").alias("severity"),
-            F.lit("high").alias("confidence"),
-            F.lit("bidi_override").alias("category"),
-            F.lit("Bidirectional text override character detected (Trojan Source)").alias("title"),
-            F.lit("Override characters make code read differently from how it runs (CVE-2021-42574).").alias("description"),
-            "line_no",
-            "snippet",
-            quoted(F.col("char")).alias("raw_value"),
-        ),
-        "unicode",
-    )
+    return content_tricks(files, ("U2",))
 
 
 def homoglyphs(files: DataFrame) -> DataFrame:
-    """Every line, keyword and letter pair for which the disguised keyword stands on the line."""
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(d).alias("disguised")) for k, d in DISGUISES])
-    lines = _suspect_lines(files, _ANY_LOOK_ALIKE)
-    found = lines.select(
-        "repo_id", "path", "line_no", "line",
-        F.explode_outer(F.filter(table, lambda t: F.contains(F.col("line"), t["disguised"]))).alias("t"),
-    ).where("t is not null")
-    return as_findings(
-        found.select(
-            "repo_id",
-            "path",
-            F.lit("U3").alias("rule_id"),
-            F.lit("high").alias("severity"),
-            F.lit("high").alias("confidence"),
-            F.lit("homoglyph").alias("category"),
-            F.concat(F.lit("Homoglyph attack: '"), "t.keyword", F.lit("' disguised with Cyrillic characters")).alias("title"),
-            F.concat(F.lit("'"), "t.disguised", F.lit("' looks like '"), "t.keyword", F.lit("' but is another identifier.")).alias("description"),
-            "line_no",
-            context(F.col("line"), F.col("t.disguised")).alias("snippet"),
-        ),
-        "unicode",
-    )
+    return content_tricks(files, ("U3",))
 
 
 def suspicious_file_names(files: DataFrame) -> DataFrame:
     name = file_name(F.col("path"))
-    marked = files.where(GATE() & (F.length("content") > 0) & name.rlike(_ANY_INVISIBLE)).select(
+    marked = files.where(GATE() & (F.col("size") > 0) & name.rlike(_ANY_INVISIBLE)).select(
         "repo_id", "path", name.alias("name")
     )
     invisible = F.transform(
@@ -192,9 +192,4 @@ def suspicious_file_names(files: DataFrame) -> DataFrame:
 
 
 def detect_unicode(files: DataFrame) -> DataFrame:
-    return (
-        invisible_characters(files)
-        .unionByName(bidi_overrides(files))
-        .unionByName(homoglyphs(files))
-        .unionByName(suspicious_file_names(files))
-    )
+    return content_tricks(files).unionByName(suspicious_file_names(files))

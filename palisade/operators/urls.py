@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.functions.text import java_regex
-from palisade.operators.matching import occurrences
+from palisade.functions.urls import is_under, url_host
+from palisade.operators.matching import match_content, occurrences
+from palisade.rules import network
 from palisade.rules.base import Rule, text_below
+from palisade.rules.network import SAFE_HOSTS
 from palisade.schema import as_findings
 
 # Fixed values.
@@ -33,16 +35,6 @@ C2_DOMAINS = (
     "hookbin.com", "webhook.site", "pipedream.com",
     "cloudfront.net", "s3.amazonaws.com",
 )
-SAFE_HOSTS = (
-    "github.com", "gitlab.com", "bitbucket.org",
-    "npmjs.org", "npmjs.com", "yarnpkg.com",
-    "registry.npmjs.org", "registry.yarnpkg.com",
-    "unpkg.com", "cdn.jsdelivr.net", "cdnjs.cloudflare.com",
-    "fonts.googleapis.com", "fonts.gstatic.com",
-    "nodejs.org", "python.org", "pypi.org",
-    "rubygems.org", "crates.io", "nuget.org",
-    "maven.org", "mvnrepository.com",
-)
 # IPv4 ranges that count as private, first and last address.
 PRIVATE_RANGES = (
     ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("127.0.0.0", "127.255.255.255"),
@@ -52,41 +44,13 @@ PRIVATE_RANGES = (
     ("240.0.0.0", "255.255.255.255"),
 )
 LONG_URL = 500
-# Runtime calls (id, pattern, label, literals one of which every match holds); case is ignored.
-NETWORK_CALLS = [
-    ("N12", r"fetch\s*\(\s*[\"']https?://[^\"']+[\"']", "fetch()", ("fetch",)),
-    ("N13", r"XMLHttpRequest\s*\(", "XMLHttpRequest", ("xmlhttprequest",)),
-    ("N14", r"(?:axios|got|request|superagent)\s*[.\(]", "HTTP library", ("axios", "got", "request", "superagent")),
-    ("N15", r"new\s+WebSocket\s*\(\s*[\"']wss?://", "WebSocket", ("websocket",)),
-    ("N16", r"new\s+EventSource\s*\(\s*[\"']https?://", "EventSource", ("eventsource",)),
-    ("N17", r"import\s*\(\s*[\"']https?://[^\"']+[\"']", "dynamic import", ("import",)),
-    ("N18", r"require\s*\(\s*[\"']https?://[^\"']+[\"']", "require URL", ("require",)),
-    ("N19", r"new\s+Worker\s*\(\s*[\"']https?://", "Worker from URL", ("worker",)),
-]
-CALL_URL = r"https?://[^\"')]+"
-
 GATE = text_below(2_000_000)
 
 
-def url_authority(url: Column) -> Column:
-    return F.regexp_extract(url, r"(?s)^[A-Za-z]+://([^/?#]*)", 1)
-
-
-def url_host(url: Column) -> Column:
-    """Lower-cased host without user info and port."""
-    return F.lower(F.regexp_extract(url, r"(?s)^[A-Za-z]+://(?:[^/?#]*@)?([^/?#:@]*)", 1))
-
-
 def url_userinfo(url: Column) -> Column:
     return F.regexp_extract(url, r"(?s)^[A-Za-z]+://([^/?#]*)@", 1)
 
 
-def is_under(host: Column, domains: tuple[str, ...]) -> Column:
-    """Host equals one of ``domains`` or lies below one."""
-    alternatives = "|".join(d.replace(".", r"\.") for d in domains)
-    return host.rlike(rf"(?:^|\.)(?:{alternatives})\z")
-
-
 def ipv4_number(host: Column) -> Column:
     """Dotted quad as a number, null for anything else (leading zeros are not an address)."""
     octet = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -180,33 +144,4 @@ def detect_urls(files: DataFrame) -> DataFrame:
 
 
 def detect_network_calls(files: DataFrame) -> DataFrame:
-    rules = [
-        Rule(rule_id, "url_network", pattern, "high", "runtime_network_call", label, ignore_case=True, needles=needles, gate=GATE)
-        for rule_id, pattern, label, needles in NETWORK_CALLS
-    ]
-    def pick(values: list[str]) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in values]), F.col("rule"))
-
-    # The address inside the call is looked for with case, so HTTP:// counts as unknown.
-    found = F.regexp_extract("matched", java_regex(CALL_URL), 0)
-    calls = occurrences(files, rules).select(
-        "repo_id", "path", "line_no",
-        pick([r.rule_id for r in rules]).alias("rule_id"),
-        pick([r.title for r in rules]).alias("label"),
-        F.when(found != "", found).otherwise("UNKNOWN").alias("url"),
-    )
-    return as_findings(
-        calls.where(~is_under(url_host(F.col("url")), SAFE_HOSTS)).select(
-            "repo_id",
-            "path",
-            "rule_id",
-            F.lit("high").alias("severity"),
-            F.lit("medium").alias("confidence"),
-            F.lit("runtime_network_call").alias("category"),
-            F.concat(F.lit("Runtime network call via "), "label").alias("title"),
-            F.concat(F.lit("Code makes network request to: "), "url").alias("description"),
-            "line_no",
-            F.col("url").alias("raw_value"),
-        ),
-        "url_network",
-    )
+    return match_content(files, network.RULES)

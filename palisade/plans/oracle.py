@@ -12,7 +12,7 @@ from palisade.functions.unicode import BIDI, HOMOGLYPHS, ZERO_WIDTH
 from palisade.operators import dependencies, entropy, families, mime, scripts, svg, unicode_tricks, urls
 from palisade.plans.seeded import _sql_text as q
 from palisade.plans.seeded import seeded_sql
-from palisade.rules import behavior, builds, docker, patterns, secrets, workflows
+from palisade.rules import builds, docker, network, secrets, workflows
 from palisade.rules.base import LineRule, Rule
 from palisade.sources import files as inventory
 
@@ -586,7 +586,7 @@ def urls_sql() -> str:
     c2 = "[" + ", ".join(q(d) for d in urls.C2_DOMAINS) + "]"
     return f"""WITH p AS ({url_parts_sql()}),
 n AS (SELECT *, {number} AS num, list_filter({c2}, lambda d: host = d OR ends_with(host, '.' || d)) AS c2,
-      userinfo NOT IN ('', ':') AS creds FROM p WHERE NOT {_under('host', urls.SAFE_HOSTS)}),
+      userinfo NOT IN ('', ':') AS creds FROM p WHERE NOT {_under('host', network.SAFE_HOSTS)}),
 s AS (SELECT *, list_concat(
    {one(loopback, "concat('Loopback address (', host, ')')")},
    {one(private, "concat('Private IP address (', host, ') — possible SSRF or internal scan')")},
@@ -601,14 +601,14 @@ FROM s WHERE len(signals) > 0"""
 
 
 def network_calls_sql() -> str:
-    rows = [(i, p, True, text_gate(2_000_000)) for i, p, *_ in urls.NETWORK_CALLS]
-    labels = "CASE rule_id " + " ".join(f"WHEN {q(i)} THEN {q(label)}" for i, _, label, _n in urls.NETWORK_CALLS) + " END"
+    rows = [(i, p, True, text_gate(2_000_000)) for i, p, *_ in network.NETWORK_CALLS]
+    labels = "CASE rule_id " + " ".join(f"WHEN {q(i)} THEN {q(label)}" for i, _, label, _n in network.NETWORK_CALLS) + " END"
     host = HOST.format("url")
     return f"""WITH f AS ({seeded_sql()}), occ AS ({occurrences_sql(rows, 'f')}),
-c AS (SELECT *, {labels} AS label, CASE WHEN regexp_matches(matched, {q(urls.CALL_URL)}) THEN regexp_extract(matched, {q(urls.CALL_URL)}) ELSE 'UNKNOWN' END AS url FROM occ)
+c AS (SELECT *, {labels} AS label, CASE WHEN regexp_matches(matched, {q(network.CALL_URL)}) THEN regexp_extract(matched, {q(network.CALL_URL)}) ELSE 'UNKNOWN' END AS url FROM occ)
 SELECT {finding("rule_id", "'high'", "'medium'", "'runtime_network_call'", "concat('Runtime network call via ', label)",
                 "concat('Code makes network request to: ', url)", "line_no", raw_value="url")}
-FROM c WHERE NOT {_under(host, urls.SAFE_HOSTS)}"""
+FROM c WHERE NOT {_under(host, network.SAFE_HOSTS)}"""
 
 
 # ---- MIME, entropy

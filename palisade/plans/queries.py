@@ -1084,7 +1084,8 @@ def _(spark, sf):
 
 @query("full_scan")
 def _(spark, sf):
-    return scan(seeded_files(spark, sf)).select(*FINDING_COLUMNS, "analyzer", "attack_path", "remediation")
+    found = scan(seeded_files(spark, sf), focus_dir=_run_folder(spark, "focus"))
+    return found.select(*FINDING_COLUMNS, "analyzer", "attack_path", "remediation")
 
 
 @query("quick_scan_tables")

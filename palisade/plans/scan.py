@@ -9,33 +9,43 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.operators import entropy, families, mime, scripts, svg, unicode_tricks, urls, wasm
 from palisade.operators.advice import with_advice
-from palisade.operators.dependencies import detect_deps
+from palisade.operators.dependencies import DEPENDENCY_FILES, detect_deps
 from palisade.operators.history import scan_rows
 from palisade.operators.matching import match_content, match_lines
 from palisade.operators.policy import policy_gate
 from palisade.operators.scoring import gate, risk_score, union_findings
-from palisade.rules.base import LineRule, Rule, select_rules
+from palisade.rules import docker, workflows
+from palisade.rules.base import LineRule, Rule, named, registered_rules, select_rules
 from palisade.schema import as_findings
 from palisade.sources.files import inventory_totals
 
 Detector = Callable[[DataFrame], DataFrame]
 
-# Families that need more than rule rows: analyzer name, priority, slow, function.
-SPECIAL: list[tuple[str, int, bool, Detector]] = [
+# Families that need more than rule rows: analyzer name, priority, slow, function. The first list looks at files of any
+# name, the second only at files its names single out.
+WIDE: list[tuple[str, int, bool, Detector]] = [
     ("mime_deception", 5, False, mime.detect_mime),
-    ("svg_vector", 10, False, svg.detect_svg),
     ("unicode", 15, False, unicode_tricks.detect_unicode),
+    ("entropy", 35, True, entropy.detect_entropy),
+    ("url_network", 40, False, urls.detect_urls),
+]
+NAMED: list[tuple[str, int, bool, Detector]] = [
+    ("svg_vector", 10, False, svg.detect_svg),
     ("script_analyzer", 20, False, scripts.detect_scripts),
     ("dockerfile_analyzer", 22, False, families.detect_dockerfile_absences),
     ("dependency", 25, False, detect_deps),
     ("cargo", 28, False, families.detect_cargo_manifest),
     ("workflow", 30, False, families.detect_workflow_files),
     ("workflow", 30, False, families.detect_reusable_workflows),
-    ("entropy", 35, True, entropy.detect_entropy),
-    ("url_network", 40, False, urls.detect_urls),
-    ("url_network", 40, False, urls.detect_network_calls),
 ]
 
+
+def named_files(files: DataFrame) -> DataFrame:
+    """Files that a family picks by name: manifests, lock files, scripts, pipelines, pictures."""
+    wanted = svg.GATE() | scripts.GATE() | workflows.GATE() | docker.GATE()
+    return files.where(wanted | named(*DEPENDENCY_FILES)() | named("cargo.toml", "build.rs", "setup.py", "pyproject.toml")())
+
+
 _USER_DETECTORS: dict[str, Detector] = {}
 
 
@@ -48,24 +58,36 @@ def unregister_detector(name: str) -> None:
     _USER_DETECTORS.pop(name, None)
 
 
-def scan(files: DataFrame, skip: Iterable[str] = (), quick: bool = False) -> DataFrame:
+def scan(files: DataFrame, skip: Iterable[str] = (), quick: bool = False, focus_dir: str | None = None) -> DataFrame:
     """Findings of all families.
 
-    Rule rows of all families share two passes over the files, one by whole text and one by line; the special families
-    read only what their gates let through. Nothing is shuffled but first-occurrence and look-alike-name aggregates.
+    Content rules of all families share one pass over the texts; invisible characters, dense lines, URLs and file heads
+    take one each. Everything else concerns files picked by name. With ``focus_dir`` these few are written there once and
+    their families read that table, so the corpus is read six times however many families there are.
+    Nothing is shuffled but first-occurrence and look-alike-name aggregates.
     """
     skipped = {s.lower() for s in skip}
     rules = select_rules(skipped, quick)
     content_rules = [r for r in rules if isinstance(r, Rule)]
+    own_lines = {r.rule_id for r in registered_rules()}
     line_rules = [r for r in rules if isinstance(r, LineRule)]
+    focus = named_files(files)
+    if focus_dir is not None:
+        focus.write.mode("overwrite").parquet(focus_dir)
+        focus = files.sparkSession.read.parquet(focus_dir)
     parts = []
     if content_rules:
         parts.append(match_content(files, content_rules))
-    if line_rules:
-        parts.append(match_lines(files, line_rules))
-    for name, _, slow, detect in sorted(SPECIAL, key=lambda row: row[1]):
-        if name not in skipped and not (quick and slow):
-            parts.append(detect(files))
+    for source, chosen in (
+        (focus, [r for r in line_rules if r.rule_id not in own_lines]),
+        (files, [r for r in line_rules if r.rule_id in own_lines]),
+    ):
+        if chosen:
+            parts.append(match_lines(source, chosen))
+    for source, families_ in ((files, WIDE), (focus, NAMED)):
+        for name, _, slow, detect in families_:
+            if name not in skipped and not (quick and slow):
+                parts.append(detect(source))
     if "raw" in files.columns and "wasm_analyzer" not in skipped:
         parts.append(wasm.detect_wasm(files))
     for name, detect in _USER_DETECTORS.items():
@@ -97,7 +119,7 @@ def run_scan(spark: SparkSession, files: DataFrame, out: str, scan_time: Column,
 
     Risk, policy and reports read the written table, so the expensive matching runs once and survives lost executors.
     """
-    scan(files, skip, quick).write.mode("overwrite").parquet(f"{out}/findings")
+    scan(files, skip, quick, f"{out}/focus").write.mode("overwrite").parquet(f"{out}/findings")
     findings = spark.read.parquet(f"{out}/findings")
     risk = risk_score(findings, files)
     decided = gate(risk, policy_gate(findings, policy))

@@ -8,6 +8,7 @@ same list, so both engines see the same files.
 from __future__ import annotations
 
 import base64
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -78,23 +79,18 @@ def seed_index(id_column: str = "doc_id") -> Column:
     return (F.col(id_column) % len(SEEDS)).cast("int")
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index)
+def _seed(index: Column) -> Column:
+    """The seed at ``index``, out of one literal that the optimizer folds to a constant array."""
+    rows = json.dumps([{"path": s.path, "snippet": s.snippet, "layout": s.layout} for s in SEEDS])
+    return F.get(F.from_json(F.lit(rows), "array<struct<path:string,snippet:string,layout:string>>"), index)
 
 
 def seeded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id = source; one file per document of the table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    k = seed_index()
-    snippet, layout = F.col("_snippet"), F.col("_layout")
-    shaped = docs.select(
-        "doc_id",
-        "source",
-        "text",
-        _pick([s.path for s in SEEDS], k).alias("_path"),
-        _pick([s.snippet for s in SEEDS], k).alias("_snippet"),
-        _pick([s.layout for s in SEEDS], k).alias("_layout"),
-    )
+    # The one-row generator keeps the optimizer from repeating the constant for every use of path and content.
+    shaped = docs.select("doc_id", "source", "text", F.explode_outer(F.array(_seed(seed_index()))).alias("_seed"))
+    snippet, layout = F.col("_seed.snippet"), F.col("_seed.layout")
     as_json = F.to_json(F.struct(F.col("text").alias("readme")))
     content = (
         F.when(layout == "snippet-first", F.concat(snippet, F.lit("\n"), F.col("text")))
@@ -102,7 +98,7 @@ def seeded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(layout == "line-comment", F.concat(F.lit("# "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n# ")), F.lit("\n"), snippet))
         .otherwise(F.concat(F.col("text"), F.lit("\n"), snippet, F.lit("\nend")))
     )
-    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), F.col("_path"))
+    path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), F.col("_seed.path"))
     return text_as_file(shaped, F.col("source"), path, content)
 
 

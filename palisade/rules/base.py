@@ -38,6 +38,7 @@ class Rule:
     ``needles`` are lower-case literals of which every match holds at least one; a file without any of them
     skips the regular expression. Empty means no such shortcut.
     ``cut`` > 0 appends the match, cut at that length, to ``description`` followed by ``tail``.
+    ``calls_url`` takes the address inside the match as the value of the finding and drops trusted hosts.
     ``window`` is (characters before, characters after, cap) of the snippet, or None for no snippet.
     """
 
@@ -54,6 +55,7 @@ class Rule:
     cut: int = 0
     tail: str = ""
     window: tuple[int, int, int] | None = None
+    calls_url: bool = False
     with_line: bool = True
     gate: Gate = everything
     slow: bool = False
@@ -90,7 +92,7 @@ _REGISTERED: list[Rule | LineRule] = []
 
 
 def built_in_rules() -> list[Rule | LineRule]:
-    from palisade.rules import behavior, builds, docker, patterns, secrets, workflows
+    from palisade.rules import behavior, builds, docker, network, patterns, secrets, workflows
 
     return [
         *patterns.RULES,
@@ -101,6 +103,7 @@ def built_in_rules() -> list[Rule | LineRule]:
         *builds.BUILD_RS_RULES,
         *workflows.LINE_RULES,
         *workflows.RULES,
+        *network.RULES,
         *behavior.RULES,
     ]
 
