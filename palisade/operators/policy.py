@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.schema import as_findings, severity_rank
@@ -19,58 +22,61 @@ DEFAULT_ALLOWED = [
 THRESHOLDS = ("info", "low", "medium", "high", "critical")
 
 
-def policy_frame(spark: SparkSession, severity_threshold: str = DEFAULT_THRESHOLD,
-                 block_categories: list[str] | None = None, allow_paths: list[str] | None = None) -> DataFrame:
-    """A policy as a one-row table. Lists that are left out take the built-in values."""
-    return spark.createDataFrame(
-        [(severity_threshold,
-          DEFAULT_BLOCKED if block_categories is None else block_categories,
-          DEFAULT_ALLOWED if allow_paths is None else allow_paths)],
-        "severity_threshold string, block_categories array<string>, allow_paths array<string>",
-    )
+@dataclass(frozen=True)
+class Policy:
+    """Which categories block, from which severity on, and under which path prefixes nothing does.
 
+    A policy is configuration of a few lines, so it enters plans as literals and needs no join.
+    """
 
-def load_policy(spark: SparkSession, path: str) -> DataFrame:
-    """Policy from a JSON file. Missing lists become empty (not the built-in ones), a missing threshold is "high"."""
-    schema = "severity_threshold string, block_categories array<string>, allow_paths array<string>"
-    return check_policy(spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path))
-
-
-def check_policy(policy: DataFrame) -> DataFrame:
-    """Fill gaps and stop on a threshold outside the known words."""
-    threshold = F.coalesce("severity_threshold", F.lit(DEFAULT_THRESHOLD))
-    known = F.assert_true(threshold.isin(*THRESHOLDS), F.concat(F.lit("severity_threshold must be one of " + ", ".join(THRESHOLDS) + ", got "), threshold))
-    empty = F.array().cast("array<string>")
-    return policy.select(
-        F.when(known.isNull(), threshold).alias("severity_threshold"),
-        F.coalesce("block_categories", empty).alias("block_categories"),
-        F.coalesce("allow_paths", empty).alias("allow_paths"),
-    )
+    severity_threshold: str = DEFAULT_THRESHOLD
+    block_categories: Sequence[str] = tuple(DEFAULT_BLOCKED)
+    allow_paths: Sequence[str] = tuple(DEFAULT_ALLOWED)
+
+    def __post_init__(self) -> None:
+        if self.severity_threshold not in THRESHOLDS:
+            raise ValueError(f"severity_threshold must be one of {', '.join(THRESHOLDS)}, got {self.severity_threshold!r}")
+        for name in ("block_categories", "allow_paths"):
+            if isinstance(getattr(self, name), str) or not isinstance(getattr(self, name), Sequence):
+                raise ValueError(f"{name} must be a list")
 
+    def is_blocked(self, category: Column, path: Column) -> Column:
+        """Category and path alone, whatever the severity."""
+        allowed = F.lit(False)
+        for prefix in self.allow_paths:
+            allowed = allowed | F.startswith(path, F.lit(prefix))
+        return ~allowed & category.isin(*self.block_categories)
 
-def _with_policy(findings: DataFrame, policy: DataFrame) -> DataFrame:
-    # One row by construction: max(struct) over the table keeps it one whatever a caller passes in.
-    one = policy.agg(F.max(F.struct("severity_threshold", "block_categories", "allow_paths")).alias("_policy"))
-    return findings.join(F.broadcast(one))
+    def is_violation(self) -> Column:
+        severe = severity_rank(F.col("severity")) >= severity_rank(F.lit(self.severity_threshold))
+        return self.is_blocked(F.col("category"), F.col("path")) & severe
 
 
-def _is_blocked(category: Column, path: Column) -> Column:
-    allowed = F.exists("_policy.allow_paths", lambda prefix: F.startswith(path, prefix))
-    return ~allowed & F.array_contains("_policy.block_categories", category)
+def load_policy(spark: SparkSession, path: str) -> Policy:
+    """Policy from a JSON object. Missing lists become empty (not the built-in ones), a missing threshold is "high"."""
+    schema = "severity_threshold string, block_categories array<string>, allow_paths array<string>"
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} must hold one policy object")
+    return policy_from_row(rows[0].asDict())
+
 
+def policy_from_row(values: dict) -> Policy:
+    return Policy(
+        values.get("severity_threshold") or DEFAULT_THRESHOLD,
+        values.get("block_categories") or [],
+        values.get("allow_paths") or [],
+    )
 
-def with_blocked_flag(findings: DataFrame, policy: DataFrame) -> DataFrame:
-    """Blocked by category and path alone, whatever the severity."""
-    flagged = _with_policy(findings, policy).withColumn("is_blocked", _is_blocked(F.col("category"), F.col("path")))
-    return flagged.drop("_policy")
 
+def with_blocked_flag(findings: DataFrame, policy: Policy) -> DataFrame:
+    return findings.withColumn("is_blocked", policy.is_blocked(F.col("category"), F.col("path")))
 
-def policy_violations(findings: DataFrame, policy: DataFrame) -> DataFrame:
+
+def policy_violations(findings: DataFrame, policy: Policy) -> DataFrame:
     """One critical violation per finding that is blocked and severe enough."""
-    reached = severity_rank(F.col("severity")) >= severity_rank(F.col("_policy.severity_threshold"))
-    hits = _with_policy(findings, policy).where(_is_blocked(F.col("category"), F.col("path")) & reached)
     return as_findings(
-        hits.select(
+        findings.where(policy.is_violation()).select(
             "repo_id",
             "path",
             F.lit("X1").alias("rule_id"),
@@ -80,18 +86,14 @@ def policy_violations(findings: DataFrame, policy: DataFrame) -> DataFrame:
             F.lit("Policy violation: blocked category").alias("title"),
             F.concat(F.lit("Finding category '"), "category", F.lit("' is blocked by policy")).alias("description"),
             "attack_path",
+            F.lit("Remove or quarantine the file.").alias("remediation"),
             "line_no",
         ),
         "policy",
     )
 
 
-def policy_gate(findings: DataFrame, policy: DataFrame | None) -> DataFrame:
+def policy_gate(findings: DataFrame, policy: Policy | None) -> DataFrame:
     """repo_id, blocked for every repository with findings; without a policy nothing is blocked."""
-    if policy is None:
-        return findings.select("repo_id").distinct().withColumn("blocked", F.lit(False))
-    reached = severity_rank(F.col("severity")) >= severity_rank(F.col("_policy.severity_threshold"))
-    flagged = _with_policy(findings, policy).select(
-        "repo_id", (_is_blocked(F.col("category"), F.col("path")) & reached).alias("hit")
-    )
-    return flagged.groupBy("repo_id").agg(F.bool_or("hit").alias("blocked"))
+    hit = policy.is_violation() if policy is not None else F.lit(False)
+    return findings.groupBy("repo_id").agg(F.bool_or(hit).alias("blocked"))

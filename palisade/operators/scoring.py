@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palisade.operators.policy import Policy
 from palisade.schema import GATE_SCORE, severity_sort
 
 # Points per finding and the ceiling of the score.
@@ -33,9 +34,25 @@ def score(counts: DataFrame) -> DataFrame:
 def risk_score(findings: DataFrame, repos: DataFrame) -> DataFrame:
     """One row per repository, clean ones included with score 0. Counting is combined before the shuffle,
     so a repository that holds most findings costs no more than any other."""
-    counts = severity_counts(findings)
+    return _per_repo(severity_counts(findings), repos)
+
+
+def _per_repo(counts: DataFrame, repos: DataFrame) -> DataFrame:
+    extra = [c for c in counts.columns if c not in ("repo_id", *LEVELS, "total")]
     all_repos = repos.select("repo_id").distinct().join(counts, "repo_id", "left").na.fill(0, [*LEVELS, "total"])
-    return score(all_repos).select("repo_id", "score", "max_severity", *LEVELS, "total")
+    return score(all_repos).select("repo_id", "score", "max_severity", *LEVELS, "total", *extra)
+
+
+def decide(findings: DataFrame, repos: DataFrame, policy: Policy | None = None, threshold: float = GATE_SCORE) -> DataFrame:
+    """Risk and gate decision together: counts and the policy flag come from one aggregate over the findings."""
+    violation = policy.is_violation() if policy is not None else F.lit(False)
+    counts = findings.groupBy("repo_id").agg(
+        *[F.count_if(F.col("severity") == level).alias(level) for level in LEVELS],
+        F.count("*").alias("total"),
+        F.bool_or(violation).alias("blocked"),
+    )
+    decided = _per_repo(counts, repos).withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+    return decided.withColumn("failed", (F.col("score") >= threshold) | F.col("blocked"))
 
 
 def with_severity_overrides(findings: DataFrame, overrides: dict[str, str]) -> DataFrame:

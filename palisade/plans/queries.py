@@ -26,7 +26,7 @@ from palisade.rules import behavior, builds, docker, patterns, secrets, workflow
 from palisade.rules.base import rules_version, select_rules
 from palisade.sources import archives, feeds
 from palisade.sources import files as inventory
-from palisade.sources.tables import conversations_as_files, corpus_as_files, documents_as_files, pages_as_files
+from palisade.sources.tables import conversations_as_files, corpus_as_files, documents_as_files, pages_as_files, read_texts
 from palisade.streaming.stream_scan import stream_scan, streamed_findings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -482,7 +482,7 @@ def _wasm_modules(spark: SparkSession, sf: str) -> DataFrame:
             body += bytes([len(module)]) + module.encode() + bytes([len(name)]) + name.encode() + b"\x00\x01\x00"
         sections.append("02" + f"{len(body):02x}" + body.hex())
     which = (F.col("doc_id") % len(WASM_IMPORTS)).cast("int")
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = read_texts(spark, sf, "documents", "doc_id", "source", "text")
     raw = F.concat(
         F.unhex(F.lit("0061736D0100000000")),
         F.unhex(_leb3(F.octet_length("text"))),
@@ -544,7 +544,7 @@ def _document_archives(spark: SparkSession, sf: str) -> DataFrame:
 
         return texts.map(one)
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = read_texts(spark, sf, "documents", "doc_id", "source", "text")
     return docs.select(
         F.col("source").alias("repo_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".zip")).alias("path"), pack("text").alias("raw")
     )
@@ -873,8 +873,7 @@ _BLOCKED = "category IN ('credential_theft', 'ci_remote_exec', 'c2_callback') AN
 _REACHED = "severity IN ('high', 'critical')"
 
 
-def _policy(spark: SparkSession) -> DataFrame:
-    return policy.policy_frame(spark, "high", ["credential_theft", "ci_remote_exec", "c2_callback"], ["d1"])
+POLICY = policy.Policy("high", ["credential_theft", "ci_remote_exec", "c2_callback"], ["d1"])
 
 
 @query(
@@ -883,14 +882,14 @@ def _policy(spark: SparkSession) -> DataFrame:
     f"concat('Finding category ''', category, ''' is blocked by policy') AS description, line_no FROM fi WHERE {_BLOCKED} AND {_REACHED}",
 )
 def _(spark, sf):
-    return policy.policy_violations(_findings(spark, sf), _policy(spark)).select(
+    return policy.policy_violations(_findings(spark, sf), POLICY).select(
         "repo_id", "path", "severity", "category", "description", "line_no"
     )
 
 
 @query("policy_blocked_flag", f"WITH fi AS ({_FIND}) SELECT repo_id, path, title, {_BLOCKED} AS is_blocked FROM fi")
 def _(spark, sf):
-    return policy.with_blocked_flag(_findings(spark, sf), _policy(spark)).select("repo_id", "path", "title", "is_blocked")
+    return policy.with_blocked_flag(_findings(spark, sf), POLICY).select("repo_id", "path", "title", "is_blocked")
 
 
 _GATE = f"""bl AS (SELECT repo_id, bool_or({_BLOCKED} AND {_REACHED}) AS b FROM fi GROUP BY repo_id),
@@ -899,8 +898,7 @@ gt AS (SELECT rk.*, coalesce(b, false) AS blocked, score >= 7.0 OR coalesce(b, f
 
 @query("gate_decision", f"WITH {_RISK}, {_GATE} SELECT * FROM gt")
 def _(spark, sf):
-    found = _findings(spark, sf)
-    return scoring.gate(scoring.risk_score(found, _repos(spark, sf)), policy.policy_gate(found, _policy(spark)))
+    return scoring.decide(_findings(spark, sf), _repos(spark, sf), POLICY)
 
 
 def _scans(spark: SparkSession, sf: str) -> DataFrame:
@@ -1130,4 +1128,4 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """All text tables, behaviour and secret rules in one pass, risk per repository, gate."""
     files = corpus_as_files(spark, sf)
     found = match_content(files, [*behavior.RULES, *secrets.RULES])
-    return scoring.gate(scoring.risk_score(found, files))
+    return scoring.decide(found, files)

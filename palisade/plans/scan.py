@@ -12,8 +12,8 @@ from palisade.operators.advice import with_advice
 from palisade.operators.dependencies import DEPENDENCY_FILES, detect_deps
 from palisade.operators.history import scan_rows
 from palisade.operators.matching import match_content, match_lines
-from palisade.operators.policy import policy_gate
-from palisade.operators.scoring import gate, risk_score, union_findings
+from palisade.operators.policy import Policy
+from palisade.operators.scoring import decide, union_findings
 from palisade.rules import docker, workflows
 from palisade.rules.base import LineRule, Rule, named, registered_rules, select_rules
 from palisade.schema import as_findings
@@ -113,7 +113,7 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
-def run_scan(spark: SparkSession, files: DataFrame, out: str, scan_time: Column, policy: DataFrame | None = None,
+def run_scan(spark: SparkSession, files: DataFrame, out: str, scan_time: Column, policy: Policy | None = None,
              quick: bool = False, skip: Iterable[str] = ()) -> DataFrame:
     """Scan, keep the findings as a table under ``out``, and return the gate decision per repository.
 
@@ -121,7 +121,6 @@ def run_scan(spark: SparkSession, files: DataFrame, out: str, scan_time: Column,
     """
     scan(files, skip, quick, f"{out}/focus").write.mode("overwrite").parquet(f"{out}/findings")
     findings = spark.read.parquet(f"{out}/findings")
-    risk = risk_score(findings, files)
-    decided = gate(risk, policy_gate(findings, policy))
-    scan_rows(risk, scan_time, inventory_totals(files)).write.mode("overwrite").parquet(f"{out}/scans")
+    decided = decide(findings, files, policy)
+    scan_rows(decided, scan_time, inventory_totals(files)).write.mode("overwrite").parquet(f"{out}/scans")
     return decided

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palisade.sources.tables import text_as_file
+from palisade.sources.tables import read_texts, text_as_file
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ def _seed(index: Column) -> Column:
 
 def seeded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id = source; one file per document of the table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = read_texts(spark, sf_dir, "documents", "doc_id", "source", "text")
     # The one-row generator keeps the optimizer from repeating the constant for every use of path and content.
     shaped = docs.select("doc_id", "source", "text", F.explode_outer(F.array(_seed(seed_index()))).alias("_seed"))
     snippet, layout = F.col("_seed.snippet"), F.col("_seed.layout")

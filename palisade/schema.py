@@ -67,11 +67,8 @@ def as_findings(df: DataFrame, analyzer: str | None = None) -> DataFrame:
     present = set(df.columns)
     columns = []
     for field in FINDINGS.fields:
+        value = field.name if field.name in present else "NULL"
         if field.name == "analyzer" and analyzer is not None:
-            value = F.lit(analyzer)
-        elif field.name in present:
-            value = F.col(field.name)
-        else:
-            value = F.lit(None)
-        columns.append(value.cast(field.dataType).alias(field.name))
-    return df.select(*columns)
+            value = f"'{analyzer}'"
+        columns.append(f"CAST({value} AS {field.dataType.simpleString()}) AS {field.name}")
+    return df.selectExpr(*columns)
