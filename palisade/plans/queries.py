@@ -154,7 +154,8 @@ def _(spark, sf):
 
 @query("read_tree")
 def _(spark, sf):
-    return inventory.with_flags(inventory.read_tree(spark, sf, "tables").drop("raw", "mtime"))
+    """The directory of the driver tables itself as an inventory."""
+    return inventory.with_flags(inventory.filter_ignored(inventory.list_tree(spark, sf, "tables")).drop("mtime", "location"))
 
 
 @query("read_single_file")

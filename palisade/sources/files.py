@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
+import stat
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.functions.text import file_name
@@ -48,26 +54,109 @@ SCRIPT_HEADS = (
 TEXT_MIMES = ("application/json", "application/xml", "image/svg+xml", "text/javascript", "text/typescript")
 
 
-def read_tree(spark: SparkSession, root: str, repo_id: str | None = None) -> DataFrame:
-    """Recursive listing of ``root`` as (repo_id, path, size, raw, mtime); paths are relative to it.
+_LISTING = "path string, size long, modified double, location string"
+
+
+def _local_root(root: str) -> str | None:
+    """The directory behind a plain path or file: address; None for other file systems."""
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
+    return None if "://" in root else os.path.abspath(root)
+
 
-    ``raw`` is read only if a later operator uses it. With ``repo_id`` None the first path segment names the repository.
+def _list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Regular files below (or directly in) each directory; symbolic links are neither followed nor listed."""
+    for batch in batches:
+        for directory, deep, root in zip(batch["directory"], batch["deep"], batch["root"]):
+            for parent, _, names in os.walk(directory):
+                rows = []
+                for name in names:
+                    full = os.path.join(parent, name)
+                    try:
+                        status = os.lstat(full)
+                    except OSError:
+                        continue
+                    if stat.S_ISREG(status.st_mode):
+                        rows.append((os.path.relpath(full, root).replace(os.sep, "/"), status.st_size, status.st_mtime, full))
+                yield pd.DataFrame(rows, columns=["path", "size", "modified", "location"])
+                if not deep:
+                    break
+
+
+def list_tree(spark: SparkSession, root: str, repo_id: str | None = None) -> DataFrame:
+    """Recursive listing: repo_id, path relative to the root, size, mtime, location. No file is opened.
+
+    Directories two levels deep are the units of work and are walked by tasks. Names that start with a dot or an
+    underscore count (pipelines and environment files do), which Spark's own file listing leaves out.
+    With ``repo_id`` None the first path segment names the repository.
     """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    bare_root = root.split("://", 1)[-1].split(":", 1)[-1].rstrip("/")
-    # The listing gives scheme:/absolute/path; everything up to and including the root is cut.
-    relative = F.substring_index(
-        F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?(?=/)", ""), bare_root + "/", -1
+    base = _local_root(root)
+    if base is None:
+        raise ValueError(f"{root}: list_tree walks mounted directories; use read_remote_tree for other file systems")
+    units = [(base, False, base)]
+    for first in sorted(e.path for e in os.scandir(base) if e.is_dir(follow_symlinks=False)):
+        units.append((first, False, base))
+        units += [(e.path, True, base) for e in os.scandir(first) if e.is_dir(follow_symlinks=False)]
+    width = min(len(units), 4 * spark.sparkContext.defaultParallelism)
+    listing = (
+        spark.createDataFrame(units, "directory string, deep boolean, root string").repartition(width).mapInPandas(_list_files, _LISTING)
     )
-    rel = F.when(F.lit(repo_id is None), F.regexp_replace(relative, r"^[^/]*/", "")).otherwise(relative)
-    repo = F.lit(repo_id) if repo_id is not None else F.substring_index(relative, "/", 1)
-    return listing.select(
-        repo.alias("repo_id"),
-        rel.alias("path"),
-        F.col("length").alias("size"),
-        F.col("content").alias("raw"),
-        F.col("modificationTime").alias("mtime"),
+    return _with_repo(listing, repo_id).select(
+        "repo_id", "path", "size", F.timestamp_seconds("modified").alias("mtime"), "location"
+    )
+
+
+def _with_repo(listing: DataFrame, repo_id: str | None) -> DataFrame:
+    if repo_id is not None:
+        return listing.withColumn("repo_id", F.lit(repo_id))
+    return listing.withColumns(
+        {"repo_id": F.substring_index("path", "/", 1), "path": F.regexp_replace("path", r"^[^/]*/", "")}
+    )
+
+
+def read_raw(listing: DataFrame, max_size_mb: float = READ_MAX_MB) -> DataFrame:
+    """Open the listed files in tasks and add their bytes; files above the limit keep null.
+
+    The listing is spread by name first, so a directory that holds most files is read by all tasks.
+    """
+    limit = int(max_size_mb * 1024 * 1024)
+    tasks = 4 * listing.sparkSession.sparkContext.defaultParallelism
+    plain = listing.select("repo_id", "path", "size", "mtime", "location").repartition(tasks, "repo_id", "path")
+    schema = "repo_id string, path string, size long, mtime timestamp, location string, raw binary"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # A few files at a time, so that a batch of large ones does not fill the worker.
+            for start in range(0, len(batch), 64):
+                part = batch.iloc[start:start + 64].copy()
+                part["raw"] = [_read_bytes(p) if n <= limit else None for p, n in zip(part["location"], part["size"])]
+                yield part
+
+    return plain.mapInPandas(run, schema).drop("location")
+
+
+def _read_bytes(path: str) -> bytes | None:
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def read_tree(spark: SparkSession, root: str, repo_id: str | None = None, max_size_mb: float = READ_MAX_MB) -> DataFrame:
+    """Inventory with bytes of a mounted directory tree. The ignore rules apply before anything is opened."""
+    return read_raw(filter_ignored(list_tree(spark, root, repo_id)), max_size_mb)
+
+
+def read_remote_tree(spark: SparkSession, root: str, repo_id: str | None = None) -> DataFrame:
+    """The same over any file system Spark reads. Its listing skips names that start with a dot or an underscore."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    bare_root = re.sub(r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", "", root).rstrip("/")
+    relative = F.substring_index("path", bare_root + "/", -1)
+    named = listing.select(
+        relative.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").alias("raw")
     )
+    return _with_repo(named, repo_id).select("repo_id", "path", "size", "raw", "mtime")
 
 
 def read_file(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
