@@ -99,7 +99,7 @@ NO_LOOKAHEAD = {
 }
 
 
-def content_sql(rules: Sequence[Rule]) -> str:
+def content_sql(rules: Sequence[Rule], source: str | None = None) -> str:
     rows = [
         (r.rule_id, NO_LOOKAHEAD.get(r.rule_id, (r.pattern, ""))[0], r.ignore_case, gate_sql(r)) for r in rules
     ]
@@ -117,7 +117,7 @@ def content_sql(rules: Sequence[Rule]) -> str:
                       window(*r.window) if r.window else "NULL")
             + f" FROM occ WHERE {where}"
         )
-    return f"WITH f AS ({seeded_sql()}), occ AS ({occurrences_sql(rows, 'f')}) " + " UNION ALL ".join(picks)
+    return f"WITH f AS ({source or seeded_sql()}), occ AS ({occurrences_sql(rows, 'f')}) " + " UNION ALL ".join(picks)
 
 
 def lines_sql(source: str, gate: str = "true") -> str:

@@ -44,6 +44,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def _run_folder(spark: SparkSession, kind: str) -> str:
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 FINDING_COLUMNS = [
     "repo_id", "path", "rule_id", "severity", "confidence", "category", "title", "description", "line_no", "snippet",
     "decoded", "raw_value",
@@ -562,11 +566,23 @@ def _(spark, sf):
     )
 
 
-@query("scan_archives")
+_MEMBERS_SQL = """SELECT concat(source, '!', doc_id, '.zip') AS repo_id, p AS path, text AS content
+ FROM documents, (VALUES ('a.md'), ('inner/b.txt')) t(p)"""
+
+
+def _as_scan_files(source: str) -> str:
+    """The name-based columns of a files relation, as the detectors' SQL expects them."""
+    return (
+        "SELECT *, octet_length(encode(content)) AS size, lower(regexp_extract(path, '[^/]*$')) AS name, "
+        f"regexp_extract(lower(path), '\\.[^./]*$') AS ext FROM ({source})"
+    )
+
+
+@query("scan_archives", oracle.content_sql(behavior.RULES, _as_scan_files(_MEMBERS_SQL)))
 def _(spark, sf):
     members = archives.expand_archives(_document_archives(spark, sf))
     files = inventory.prepare_files(archives.members_as_files(members))
-    return families.detect_secrets(files).select(*FINDING_COLUMNS)
+    return families.detect_behavior(files).select(*FINDING_COLUMNS)
 
 
 # ---- incremental
@@ -748,7 +764,7 @@ def _(spark, sf):
 @query(
     "known_c2",
     "SELECT concat('order-', l_orderkey) AS repo_id, concat('https://s', l_suppkey, '.example.com/', l_linenumber) AS url FROM lineitem "
-    "SEMI JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) ON l_suppkey = s_suppkey",
+    "SEMI JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 5000) ON l_suppkey = s_suppkey",
 )
 def _(spark, sf):
     line = spark.read.parquet(f"{sf}/lineitem.parquet")
@@ -756,7 +772,7 @@ def _(spark, sf):
         F.lit("https://s"), F.col("l_suppkey").cast("string"), F.lit(".example.com/"), F.col("l_linenumber").cast("string")
     )
     seen = line.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("repo_id"), F.lit("x").alias("path"), url.alias("url"), F.lit(1).alias("line_no"))
-    bad = spark.read.parquet(f"{sf}/supplier.parquet").where("s_acctbal < 0")
+    bad = spark.read.parquet(f"{sf}/supplier.parquet").where("s_acctbal < 5000")
     feed = feeds.parse_c2_lines(bad.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".example.com 1")).alias("value")))
     return threat_joins.known_c2(urls.with_url_parts(seen), feed).select("repo_id", "url")
 
@@ -789,6 +805,13 @@ def _findings(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.union_findings(families.detect_secrets(files), families.detect_workflows(files), urls.detect_urls(files))
 
 
+def _stored_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports read findings several times, so they are written once, as a scan job does."""
+    out = _run_folder(spark, "findings")
+    _findings(spark, sf).write.parquet(out)
+    return spark.read.parquet(out)
+
+
 def _repos(spark: SparkSession, sf: str) -> DataFrame:
     """Repositories: every source, and every conversation role, the latter without findings."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("repo_id"))
@@ -977,10 +1000,6 @@ def _(spark, sf):
     return history.recent_scans(_scans(spark, sf)).select("repo_id", "score", "scan_time")
 
 
-def _run_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
 @query("history_append", f"WITH {_SCANS} SELECT scan_id, repo_id, scan_time, score, total FROM sc")
 def _(spark, sf):
     out = _run_folder(spark, "scans")
@@ -1029,7 +1048,7 @@ def _(spark, sf):
 
 @query("sarif_log")
 def _(spark, sf):
-    found = _findings(spark, sf)
+    found = _stored_findings(spark, sf)
     scans = scoring.risk_score(found, _repos(spark, sf)).withColumn("files_count", F.lit(0))
     return reports.sarif_rows(found, scans)
 
@@ -1043,7 +1062,7 @@ _LEVEL = "CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WH
     "CASE WHEN line_no > 0 THEN CAST(line_no AS VARCHAR) END AS line, concat(title, ': ', description) AS message FROM fi",
 )
 def _(spark, sf):
-    found = _findings(spark, sf)
+    found = _stored_findings(spark, sf)
     body = F.col("body")
     return reports.sarif_results(found, reports.sarif_rules(found)).select(
         "repo_id",
@@ -1066,7 +1085,7 @@ def _(spark, sf):
 
 @query("json_report")
 def _(spark, sf):
-    found = _findings(spark, sf)
+    found = _stored_findings(spark, sf)
     scans = scoring.risk_score(found, _repos(spark, sf)).withColumns(
         {
             "scan_time": F.lit("2024-01-01 00:00:00").cast("timestamp"), "files_count": F.lit(0), "blocked": F.lit(False),
@@ -1092,13 +1111,7 @@ def _(spark, sf):
     return scan(corpus_as_files(spark, sf), quick=True).select(*FINDING_COLUMNS, "analyzer")
 
 
-_TABLE_SECRETS = (
-    oracle.content_sql([r for r in secrets.RULES])
-    .replace(seeded_sql(), f"SELECT *, octet_length(encode(content)) AS size, lower(regexp_extract(path, '[^/]*$')) AS name, regexp_extract(lower(path), '\\.[^./]*$') AS ext FROM ({DOCS})")
-)
-
-
-@query("stream_scan", _TABLE_SECRETS)
+@query("stream_scan", oracle.content_sql(behavior.RULES, _as_scan_files(DOCS)))
 def _(spark, sf):
     """The documents table read as a stream, scanned batch by batch, and read back."""
     from palisade.sources.tables import text_as_file
@@ -1108,7 +1121,7 @@ def _(spark, sf):
     path = F.concat(F.lit("docs/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     files = text_as_file(stream, F.col("source"), path, F.col("text"))
     out = _run_folder(spark, "stream")
-    stream_scan(files, f"{out}/findings", f"{out}/checkpoint", families.detect_secrets).awaitTermination()
+    stream_scan(files, f"{out}/findings", f"{out}/checkpoint", families.detect_behavior).awaitTermination()
     return streamed_findings(spark, f"{out}/findings").select(*FINDING_COLUMNS)
 
 

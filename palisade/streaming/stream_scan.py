@@ -28,8 +28,9 @@ def stream_scan(files: DataFrame, out: str, checkpoint: str, detect: Callable[[D
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_tree(spark: SparkSession, root: str, out: str, checkpoint: str, repo_id: str) -> StreamingQuery:
-    """Watch a directory of source files."""
+def stream_tree(spark: SparkSession, root: str, out: str, checkpoint: str, repo_id: str,
+                detect: Callable[[DataFrame], DataFrame] = scan) -> StreamingQuery:
+    """Watch a directory of source files. The file source does not see names that start with a dot or an underscore."""
     stream = (
         spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", True).load(root)
     )
@@ -40,7 +41,7 @@ def stream_tree(spark: SparkSession, root: str, out: str, checkpoint: str, repo_
         F.col("length").alias("size"),
         F.col("content").alias("raw"),
     )
-    return stream_scan(prepare_files(inventory), out, checkpoint)
+    return stream_scan(prepare_files(inventory), out, checkpoint, detect)
 
 
 def streamed_findings(spark: SparkSession, out: str) -> DataFrame:

