@@ -100,6 +100,10 @@ def _gunzip_base64(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+# Not moved or repeated by the optimizer: a filter on the result must not run the function twice.
+_gunzip_base64 = _gunzip_base64.asNondeterministic()
+
+
 def layered_decode(df: DataFrame, column: str, output: str = "decoded", max_layers: int = MAX_LAYERS) -> DataFrame:
     """Peel up to ``max_layers`` encodings; each layer is hex, base64, gzip in base64, or percent, in that order,
     and counts only if what comes out reads like text. Only rows that look like gzip go through Python."""
@@ -154,6 +158,10 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+# Not moved or repeated by the optimizer: a filter on the result must not run the function twice.
+_unescape = _unescape.asNondeterministic()
+
+
 def unescape_js(df: DataFrame, column: str, output: str = "unescaped") -> DataFrame:
     """Backslash escapes resolved, bytes read as Latin-1; null when nothing changes. Rows without a backslash stay native."""
     text = F.col(column)

@@ -214,6 +214,10 @@ def similarity(names: pd.Series, popular: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(names, popular)])
 
 
+# Not moved or repeated by the optimizer: a filter on the result must not run the function twice.
+similarity = similarity.asNondeterministic()
+
+
 def _can_reach(name: Column, popular: Column) -> Column:
     """Upper bounds of the ratio: by length, then by shared letters counted with multiplicity."""
     total = F.length(name) + F.length(popular)

@@ -74,6 +74,10 @@ def read_imports(raw: pd.Series) -> pd.Series:
     return raw.map(_imports)
 
 
+# Not moved or repeated by the optimizer: a filter on the result must not run the function twice.
+read_imports = read_imports.asNondeterministic()
+
+
 def wasm_imports(files: DataFrame, raw: str = "raw") -> DataFrame:
     """repo_id, path, ordinal, module, name. The magic number is tested natively, other files never reach Python."""
     modules = files.where(F.hex(F.substring(F.col(raw), 1, 4)) == MAGIC_HEX).select("repo_id", "path", raw)

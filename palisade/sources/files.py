@@ -221,8 +221,18 @@ def with_mime(files: DataFrame) -> DataFrame:
     )
 
 
-def with_flags(files: DataFrame) -> DataFrame:
-    """Type flags by name. JSON, SVG, TOML and most source languages do not count as text."""
+def with_flags(files: DataFrame, text_mode: str = "name") -> DataFrame:
+    """Type flags by name. JSON, SVG, TOML and most source languages do not count as text.
+
+    ``text_mode="sniff"`` also takes textual MIME types, and files whose first bytes look like a script, for text; it
+    needs ``raw``.
+    """
+    if text_mode not in ("name", "sniff"):
+        raise ValueError(f"text_mode must be name or sniff, got {text_mode!r}")
+    if text_mode == "sniff":
+        wide = with_sniffed_type(with_flags(files))
+        textual = F.col("is_text") | F.col("sniffed_text") | F.coalesce("sniffed_script", F.lit(False))
+        return wide.withColumn("is_text", textual).drop("sniffed_svg", "sniffed_script", "sniffed_text")
     path = F.col("path")
     return with_mime(files).withColumns(
         {
@@ -270,9 +280,9 @@ def with_content(files: DataFrame, max_size_mb: float = READ_MAX_MB) -> DataFram
     )
 
 
-def prepare_files(inventory: DataFrame, max_size_mb: float = READ_MAX_MB) -> DataFrame:
+def prepare_files(inventory: DataFrame, max_size_mb: float = READ_MAX_MB, text_mode: str = "name") -> DataFrame:
     """Inventory to scan-ready files: ignore rules, flags, decoded content."""
-    return with_content(with_flags(filter_ignored(inventory)), max_size_mb)
+    return with_content(with_flags(filter_ignored(inventory), text_mode), max_size_mb)
 
 
 def inventory_totals(files: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from palisade.plans.scan import scan
 from palisade.sources.files import prepare_files
+from palisade.sources.tables import spread
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -22,7 +23,7 @@ def stream_scan(files: DataFrame, out: str, checkpoint: str, detect: Callable[[D
     """Start scanning a streaming files DataFrame into ``out``/batch=N."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        detect(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        detect(spread(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -35,6 +35,13 @@ def test_tree_to_files(spark, tmp_path):
     assert (single.path, single.size) == ("a.py", 3)
 
 
+def test_sniffed_text(spark):
+    rows = [("r", "a.json", 2, bytearray(b"{}")), ("r", "b.rs", 9, bytearray(b"#!/bin/sh")), ("r", "c.rs", 2, bytearray(b"\x00\x01"))]
+    df = spark.createDataFrame(rows, "repo_id string, path string, size long, raw binary")
+    assert {r.path: r.is_text for r in inventory.with_flags(df).collect()} == {"a.json": False, "b.rs": False, "c.rs": False}
+    assert {r.path: r.is_text for r in inventory.with_flags(df, "sniff").collect()} == {"a.json": True, "b.rs": True, "c.rs": False}
+
+
 def test_decoding_equals_python(spark):
     import random
 
