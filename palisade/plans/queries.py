@@ -122,7 +122,14 @@ def _(spark, sf):
     return dependencies.npm_deps(seeded_files(spark, sf))
 
 
-@query("npm_lock_packages")
+@query(
+    "npm_lock_packages",
+    f"""WITH f AS ({seeded_sql()}),
+p AS (SELECT repo_id, path, content, unnest(json_keys(content, '$.packages')) AS package FROM f WHERE name = 'package-lock.json')
+SELECT repo_id, path, package, list_extract(string_split(package, 'node_modules/'), -1) AS name,
+ content ->> ('$.packages."' || package || '".resolved') AS resolved, content ->> ('$.packages."' || package || '".integrity') AS integrity
+FROM p WHERE package <> ''""",
+)
 def _(spark, sf):
     return dependencies.npm_lock_packages(seeded_files(spark, sf))
 
