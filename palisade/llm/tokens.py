@@ -2,51 +2,101 @@
 
 from __future__ import annotations
 
+import array
+import json
 import re
 
-MEMO_WORDS = 400_000
-#: Blanks that both the tokenizer's normalizer and this splitter drop. Other blanks stay inside a chunk and are dropped there.
-BLANKS = re.compile(r"[ \t\n\r]+")
+MEMO_WORDS = 600_000
+BATCH = 20_000
+#: The normalizer and splitter of the word-level tokenizer file, for which short cuts are valid.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same splitter on lower-cased printable ASCII and Latin-1 letters, where it is plain.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_TEXT = re.compile(r"[!-~À-ÖØ-öø-ÿ \t\n\r]*")
+PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ \t\n\r]+")
 
 
-class ChunkEncoder:
-    """Encodes chunks between plain blanks. Valid for tokenizers that drop white space and never merge across it."""
+def split_words(text: str) -> list[str]:
+    """Words between blanks that the tokenizer drops; other blanks stay inside a word."""
+    return [w for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
+
+
+class WordEncoder:
+    """Encodes words between plain blanks. Valid for tokenizers that drop white space and never merge across it.
+
+    Plain words are cut by an equivalent of the file's own splitter and go straight to its merges; all others take the whole
+    way through the library.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
+        parts = json.loads(self.tokenizer.to_str())
+        split, *bytes_ = parts["pre_tokenizer"].get("pretokenizers", [{}])
+        self.added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.short_cut = all(a.startswith("<|") for a in self.added) and parts["normalizer"] == NORMALIZER and split.get("pattern") == {"Regex": SPLITTER} and [b["type"] for b in bytes_] == ["ByteLevel"]
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(0xDF, 0x100)])}
+        self.model = self.tokenizer.model
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """The ids of each word, as the library gives them."""
+        out: list[list[int] | None] = [None] * len(words)
+        rest = []
+        letters, tokenize = self.letters, self.model.tokenize
+        for i, word in enumerate(words):
+            if self.short_cut and "<|" not in word and PLAIN.fullmatch(word):
+                parts = PLAIN_PARTS.findall(word.lower())
+                out[i] = [t.id for part in parts for t in tokenize(part.translate(letters))]
+            else:
+                rest.append(i)
+        for at in range(0, len(rest), BATCH):
+            some = rest[at : at + BATCH]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
+                out[i] = e.ids
+        return out
 
-    def id_bytes(self, text: str) -> bytes:
-        """The ids of the text, each as four little-endian bytes."""
-        import array
+    def words(self, text: str) -> list[str]:
+        """The text as words that can be encoded one by one: the splitter's own in plain texts, else what stands between blanks."""
+        if self.short_cut and "<|" not in text and PLAIN_TEXT.fullmatch(text):
+            return PLAIN_PARTS.findall(text.lower())
+        return split_words(text)
 
-        words = text.split(" ") if " " in text and not re.search(r"[\t\n\r]", text) else BLANKS.split(text)
-        memo = self.memo
+    def id_bytes(self, text: str) -> bytes:
+        """The ids of the text, each as four little-endian bytes. The memo keeps two generations of words."""
+        words = self.words(text)
+        new = self.new
         try:
-            return b"".join([memo[w] for w in words])
+            return b"".join([new[w] for w in words])
         except KeyError:
-            new = list({w for w in words if w not in memo})
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                memo.update(zip(part, (array.array("I", ids).tobytes() for ids in self.encode_words(part))))
-            return b"".join([memo[w] for w in words])
+            missing = [w for w in set(words) if w not in new]
+            if len(new) + len(missing) > MEMO_WORDS:
+                self.old, self.new = new, {}
+                new, missing = self.new, list(set(words))
+            old = self.old
+            unknown = []
+            for w in missing:
+                known = old.get(w)
+                if known is None:
+                    unknown.append(w)
+                else:
+                    new[w] = known
+            for w, ids in zip(unknown, self.encode_words(unknown)):
+                new[w] = array.array("I", ids).tobytes()
+            return b"".join([new[w] for w in words])
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> WordEncoder:
     """One encoder a file and Python worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
