@@ -6,26 +6,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from palisade.functions.decode import strict_base64_text
 from palisade.functions.text import explode_lines, is_meaningful, shannon_entropy, strip, truncate
-from palisade.rules.base import text_below
+from palisade.rules.base import text_files
 from palisade.schema import as_findings
 
 # Fixed values.
 THRESHOLD = 5.5
 HIGH_THRESHOLD = 6.0
 MIN_LENGTH = 30
-MAX_LENGTH = 3000
 BASE64_SHAPE = r"^[A-Za-z0-9+/=]+\z"
 # 45 different characters carry at most log2(45) < 5.5 bits, so fewer than 46 cannot reach the threshold.
 # (This also makes a hex-only line, 22 characters at most, impossible.)
 MIN_SYMBOLS = 46
 
-GATE = text_below(2_000_000)
-
 
 def high_entropy_lines(files: DataFrame) -> DataFrame:
     """repo_id, path, line_no, value, entropy; cheap tests come before the entropy."""
-    value = F.left(strip(F.col("line")), F.lit(MAX_LENGTH))
-    lines = explode_lines(files.where(GATE() & (F.length("content") > 0))).where(F.length("line") >= MIN_LENGTH)
+    value = strip(F.col("line"))
+    lines = explode_lines(files.where(text_files() & (F.length("content") > 0))).where(F.length("line") >= MIN_LENGTH)
     shaped = lines.select("repo_id", "path", "line_no", value.alias("value")).where(
         (F.length("value") >= MIN_LENGTH) & F.col("value").rlike(BASE64_SHAPE)
     ).where(F.size(F.array_distinct(F.split("value", ""))) >= MIN_SYMBOLS)
@@ -37,7 +34,7 @@ def detect_entropy(files: DataFrame) -> DataFrame:
     lines = high_entropy_lines(files).withColumn("decoded", decoded)
     readable = (
         F.col("decoded").isNotNull()
-        & F.left("decoded", F.lit(200)).rlike("[A-Za-z]")
+        & F.col("decoded").rlike("[A-Za-z]")
         & is_meaningful(F.col("decoded"), 10)
     )
     lines = lines.withColumn("readable", F.coalesce(readable, F.lit(False))).where(

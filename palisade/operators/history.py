@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Fixed values.
 REDACTED = "<redacted>"
@@ -43,6 +43,44 @@ def tag_rows(scans: DataFrame, tags: Column) -> DataFrame:
     return scans.select("scan_id", F.explode(tags).alias("tag"))
 
 
+def write_version(rows: DataFrame, path: str) -> None:
+    """Write a table as the next version of a folder of versions; ``current`` reads the newest complete one.
+
+    Spark cannot overwrite what it reads. A reader of the version before is not disturbed, and a failed write leaves no newer
+    version behind, since it lacks its mark.
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(f"{path}/version={next_version(spark, path)}")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of a stored table; listed through the file system that Spark uses for the path."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = [s.getPath() for s in fs.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith("version=")]
+    return sorted(int(p.getName().removeprefix("version=")) for p in found if fs.exists(hadoop.Path(p, "_SUCCESS")))
+
+
+def next_version(spark: SparkSession, path: str) -> int:
+    return max(versions(spark, path), default=0) + 1
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table, or an empty one where nothing was written yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of a stored table; None before the first."""
+    known = versions(spark, path)
+    return spark.read.parquet(f"{path}/version={known[-1]}") if known else None
+
+
 def append_scans(scans: DataFrame, path: str) -> None:
     """Append, one directory per scan date. Overwriting only the touched dates would drop other runs of the day."""
     scans.write.mode("append").partitionBy("scan_date").parquet(path)

@@ -19,13 +19,16 @@ def only_changed(files: DataFrame, changed: DataFrame | None = None) -> DataFram
 
 
 def diff_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
-    """repo_id, path, change (added, modified, deleted) between two snapshots compared by content hash."""
-    before = old.select("repo_id", "path", F.col("sha256").alias("_old"))
-    after = new.select("repo_id", "path", F.col("sha256").alias("_new"))
+    """repo_id, path, change (added, modified, deleted) between two snapshots compared by content hash.
+
+    Presence has its own marks, so a file without a hash is neither new nor gone; two missing hashes count as equal.
+    """
+    before = old.select("repo_id", "path", F.lit(True).alias("_was"), F.col("sha256").alias("_old"))
+    after = new.select("repo_id", "path", F.lit(True).alias("_is"), F.col("sha256").alias("_new"))
     change = (
-        F.when(F.col("_old").isNull(), "added")
-        .when(F.col("_new").isNull(), "deleted")
-        .when(F.col("_old") != F.col("_new"), "modified")
+        F.when(F.col("_was").isNull(), "added")
+        .when(F.col("_is").isNull(), "deleted")
+        .when(~F.col("_old").eqNullSafe(F.col("_new")), "modified")
     )
     return (
         before.join(after, ["repo_id", "path"], "full_outer")
@@ -41,7 +44,7 @@ def changed_paths(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def split_cached(files: DataFrame, ledger: DataFrame, rules_version: str) -> tuple[DataFrame, DataFrame]:
     """(to scan, to reuse). A file is reused only if it is unchanged and was scanned with the same rules."""
-    done = ledger.where(F.col("rules_version") == rules_version).select(*LEDGER_KEY)
+    done = ledger.where(F.col("rules_version") == rules_version).select(*LEDGER_KEY).distinct()
     return files.join(done, LEDGER_KEY, "left_anti"), files.join(done, LEDGER_KEY, "left_semi")
 
 
@@ -53,12 +56,14 @@ def ledger_rows(files: DataFrame, rules_version: str, scanned_at: Column) -> Dat
     return files.select(*LEDGER_KEY, F.lit(rules_version).alias("rules_version"), scanned_at.alias("scanned_at"))
 
 
-def prune_ledger(ledger: DataFrame, n: int = LEDGER_LIMIT, salts: int = 64) -> DataFrame:
-    """The newest ``n`` rows of each repository.
+def prune_ledger(ledger: DataFrame, n: int | None = None, salts: int = 64) -> DataFrame:
+    """The newest ``n`` rows of each repository; all of them without a limit (LEDGER_LIMIT is a preset).
 
     Ranks are taken twice: within salted parts of a repository, which leaves at most n rows per part, then over what is
     left. A repository with a third of all rows is thus ranked by many tasks first.
     """
+    if n is None:
+        return ledger
     order = [F.col("scanned_at").desc(), F.col("path"), F.col("sha256")]
     salt = F.pmod(F.xxhash64("path", "sha256"), F.lit(salts))
     part = Window.partitionBy("repo_id", "_salt").orderBy(*order)

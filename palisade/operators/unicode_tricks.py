@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions.text import context, explode_lines, file_name
-from palisade.rules.base import text_below
+from palisade.rules.base import text_files
 from palisade.schema import as_findings
 
 # Invisible characters and their names.
@@ -44,7 +44,7 @@ KEYWORDS = [
     "__proto__", "then", "catch", "async", "await",
 ]
 
-GATE = text_below(500_000)
+GATE = text_files
 
 _ANY_INVISIBLE = "[" + "".join(c for c, _ in INVISIBLE) + "]"
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palisade.functions.urls import is_under, url_host
 from palisade.operators.matching import match_content, occurrences
 from palisade.rules import network
-from palisade.rules.base import Rule, text_below
+from palisade.rules.base import Rule, text_files
 from palisade.rules.network import SAFE_HOSTS
 from palisade.schema import as_findings
 
@@ -44,7 +44,7 @@ PRIVATE_RANGES = (
     ("240.0.0.0", "255.255.255.255"),
 )
 LONG_URL = 500
-GATE = text_below(2_000_000)
+GATE = text_files
 
 
 def url_userinfo(url: Column) -> Column:

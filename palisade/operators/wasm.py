@@ -10,7 +10,7 @@ from palisade.schema import as_findings
 # Fixed values.
 MAGIC_HEX = "0061736D"
 IMPORT_SECTION = 2
-MAX_IMPORTS = 50_000
+REFERENCES_WITH_HEAP_TYPE = (0x63, 0x64)
 DANGEROUS_BY_MODULE = {
     "wasi_snapshot_preview1": [
         "fd_write", "fd_read", "proc_exit", "environ_get", "environ_sizes_get", "args_get", "args_sizes_get",
@@ -24,68 +24,124 @@ DANGEROUS_ANYWHERE = [
 NETWORK = ["connect", "send", "recv", "socket", "bind", "listen", "accept"]
 
 
-def _uint(data: bytes, at: int) -> tuple[int | None, int]:
-    """Unsigned LEB128 of at most six bytes; on failure the position does not move."""
-    value, used = 0, 0
-    for byte in data[at:at + 6]:
-        value |= (byte & 0x7F) << (7 * used)
-        used += 1
-        if byte < 0x80:
-            return value, at + used
-    return None, at
+class _Bytes:
+    """A stretch of a module that is read front to back and never beyond its end."""
+
+    def __init__(self, view: memoryview):
+        self.rest = view
+
+    def take(self, n: int) -> memoryview:
+        if n > len(self.rest):
+            raise ValueError("it ends early")
+        part, self.rest = self.rest[:n], self.rest[n:]
+        return part
+
+    def byte(self) -> int:
+        return self.take(1)[0]
+
+    def number(self, bits: int = 32) -> int:
+        """An unsigned LEB128 number of at most so many bits."""
+        value = shift = 0
+        while True:
+            b = self.byte()
+            value |= (b & 127) << shift
+            shift += 7
+            if not b & 128:
+                if value >> bits:
+                    raise ValueError("a number is too large")
+                return value
+            if shift >= bits + 6:
+                raise ValueError("a number is too long")
+
+    def block(self) -> memoryview:
+        return self.take(self.number())
+
+    def text(self) -> str:
+        return bytes(self.block()).decode("utf-8", errors="replace")
+
+    def value_type(self) -> None:
+        if self.byte() in REFERENCES_WITH_HEAP_TYPE:
+            self.number(40)
+
+    def limits(self) -> None:
+        flags = self.byte()
+        bits = 64 if flags & 4 else 32
+        for _ in range(1 + (flags & 1)):
+            self.number(bits)
+
+    def descriptor(self) -> None:
+        """What an import is: function, table, memory, global or tag."""
+        kind = self.byte()
+        if kind == 0:
+            self.number()
+        elif kind == 1:
+            self.value_type()
+            self.limits()
+        elif kind == 2:
+            self.limits()
+        elif kind == 3:
+            self.value_type()
+            self.byte()
+        elif kind == 4:
+            self.byte()
+            self.number()
+        else:
+            raise ValueError(f"import of unknown kind {kind}")
+
+
+def _module(data: bytes | None) -> dict[str, object]:
+    """Imports with both names, and what is wrong with the module, if anything; what came before the damage counts."""
+    found: list[dict[str, str]] = []
+    damage = None
+    try:
+        module = _Bytes(memoryview(data or b""))
+        module.take(8)
+        while module.rest:
+            section, body = module.byte(), _Bytes(module.block())
+            if section == IMPORT_SECTION:
+                for _ in range(body.number()):
+                    origin, name = body.text(), body.text()
+                    body.descriptor()
+                    if origin and name:
+                        found.append({"module": origin, "name": name})
+    except ValueError as error:
+        damage = str(error)
+    return {"imports": found, "damage": damage}
 
 
-def _name(data: bytes, at: int) -> tuple[str, int]:
-    length, at = _uint(data, at)
-    if length is None or at + length > len(data):
-        return "", at
-    return data[at:at + length].decode("utf-8", errors="replace"), at + length
+_IMPORT = T.StructType([T.StructField("module", T.StringType()), T.StructField("name", T.StringType())])
+_MODULE = T.StructType([T.StructField("imports", T.ArrayType(_IMPORT)), T.StructField("damage", T.StringType())])
 
 
-def _imports(data: bytes | None) -> list[dict[str, str]]:
-    found: list[dict[str, str]] = []
-    at = 8
-    while data is not None and at < len(data):
-        section, (size, body) = data[at], _uint(data, at + 1)
-        if size is None:
-            break
-        if section == IMPORT_SECTION:
-            count, cursor = _uint(data, body)
-            if count is None or count > MAX_IMPORTS:
-                break
-            for _ in range(count):
-                module, cursor = _name(data, cursor)
-                name, cursor = _name(data, cursor)
-                if module and name:
-                    found.append({"module": module, "name": name})
-                if cursor < len(data):
-                    cursor += 3  # kind and a two-byte type index
-        at = body + size
-    return found
-
-
-_IMPORTS = T.ArrayType(
-    T.StructType([T.StructField("module", T.StringType()), T.StructField("name", T.StringType())])
-)
-
-
-@F.pandas_udf(_IMPORTS)
-def read_imports(raw: pd.Series) -> pd.Series:
-    return raw.map(_imports)
+@F.pandas_udf(_MODULE)
+def read_module(raw: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_module(data) for data in raw], columns=["imports", "damage"])
 
 
 # Not moved or repeated by the optimizer: a filter on the result must not run the function twice.
-read_imports = read_imports.asNondeterministic()
+read_module = read_module.asNondeterministic()
 
 
-def wasm_imports(files: DataFrame, raw: str = "raw") -> DataFrame:
-    """repo_id, path, ordinal, module, name. The magic number is tested natively, other files never reach Python."""
+def _modules(files: DataFrame, raw: str) -> DataFrame:
+    """The magic number is tested natively, other files never reach Python."""
     modules = files.where(F.hex(F.substring(F.col(raw), 1, 4)) == MAGIC_HEX).select("repo_id", "path", raw)
-    return modules.select("repo_id", "path", read_imports(F.col(raw)).alias("_imports")).select(
-        "repo_id", "path", F.posexplode_outer("_imports").alias("ordinal", "_i")
+    return modules.select("repo_id", "path", read_module(F.col(raw)).alias("_m"))
+
+
+def wasm_imports(files: DataFrame, raw: str = "raw") -> DataFrame:
+    """repo_id, path, ordinal, module, name of every import of every module."""
+    return _modules(files, raw).select(
+        "repo_id", "path", F.posexplode_outer("_m.imports").alias("ordinal", "_i")
     ).where("_i is not null").select("repo_id", "path", "ordinal", "_i.module", "_i.name")
 
 
+def wasm_errors(files: DataFrame, raw: str = "raw") -> DataFrame:
+    """An error row for each damaged module."""
+    return _modules(files, raw).where("_m.damage is not null").select(
+        "repo_id", "path", F.lit("wasm").alias("stage"), F.col("_m.damage").alias("reason")
+    )
+
+
 def _is_dangerous(module: Column, name: Column) -> Column:
     verdict = name.isin(*DANGEROUS_ANYWHERE)
     for m, names in DANGEROUS_BY_MODULE.items():

@@ -26,8 +26,7 @@ def in_list(column: str, values: Sequence[str]) -> str:
     return f"{column} IN (" + ", ".join(q(v) for v in values) + ")"
 
 
-def text_gate(limit: int) -> str:
-    return f"({in_list('ext', TEXT_EXTS)} AND size < {limit})"
+TEXT_GATE = in_list("ext", TEXT_EXTS)
 
 
 WORKFLOW_GATE = (
@@ -44,8 +43,8 @@ def gate_sql(rule: Rule | LineRule) -> str:
     if rule.rule_id in ("H12", "H13", "H14"):
         return "name = 'pyproject.toml'"
     return {
-        "behavioral": text_gate(2_000_000),
-        "yara": text_gate(1_000_000),
+        "behavioral": TEXT_GATE,
+        "yara": TEXT_GATE,
         "secrets": f"({in_list('ext', TEXT_EXTS)} AND NOT {in_list('name', secrets.LOCK_FILES)})",
         "dockerfile_analyzer": in_list("name", docker.FILE_NAMES),
         "python_analyzer": "name = 'setup.py'",
@@ -324,7 +323,7 @@ def _quoted_char(text: str) -> str:
 
 
 def _unicode_lines() -> str:
-    return f"WITH f AS ({seeded_sql()}), l AS ({lines_sql('f', text_gate(500_000))})"
+    return f"WITH f AS ({seeded_sql()}), l AS ({lines_sql('f', TEXT_GATE)})"
 
 
 def invisible_sql() -> str:
@@ -363,10 +362,10 @@ def file_names_sql() -> str:
     return f"""WITH f AS ({seeded_sql()})
 SELECT {finding("'U4'", "'high'", "'high'", "'bidi_override'", "concat('Filename contains invisible Unicode character: ', label)",
                 description, raw_value=_quoted_char(base))}
-FROM f, (VALUES {table}) t(c, label) WHERE {text_gate(500_000)} AND contains({base}, c)
+FROM f, (VALUES {table}) t(c, label) WHERE {TEXT_GATE} AND contains({base}, c)
 UNION ALL SELECT {finding("'U5'", "'critical'", "'high'", "'bidi_override'", "'Filename contains bidi override character (Trojan Source in filename)'",
                           description, raw_value=_quoted_char(base))}
-FROM f, (VALUES {bidi}) t(c) WHERE {text_gate(500_000)} AND contains({base}, c)"""
+FROM f, (VALUES {bidi}) t(c) WHERE {TEXT_GATE} AND contains({base}, c)"""
 
 
 # ---- scripts and dependencies
@@ -550,7 +549,7 @@ def dependency_lines_sql() -> str:
 # ---- URLs
 
 URLS_CTE = (
-    "occ AS (" + occurrences_sql([("N1", urls.URL_PATTERN, True, text_gate(2_000_000))], "f") + "), "
+    "occ AS (" + occurrences_sql([("N1", urls.URL_PATTERN, True, TEXT_GATE)], "f") + "), "
     f"u AS (SELECT repo_id, path, rtrim(matched, {q(urls.TRAILING_PUNCTUATION)}) AS url, line_no FROM occ)"
 )
 HOST = "lower(regexp_extract({0}, '^[A-Za-z]+://(?:[^/?#]*@)?([^/?#:@]*)', 1))"
@@ -601,7 +600,7 @@ FROM s WHERE len(signals) > 0"""
 
 
 def network_calls_sql() -> str:
-    rows = [(i, p, True, text_gate(2_000_000)) for i, p, *_ in network.NETWORK_CALLS]
+    rows = [(i, p, True, TEXT_GATE) for i, p, *_ in network.NETWORK_CALLS]
     labels = "CASE rule_id " + " ".join(f"WHEN {q(i)} THEN {q(label)}" for i, _, label, _n in network.NETWORK_CALLS) + " END"
     host = HOST.format("url")
     return f"""WITH f AS ({seeded_sql()}), occ AS ({occurrences_sql(rows, 'f')}),
@@ -646,11 +645,11 @@ DECLARED = r"lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\.[^.]+)$
 def entropy_sql() -> str:
     meaningful = (
         "length(dec) >= 10 AND length(regexp_replace(dec, '[^ -~]', '', 'g')) / length(dec) >= 0.7 "
-        "AND regexp_matches(left(dec, 200), '[A-Za-z]')"
+        "AND regexp_matches(dec, '[A-Za-z]')"
     )
     shown = "printf('%.1f', ent)"
-    return f"""WITH f AS ({seeded_sql()}), l AS ({lines_sql('f', text_gate(2_000_000))}),
-v AS (SELECT * FROM (SELECT repo_id, path, line_no, left(stripped, {entropy.MAX_LENGTH}) AS value FROM l)
+    return f"""WITH f AS ({seeded_sql()}), l AS ({lines_sql('f', TEXT_GATE)}),
+v AS (SELECT * FROM (SELECT repo_id, path, line_no, stripped AS value FROM l)
       WHERE length(value) >= {entropy.MIN_LENGTH} AND regexp_full_match(value, '[A-Za-z0-9+/=]+')),
 c AS (SELECT repo_id, path, line_no, value, ch, count(*) AS n FROM (SELECT *, unnest(string_split(value, '')) AS ch FROM v) GROUP BY ALL),
 e AS (SELECT repo_id, path, line_no, value, round(-sum(n / length(value) * log2(n / length(value))), 9) AS ent FROM c GROUP BY ALL),

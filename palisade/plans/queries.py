@@ -179,7 +179,7 @@ def _(spark, sf):
     "ignore_filter",
     f"""{SEEDED} SELECT repo_id, path FROM f
 WHERE NOT list_has_any(string_split(path, '/'), [{", ".join(lit_sql(d) for d in inventory.IGNORED_DIRS)}])
-  AND {oracle.DECLARED} NOT IN ({", ".join(lit_sql(e) for e in inventory.IGNORED_EXTS)}) AND size <= {inventory.INVENTORY_MAX_BYTES}""",
+  AND {oracle.DECLARED} NOT IN ({", ".join(lit_sql(e) for e in inventory.IGNORED_EXTS)})""",
 )
 def _(spark, sf):
     return inventory.filter_ignored(seeded_files(spark, sf)).select("repo_id", "path")
@@ -233,14 +233,12 @@ def _(spark, sf):
 
 @query(
     "read_and_decode",
-    f"""SELECT repo_id, path, octet_length(encode(content)) AS size,
-  CASE WHEN octet_length(encode(content)) <= 10485 THEN sha256(content) END AS sha256,
-  CASE WHEN octet_length(encode(content)) <= 10485 THEN length(content) END AS n_chars FROM ({DOCS})""",
+    f"""SELECT repo_id, path, octet_length(encode(content)) AS size, sha256(content) AS sha256, length(content) AS n_chars FROM ({DOCS})""",
 )
 def _(spark, sf):
     docs = documents_as_files(spark, sf)
     raw = docs.select("repo_id", "path", "size", F.encode("content", "UTF-8").alias("raw"))
-    return inventory.with_content(raw, max_size_mb=0.01).select(
+    return inventory.with_content(raw).select(
         "repo_id", "path", "size", "sha256", F.length("content").cast("long").alias("n_chars")
     )
 
@@ -472,9 +470,31 @@ WASM_IMPORTS = [
     [("env", "system"), ("env", "memory")],
     [("wasi_snapshot_preview1", "fd_write"), ("net", "connect")],
     [("js", "log")],
-    [("any", "dlopen"), ("env", "fork"), ("sock", "recv")],
+    [("any", "dlopen"), ("env", "fork"), ("sock", "recv"), ("js", "memory64"), ("js", "limit"), ("js", "thrown"), ("js", "refs"), ("sock", "listen")],
     [],
 ]
+# What may follow the two names: function with a two-byte index, table, memory with a maximum, 64-bit memory, global, tag,
+# table of typed references.
+WASM_DESCRIPTORS = ["008001", "01700010", "02010180a003", "020481808080808001", "037f00", "04007f", "01637000ff7f"]
+
+
+def _leb_hex(n: int) -> str:
+    """An unsigned LEB128 number in hex."""
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return (bytes(out) + bytes([n])).hex()
+
+
+def wasm_import_section(imports: list[tuple[str, str]]) -> str:
+    """An import section in hex; descriptors take turns."""
+    body = _leb_hex(len(imports))
+    for i, names in enumerate(imports):
+        for name in names:
+            body += _leb_hex(len(name.encode())) + name.encode().hex()
+        body += WASM_DESCRIPTORS[i % len(WASM_DESCRIPTORS)]
+    return "02" + _leb_hex(len(body) // 2) + body
 
 
 def _leb3(n: Column) -> Column:
@@ -487,12 +507,7 @@ def _leb3(n: Column) -> Column:
 
 def _wasm_modules(spark: SparkSession, sf: str) -> DataFrame:
     """A module per document: a custom section with the whole text, then an import section."""
-    sections = []
-    for imports in WASM_IMPORTS:
-        body = bytes([len(imports)])
-        for module, name in imports:
-            body += bytes([len(module)]) + module.encode() + bytes([len(name)]) + name.encode() + b"\x00\x01\x00"
-        sections.append("02" + f"{len(body):02x}" + body.hex())
+    sections = [wasm_import_section(imports) for imports in WASM_IMPORTS]
     which = (F.col("doc_id") % len(WASM_IMPORTS)).cast("int")
     docs = read_texts(spark, sf, "documents", "doc_id", "source", "text")
     raw = F.concat(

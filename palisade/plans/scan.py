@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.operators import entropy, families, mime, scripts, svg, unicode_tricks, urls, wasm
 from palisade.operators.advice import with_advice
-from palisade.operators.dependencies import DEPENDENCY_FILES, detect_deps
-from palisade.operators.history import scan_rows
+from palisade.operators.dependencies import DEPENDENCY_FILES, detect_deps, manifest_errors
+from palisade.operators.history import (
+    append_scans, current, delete_scans, next_version, read_or_empty, redact, scan_rows, tag_rows, write_version,
+)
+from palisade.operators.incremental import ledger_rows, reused_findings, split_cached
 from palisade.operators.matching import match_content, match_lines
 from palisade.operators.policy import Policy
 from palisade.operators.scoring import decide, union_findings
 from palisade.rules import docker, workflows
-from palisade.rules.base import LineRule, Rule, named, registered_rules, select_rules
+from palisade.rules.base import LineRule, Rule, limited, named, registered_rules, rules_version, select_rules
 from palisade.schema import as_findings
-from palisade.sources.files import inventory_totals
+from palisade.sources.files import inventory_totals, left_out, unreadable
 
 Detector = Callable[[DataFrame], DataFrame]
 
@@ -58,16 +61,21 @@ def unregister_detector(name: str) -> None:
     _USER_DETECTORS.pop(name, None)
 
 
-def scan(files: DataFrame, skip: Iterable[str] = (), quick: bool = False, focus_dir: str | None = None) -> DataFrame:
+def scan(files: DataFrame, skip: Iterable[str] = (), quick: bool = False, focus_dir: str | None = None,
+         limits: dict[str, int] | None = None) -> DataFrame:
     """Findings of all families.
 
+    ``limits`` (analyzer to bytes, such as ``schema.ANALYZER_LIMITS``) keeps larger files from an analyzer; ``scan_errors``
+    reports them. Without it no file is left out.
+
     Content rules of all families share one pass over the texts; invisible characters, dense lines, URLs and file heads
     take one each. Everything else concerns files picked by name. With ``focus_dir`` these few are written there once and
     their families read that table, so the corpus is read six times however many families there are.
     Nothing is shuffled but first-occurrence and look-alike-name aggregates.
     """
     skipped = {s.lower() for s in skip}
-    rules = select_rules(skipped, quick)
+    limits = limits or {}
+    rules = [replace(r, gate=limited(r.gate, limits[r.analyzer])) if r.analyzer in limits else r for r in select_rules(skipped, quick)]
     content_rules = [r for r in rules if isinstance(r, Rule)]
     own_lines = {r.rule_id for r in registered_rules()}
     line_rules = [r for r in rules if isinstance(r, LineRule)]
@@ -87,7 +95,7 @@ def scan(files: DataFrame, skip: Iterable[str] = (), quick: bool = False, focus_
     for source, families_ in ((files, WIDE), (focus, NAMED)):
         for name, _, slow, detect in families_:
             if name not in skipped and not (quick and slow):
-                parts.append(detect(source))
+                parts.append(detect(source.where(F.col("size") < limits[name]) if name in limits else source))
     if "raw" in files.columns and "wasm_analyzer" not in skipped:
         parts.append(wasm.detect_wasm(files))
     for name, detect in _USER_DETECTORS.items():
@@ -96,31 +104,71 @@ def scan(files: DataFrame, skip: Iterable[str] = (), quick: bool = False, focus_
     return with_advice(union_findings(*parts))
 
 
+def scan_errors(files: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """repo_id, path, stage, reason of what a scan could not look at: missing bytes, limits, damaged modules, odd manifests."""
+    parts = [left_out(files, most - 1, name) for name, most in (limits or {}).items()]
+    parts.append(manifest_errors(files).select("repo_id", "path", F.lit("manifest").alias("stage"), F.lit("install hook is no text").alias("reason")))
+    if "raw" in files.columns:
+        parts += [unreadable(files), wasm.wasm_errors(files)]
+    return union_findings(*parts)
+
+
 def analyzer_errors(errors: DataFrame) -> DataFrame:
     """Errors per repository: the counter of a scan header."""
     return errors.groupBy("repo_id").agg(F.count("*").alias("analyzer_errors"))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir. Only a local session without one gets a folder of its own."""
+    """The folder the cluster names in spark.checkpoint.dir; without one, a folder in the warehouse, which is shared too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-    own = tempfile.mkdtemp(prefix="palisade-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/palisade-scratch").rstrip("/")
 
 
 def run_scan(spark: SparkSession, files: DataFrame, out: str, scan_time: Column, policy: Policy | None = None,
-             quick: bool = False, skip: Iterable[str] = ()) -> DataFrame:
-    """Scan, keep the findings as a table under ``out``, and return the gate decision per repository.
+             quick: bool = False, skip: Iterable[str] = (), limits: dict[str, int] | None = None, tags: Column | None = None) -> DataFrame:
+    """Scan what is new, keep a history under ``out``, and return the gate decision per repository.
 
-    Risk, policy and reports read the written table, so the expensive matching runs once and survives lost executors.
+    The inventory is written once; everything else reads that table. Files whose content and rules are those of an earlier run
+    take their findings from it. ``findings`` and ``ledger`` get a new version each run, ``scans`` and ``scan_tags`` grow by the
+    run, ``history`` holds the findings masked. ``files`` needs sha256.
     """
-    scan(files, skip, quick, f"{out}/focus").write.mode("overwrite").parquet(f"{out}/findings")
-    findings = spark.read.parquet(f"{out}/findings")
-    decided = decide(findings, files, policy)
-    scan_rows(decided, scan_time, inventory_totals(files)).write.mode("overwrite").parquet(f"{out}/scans")
+    step = f"{out}/runs/run={next_version(spark, f'{out}/findings')}"
+    files.write.mode("overwrite").parquet(f"{step}/files")
+    files = spark.read.parquet(f"{step}/files")
+    version = rules_version(detectors=_USER_DETECTORS) + ("-quick" if quick else "") + "".join(f"-{s}" for s in sorted(skip))
+    version += "".join(f"-{k}<{v}" for k, v in sorted((limits or {}).items()))
+    ledger, before = current(spark, f"{out}/ledger"), current(spark, f"{out}/findings")
+    fresh, kept = files, None
+    if ledger is not None and before is not None:
+        fresh, reused = split_cached(files, ledger, version)
+        kept = reused_findings(reused, before)
+    found = scan(fresh, skip, quick, f"{step}/focus", limits)
+    found = found if kept is None else union_findings(found, kept)
+    write_version(found, f"{out}/findings")
+    findings = current(spark, f"{out}/findings")
+    write_version(ledger_rows(files.where("sha256 is not null"), version, scan_time), f"{out}/ledger")
+    scan_errors(files, limits).write.mode("overwrite").parquet(f"{step}/errors")
+    decide(findings, files, policy).write.mode("overwrite").parquet(f"{step}/decided")
+    decided = spark.read.parquet(f"{step}/decided")
+    rows = scan_rows(decided, scan_time, inventory_totals(files))
+    append_scans(rows, f"{out}/scans")
+    if tags is not None:
+        tag_rows(rows, tags).write.mode("append").parquet(f"{out}/scan_tags")
+    redact(findings).write.mode("overwrite").parquet(f"{step}/history")
     return decided
+
+
+def stored_scans(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """Scans and tags of a stored history, without deleted ones."""
+    scans = spark.read.parquet(f"{out}/scans")
+    tags = read_or_empty(spark, f"{out}/scan_tags", "scan_id string, tag string")
+    return delete_scans(scans, tags, read_or_empty(spark, f"{out}/deleted", "scan_id string"))
+
+
+def delete_stored_scans(spark: SparkSession, out: str, doomed: DataFrame) -> None:
+    """Delete scans (scan_id) from a stored history.
+
+    The ids are appended to a table of deletions that every reader of the history joins away: nothing that others read is
+    rewritten, and the history stays append-only.
+    """
+    doomed.select("scan_id").write.mode("append").parquet(f"{out}/deleted")

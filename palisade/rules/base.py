@@ -7,18 +7,26 @@ is compiled once per task and never per row.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, is_dataclass
 from functools import lru_cache
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 Gate = Callable[[], Column]
 
 
+def text_files() -> Column:
+    """Text files of any size."""
+    return F.col("is_text")
+
+
 @lru_cache
-def text_below(limit: int) -> Gate:
-    return lambda: F.col("is_text") & (F.col("size") < limit)
+def limited(gate: Gate, below: int) -> Gate:
+    """The gate for files of fewer than ``below`` bytes."""
+    return lambda: gate() & (F.col("size") < below)
 
 
 @lru_cache
@@ -136,11 +144,43 @@ def select_rules(skip: Iterable[str] = (), quick: bool = False,
     return sorted(kept, key=lambda r: r.priority)
 
 
-def rules_version(rules: Iterable[Rule | LineRule]) -> str:
-    """Changes whenever a pattern, severity or scope changes, so cached results are not reused wrongly."""
+DETECTOR_MODULES = ("svg", "scripts", "dependencies", "unicode_tricks", "urls", "entropy", "mime", "wasm", "families", "advice")
+
+
+def _print_of(value: object) -> str:
+    """A text that changes with a table, a rule or a gate, and is the same in every process."""
+    if is_dataclass(value) and not isinstance(value, type):
+        return type(value).__name__ + "(" + ",".join(f"{f.name}={_print_of(getattr(value, f.name))}" for f in fields(value)) + ")"
+    if isinstance(value, dict):
+        return "{" + ",".join(sorted(f"{_print_of(k)}:{_print_of(v)}" for k, v in value.items())) + "}"
+    if isinstance(value, (set, frozenset)):
+        return "{" + ",".join(sorted(map(_print_of, value))) + "}"
+    if isinstance(value, (list, tuple)):
+        return "[" + ",".join(map(_print_of, value)) + "]"
+    code = getattr(value, "__code__", None)
+    if code is not None:
+        inner = [c.cell_contents for c in value.__closure__ or ()]
+        constants = [c for c in code.co_consts if not hasattr(c, "co_code")]
+        nested = [c.co_code.hex() for c in code.co_consts if hasattr(c, "co_code")]
+        return f"{value.__qualname__}:{code.co_code.hex()}:{nested}:{code.co_names}:{_print_of(constants)}:{_print_of(inner)}"
+    return re.sub(r" at 0x[0-9a-f]+", "", repr(value))
+
+
+def rules_version(rules: Iterable[Rule | LineRule] | None = None, detectors: dict[str, object] | None = None) -> str:
+    """Changes whenever a rule, its gate, a table of any detector family or a registered detector changes.
+
+    Results of files are reused only under the version they were made with.
+    """
     digest = hashlib.sha256()
-    for rule in sorted(rules, key=lambda r: r.rule_id):
-        digest.update(repr(replace(rule, gate=everything)).split(", gate=")[0].encode())
+    for rule in sorted(rules if rules is not None else select_rules(), key=lambda r: r.rule_id):
+        digest.update(_print_of(rule).encode())
+    for name in DETECTOR_MODULES:
+        module = import_module(f"palisade.operators.{name}")
+        for key, value in sorted(vars(module).items()):
+            if key.isupper() or getattr(value, "__module__", "") == module.__name__:
+                digest.update(f"{name}.{key}={_print_of(value)}".encode())
+    for name, detector in sorted((detectors or {}).items()):
+        digest.update(f"{name}={_print_of(detector)}".encode())
     return digest.hexdigest()[:16]
 
 

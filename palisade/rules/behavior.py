@@ -1,6 +1,6 @@
 """Behaviour patterns: network, execution, persistence, exfiltration."""
 
-from palisade.rules.base import Rule, text_below
+from palisade.rules.base import Rule, text_files
 
 # Fixed values: (group, category, title) and, per group, (pattern, severity, literals one of which every match holds).
 GROUPS = {
@@ -43,7 +43,7 @@ RULES = [
     Rule(
         rule_id=rule_id, analyzer="behavioral", pattern=pattern, severity=severity, category=GROUPS[group][0],
         title=GROUPS[group][1], ignore_case=True, needles=needles, description=f"Pattern '{group}': ", cut=120,
-        window=(20, 40, 200), gate=text_below(2_000_000), priority=45,
+        window=(20, 40, 200), gate=text_files, priority=45,
     )
     for rule_id, group, pattern, severity, needles in PATTERNS
 ]

@@ -1,6 +1,6 @@
 """Runtime network calls."""
 
-from palisade.rules.base import Rule, text_below
+from palisade.rules.base import Rule, text_files
 
 # Hosts that calls may reach.
 SAFE_HOSTS = (
@@ -30,7 +30,7 @@ RULES = [
     Rule(
         rule_id=rule_id, analyzer="url_network", pattern=pattern, severity="high", category="runtime_network_call",
         title=f"Runtime network call via {label}", ignore_case=True, needles=needles,
-        description="Code makes network request to: ", calls_url=True, gate=text_below(2_000_000), priority=40,
+        description="Code makes network request to: ", calls_url=True, gate=text_files, priority=40,
     )
     for rule_id, pattern, label, needles in NETWORK_CALLS
 ]

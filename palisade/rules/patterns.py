@@ -1,6 +1,6 @@
 """Built-in malware pattern set."""
 
-from palisade.rules.base import Rule, text_below
+from palisade.rules.base import Rule, text_files
 
 # Fixed values: (id, rule name, pattern, severity, description, literals one of which every match holds).
 # All but the first ignore case.
@@ -21,7 +21,7 @@ RULES = [
     Rule(
         rule_id=rule_id, analyzer="yara", pattern=pattern, severity=severity, category="policy_violation",
         title=f"Pattern match: {name}", ignore_case=rule_id != "Y1", needles=needles, description=description,
-        window=(20, 40, 150), gate=text_below(1_000_000), slow=True, priority=7,
+        window=(20, 40, 150), gate=text_files, slow=True, priority=7,
     )
     for rule_id, name, pattern, severity, description, needles in PATTERNS
 ]

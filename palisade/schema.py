@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 SEVERITIES = ("critical", "high", "medium", "low", "info", "error")
 CONFIDENCES = ("high", "medium", "low")
 
-# Limits of the inventory and of a read.
+# A preset of limits for those who want them. Without a limit nothing is left out; whatever a limit leaves out
+# is reported by ``left_out`` or ``scan_errors``.
 INVENTORY_MAX_BYTES = 10 * 1024 * 1024
 READ_MAX_MB = 2.0
+ANALYZER_LIMITS = {"unicode": 500_000, "yara": 1_000_000, "url_network": 2_000_000, "behavioral": 2_000_000, "entropy": 2_000_000}
+ERRORS = "repo_id string, path string, stage string, reason string"
 GATE_SCORE = 7.0
 
 FILE_KEY = ["repo_id", "path"]

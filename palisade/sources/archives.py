@@ -6,13 +6,15 @@ import io
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from palisade.sources.files import ARCHIVE_EXTS, IGNORED_DIRS, IGNORED_EXTS, INVENTORY_MAX_BYTES, declared_ext
+from palisade.schema import INVENTORY_MAX_BYTES
+from palisade.sources.files import ARCHIVE_EXTS, IGNORED_DIRS, IGNORED_EXTS, declared_ext
 
 # Limits against decompression bombs.
 ARCHIVE_MAX_BYTES = 500 * 1024 * 1024
@@ -64,74 +66,128 @@ def _open(data: bytes, name: str, nested: bool) -> Iterator[tuple[str, int, obje
     return _tar_members(data, "r:") if suffix == ".tar" else iter(())
 
 
-def _read(opener, limit: int) -> bytes | None:
-    """At most ``limit`` bytes really read; a member that holds more than it declares gives None."""
-    with opener() as stream:
-        data = stream.read(limit + 1)
-    return data if len(data) <= limit else None
+@dataclass(frozen=True)
+class ArchiveLimits:
+    """Limits of one archive, nested members included; None leaves a limit out. What a limit stops becomes an error row."""
 
+    member_bytes: int | None = None
+    total_bytes: int | None = None
+    members: int | None = None
+    depth: int = MAX_DEPTH
+
+
+#: The fixed values above as a preset against decompression bombs.
+BOMB_LIMITS = ArchiveLimits(INVENTORY_MAX_BYTES, ARCHIVE_MAX_BYTES, ARCHIVE_MAX_MEMBERS)
 
 # What a damaged archive may raise while it is listed or read; what came before the damage is kept.
 _DAMAGE = (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, ValueError, RuntimeError, NotImplementedError)
 
 
-def _nested(data: bytes, name: str) -> Iterator[tuple[str, int, bytes | None]]:
-    prefix = PurePosixPath(name).stem
-    found = []
-    try:
-        for member, size, opener in _open(data, name, nested=True):
-            inner = f"{prefix}/{member}"
-            if _ignored(inner) or _suffix(inner) in ARCHIVE_EXTS:
-                continue
-            found.append((inner, size, _read(opener, INVENTORY_MAX_BYTES) if size <= INVENTORY_MAX_BYTES else None))
-    except _DAMAGE:
-        return iter(())
-    return iter(found)
+class _Stop(Exception):
+    """The budget of an archive is used up."""
+
+
+class _Budget:
+    def __init__(self, limits: ArchiveLimits):
+        self.limits, self.bytes, self.count = limits, 0, 0
+
+    def read(self, opener) -> bytes | None:
+        """A member's bytes as they really are; None if it holds more than a member may."""
+        limits = self.limits
+        most = min((x for x in (limits.member_bytes, None if limits.total_bytes is None else limits.total_bytes - self.bytes) if x is not None), default=None)
+        with opener() as stream:
+            data = stream.read() if most is None else stream.read(most + 1)
+        if most is not None and len(data) > most:
+            if limits.member_bytes is not None and len(data) > limits.member_bytes:
+                return None
+            raise _Stop(f"more than {limits.total_bytes} bytes")
+        self.bytes += len(data)
+        return data
+
+    def accept(self) -> None:
+        if self.limits.members is not None and self.count >= self.limits.members:
+            raise _Stop(f"more than {self.limits.members} members")
+        self.count += 1
 
 
-def _expand(data: bytes, name: str, max_depth: int) -> Iterator[tuple[int, str, int, bytes | None]]:
-    total = accepted = 0
+def _walk(data: bytes, name: str, budget: _Budget, depth: int) -> Iterator[tuple[int, str, int | None, bytes | None, str | None]]:
+    """(depth, path, size, bytes, reason) of members as they come; reason says why one is missing or where reading ended."""
+    prefix = "" if depth == 0 else f"{PurePosixPath(name).stem}/"
     try:
-        for member, size, opener in _open(data, name, nested=False):
-            if _unsafe(member) or _ignored(member) or size > INVENTORY_MAX_BYTES:
+        for member, size, opener in _open(data, name, nested=depth > 0):
+            path = prefix + member
+            if _unsafe(member) or _ignored(path):
                 continue
-            total += size
-            if accepted >= ARCHIVE_MAX_MEMBERS or total > ARCHIVE_MAX_BYTES:
-                return
-            body = _read(opener, INVENTORY_MAX_BYTES)
-            if _suffix(member) in ARCHIVE_EXTS and max_depth > 0:
-                for inner in _nested(body or b"", member):
-                    accepted += 1
-                    yield (1, *inner)
+            if budget.limits.member_bytes is not None and size > budget.limits.member_bytes:
+                yield depth, path, size, None, f"more than {budget.limits.member_bytes} bytes"
                 continue
-            accepted += 1
-            yield 0, member, size, body
-    except _DAMAGE:
+            nested = _suffix(member) in ARCHIVE_EXTS
+            if nested and depth > 0:
+                yield depth, path, size, None, "an archive inside a nested one"
+                continue
+            body = budget.read(opener)
+            if body is None:
+                yield depth, path, size, None, "it holds more than it declares"
+            elif nested and budget.limits.depth > 0:
+                yield from _walk(body, member, budget, depth + 1)
+            else:
+                budget.accept()
+                yield depth, path, size, body, None
+    except _DAMAGE as error:
+        yield depth, name, None, None, f"damaged: {type(error).__name__}"
+
+
+def _expand(data: bytes | None, name: str, limits: ArchiveLimits) -> Iterator[tuple[int, str, int | None, bytes | None, str | None]]:
+    if data is None:
+        yield 0, name, None, None, "the bytes are missing"
         return
+    try:
+        yield from _walk(data, name, _Budget(limits), 0)
+    except _Stop as stop:
+        yield 0, name, None, None, str(stop)
 
 
-def expand_archives(archives: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Members of archives (repo_id, path, raw): one task reads an archive, archives spread over the cluster.
+def read_archives(archives: DataFrame, limits: ArchiveLimits | None = None) -> DataFrame:
+    """Members and errors of archives (repo_id, path, raw): one task reads an archive, archives spread over the cluster.
 
-    Unknown formats and damaged archives give no rows beyond what could be read.
+    Members leave as they are read, nested ones too, so a worker holds one member and one batch at a time. Rows with a reason
+    stand for what is missing: null bytes, damage, and what a limit stopped.
     """
-    columns = [c.split()[0] for c in MEMBERS.split(", ")]
+    columns = [c.split()[0] for c in (MEMBERS + ", reason string").split(", ")]
+    limits = limits or ArchiveLimits()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held = [], 0
         for batch in batches:
             for repo_id, path, raw in zip(batch["repo_id"], batch["path"], batch["raw"]):
-                for ordinal, (depth, member, size, body) in enumerate(_expand(bytes(raw), path, max_depth)):
-                    rows.append((repo_id, path, ordinal, depth, member, size, body))
-                    held += len(body or b"")
+                ordinal = 0
+                for depth, member, size, body, reason in _expand(None if raw is None else bytes(raw), path, limits):
+                    rows.append((repo_id, path, ordinal, depth, member, size, body, reason))
+                    ordinal += reason is None
+                    held += len(body or b"") + 200
                     if held >= _BATCH_BYTES:
-                        yield pd.DataFrame(rows, columns=columns)
+                        yield _frame(rows, columns)
                         rows, held = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=columns)
+            yield _frame(rows, columns)
 
     wanted = archives.where(declared_ext(F.col("path")).isin(*ARCHIVE_EXTS)).select("repo_id", "path", "raw")
-    return wanted.mapInPandas(run, MEMBERS)
+    return wanted.mapInPandas(run, MEMBERS + ", reason string")
+
+
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=columns)
+    return frame.astype({"size": "Int64"})
+
+
+def expand_archives(archives: DataFrame, limits: ArchiveLimits | None = None) -> DataFrame:
+    """Members of archives; without limits all of them. ``archive_errors`` says what is missing."""
+    return read_archives(archives, limits).where("reason is null").drop("reason")
+
+
+def archive_errors(archives: DataFrame, limits: ArchiveLimits | None = None) -> DataFrame:
+    rows = read_archives(archives, limits).where("reason is not null")
+    return rows.select("repo_id", F.col("archive").alias("path"), F.lit("archive").alias("stage"), F.concat("path", F.lit(": "), "reason").alias("reason"))
 
 
 def archive_budget(members: DataFrame, max_bytes: int = ARCHIVE_MAX_BYTES, max_members: int = ARCHIVE_MAX_MEMBERS) -> DataFrame:

@@ -58,10 +58,11 @@ def fresh(feed: DataFrame, ttl_seconds: int, as_of: Column) -> DataFrame:
 
 
 def upsert(feed: DataFrame, update: DataFrame, key: list[str]) -> DataFrame:
-    """Newest row per key; max over a struct combines before the shuffle, so a hot key needs no window."""
+    """Newest row per key; at equal times a row of the update wins, then the largest values.
+
+    One maximum over a struct combines before the shuffle, so a hot key needs no window.
+    """
     values = [c for c in feed.columns if c not in key and c != "fetched_at"]
-    both = feed.unionByName(update)
-    newest = F.max_by(F.struct(*values), F.col("fetched_at")) if values else F.lit(None)
-    return both.groupBy(*key).agg(F.max("fetched_at").alias("fetched_at"), newest.alias("_v")).select(
-        *key, "fetched_at", *[F.col(f"_v.{c}").alias(c) for c in values]
-    )
+    both = feed.withColumn("_source", F.lit(0)).unionByName(update.withColumn("_source", F.lit(1)))
+    newest = both.groupBy(*key).agg(F.max(F.struct("fetched_at", "_source", *values)).alias("_v"))
+    return newest.select(*key, *[F.col(f"_v.{c}").alias(c) for c in ["fetched_at", *values]])

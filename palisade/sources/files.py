@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import stat
@@ -11,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.functions.text import file_name
-from palisade.schema import INVENTORY_MAX_BYTES, READ_MAX_MB
 
 # Directories and extensions that an inventory leaves out.
 IGNORED_DIRS = (
@@ -114,12 +114,12 @@ def _with_repo(listing: DataFrame, repo_id: str | None) -> DataFrame:
     )
 
 
-def read_raw(listing: DataFrame, max_size_mb: float = READ_MAX_MB) -> DataFrame:
-    """Open the listed files in tasks and add their bytes; files above the limit keep null.
+def read_raw(listing: DataFrame, max_size_mb: float | None = None) -> DataFrame:
+    """Open the listed files in tasks and add their bytes; files above a limit, and unreadable ones, keep null.
 
     The listing is spread by name first, so a directory that holds most files is read by all tasks.
     """
-    limit = int(max_size_mb * 1024 * 1024)
+    limit = math.inf if max_size_mb is None else int(max_size_mb * 1024 * 1024)
     tasks = 4 * listing.sparkSession.sparkContext.defaultParallelism
     plain = listing.select("repo_id", "path", "size", "mtime", "location").repartition(tasks, "repo_id", "path")
     schema = "repo_id string, path string, size long, mtime timestamp, location string, raw binary"
@@ -143,7 +143,7 @@ def _read_bytes(path: str) -> bytes | None:
         return None
 
 
-def read_tree(spark: SparkSession, root: str, repo_id: str | None = None, max_size_mb: float = READ_MAX_MB) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, repo_id: str | None = None, max_size_mb: float | None = None) -> DataFrame:
     """Inventory with bytes of a mounted directory tree. The ignore rules apply before anything is opened."""
     return read_raw(filter_ignored(list_tree(spark, root, repo_id)), max_size_mb)
 
@@ -185,11 +185,22 @@ def _in_ignored_dir(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in IGNORED_DIRS]))
 
 
-def filter_ignored(files: DataFrame, max_bytes: int = INVENTORY_MAX_BYTES) -> DataFrame:
-    return files.where(
-        ~_in_ignored_dir(F.col("path"))
-        & ~declared_ext(F.col("path")).isin(*IGNORED_EXTS)
-        & (F.col("size") <= max_bytes)
+def filter_ignored(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Without ignored directories and suffixes; files above ``max_bytes`` go only where a limit is given (see ``left_out``)."""
+    wanted = ~_in_ignored_dir(F.col("path")) & ~declared_ext(F.col("path")).isin(*IGNORED_EXTS)
+    return files.where(wanted if max_bytes is None else wanted & (F.col("size") <= max_bytes))
+
+
+def left_out(files: DataFrame, max_bytes: int, stage: str = "inventory") -> DataFrame:
+    """An error row for each file above a limit."""
+    reason = F.concat(F.col("size").cast("string"), F.lit(f" bytes, more than {max_bytes}"))
+    return files.where(F.col("size") > max_bytes).select("repo_id", "path", F.lit(stage).alias("stage"), reason.alias("reason"))
+
+
+def unreadable(files: DataFrame, raw: str = "raw") -> DataFrame:
+    """An error row for each file whose bytes could not be read."""
+    return files.where(F.col(raw).isNull()).select(
+        "repo_id", "path", F.lit("read").alias("stage"), F.lit("the bytes could not be read").alias("reason")
     )
 
 
@@ -268,19 +279,19 @@ def with_sniffed_type(files: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def with_content(files: DataFrame, max_size_mb: float = READ_MAX_MB) -> DataFrame:
-    """Decode and hash what is small enough; larger files keep null raw, content and hash."""
-    fits = F.col("size") <= int(max_size_mb * 1024 * 1024)
+def with_content(files: DataFrame, max_size_mb: float | None = None) -> DataFrame:
+    """Decode and hash every file. Above a limit, where one is given, raw and content are null; the hash is always taken."""
+    fits = F.lit(True) if max_size_mb is None else F.col("size") <= int(max_size_mb * 1024 * 1024)
     return files.withColumns(
         {
-            "sha256": F.when(fits, F.sha2("raw", 256)),
+            "sha256": F.sha2("raw", 256),
             "content": F.when(fits, F.make_valid_utf8(F.col("raw").cast("string"))),
             "raw": F.when(fits, F.col("raw")),
         }
     )
 
 
-def prepare_files(inventory: DataFrame, max_size_mb: float = READ_MAX_MB, text_mode: str = "name") -> DataFrame:
+def prepare_files(inventory: DataFrame, max_size_mb: float | None = None, text_mode: str = "name") -> DataFrame:
     """Inventory to scan-ready files: ignore rules, flags, decoded content."""
     return with_content(with_flags(filter_ignored(inventory), text_mode), max_size_mb)
 

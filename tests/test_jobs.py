@@ -163,13 +163,81 @@ def test_selection_and_registration(spark, as_files):
     assert rules_version(select_rules()) == version
 
 
-def test_run_scan_writes_tables(spark, as_files, tmp_path):
-    files = as_files([("a.txt", "postgresql://u:p@h/db"), ("Dockerfile", "FROM x:latest"), ("ok.txt", "fine")])
-    decided = run_scan(spark, files, str(tmp_path / "out"), F.lit("2024-01-01").cast("timestamp"), policy.Policy()).collect()
-    assert len(decided) == 1 and decided[0].blocked and decided[0].failed
-    assert spark.read.parquet(str(tmp_path / "out/scans")).first().files_count == 3
-    assert spark.read.parquet(str(tmp_path / "out/findings")).schema.fieldNames() == FINDINGS.fieldNames()
-    assert {r.path for r in spark.read.parquet(str(tmp_path / "out/focus")).collect()} == {"Dockerfile"}
+def test_version_covers_gates_and_detector_tables(monkeypatch):
+    from dataclasses import replace
+
+    from palisade.operators import svg, wasm
+    from palisade.rules.base import limited
+
+    version = rules_version()
+    assert rules_version() == version
+    rules = select_rules()
+    assert rules_version([replace(rules[0], gate=limited(rules[0].gate, 5)), *rules[1:]]) != version
+    assert rules_version(detectors={"d": lambda df: df.limit(1)}) != rules_version(detectors={"d": lambda df: df.limit(2)})
+    for module, name in ((wasm, "NETWORK"), (svg, next(k for k, v in vars(svg).items() if k.isupper() and isinstance(v, (list, tuple))))):
+        with monkeypatch.context() as m:
+            m.setattr(module, name, [*getattr(module, name), "zz"])
+            assert rules_version() != version
+
+
+def test_run_scan_keeps_a_history_and_rescans_only_changes(spark, as_files, tmp_path):
+    from palisade.operators.history import current, versions
+    from palisade.plans.scan import delete_stored_scans, stored_scans
+
+    hashed = lambda pairs: as_files(pairs).withColumn("sha256", F.sha2("content", 256))
+    out = str(tmp_path / "out")
+    files = [("a.txt", "postgresql://u:p@h/db"), ("Dockerfile", "FROM x:latest"), ("ok.txt", "fine")]
+    seen = []
+    register_detector("probe", lambda df: df.select("repo_id", "path", F.lit("probe").alias("title")))
+    try:
+        decided = run_scan(spark, hashed(files), out, F.lit("2024-01-01").cast("timestamp"), policy.Policy(), tags=F.array(F.lit("t"))).collect()
+        assert len(decided) == 1 and decided[0].blocked and decided[0].failed
+        first = current(spark, f"{out}/findings")
+        assert first.schema.fieldNames() == FINDINGS.fieldNames()
+        assert {r.path for r in spark.read.parquet(f"{out}/runs/run=1/focus").collect()} == {"Dockerfile"}
+        seen = sorted((r.path, r.title) for r in first.collect())
+        files[2] = ("ok.txt", "postgresql://u:p@h/other")
+        run_scan(spark, hashed(files[:1] + files[2:]), out, F.lit("2024-01-02").cast("timestamp"), policy.Policy(), tags=F.array(F.lit("t")))
+    finally:
+        unregister_detector("probe")
+    assert {r.path for r in spark.read.parquet(f"{out}/runs/run=2/focus").collect()} == set()
+    second = sorted((r.path, r.title) for r in current(spark, f"{out}/findings").collect())
+    assert [x for x in second if x[0] == "a.txt"] == [x for x in seen if x[0] == "a.txt"]
+    assert {x[0] for x in second} == {"a.txt", "ok.txt"} and len([x for x in second if x[0] == "ok.txt"]) > len([x for x in seen if x[0] == "ok.txt"])
+    assert versions(spark, f"{out}/findings") == [1, 2]
+    scans, tags = stored_scans(spark, out)
+    assert scans.count() == 2 and tags.count() == 2 and {r.files_count for r in scans.collect()} == {2, 3}
+    masked = spark.read.parquet(f"{out}/runs/run=1/history").where("raw_value is not null")
+    assert {r.raw_value for r in masked.collect()} <= {"<redacted>"}
+    delete_stored_scans(spark, out, scans.where("files_count = 3"))
+    scans, tags = stored_scans(spark, out)
+    assert [r.files_count for r in scans.collect()] == [2] and tags.count() == 1
+
+
+def test_limits_leave_errors(spark, as_files):
+    from palisade.plans.scan import scan_errors
+    from palisade.schema import ANALYZER_LIMITS
+
+    big = "x" * 2_000_000 + "\neval('1')\npostgresql://u:p@h/db\n"
+    files = as_files([("big.txt", big), ("small.txt", "eval('1')")])
+    found = lambda limits: {(r.path, r.analyzer) for r in scan(files, skip=["mime_deception"], limits=limits).collect()}
+    assert {("big.txt", "behavioral"), ("big.txt", "secrets")} <= found(None)
+    assert ("big.txt", "behavioral") not in found(ANALYZER_LIMITS) and ("small.txt", "behavioral") in found(ANALYZER_LIMITS)
+    assert {(r.path, r.stage) for r in scan_errors(files, ANALYZER_LIMITS).collect()} == {("big.txt", s) for s in ANALYZER_LIMITS}
+    assert scan_errors(files).count() == 0
+
+
+def test_missing_hashes_and_equal_times(spark):
+    from palisade.sources.feeds import upsert
+
+    schema = "repo_id string, path string, size long, sha256 string"
+    old = spark.createDataFrame([("r", "same", 1, None), ("r", "gone", 1, None), ("r", "got", 1, None)], schema)
+    new = spark.createDataFrame([("r", "same", 1, None), ("r", "got", 1, "h"), ("r", "new", 1, None)], schema)
+    assert {(r.path, r.change) for r in incremental.diff_snapshots(old, new).collect()} == {("gone", "deleted"), ("got", "modified"), ("new", "added")}
+    feed = "k string, v string, fetched_at timestamp"
+    at = __import__("datetime").datetime(2024, 1, 1)
+    rows = upsert(spark.createDataFrame([("a", "z", at), ("b", "o", at)], feed), spark.createDataFrame([("a", "n", at)], feed), ["k"]).collect()
+    assert {(r.k, r.v) for r in rows} == {("a", "n"), ("b", "o")}
 
 
 def test_stream_equals_batch(spark, tmp_path):
