@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -20,13 +19,14 @@ from palisade.operators.matching import match_content, match_lines
 from palisade.plans import oracle
 from palisade.plans.oracle import cut, in_list
 from palisade.plans.oracle import q as lit_sql
-from palisade.plans.scan import scan, shared_folder
+from palisade.plans.scan import scan
 from palisade.plans.seeded import seeded_files, seeded_sql
 from palisade.rules import behavior, builds, docker, patterns, secrets, workflows
 from palisade.rules.base import rules_version, select_rules
 from palisade.sources import archives, feeds
 from palisade.sources import files as inventory
 from palisade.sources.tables import conversations_as_files, corpus_as_files, documents_as_files, pages_as_files, read_texts
+from palisade.storage import run_folder
 from palisade.streaming.stream_scan import stream_scan, streamed_findings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,10 +44,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def _run_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
 FINDING_COLUMNS = [
     "repo_id", "path", "rule_id", "severity", "confidence", "category", "title", "description", "line_no", "snippet",
     "decoded", "raw_value",
@@ -163,16 +159,44 @@ def _(spark, sf):
     return inventory.inventory_totals(corpus_as_files(spark, sf))
 
 
-@query("read_tree")
+# Places of a file in its repository, hidden and ignored ones among them.
+TREE_PLACES = [".github/workflows", "src", "_private", "node_modules/x", ".hidden/deep"]
+
+
+@query(
+    "read_tree",
+    f"""WITH t AS (SELECT source AS repo_id, concat([{", ".join(lit_sql(p) for p in TREE_PLACES)}][1 + doc_id % {len(TREE_PLACES)}], '/', doc_id, '.txt') AS path, text FROM documents)
+SELECT repo_id, path, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS sha256, true AS is_text FROM t WHERE NOT contains(path, 'node_modules')""",
+)
 def _(spark, sf):
-    """The directory of the driver tables itself as an inventory."""
-    return inventory.with_flags(inventory.filter_ignored(inventory.list_tree(spark, sf, "tables")).drop("mtime", "location"))
+    """The documents written as files of a repository for each source, then read back as an inventory."""
+    root = run_folder(spark, "tree")
+    places = F.get(F.array(*[F.lit(p) for p in TREE_PLACES]), (F.col("doc_id") % len(TREE_PLACES)).cast("int"))
+    docs = read_texts(spark, sf, "documents", "doc_id", "source", "text").select("source", F.concat(places, F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), "text")
+
+    def write(batches):
+        import os
+
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        for batch in batches:
+            for source, path, text in zip(batch["source"], batch["path"], batch["text"]):
+                full = f"{base}/{source}/{path}"
+                system.create_dir(os.path.dirname(full), recursive=True)
+                with system.open_output_stream(full, compression=None) as f:
+                    f.write(text.encode())
+            yield batch[["path"]]
+
+    docs.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return inventory.prepare_files(inventory.read_tree(spark, root)).select("repo_id", "path", "size", "sha256", "is_text")
 
 
 @query("read_single_file")
 def _(spark, sf):
-    one = inventory.read_file(spark, f"{sf}/documents.parquet", "tables").drop("raw", "mtime")
-    return one.withColumn("kind", inventory.source_kind(F.col("path")))
+    """The stored table itself as a file, with its bytes."""
+    one = inventory.read_file(spark, f"{sf}/documents.parquet", "tables").drop("mtime")
+    return one.withColumns({"kind": inventory.source_kind(F.col("path")), "sha256": F.sha2("raw", 256)}).drop("raw")
 
 
 @query(
@@ -829,7 +853,7 @@ def _findings(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stored_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Reports read findings several times, so they are written once, as a scan job does."""
-    out = _run_folder(spark, "findings")
+    out = run_folder(spark, "findings")
     _findings(spark, sf).write.parquet(out)
     return spark.read.parquet(out)
 
@@ -1024,7 +1048,7 @@ def _(spark, sf):
 
 @query("history_append", f"WITH {_SCANS} SELECT scan_id, repo_id, scan_time, score, total FROM sc")
 def _(spark, sf):
-    out = _run_folder(spark, "scans")
+    out = run_folder(spark, "scans")
     scans = _scans(spark, sf)
     # Two runs: scans with a critical finding, then the others.
     for part in (scans.where("critical > 0"), scans.where("critical = 0")):
@@ -1114,7 +1138,7 @@ def _(spark, sf):
             "analyzer_errors": F.lit(0), "skipped_cache": F.lit(0),
         }
     )
-    out = _run_folder(spark, "report")
+    out = run_folder(spark, "report")
     reports.write_json_report(scans, found, out)
     return spark.read.text(out)
 
@@ -1124,7 +1148,7 @@ def _(spark, sf):
 
 @query("full_scan")
 def _(spark, sf):
-    found = scan(seeded_files(spark, sf), focus_dir=_run_folder(spark, "focus"))
+    found = scan(seeded_files(spark, sf), focus_dir=run_folder(spark, "focus"))
     return found.select(*FINDING_COLUMNS, "analyzer", "attack_path", "remediation")
 
 
@@ -1142,7 +1166,7 @@ def _(spark, sf):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
     path = F.concat(F.lit("docs/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     files = text_as_file(stream, F.col("source"), path, F.col("text"))
-    out = _run_folder(spark, "stream")
+    out = run_folder(spark, "stream")
     stream_scan(files, f"{out}/findings", f"{out}/checkpoint", families.detect_behavior).awaitTermination()
     return streamed_findings(spark, f"{out}/findings").select(*FINDING_COLUMNS)
 

@@ -118,12 +118,6 @@ def analyzer_errors(errors: DataFrame) -> DataFrame:
     return errors.groupBy("repo_id").agg(F.count("*").alias("analyzer_errors"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; without one, a folder in the warehouse, which is shared too."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/palisade-scratch").rstrip("/")
-
-
 def run_scan(spark: SparkSession, files: DataFrame, out: str, scan_time: Column, policy: Policy | None = None,
              quick: bool = False, skip: Iterable[str] = (), limits: dict[str, int] | None = None, tags: Column | None = None) -> DataFrame:
     """Scan what is new, keep a history under ``out``, and return the gate decision per repository.

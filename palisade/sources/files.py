@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.functions.text import file_name
+from palisade.storage import run_folder
 
 # Directories and extensions that an inventory leaves out.
 IGNORED_DIRS = (
@@ -54,7 +55,7 @@ SCRIPT_HEADS = (
 TEXT_MIMES = ("application/json", "application/xml", "image/svg+xml", "text/javascript", "text/typescript")
 
 
-_LISTING = "path string, size long, modified double, location string"
+_LISTING = "kind string, path string, size long, modified double, location string"
 
 
 def _local_root(root: str) -> str | None:
@@ -64,48 +65,78 @@ def _local_root(root: str) -> str | None:
     return None if "://" in root else os.path.abspath(root)
 
 
-def _list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Regular files below (or directly in) each directory; symbolic links are neither followed nor listed."""
-    for batch in batches:
-        for directory, deep, root in zip(batch["directory"], batch["deep"], batch["root"]):
-            for parent, _, names in os.walk(directory):
-                rows = []
-                for name in names:
-                    full = os.path.join(parent, name)
-                    try:
-                        status = os.lstat(full)
-                    except OSError:
-                        continue
-                    if stat.S_ISREG(status.st_mode):
-                        rows.append((os.path.relpath(full, root).replace(os.sep, "/"), status.st_size, status.st_mtime, full))
-                yield pd.DataFrame(rows, columns=["path", "size", "modified", "location"])
-                if not deep:
-                    break
-
-
-def list_tree(spark: SparkSession, root: str, repo_id: str | None = None) -> DataFrame:
+def _entries(directory: str) -> Iterator[tuple[str, str, int | None, float | None, str]]:
+    """(kind, name, size, mtime, location) of what one directory holds, dot and underscore names included.
+
+    On local file systems symbolic links are neither followed nor listed.
+    """
+    if "://" not in directory:
+        for entry in os.scandir(directory):
+            status = entry.stat(follow_symlinks=False)
+            if stat.S_ISDIR(status.st_mode):
+                yield "dir", entry.name, None, None, entry.path
+            elif stat.S_ISREG(status.st_mode):
+                yield "file", entry.name, status.st_size, status.st_mtime, entry.path
+        return
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(directory)
+    for info in system.get_file_info(fs.FileSelector(path)):
+        kind = {fs.FileType.Directory: "dir", fs.FileType.File: "file"}.get(info.type)
+        if kind:
+            modified = info.mtime.timestamp() if info.mtime else None
+            yield kind, info.base_name, info.size, modified, f"{directory.rstrip('/')}/{info.base_name}"
+
+
+def list_tree(spark: SparkSession, root: str, repo_id: str | None = None, skip_ignored: bool = False) -> DataFrame:
     """Recursive listing: repo_id, path relative to the root, size, mtime, location. No file is opened.
 
-    Directories two levels deep are the units of work and are walked by tasks. Names that start with a dot or an
-    underscore count (pipelines and environment files do), which Spark's own file listing leaves out.
-    With ``repo_id`` None the first path segment names the repository.
+    Works for mounted directories and for addresses that Arrow's file systems know. Tasks list single directories, level by
+    level, so neither a wide nor a deep tree is one task's work; each level is a table in the shared folder. Names that start with
+    a dot or an underscore count (pipelines and environment files do). A directory that cannot be listed gives an error row
+    (``listing_errors``). With ``repo_id`` None the first path segment names the repository.
     """
-    base = _local_root(root)
-    if base is None:
-        raise ValueError(f"{root}: list_tree walks mounted directories; use read_remote_tree for other file systems")
-    units = [(base, False, base)]
-    for first in sorted(e.path for e in os.scandir(base) if e.is_dir(follow_symlinks=False)):
-        units.append((first, False, base))
-        units += [(e.path, True, base) for e in os.scandir(first) if e.is_dir(follow_symlinks=False)]
-    width = min(len(units), 4 * spark.sparkContext.defaultParallelism)
-    listing = (
-        spark.createDataFrame(units, "directory string, deep boolean, root string").repartition(width).mapInPandas(_list_files, _LISTING)
-    )
-    return _with_repo(listing, repo_id).select(
+    return _with_repo(_walked(spark, root, skip_ignored).where("kind = 'file'"), repo_id).select(
         "repo_id", "path", "size", F.timestamp_seconds("modified").alias("mtime"), "location"
     )
 
 
+def listing_errors(spark: SparkSession, root: str, repo_id: str | None = None) -> DataFrame:
+    """An error row for each directory that cannot be listed."""
+    return _with_repo(_walked(spark, root, False).where("kind = 'error'"), repo_id).select(
+        "repo_id", "path", F.lit("listing").alias("stage"), F.lit("the directory could not be listed").alias("reason")
+    )
+
+
+def _walked(spark: SparkSession, root: str, skip_ignored: bool) -> DataFrame:
+    base = _local_root(root) or root.rstrip("/")
+    out = run_folder(spark, "listing")
+    skipped = frozenset(IGNORED_DIRS) if skip_ignored else frozenset()
+
+    def list_some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["kind", "path", "size", "modified", "location"]
+        for batch in batches:
+            for directory, inside in zip(batch["location"], batch["path"]):
+                rows = []
+                try:
+                    for kind, name, size, modified, location in _entries(directory):
+                        if kind == "file" or name not in skipped:
+                            rows.append((kind, f"{inside}/{name}" if inside else name, size, modified, location))
+                except OSError:
+                    rows.append(("error", inside, None, None, directory))
+                yield pd.DataFrame(rows, columns=columns).astype({"size": "Int64"})
+
+    open_ = spark.createDataFrame([(base, "")], "location string, path string")
+    level = 0
+    while True:
+        listed = open_.repartition(4 * spark.sparkContext.defaultParallelism, "location") if level else open_
+        listed.mapInPandas(list_some, _LISTING).write.parquet(f"{out}/level={level}")
+        open_ = spark.read.schema(_LISTING).parquet(f"{out}/level={level}").where("kind = 'dir'").select("location", "path")
+        if not open_.limit(1).count():
+            return spark.read.schema(_LISTING).option("basePath", out).parquet(out).select("kind", "path", "size", "modified", "location")
+        level += 1
+
+
 def _with_repo(listing: DataFrame, repo_id: str | None) -> DataFrame:
     if repo_id is not None:
         return listing.withColumn("repo_id", F.lit(repo_id))
@@ -135,21 +166,30 @@ def read_raw(listing: DataFrame, max_size_mb: float | None = None) -> DataFrame:
     return plain.mapInPandas(run, schema).drop("location")
 
 
-def _read_bytes(path: str) -> bytes | None:
+def _read_bytes(location: str) -> bytes | None:
     try:
-        with open(path, "rb") as f:
+        if "://" not in location:
+            with open(location, "rb") as f:
+                return f.read()
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(location)
+        with system.open_input_file(path) as f:
             return f.read()
     except OSError:
         return None
 
 
 def read_tree(spark: SparkSession, root: str, repo_id: str | None = None, max_size_mb: float | None = None) -> DataFrame:
-    """Inventory with bytes of a mounted directory tree. The ignore rules apply before anything is opened."""
-    return read_raw(filter_ignored(list_tree(spark, root, repo_id)), max_size_mb)
+    """Inventory with bytes of a directory tree, mounted or remote. The ignore rules apply before anything is opened."""
+    return read_raw(filter_ignored(list_tree(spark, root, repo_id, skip_ignored=True)), max_size_mb)
 
 
 def read_remote_tree(spark: SparkSession, root: str, repo_id: str | None = None) -> DataFrame:
-    """The same over any file system Spark reads. Its listing skips names that start with a dot or an underscore."""
+    """The same over file systems that only Spark knows; ``read_tree`` is complete wherever Arrow knows the address.
+
+    Spark's own listing skips names that start with a dot or an underscore.
+    """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     bare_root = re.sub(r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", "", root).rstrip("/")
     relative = F.substring_index("path", bare_root + "/", -1)

@@ -30,6 +30,8 @@ def test_tree_to_files(spark, tmp_path):
     capped = inventory.prepare_files(inventory.read_tree(spark, str(tmp_path / "repo"), "r", max_size_mb=2.0), max_size_mb=2.0)
     assert {r.path for r in capped.where("content is null").collect()} == {"big.txt"}
     assert [(r.path, r.stage) for r in inventory.unreadable(capped).collect()] == [("big.txt", "read")]
+    far = inventory.prepare_files(inventory.read_tree(spark, f"file://{tmp_path}/repo", "r"))
+    assert {r.path: r.sha256 for r in far.collect()} == {k: r.sha256 for k, r in got.items()}
     remote = inventory.prepare_files(inventory.read_remote_tree(spark, f"file://{tmp_path}/repo", "r"))
     assert {r.path for r in remote.collect()} >= {"src/a.py", "d.bin.txt", "big.txt"}
     many = inventory.read_tree(spark, str(tmp_path), None).collect()
