@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palisade.functions.text import explode_lines, java_regex, strip, truncate
+from palisade.operators.joins import salted_join
 from palisade.schema import as_findings
 
 # Popular names that others imitate.
@@ -188,7 +189,7 @@ def hook_findings(files: DataFrame) -> DataFrame:
             F.lit("high").alias("confidence"),
             F.lit("postinstall_chain").alias("category"),
             F.concat(F.lit("Package has '"), "hook", F.lit("' script with suspicious operations")).alias("title"),
-            F.concat(F.lit("This script runs during install: "), truncate(F.col("command"), 200)).alias("description"),
+            F.concat(F.lit("The install step runs: "), truncate(F.col("command"), 200)).alias("description"),
             F.col("command").alias("snippet"),
         ),
         ANALYZER,
@@ -253,7 +254,7 @@ def typosquat_findings(deps: DataFrame) -> DataFrame:
     close = lookalikes(keyed.select("base").distinct())
     percent = F.format_string("%.0f%%", F.bround(F.col("ratio") * 100, 0))
     return as_findings(
-        keyed.join(close, "base").select(
+        salted_join(keyed, close, ["base"]).select(
             "repo_id",
             "path",
             F.lit("D3").alias("rule_id"),
@@ -289,14 +290,14 @@ def npm_lock_findings(files: DataFrame) -> DataFrame:
             (resolved != "") & ~F.contains(resolved, F.lit(NPM_REGISTRY)),
             _found("D10", F.lit("critical"), "high",
                    F.concat(F.lit("Lockfile resolved URL outside registry: "), truncate(resolved, 100)),
-                   F.concat(F.lit("Package '"), "name", F.lit("' resolves to '"), resolved, F.lit("' — not the official npm registry.")),
+                   F.concat(F.lit("Package '"), "name", F.lit("' resolves to '"), resolved, F.lit("', which is another place than the public registry.")),
                    resolved, "url_dependency"),
         ),
         F.when(
             (integrity != "") & ~F.startswith(integrity, F.lit("sha")),
             _found("D11", F.lit("high"), "high",
                    F.concat(F.lit("Suspicious integrity hash: "), truncate(integrity, 60)),
-                   F.concat(F.lit("Package '"), "package", F.lit("' has non-standard integrity hash: "), integrity),
+                   F.concat(F.lit("Package '"), "package", F.lit("' carries a checksum of unknown kind: "), integrity),
                    F.lit(None).cast("string")),
         ),
     )
@@ -321,7 +322,7 @@ def pipfile_lock_findings(files: DataFrame) -> DataFrame:
             F.lit("medium").alias("confidence"),
             F.lit("url_dependency").alias("category"),
             F.concat(F.lit("Pipfile.lock URL dependency: "), "name", F.lit(" -> "), truncate(F.col("version"), 100)).alias("title"),
-            F.concat(F.lit("Package '"), "name", F.lit("' pins a URL-based version: "), "version").alias("description"),
+            F.concat(F.lit("Package '"), "name", F.lit("' takes its version from an address: "), "version").alias("description"),
             F.concat("name", F.lit("=="), "version").alias("raw_value"),
         ),
         ANALYZER,

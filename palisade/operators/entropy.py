@@ -58,9 +58,9 @@ def detect_entropy(files: DataFrame) -> DataFrame:
             ).alias("title"),
             F.when(
                 is_payload,
-                F.concat(F.lit("Found base64-encoded string ("), chars, F.lit(" chars) that decodes to meaningful content")),
+                F.concat(F.lit("Encoded string ("), chars, F.lit(" characters) which decodes to readable text")),
             )
-            .otherwise(F.concat(F.lit("Long high-entropy string ("), chars, F.lit(" chars) — may be obfuscated payload")))
+            .otherwise(F.concat(F.lit("Dense string ("), chars, F.lit(" characters), perhaps a hidden payload")))
             .alias("description"),
             F.when(is_payload, truncate(F.col("decoded"), 300)).alias("decoded"),
             truncate(F.col("value"), 80).alias("raw_value"),

@@ -1,15 +1,18 @@
 """Report sinks: JSON lines, SARIF rows, summary.
 
-A repository may own a third of all findings, so no report gathers a repository in one row or task: documents are
-written as lines, sorted and partitioned by repository, header first.
+A repository may own a third of all findings, so no report gathers a repository in one row or task: documents are stored
+as text parts in order, which joined are valid JSON or SARIF.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from palisade.functions.text import truncate
+from palisade.operators.joins import salted_join
 from palisade.operators.scoring import report_order
 
 TOOL, VERSION = "palisade", "0.1.0"
@@ -75,21 +78,71 @@ def header_json(scans: DataFrame) -> DataFrame:
     )
 
 
-def write_json_report(scans: DataFrame, findings: DataFrame, path: str) -> None:
-    """JSON lines under one directory per repository: header, then findings in report order.
+PLACE = ["section", "severity_place", "path_place", "line_place", "digest", "copy"]
+
+
+def _placed(rows: DataFrame, section: int, order: list[Column] | None = None) -> DataFrame:
+    """repo_id, body and the columns of PLACE, which order the parts of a document; equal parts are told apart by number."""
+    keys = order or [F.lit(0), F.lit(""), F.lit(0)]
+    digest = F.xxhash64("body")
+    named = rows.select(
+        "repo_id", "body", F.lit(section).alias("section"), keys[0].cast("int").alias("severity_place"),
+        keys[1].alias("path_place"), keys[2].cast("int").alias("line_place"), digest.alias("digest"),
+    )
+    equal = Window.partitionBy("repo_id", *PLACE[:-1]).orderBy("body")
+    return named.withColumn("copy", F.row_number().over(equal) if order else F.lit(1))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """Elements of a JSON array: all but a repository's first begin with a comma. The first is a minimum, not a sorted group."""
+    first = rows.groupBy("repo_id").agg(F.min(F.struct(*PLACE)).alias("_first"))
+    joined = salted_join(rows, first, ["repo_id"])
+    body = F.when(F.struct(*PLACE) == F.col("_first"), F.col("body")).otherwise(F.concat(F.lit(","), "body"))
+    return joined.withColumn("body", body).drop("_first")
+
+
+def json_documents(scans: DataFrame, findings: DataFrame) -> DataFrame:
+    """repo_id, PLACE, body: text parts that, joined in the order of PLACE, are one JSON document a repository."""
+    head = header_json(scans).select("repo_id", F.concat(F.expr("left(body, length(body) - 1)"), F.lit(',"findings":[')).alias("body"))
+    rows = findings.select("repo_id", F.to_json(finding_struct(), _KEEP_NULLS).alias("body"), *[k.alias(f"k{i}") for i, k in enumerate(report_order())])
+    tail = scans.select("repo_id", F.lit("]}").alias("body"))
+    middle = _listed(_placed(rows, 1, [F.col("k0"), F.col("k1"), F.col("k2")]))
+    return _placed(head, 0).unionByName(middle).unionByName(_placed(tail, 2))
+
+
+def sarif_documents(scans: DataFrame, findings: DataFrame) -> DataFrame:
+    """repo_id, PLACE, body: text parts that, joined in the order of PLACE, are one SARIF log a repository."""
+    start = (
+        '{"$schema":"' + SARIF_SCHEMA + '","version":"' + SARIF_VERSION + '","runs":[{"tool":{"driver":{"name":"' + TOOL
+        + '","version":"' + VERSION + '","rules":['
+    )
+    properties = F.to_json(
+        F.struct(F.col("repo_id").alias("target"), F.col("files_count").alias("files_scanned"), F.col("score").alias("risk_score"))
+    )
+    head = scans.select("repo_id", F.lit(start).alias("body"))
+    between = scans.select("repo_id", F.concat(F.lit(']}},"properties":'), properties, F.lit(',"results":[')).alias("body"))
+    tail = scans.select("repo_id", F.lit("]}]}").alias("body"))
+    rules = sarif_rules(findings)
+    listed = _listed(_placed(rules.select("repo_id", "body", "rule_index"), 1, [F.col("rule_index"), F.lit(""), F.lit(0)]))
+    results = _listed(_placed(sarif_results(findings, rules), 3, [F.lit(0), F.lit(""), F.lit(0)]))
+    return _placed(head, 0).unionByName(listed).unionByName(_placed(between, 2)).unionByName(results).unionByName(_placed(tail, 4))
+
+
+def write_documents(parts: DataFrame, path: str, buckets: int = 64) -> None:
+    """Store the parts of documents, in order, in a directory for each of so many buckets of repositories.
 
     Range partitioning on the sort key spreads a large repository over many files.
     """
-    head = header_json(scans).withColumns({"_part": F.lit(0), "_sev": F.lit(0), "_path": F.lit(""), "_line": F.lit(0)})
-    order = report_order()
-    rows = findings.select(
-        "repo_id", F.to_json(finding_struct(), _KEEP_NULLS).alias("body"), F.lit(1).alias("_part"),
-        order[0].alias("_sev"), order[1].alias("_path"), order[2].alias("_line"),
-    )
-    keys = ["repo_id", "_part", "_sev", "_path", "_line"]
-    head.unionByName(rows).repartitionByRange(*keys).sortWithinPartitions(*keys).select("repo_id", "body").write.mode(
-        "overwrite"
-    ).partitionBy("repo_id").text(path)
+    keys = ["bucket", "repo_id", *PLACE]
+    bucketed = parts.withColumn("bucket", F.pmod(F.xxhash64("repo_id"), F.lit(buckets)))
+    bucketed.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_document(spark: SparkSession, path: str, repo_id: str, buckets: int = 64) -> Iterator[str]:
+    """The text parts of one repository's document, in order, streamed to the caller."""
+    bucket = F.pmod(F.xxhash64(F.lit(repo_id)), F.lit(buckets))
+    rows = spark.read.parquet(path).where((F.col("bucket") == bucket) & (F.col("repo_id") == repo_id))
+    return (r.body for r in rows.orderBy(*PLACE).select("body").toLocalIterator())
 
 
 def _level(severity: Column) -> Column:
@@ -146,7 +199,7 @@ def sarif_results(findings: DataFrame, rules: DataFrame) -> DataFrame:
             F.when(F.col("decoded") != "", F.struct("decoded")).alias("properties"),
         )
     )
-    return findings.join(index, ["repo_id", "category"]).select("repo_id", body.alias("body"))
+    return salted_join(findings, index, ["repo_id", "category"]).select("repo_id", body.alias("body"))
 
 
 def sarif_rows(findings: DataFrame, scans: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ FILE_NAMES = (
 SUFFIXES = (".sh", ".bash", ".ps1", ".bat")
 LIFECYCLE_HOOKS = ("preinstall", "install", "postinstall", "preuninstall", "uninstall")
 # Fixed values: (id, pattern, severity, text, literals one of which every match holds). Patterns meet lower-cased
-# text, so those that spell capitals never match unless strict_case is off.
+# text; with strict_case those that spell capitals never match.
 PATTERNS = [
     ("C1", r"curl\s+[-]\w*\s*[SO]", "high", "Curl with silent/output flags", ("curl",)),
     ("C2", r"wget\s+[-]\w*\s*[qO]", "high", "Wget with quiet/output flags", ("wget",)),
@@ -68,7 +68,7 @@ def manifest_scripts(files: DataFrame) -> DataFrame:
     )
 
 
-def command_findings(files: DataFrame, strict_case: bool = True) -> DataFrame:
+def command_findings(files: DataFrame, strict_case: bool = False) -> DataFrame:
     rules = [
         Rule(i, "script_analyzer", p, sev, "suspicious_command", title, ignore_case=not strict_case, needles=n, gate=everything)
         for i, p, sev, title, n in PATTERNS
@@ -110,7 +110,7 @@ def lifecycle_findings(files: DataFrame) -> DataFrame:
             F.lit("high").alias("confidence"),
             F.lit("lifecycle_hook").alias("category"),
             F.concat(F.lit("Package has '"), "script", F.lit("' lifecycle script")).alias("title"),
-            F.concat(F.lit("This script runs automatically during npm install: "), truncate(F.col("text"), 200)).alias("description"),
+            F.concat(F.lit("Installing the package runs: "), truncate(F.col("text"), 200)).alias("description"),
             F.col("text").alias("snippet"),
         ),
         "script_analyzer",
@@ -140,7 +140,7 @@ def url_dependency_findings(files: DataFrame) -> DataFrame:
     )
 
 
-def detect_scripts(files: DataFrame, strict_case: bool = True) -> DataFrame:
+def detect_scripts(files: DataFrame, strict_case: bool = False) -> DataFrame:
     return (
         command_findings(files, strict_case)
         .unionByName(lifecycle_findings(files))

@@ -26,7 +26,7 @@ EXEC_CALLS = [
     "unescape(", "escape(", "decodeURI(", "decodeURIComponent(",
 ]
 CRITICAL_CALLS = ["eval(", "exec(", "Function("]
-# Compared with lower-cased text as they stand, so the mixed-case ones never match; ``strict_case=False`` lifts that.
+# Compared with lower-cased text as they stand, so the mixed-case ones match only without ``strict_case``.
 NODE_APIS = [
     "child_process", "execSync", "exec(", "spawn(",
     "writeFileSync", "writeFile(", "appendFile(",
@@ -117,7 +117,7 @@ def script_bodies(files: DataFrame) -> DataFrame:
     ).where("body <> ''")
 
 
-def script_findings(files: DataFrame, strict_case: bool = True) -> DataFrame:
+def script_findings(files: DataFrame, strict_case: bool = False) -> DataFrame:
     body = F.col("body")
     low = F.lower(body)
 
@@ -159,7 +159,7 @@ def script_findings(files: DataFrame, strict_case: bool = True) -> DataFrame:
         urls,
         lambda u: entry("V5", F.lit("high"), "medium", "runtime_network_call",
                         F.lit("SVG script phones home to external URL"),
-                        F.concat(F.lit("Script contacts "), u, F.lit(" — potential C2 or payload download.")), none, u),
+                        F.concat(F.lit("Script contacts "), u, F.lit(", which may be a control server or serve a payload.")), none, u),
     )
     found = script_bodies(files).select(
         "repo_id", "path", "line_no", F.explode_outer(F.concat(obfuscated, calls, apis, remote)).alias("f")
@@ -271,7 +271,7 @@ def obfuscated_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def detect_svg(files: DataFrame, strict_case: bool = True) -> DataFrame:
+def detect_svg(files: DataFrame, strict_case: bool = False) -> DataFrame:
     return (
         external_entities(files)
         .unionByName(script_findings(files, strict_case))

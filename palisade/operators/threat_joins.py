@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from palisade.operators.joins import salted_join
+
 
 def known_vulnerable(deps: DataFrame, advisories: DataFrame, match_version: bool = False) -> DataFrame:
     """Dependencies with their advisories.
@@ -11,7 +13,7 @@ def known_vulnerable(deps: DataFrame, advisories: DataFrame, match_version: bool
     The version plays no part unless ``match_version`` is set, which needs an ``affected_versions`` array column.
     """
     condition = ["ecosystem", "name"]
-    joined = deps.join(advisories, condition)
+    joined = salted_join(deps, advisories, condition)
     if match_version:
         joined = joined.where(F.array_contains("affected_versions", F.col("version")))
     serious = F.exists(
@@ -40,4 +42,4 @@ def known_malware(files: DataFrame, malware: DataFrame) -> DataFrame:
 
 def known_c2(urls: DataFrame, c2: DataFrame) -> DataFrame:
     """URLs whose host stands on the command-host list; the list is made distinct so that no URL is repeated."""
-    return urls.join(c2.select("host").distinct(), "host", "left_semi")
+    return salted_join(urls, c2.select("host").distinct(), ["host"], "left_semi")

@@ -174,7 +174,7 @@ WITH f AS ({seeded_sql()}),
 occ AS ({occurrences_sql([("W19", workflows.REUSABLE, True, WORKFLOW_GATE)], "f")}),
 c AS (SELECT *, regexp_extract(matched, {rx}, 1) AS ref, regexp_extract(matched, {rx}, 2) AS version FROM occ)
 SELECT {finding("'W19'", "'medium'", "'medium'", "'unpinned_action'", "concat('External reusable workflow: ', ref, '@', version)",
-                "concat('Reusable workflow from ''', ref, ''' at ''', version, ''' — external code runs in CI.')", "line_no",
+                "concat('Reusable workflow from ''', ref, ''' at ''', version, ''' runs foreign steps in this pipeline.')", "line_no",
                 raw_value="concat(ref, '@', version)")}
 FROM c WHERE contains(ref, '/') AND contains(ref, '.github/workflows/') AND split_part(ref, '/', 1) <> 'actions'
   AND NOT starts_with(split_part(ref, '/', 1), '.')"""
@@ -188,13 +188,13 @@ WITH f AS ({seeded_sql()}),
 occ AS ({occurrences_sql([("G1", builds.CARGO_GIT, True, gate), ("G3", builds.CARGO_PROC_MACRO, False, gate)], "f")}),
 g AS (SELECT *, regexp_extract(matched, {git}, 1) AS url FROM occ)
 SELECT {finding("'G1'", "'medium'", "'low'", "'suspicious_dependency'", f"concat('Cargo dependency from git: ', {cut('url', 80)})",
-                "concat('Cargo.toml references git repository ''', url, ''' — unpinned dependency.')", "line_no", raw_value="url")}
+                "concat('Cargo.toml references git repository ''', url, ''' is taken from a moving source tree.')", "line_no", raw_value="url")}
 FROM g WHERE rule_id = 'G1'
 UNION ALL SELECT {finding("'G3'", "'info'", "'low'", "'info'", "'Cargo.toml defines a proc-macro crate'",
-                          "'Procedural macros execute arbitrary code at compile time.'", "line_no")}
+                          "'Compiling the crate already runs the code of its macros.'", "line_no")}
 FROM g WHERE rule_id = 'G3'
 UNION ALL SELECT {finding("'G2'", "'info'", "'high'", "'lifecycle_hook'", "'Cargo.toml has build script (build.rs)'",
-                          "'Cargo will compile and run build.rs during build. It has full system access.'")}
+                          "'Building the crate runs build.rs with the rights of the builder.'")}
 FROM f WHERE {gate} AND regexp_matches(content, {q(builds.CARGO_BUILD)})"""
 
 
@@ -238,9 +238,9 @@ UNION ALL SELECT {finding("'V3'", f"CASE WHEN {critical} THEN 'critical' ELSE 'h
 FROM b, (SELECT unnest([{calls}]) AS c) WHERE contains(lower(body), lower(c))
 UNION ALL SELECT {finding("'V4'", "'critical'", "'medium'", "'suspicious_node_api'", "concat('SVG script uses Node.js API ''', a, '''')",
                           "'A server runtime is expected, so the script is meant to run at build time.'", "line_no", shown)}
-FROM b, (SELECT unnest([{apis}]) AS a) WHERE contains(lower(body), a)
+FROM b, (SELECT unnest([{apis}]) AS a) WHERE contains(lower(body), lower(a))
 UNION ALL SELECT {finding("'V5'", "'high'", "'medium'", "'runtime_network_call'", "'SVG script phones home to external URL'",
-                          "concat('Script contacts ', u, ' — potential C2 or payload download.')", "line_no", raw_value="u")}
+                          "concat('Script contacts ', u, ', which may be a control server or serve a payload.')", "line_no", raw_value="u")}
 FROM (SELECT *, unnest(regexp_extract_all(body, {q(svg.SCRIPT_URL)}, 1)) AS u FROM b)
 WHERE NOT {in_list("split_part(u, '/', 1)", svg.CDN_HOSTS)}"""
 
@@ -383,8 +383,8 @@ def _manifest_scripts() -> str:
     )
 
 
-def commands_sql() -> str:
-    rows = [(i, p, False, "true") for i, p, *_ in scripts.PATTERNS]
+def commands_sql(ignore_case: bool = True) -> str:
+    rows = [(i, p, ignore_case, "true") for i, p, *_ in scripts.PATTERNS]
     picks = []
     for i, _, severity, title, _n in scripts.PATTERNS:
         text = (
@@ -406,7 +406,7 @@ def commands_sql() -> str:
 def lifecycle_sql() -> str:
     return f"""WITH f AS ({seeded_sql()}), s AS ({_manifest_scripts()})
 SELECT {finding("'C21'", "'info'", "'high'", "'lifecycle_hook'", "concat('Package has ''', script, ''' lifecycle script')",
-                f"concat('This script runs automatically during npm install: ', {cut('text', 200)})", snippet="text")}
+                f"concat('Installing the package runs: ', {cut('text', 200)})", snippet="text")}
 FROM s WHERE {in_list('script', scripts.LIFECYCLE_HOOKS)}"""
 
 
@@ -473,7 +473,7 @@ UNION ALL {versions}"""
 def hooks_sql() -> str:
     return f"""WITH f AS ({seeded_sql()}), s AS ({_manifest_scripts()})
 SELECT {finding("'D8'", "'high'", "'high'", "'postinstall_chain'", "concat('Package has ''', script, ''' script with suspicious operations')",
-                f"concat('This script runs during install: ', {cut('text', 200)})", snippet="text")}
+                f"concat('The install step runs: ', {cut('text', 200)})", snippet="text")}
 FROM s WHERE {in_list('script', dependencies.HOOKS)} AND regexp_matches(text, {q('(?i)' + dependencies.HOOK_PATTERN)})"""
 
 
@@ -484,10 +484,10 @@ p AS (SELECT repo_id, path, k AS package, content ->> ('$.packages."' || k || '"
       FROM (SELECT repo_id, path, content, unnest(json_keys(content, '$.packages')) AS k FROM f WHERE name = 'package-lock.json') WHERE k <> ''),
 n AS (SELECT *, list_extract(string_split(package, 'node_modules/'), -1) AS name FROM p)
 SELECT {finding("'D10'", "'critical'", "'high'", "'url_dependency'", f"concat('Lockfile resolved URL outside registry: ', {cut('resolved', 100)})",
-                "concat('Package ''', name, ''' resolves to ''', resolved, ''' — not the official npm registry.')", raw_value="resolved")}
+                "concat('Package ''', name, ''' resolves to ''', resolved, ''', which is another place than the public registry.')", raw_value="resolved")}
 FROM n WHERE resolved <> '' AND NOT contains(resolved, {q(dependencies.NPM_REGISTRY)})
 UNION ALL SELECT {finding("'D11'", "'high'", "'high'", "'suspicious_dependency'", f"concat('Suspicious integrity hash: ', {cut('integrity', 60)})",
-                          "concat('Package ''', package, ''' has non-standard integrity hash: ', integrity)")}
+                          "concat('Package ''', package, ''' carries a checksum of unknown kind: ', integrity)")}
 FROM n WHERE integrity <> '' AND NOT starts_with(integrity, 'sha')"""
 
 
@@ -499,7 +499,7 @@ def pipfile_lock_sql() -> str:
     )
     return f"""WITH f AS ({seeded_sql()}), v AS ({parts})
 SELECT {finding("'D17'", "'high'", "'medium'", "'url_dependency'", f"concat('Pipfile.lock URL dependency: ', name, ' -> ', {cut('version', 100)})",
-                "concat('Package ''', name, ''' pins a URL-based version: ', version)", raw_value="concat(name, '==', version)")}
+                "concat('Package ''', name, ''' takes its version from an address: ', version)", raw_value="concat(name, '==', version)")}
 FROM v WHERE contains(version, '://')"""
 
 
@@ -656,8 +656,8 @@ e AS (SELECT repo_id, path, line_no, value, round(-sum(n / length(value) * log2(
 d AS (SELECT *, coalesce(try(decode(from_base64(value))), '') AS dec FROM e WHERE ent >= {entropy.THRESHOLD}),
 m AS (SELECT *, coalesce({meaningful}, false) AS readable FROM d)
 SELECT {finding("'E1'", "'high'", "'medium'", "'encoded_payload'", f"concat('High-entropy encoded string (entropy=', {shown}, ')')",
-                "concat('Found base64-encoded string (', length(value), ' chars) that decodes to meaningful content')", "line_no",
+                "concat('Encoded string (', length(value), ' characters) which decodes to readable text')", "line_no",
                 decoded=cut("dec", 300), raw_value=cut("value", 80))} FROM m WHERE readable
 UNION ALL SELECT {finding("'E2'", "'medium'", "'low'", "'high_entropy'", f"concat('High-entropy string (entropy=', {shown}, ')')",
-                          "concat('Long high-entropy string (', length(value), ' chars) — may be obfuscated payload')", "line_no",
+                          "concat('Dense string (', length(value), ' characters), perhaps a hidden payload')", "line_no",
                           raw_value=cut("value", 80))} FROM m WHERE NOT readable AND ent >= {entropy.HIGH_THRESHOLD}"""

@@ -85,6 +85,7 @@ detector("unicode_bidi", unicode_tricks.bidi_overrides, oracle.bidi_sql())
 detector("unicode_homoglyphs", unicode_tricks.homoglyphs, oracle.homoglyph_sql())
 detector("unicode_file_names", unicode_tricks.suspicious_file_names, oracle.file_names_sql())
 detector("script_commands", scripts.command_findings, oracle.commands_sql())
+detector("script_commands_strict", lambda f: scripts.command_findings(f, strict_case=True), oracle.commands_sql(ignore_case=False))
 detector("script_lifecycle", scripts.lifecycle_findings, oracle.lifecycle_sql())
 detector("script_url_dependencies", scripts.url_dependency_findings, oracle.url_dependencies_sql())
 detector("dependency_rules", lambda f: dependencies.dependency_findings(dependencies.npm_deps(f)), oracle.dependency_rules_sql())
@@ -1138,9 +1139,7 @@ def _(spark, sf):
             "analyzer_errors": F.lit(0), "skipped_cache": F.lit(0),
         }
     )
-    out = run_folder(spark, "report")
-    reports.write_json_report(scans, found, out)
-    return spark.read.text(out)
+    return reports.json_documents(scans, found)
 
 
 # ---- whole scans

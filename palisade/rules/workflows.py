@@ -63,8 +63,8 @@ def _lines(rows, category, confidence, title, description, cut, ignore_case=True
 
 LINE_RULES = [
     *_lines(PINNING, "unpinned_action", "medium", "Unpinned action reference", "Line: ", 150, ignore_case=False),
-    *_lines(REMOTE_EXEC, "ci_remote_exec", "high", "CI remote execution", "CI step downloads and/or executes code from network: ", 200),
-    *_lines(SECRETS, "ci_secret_exposure", "high", "CI secrets exposure", "Potential secret exposure: ", 200),
+    *_lines(REMOTE_EXEC, "ci_remote_exec", "high", "CI remote execution", "A pipeline step runs what it fetches: ", 200),
+    *_lines(SECRETS, "ci_secret_exposure", "high", "CI secrets exposure", "A secret may leave the pipeline here: ", 200),
     *_lines(ACTIONS, "info", "low", "CI action", "Action reference: ", 100),
 ]
 
@@ -72,7 +72,7 @@ RULES = [
     Rule(
         rule_id="W18", analyzer="workflow", pattern=SELF_HOSTED, severity="high", category="info",
         title="Workflow targets self-hosted runners", ignore_case=True, needles=("self-hosted",),
-        description="Self-hosted runners may have less isolation and broader access to internal network.", gate=GATE,
+        description="Own runners often keep state and reach the internal network.", gate=GATE,
         priority=30,
     ),
 ]

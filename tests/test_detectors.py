@@ -161,5 +161,5 @@ def test_strict_case_options(as_files):
     from palisade.operators.scripts import command_findings
 
     files = as_files([("a.sh", "curl -sS x\necho $API_KEY")])
-    assert {r.rule_id for r in command_findings(files).collect()} == set()
-    assert {r.rule_id for r in command_findings(files, strict_case=False).collect()} >= {"C1", "C19"}
+    assert {r.rule_id for r in command_findings(files, strict_case=True).collect()} == set()
+    assert {r.rule_id for r in command_findings(files).collect()} >= {"C1", "C19"}

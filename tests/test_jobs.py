@@ -105,11 +105,20 @@ def test_json_and_sarif(spark, findings, tmp_path):
     assert region == {"snippet": {"text": "snip"}} and snippet_only["level"] == "error"
     assert {x["ruleIndex"] for x in results} == {0, 1, 2}
     out = str(tmp_path / "report")
-    reports.write_json_report(scans, findings, out)
-    written = spark.read.text(out)
-    assert written.count() == 3 + 6
-    head = [json.loads(r.value) for r in written.where("repo_id = 'r3'").collect()]
-    assert head[0]["risk_score"]["score"] == 0.0 and head[0]["target"] == "r3"
+    reports.write_documents(reports.json_documents(scans, findings), out, buckets=3)
+    for repo in ("r1", "r3"):
+        document = json.loads("".join(reports.read_document(spark, out, repo, buckets=3)))
+        assert document["target"] == repo and len(document["findings"]) == findings.where(F.col("repo_id") == repo).count()
+        ranks = [("critical", "high", "medium", "low", "info", "error").index(f["severity"]) for f in document["findings"]]
+        assert ranks == sorted(ranks)
+    out = str(tmp_path / "sarif")
+    twice = findings.unionByName(findings)
+    reports.write_documents(reports.sarif_documents(scans, twice), out, buckets=3)
+    log = json.loads("".join(reports.read_document(spark, out, "r1", buckets=3)))
+    run = log["runs"][0]
+    assert log["version"] == "2.1.0" and len(run["results"]) == 2 * findings.where("repo_id = 'r1'").count()
+    assert all(run["tool"]["driver"]["rules"][x["ruleIndex"]]["id"] == x["ruleId"] for x in run["results"])
+    assert json.loads("".join(reports.read_document(spark, out, "r3", buckets=3)))["runs"][0]["results"] == []
 
 
 def test_summary(spark, findings):
