@@ -55,31 +55,54 @@ def _literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def occurrences(files: DataFrame, rules: Sequence[Rule], text: str = "content",
-                keep: Sequence[str] = ("repo_id", "path")) -> DataFrame:
-    """Every match of every rule: keep, rule (index into ``rules``), occurrence, start, line_no, matched, before, after."""
-    keep = list(keep)
+def _gated(files: DataFrame, rules: Sequence[Rule], text: str, keep: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """Files with their gates and folded text; for each rule a guard (gate and required literals) and its pattern, as SQL."""
     gates: dict[object, str] = {}
     for r in rules:
         gates.setdefault(r.gate, f"_gate{len(gates)}")
-    prepared = (
-        files.where(F.length(text) > 0)
-        .select(*dict.fromkeys([*keep, text]), *[gate().alias(name) for gate, name in gates.items()])
-        .where(_any([F.col(name) for name in gates.values()]))
-        .withColumn("_folded", fold_case(F.col(text)))
-    )
-    branches = []
-    for i, r in enumerate(rules):
-        rx = _literal(java_regex(r.pattern, r.ignore_case))
+    prepared = files.select(*dict.fromkeys([*keep, text]), *[(gate() & (F.length(text) > 0)).alias(name) for gate, name in gates.items()])
+    guards, patterns = [], []
+    for r in rules:
+        patterns.append(_literal(java_regex(r.pattern, r.ignore_case)))
         guard = gates[r.gate]
         if r.needles:
             guard += " AND (" + " OR ".join(f"contains(_folded, {_literal(n)})" for n in r.needles) + ")"
-        branches.append(
-            f"CASE WHEN {guard} AND rlike({text}, {rx}) THEN struct({i} AS rule, split({text}, {rx}, -1) AS gaps, "
-            f"regexp_extract_all({text}, {rx}, 0) AS hits) END"
-        )
-    hit = prepared.select(*keep, F.expr(f"explode_outer(array({', '.join(branches)})) AS _hit")).where("_hit is not null")
-    return locate_matches(hit.select(*keep, "_hit.rule", "_hit.gaps", "_hit.hits"), [*keep, "rule"])
+        guards.append(guard)
+    return prepared.withColumn("_folded", fold_case(F.col(text))), guards, patterns
+
+
+def occurrences(files: DataFrame, rules: Sequence[Rule], text: str = "content",
+                keep: Sequence[str] = ("repo_id", "path")) -> DataFrame:
+    """Every match of every rule: keep, rule (index into ``rules``), occurrence, start, line_no, matched, before, after.
+
+    A pattern runs once over a file whose literals admit it, and once more, for the texts between, where it has matched.
+    """
+    keep = list(keep)
+    prepared, guards, patterns = _gated(files, rules, text, keep)
+    open_ = prepared.where(" OR ".join(dict.fromkeys(g.split(" AND ")[0] for g in guards)))
+    branches = [
+        f"CASE WHEN {guard} THEN struct({i} AS rule, regexp_extract_all({text}, {rx}, 0) AS hits) END"
+        for i, (guard, rx) in enumerate(zip(guards, patterns))
+    ]
+    found = f"explode_outer(filter(array({', '.join(branches)}), h -> size(h.hits) > 0)) AS _hit"
+    hit = open_.select(*dict.fromkeys([*keep, text]), F.expr(found)).where("_hit is not null")
+    gaps = "CASE _hit.rule " + " ".join(f"WHEN {i} THEN split({text}, {rx}, -1)" for i, rx in enumerate(patterns)) + " END"
+    return locate_matches(hit.select(*keep, "_hit.rule", F.expr(gaps).alias("gaps"), "_hit.hits"), [*keep, "rule"])
+
+
+def severity_counts_of(files: DataFrame, rules: Sequence[Rule], text: str = "content") -> DataFrame:
+    """repo_id, a count for each severity, total: matches of all rules per repository, clean repositories with zeros.
+
+    One read of the files and one exchange, since files without a match stay as rows without a count.
+    """
+    prepared, guards, patterns = _gated(files, rules, text, ["repo_id"])
+    branches = [
+        f"CASE WHEN {guard} THEN struct({_literal(r.severity)} AS severity, size(regexp_extract_all({text}, {rx}, 0)) AS n) END"
+        for r, guard, rx in zip(rules, guards, patterns)
+    ]
+    hits = prepared.select("repo_id", F.expr(f"explode_outer(filter(array({', '.join(branches)}), h -> h.n > 0)) AS _hit"))
+    sums = [F.coalesce(F.sum(F.when(F.col("_hit.severity") == level, F.col("_hit.n"))), F.lit(0)).alias(level) for level in ("critical", "high", "medium", "low")]
+    return hits.groupBy("repo_id").agg(*sums, F.coalesce(F.sum("_hit.n"), F.lit(0)).alias("total"))
 
 
 def snippet_of(rule: Column, matched: Column = None) -> Column:

@@ -55,6 +55,12 @@ def decide(findings: DataFrame, repos: DataFrame, policy: Policy | None = None,
     return decided.withColumn("failed", (F.col("score") >= threshold) | F.col("blocked"))
 
 
+def decide_counts(counts: DataFrame, threshold: float = GATE_SCORE) -> DataFrame:
+    """The gate from counts that already hold every repository; no policy, no join."""
+    scored = score(counts).select("repo_id", "score", "max_severity", *LEVELS, "total")
+    return scored.withColumns({"blocked": F.lit(False), "failed": F.col("score") >= threshold})
+
+
 def with_severity_overrides(findings: DataFrame, overrides: dict[str, str]) -> DataFrame:
     """Replace the severity of whole categories before scoring; optional, off by default."""
     if not overrides:

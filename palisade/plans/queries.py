@@ -15,7 +15,7 @@ from palisade.operators import (
     dependencies, entropy, families, history, incremental, mime, policy, reports, scoring, scripts, svg, threat_joins,
     unicode_tricks, urls, wasm,
 )
-from palisade.operators.matching import match_content, match_lines
+from palisade.operators.matching import match_content, match_lines, severity_counts_of
 from palisade.plans import oracle
 from palisade.plans.oracle import cut, in_list
 from palisade.plans.oracle import q as lit_sql
@@ -1186,5 +1186,4 @@ FROM (SELECT DISTINCT repo_id FROM f) r LEFT JOIN cn ON r.repo_id = cn.repo_id""
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """All text tables, behaviour and secret rules in one pass, risk per repository, gate."""
     files = corpus_as_files(spark, sf)
-    found = match_content(files, [*behavior.RULES, *secrets.RULES])
-    return scoring.decide(found, files)
+    return scoring.decide_counts(severity_counts_of(files, [*behavior.RULES, *secrets.RULES]))
