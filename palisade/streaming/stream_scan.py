@@ -23,7 +23,10 @@ def stream_scan(files: DataFrame, out: str, checkpoint: str, detect: Callable[[D
     """Start scanning a streaming files DataFrame into ``out``/batch=N."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        detect(spread(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        # The batch is stored first: every branch of a scan would otherwise read and decode the source again.
+        kept = f"{checkpoint}/files/batch={batch_id}"
+        spread(batch).write.mode("overwrite").parquet(kept)
+        detect(batch.sparkSession.read.parquet(kept)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
