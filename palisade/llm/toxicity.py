@@ -27,7 +27,8 @@ MAX_TERMS = 4000
 LEAST_SUPPORT = 3
 LEAST_RATIO = 25.0
 NEIGHBOURS = 15
-BLOCK = 64
+MEMO_WORDS = 500_000
+BLOCK = 256
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -63,27 +64,45 @@ class Model:
     base: float = 0.0
 
     def __post_init__(self) -> None:
+        self.plain: set[str] = set()
+        # Examples with the same heaviest term stand together, so the bounds of most blocks are low for any one text.
+        heaviest = [int(t[np.argmax(w)]) if len(t) else len(self.vocabulary) for t, w in self.vectors]
+        self.order = np.lexsort((self.example_ids, heaviest)) if len(self.vectors) else np.empty(0, np.int64)
         self.blocks = -(-len(self.vectors) // BLOCK)
         self.tops = np.zeros((len(self.vocabulary), self.blocks))
         lists: dict[tuple[int, int], tuple[list, list]] = {}
-        for e, (terms, w) in enumerate(self.vectors):
-            b = e // BLOCK
+        for place, e in enumerate(self.order.tolist()):
+            terms, w = self.vectors[e]
+            b = place // BLOCK
             np.maximum.at(self.tops[:, b], terms, w)
             for t, x in zip(terms.tolist(), w.tolist()):
                 at, weight = lists.setdefault((t, b), ([], []))
-                at.append(e % BLOCK)
+                at.append(place % BLOCK)
                 weight.append(x)
         self.postings = {key: (np.array(a), np.array(w)) for key, (a, w) in lists.items()}
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("tops", "postings", "blocks", "plain", "order")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit-length TF-IDF weights."""
+        """Term numbers and unit-length TF-IDF weights. Words without a term are remembered, up to a bound, and passed over."""
         counts: dict[int, int] = {}
-        get = self.vocabulary.get
-        for word, n in terms_of(text).items():
+        get, plain, words = self.vocabulary.get, self.plain, terms_of(text)
+        for word in words.keys() - plain:
+            found = False
             for term in (word, "^" + word[:4] if len(word) > 4 else "", "^" + word[:5] if len(word) > 5 else ""):
                 t = get(term)
                 if t is not None:
-                    counts[t] = counts.get(t, 0) + n
+                    found = True
+                    counts[t] = counts.get(t, 0) + words[word]
+            if not found:
+                plain.add(word)
+        if len(plain) > MEMO_WORDS:
+            plain.clear()
         terms = np.array(sorted(counts), np.int64)
         w = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms] if len(terms) else np.empty(0)
         return terms, w / np.linalg.norm(w) if len(w) else w
@@ -96,21 +115,26 @@ class Model:
         if not len(terms) or not self.blocks:
             return []
         bound = w @ self.tops[terms]
-        best: list[tuple[float, int, int]] = []
+        best = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= self.k and bound[b] < -best[self.k - 1][0] - 1e-9:
+            full = len(best[0]) >= self.k
+            if bound[b] <= 0 or full and bound[b] < best[0][-1] - 1e-9:
                 break
             scores = np.zeros(BLOCK)
             for t, x in zip(terms.tolist(), w.tolist()):
                 found = self.postings.get((t, b))
                 if found is not None:
                     scores[found[0]] += x * found[1]
-            for at in np.flatnonzero(scores > 0).tolist():
-                e = b * BLOCK + at
-                if own_id is None or self.example_ids[e] != own_id:
-                    best.append((-round(float(scores[at]), 12), int(self.example_ids[e]), e))
-            best = sorted(best)[: self.k]
-        return [(e, -s) for s, _, e in best]
+            scores = np.round(scores, 12)
+            at = np.flatnonzero(scores >= best[0][-1] if full else scores > 0)
+            e = self.order[b * BLOCK + at] if len(at) else at
+            if own_id is not None:
+                at, e = at[self.example_ids[e] != own_id], e[self.example_ids[e] != own_id]
+            if len(at):
+                joined = [np.concatenate(x) for x in zip(best, (scores[at], self.example_ids[e], e))]
+                top = np.lexsort((joined[2], joined[1], -joined[0]))[: self.k]
+                best = tuple(x[top] for x in joined)
+        return list(zip(best[2].tolist(), best[0].tolist()))
 
     def features(self, found: list[tuple[int, float]]) -> np.ndarray:
         near = np.array([1 / (1.05 - min(1.0, s)) for _, s in found])
