@@ -236,7 +236,8 @@ def ngram_join(documents: DataFrame, words: int = WORDS, threshold: float = THRE
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "grams"])
 
     wanted = placed.select("rep.doc_id", "rep.ta", "rep.tb", "node", "component", "copies", "blk")
-    texts = _keyed(documents).join(wanted, ["doc_id", "ta", "tb"]).select("text", "node", "component", "copies", "blk")
+    # A merge join at every size: what is wanted grows with the corpus, so it is never sent to all tasks.
+    texts = _keyed(documents).join(wanted.hint("merge"), ["doc_id", "ta", "tb"]).select("text", "node", "component", "copies", "blk")
     sets = texts.mapInArrow(full_sets, f"node long, component long, copies long, blk {kind}, grams binary")
     sets = stored(sets.dropDuplicates(["node"]), "sets")
 
@@ -285,7 +286,7 @@ def drop_near_copies(documents: DataFrame, **options: float) -> DataFrame:
     """
     gone = ngram_join(documents.select("doc_id", "text"), **options).where("not kept").select("doc_id", F.col("ta").alias("_ta"), F.col("tb").alias("_tb")).distinct()
     key = text_key("text")
-    left = documents.withColumns({"_ta": key["a"], "_tb": key["b"]}).join(gone, ["doc_id", "_ta", "_tb"], "left_anti")
+    left = documents.withColumns({"_ta": key["a"], "_tb": key["b"]}).join(gone.hint("merge"), ["doc_id", "_ta", "_tb"], "left_anti")
     worded = F.col("doc_id").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)\w")
     once = left.where(worded).dropDuplicates(["doc_id", "_ta", "_tb"])
     return once.unionByName(left.where(~worded)).select(*documents.columns)
