@@ -1,17 +1,16 @@
-"""BPE encoding and decoding through a table of distinct words.
+"""BPE encoding and decoding through distinct words.
 
-1. Tasks split whole texts at plain blanks and number the words of a block; a block stores its words once and, for each text,
-   the positions as word numbers.
-2. The distinct words of all blocks are encoded once each. Their ids meet the id-to-piece table in a join, which decodes them.
-3. The words of each block take their ids and pieces in a join on the word, return to their block, and the positions are
-   filled in.
+1. Tasks cut whole texts into words, block by block of texts. A block numbers its words; its texts become lists of these numbers.
+2. The words of all blocks meet in a shuffle on the word. Each distinct word is encoded once and answers to all its blocks.
+3. The answers return to their block, where the positions are filled in: ids, and pieces by a join with the id-to-piece table,
+   which is bounded by the vocabulary and therefore sent to every task.
 
-Only words travel, never the texts, and each word at most once a block; no side of a join but the vocabulary is broadcast.
+The texts themselves never travel, and a word at most once a block. A block's number is a hash of its words in their order, so it is
+the same whenever the block is worked out again, as after the loss of an executor; nothing has to be written in between.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,24 +18,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from palisade.llm.common import small_arrow_batches, stored
+from palisade.llm.common import small_arrow_batches
 from palisade.llm.tokens import encoder
 
-WORDS_PER_BLOCK = 4_000_000
+WORDS_PER_BLOCK = 5_000_000
 WORDS_PER_ROW = 10_000
 VOCABULARY_BOUND = 2_000_000
-CODED = "block long, doc_ids array<long>, lengths array<int>, codes binary, first int, words array<string>"
 
 
-def split_words(text: str) -> list[str]:
-    """Words between blanks that every tokenizer of the kind drops; other blanks stay inside a word."""
-    return [w for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
-
-
-def _squeeze(codes: np.ndarray) -> bytes:
+def _squeeze(codes: list[int]) -> bytes:
+    """Numbers as byte planes, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    planes = np.ascontiguousarray(np.array(codes, "<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def _unsqueeze(data: bytes) -> np.ndarray:
@@ -46,122 +41,108 @@ def _unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks: one row of positions for each Arrow batch, then the words in rows of bounded size."""
-    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("codes", pa.binary()), ("first", pa.int32()), ("words", pa.list_(pa.string()))])
-    block, numbers, total = random.getrandbits(62), {}, 0
+def _blocks(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[int, list[str], list[tuple[list, list, bytes]]]]:
+    """(block number, words, [(ids of texts, word counts, word numbers)]) of the texts of a partition."""
+    import xxhash
+
+    words_of = encoder(tokenizer).words
+    numbers: dict[str, int] = {}
+    rows: list[tuple[list, list, bytes]] = []
+    total = 0
 
-    def words_of() -> Iterator[pa.RecordBatch]:
+    def block() -> tuple[int, list[str], list[tuple[list, list, bytes]]]:
         words = list(numbers)
-        for at in range(0, len(words), WORDS_PER_ROW):
-            yield pa.RecordBatch.from_pylist([{"block": block, "first": at, "words": words[at : at + WORDS_PER_ROW]}], schema)
+        return xxhash.xxh64_intdigest("\x00".join(words)) - 2**63, words, rows
 
     for batch in batches:
-        codes, lengths = [], []
+        codes: list[int] = []
+        lengths = []
         for text in batch.column(1):
-            words = split_words(text.as_py() or "")
-            codes += [numbers.setdefault(w, len(numbers)) for w in words]
+            words = words_of(text.as_py() or "")
+            for w in words:
+                if w not in numbers:
+                    numbers[w] = len(numbers)
+            codes += [numbers[w] for w in words]
             lengths.append(len(words))
+        rows.append((batch.column(0).to_pylist(), lengths, _squeeze(codes)))
         total += len(codes)
-        yield pa.RecordBatch.from_pylist([{"block": block, "doc_ids": batch.column(0).to_pylist(), "lengths": lengths, "codes": _squeeze(np.array(codes, np.uint32))}], schema)
-        del codes
         if total >= WORDS_PER_BLOCK:
-            yield from words_of()
-            block, numbers, total = random.getrandbits(62), {}, 0
-    yield from words_of()
-
-
-def _fill(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Replace word numbers by ids and pieces, a whole block at once."""
-    right = right.sort_by("number")
-    counts = pc.fill_null(pc.list_value_length(right["ids"]), 0).to_numpy().astype(np.int64)
-    flat = pc.list_flatten(right["ids"]).to_numpy()
-    starts = np.concatenate([[0], np.cumsum(counts)])[: len(counts)].astype(np.int64)
-    pieces, empty = right["decoded"].to_pylist(), bool((counts == 0).any())
-    docs, sizes, ids, texts = [], [], [], []
-    for row in range(left.num_rows):
-        codes = _unsqueeze(left["codes"][row].as_py())
-        lengths = np.array(left["lengths"][row].as_py(), np.int64)
-        n = counts[codes] if len(codes) else np.empty(0, np.int64)
-        ends = np.cumsum(n)
-        if len(codes):
-            ids.append(flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1])])
-        stops = np.cumsum(lengths)
-        sizes.append(np.diff(np.concatenate([[0], ends])[np.concatenate([[0], stops])]) if len(lengths) else np.empty(0, np.int64))
-        docs += left["doc_ids"][row].as_py()
-        words = codes.tolist()
-        for stop, length in zip(stops.tolist(), lengths.tolist()):
-            own = words[stop - length : stop]
-            texts.append(" ".join([p for w in own if (p := pieces[w])] if empty else [pieces[w] for w in own]))
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
-    flat_ids = np.concatenate(ids) if ids else np.empty(0, np.int32)
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat_ids, pa.int32())), "decoded": pa.array(texts, pa.string())})
-
-
-def word_table(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, ids array<int>, decoded string) of distinct words: each is encoded once and decoded by a join with the vocabulary.
-
-    A word without any id has an empty list and an empty text. The vocabulary is bounded by the tokenizer, never by the data.
-    """
-    spark = words.sparkSession
-    vocabulary = encoder(tokenizer).tokenizer.get_vocab(with_added_tokens=True)
-    if len(vocabulary) > VOCABULARY_BOUND:
-        raise ValueError(f"a vocabulary of {len(vocabulary)} pieces is too large to broadcast")
-    pieces = spark.createDataFrame([(i, p) for p, i in vocabulary.items()], "id int, piece string")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                column = batch.column(0).slice(at, 20_000)
-                ids = pa.array(own.encode_words(column.to_pylist()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([column, ids], ["word", "ids"])
-
-    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A word's rows follow each other, since a broadcast join keeps the order of its streamed side."""
-        word, ids, texts, at = None, [], [], 0
-        out: list[tuple] = []
-        schema = pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-
-        def flush() -> pa.RecordBatch:
-            rows = [pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), schema.types)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(rows, schema=schema)
-
-        for batch in batches:
-            for w, pos, i, piece in zip(*(c.to_pylist() for c in batch.columns)):
-                if not pos:
-                    if word is not None:
-                        out.append((word, ids, " ".join(texts)))
-                    word, ids, texts, at = w, [], [], 0
-                if w != word or (pos or 0) != at:
-                    raise RuntimeError("pieces of a word came apart")
-                at += 1
-                if i is not None:
-                    ids.append(i)
-                    texts.append(piece)
-            yield flush()
-        if word is not None:
-            out.append((word, ids, " ".join(texts)))
-            yield flush()
-
-    encoded = words.select("word").mapInArrow(encode, "word string, ids array<int>").select("word", F.posexplode_outer("ids").alias("pos", "id"))
-    joined = encoded.join(F.broadcast(pieces), "id", "left").select("word", "pos", "id", "piece")
-    return joined.mapInArrow(regroup, "word string, ids array<int>, decoded string")
+            yield block()
+            numbers, rows, total = {}, [], 0
+    if rows:
+        yield block()
 
 
 def encode_and_decode(documents: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every row of (doc_id, text), as the tokenizers library gives them.
 
-    Valid for tokenizer files without a post-processor and decoder that drop white space. Null and empty texts have no ids and
-    an empty text; a null doc_id stays null; repeated rows come back as often; an empty table stays empty. Other columns are
-    not read. A block may hold a single very long text; its words are bounded by that text.
+    documents must read alike when read twice, as stored tables do; a difference raises. Valid for tokenizer files without a
+    post-processor and decoder that drop white space. Null and empty texts have no ids and an empty text; a null doc_id stays null;
+    repeated rows come back as often; an empty table stays empty. Other columns are not read. A single very long text is a block
+    of its own.
     """
-    small_arrow_batches(documents.sparkSession)
-    coded = stored(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_code, CODED), "coded")
-    rows = coded.where("words is not null")
-    words = rows.select("block", "first", F.posexplode("words").alias("at", "word")).select("block", (F.col("first") + F.col("at")).alias("number"), "word")
-    table = word_table(words.select("word").distinct(), tokenizer)
-    filled = words.join(table, "word").select(F.col("block").alias("of"), "number", "ids", "decoded")
-    positions = coded.where("codes is not null").select("block", "doc_ids", "lengths", "codes")
-    return positions.groupBy("block").cogroup(filled.groupBy("of")).applyInArrow(_fill, "doc_id long, ids array<int>, decoded string")
+    small_arrow_batches(documents.sparkSession, "2m")
+    pieces = {i: p for p, i in encoder(tokenizer).tokenizer.get_vocab(with_added_tokens=True).items()}
+    if len(pieces) > VOCABULARY_BOUND:
+        raise ValueError(f"a vocabulary of {len(pieces)} pieces is too large to send")
+    narrow = np.dtype("<u2" if max(pieces, default=0) < 2**16 else "<u4")
+    texts = documents.select(F.col("doc_id").cast("long"), "text")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, own, _ in _blocks(batches, tokenizer):
+            for at in range(0, len(own), WORDS_PER_ROW):
+                part = own[at : at + WORDS_PER_ROW]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), block)), pa.array(np.arange(at, at + len(part), dtype=np.int32))], ["word", "block", "number"])
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, own, rows in _blocks(batches, tokenizer):
+            for ids, lengths, codes in rows:
+                columns = [pa.array([block]), pa.array([len(own)], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([codes])]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "words", "doc_ids", "lengths", "codes"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal words follow each other, so each is encoded once."""
+        for batch in batches:
+            word = batch.column(0).dictionary_encode()
+            ids = pa.array([np.array(x, narrow).tobytes() for x in encoder(tokenizer).encode_words(word.dictionary.to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), ids.take(word.indices)], ["of", "number", "ids"])
+
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        numbers = right["number"].to_numpy()
+        if not left.num_rows:
+            raise RuntimeError("the texts changed between two readings")
+        _, first = np.unique(numbers, return_index=True)
+        if len(first) != left["words"][0].as_py():
+            raise RuntimeError("the texts changed between two readings")
+        column = right["ids"].combine_chunks().take(pa.array(first))
+        counts = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // narrow.itemsize
+        flat = np.frombuffer(b"".join(column.to_pylist()), narrow).astype(np.int32)
+        starts = np.cumsum(counts) - counts
+        flat_pieces = list(map(pieces.__getitem__, flat.tolist()))
+        decoded = [flat_pieces[s] if n == 1 else " ".join(flat_pieces[s : s + n]) for s, n in zip(starts.tolist(), counts.tolist())]
+        some_empty = bool((counts == 0).any())
+        del flat_pieces, first, numbers
+        docs, sizes, ids, out = [], [], [], []
+        for row in range(left.num_rows):
+            codes = _unsqueeze(left["codes"][row].as_py())
+            lengths = np.array(left["lengths"][row].as_py(), np.int64)
+            n = counts[codes]
+            ends = np.cumsum(n)
+            if len(codes):
+                ids.append(flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1])])
+            stops = np.cumsum(lengths)
+            sizes.append(np.diff(np.concatenate([[0], ends])[np.concatenate([[0], stops])]))
+            docs += left["doc_ids"][row].as_py()
+            numbered = codes.tolist()
+            del codes, n
+            for stop, length in zip(stops.tolist(), lengths.tolist()):
+                own = numbered[stop - length : stop]
+                out.append(" ".join([p for w in own if (p := decoded[w])] if some_empty else [decoded[w] for w in own]))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        flat_ids = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat_ids), "decoded": pa.array(out, pa.string())})
+
+    asked = texts.mapInArrow(words, "word string, block long, number int").repartition("word").sortWithinPartitions("word")
+    answered = asked.mapInArrow(encode, "of long, number int, ids binary")
+    coded = texts.mapInArrow(positions, "block long, words int, doc_ids array<long>, lengths array<int>, codes binary")
+    return coded.groupBy("block").cogroup(answered.groupBy("of")).applyInArrow(fill, "doc_id long, ids array<int>, decoded string")
