@@ -122,25 +122,23 @@ def encode_and_decode(documents: DataFrame, tokenizer: str) -> DataFrame:
         decoded = [flat_pieces[s] if n == 1 else " ".join(flat_pieces[s : s + n]) for s, n in zip(starts.tolist(), counts.tolist())]
         some_empty = bool((counts == 0).any())
         del flat_pieces, first, numbers
-        docs, sizes, ids, out = [], [], [], []
+        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+        out = []
         for row in range(left.num_rows):
             codes = _unsqueeze(left["codes"][row].as_py())
             lengths = np.array(left["lengths"][row].as_py(), np.int64)
             n = counts[codes]
-            ends = np.cumsum(n)
-            if len(codes):
-                ids.append(flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1])])
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = flat[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
             stops = np.cumsum(lengths)
-            sizes.append(np.diff(np.concatenate([[0], ends])[np.concatenate([[0], stops])]))
-            docs += left["doc_ids"][row].as_py()
-            numbered = codes.tolist()
-            del codes, n
+            offsets = pa.array(ends[np.concatenate([[0], stops])], pa.int32())
+            numbered, texts = codes.tolist(), []
             for stop, length in zip(stops.tolist(), lengths.tolist()):
                 own = numbered[stop - length : stop]
-                out.append(" ".join([p for w in own if (p := decoded[w])] if some_empty else [decoded[w] for w in own]))
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        flat_ids = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat_ids), "decoded": pa.array(out, pa.string())})
+                texts.append(" ".join([p for w in own if (p := decoded[w])] if some_empty else [decoded[w] for w in own]))
+            columns = [left["doc_ids"][row].values, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(texts, pa.string())]
+            out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+        return pa.Table.from_batches(out, schema)
 
     asked = texts.mapInArrow(words, "word string, block long, number int").repartition("word").sortWithinPartitions("word")
     answered = asked.mapInArrow(encode, "of long, number int, ids binary")
