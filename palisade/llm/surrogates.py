@@ -4,7 +4,9 @@ detect() finds e-mail addresses, telephone, card, social security and bank accou
 secrets and titled names in whole texts. Each has a canonical form, so all its spellings share one surrogate. A surrogate keeps
 what the type fixes (length and kinds of characters, card and account checks, the country, private networks, a name's gender and
 script) and is drawn from HMAC-SHA256 of a secret key. assign() draws for all distinct entities of the corpus; a surrogate that
-two entities of a type draw, or that is itself an entity of the corpus, is drawn anew, until all differ. The mapping goes to the
+two entities of a type draw, or that is itself an entity of the corpus, is drawn anew, until all differ. After every WIDEN
+draws the format of what is still open widens: other octet lengths, then a wider private network, then any address, then IPv6
+form; longer local parts, names and numbers; any printable character in secrets. So no format runs out. The mapping goes to the
 tasks if its size stays below a bound that is checked; otherwise it reaches the texts by joins.
 """
 
@@ -12,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
+import string
 import unicodedata
 from collections.abc import Iterator
 
@@ -24,7 +28,10 @@ from palisade.llm.common import small_arrow_batches, stored, text_key
 
 KEY = b"palisade-surrogates"
 SEND_BOUND = 32 * 1024 * 1024
-ROUNDS = 64
+#: Draws after which a format widens by a step.
+WIDEN = 8
+#: What a secret is drawn from where its own kinds of characters leave no choice.
+PRINTABLE = string.ascii_letters + string.digits + "!#$%&()*+,-./:;=?@[]^_{|}~"
 
 MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Signor", "г-н", "Господин", "господин", "κ.", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "Signora", "г-жа", "Госпожа", "госпожа", "κα", "Κυρία")
@@ -89,7 +96,8 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     if "AKIA" in text or "ASIA" in text:
         found += [(*m.span(), "access", m.group()) for m in ACCESS_KEY.finditer(text)]
     if "=" in text or ":" in text:
-        found += [(*m.span(1), "secret", m.group(1)) for m in SECRET.finditer(text)]
+        # One sign repeated is a mask or a rule, not a value.
+        found += [(*m.span(1), "secret", m.group(1)) for m in SECRET.finditer(text) if m.group(1)[0].isalnum() or len(set(m.group(1))) > 1]
     if text.count(":") >= 7:
         found += [(*m.span(), "ip6", m.group().lower()) for m in IP6.finditer(text)]
     if THREE_DIGITS.search(text):
@@ -149,52 +157,62 @@ def _account_check(account: str) -> str:
 
 
 def draw(kind: str, canon: str, key: bytes, attempt: int) -> str:
-    """The surrogate of a canonical form at an attempt, in canonical form itself."""
-    rnd = _Draws(key, kind, canon, attempt)
+    """The surrogate of a canonical form at an attempt, in canonical form itself. Every WIDEN attempts the format is a step wider."""
+    rnd, wide = _Draws(key, kind, canon, attempt), attempt // WIDEN
+    more = lambda c: "".join(map(rnd.like, c * wide))
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         own = _Draws(key, "domain", domain)
         labels = domain.split(".")
         hidden = ["".join(map(own.like, x)) if x not in ("example", "www", "mail") else x for x in labels[:-1]]
-        return "".join(map(rnd.like, local)).lower() + "@" + ".".join([*hidden, labels[-1]])
+        return ("".join(map(rnd.like, local)) + more("x")).lower() + "@" + ".".join([*hidden, labels[-1]])
     if kind == "card":
-        made = canon[0] + "".join(map(rnd.like, canon[1:-1]))
+        made = canon[0] + "".join(map(rnd.like, canon[1:-1])) + more("0")
         check = next(c for c in "0123456789" if luhn(made + c) == 0)
         return made + (check if luhn(canon) == 0 else str((int(check) + 1 + rnd.below(9)) % 10))
     if kind == "phone":
         keep = 2 if canon.startswith("+1") else 3 if canon.startswith("+") else 0
         rest = canon[keep:]
-        return canon[:keep] + str(2 + rnd.below(8)) + "".join(map(rnd.like, rest[1:]))
+        return canon[:keep] + str(2 + rnd.below(8)) + "".join(map(rnd.like, rest[1:])) + more("0")
     if kind == "ip":
         octets = canon.split(".")
         keep = 1 if octets[0] in ("10", "127") else 2 if canon.startswith("192.168.") or octets[0] == "172" and 16 <= int(octets[1]) < 32 else 0
+        if wide >= 4:
+            return "fd" + ":".join("".join("0123456789abcdef"[rnd.below(16)] for _ in range(n)) for n in (2, *[4] * 7))
+        if wide >= 2 and keep:
+            octets, keep = (["10"], 1) if wide == 2 else ([], 0)
+        if wide:
+            made = [str(rnd.below(256)) for _ in range(4 - keep)]
+            return ".".join(octets[:keep] + made)
         sizes = {1: (1, 9), 2: (11, 89), 3: (101, 155)}
         made = [str(sizes[len(o)][0] + rnd.below(sizes[len(o)][1])) for o in octets[keep:]]
         if not keep and made[0] in ("10", "127"):
             made[0] = "5" * len(made[0]) if len(made[0]) < 3 else "155"
         return ".".join(octets[:keep] + made)
     if kind == "ip6":
-        return ":".join("".join("0123456789abcdef"[rnd.below(16)] for _ in part) for part in canon.split(":"))
+        return ":".join("".join("0123456789abcdef"[rnd.below(16)] for _ in ("0000" if wide else part)) for part in canon.split(":"))
     if kind == "account":
-        made = canon[:2] + "00" + "".join(map(rnd.like, canon[4:]))
+        made = canon[:2] + "00" + "".join(map(rnd.like, canon[4:])) + more("0")
         return made[:2] + _account_check(made) + made[4:]
     if kind == "access":
-        return canon[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[rnd.below(32)] for _ in canon[4:])
+        return canon[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[rnd.below(32)] for _ in canon[4:]) + more("A")
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+", canon):
-        return "".join("0123456789abcdef"[rnd.below(16)] for _ in canon)
+        return "".join("0123456789abcdef"[rnd.below(16)] for _ in canon) + more("0")
+    if kind == "secret" and (wide or not any(c.isalnum() for c in canon)):
+        return "".join(PRINTABLE[rnd.below(len(PRINTABLE))] for _ in range(len(canon) + max(0, wide - 1)))
     if kind.startswith("name-"):
         _, gender, script = kind.split("-")
         syllables, endings = SYLLABLES[script]
-        n = 2 + attempt // 8
+        n = 2 + wide
         return "".join(syllables[rnd.below(len(syllables))] for _ in range(n)) + endings[gender][rnd.below(len(endings[gender]))]
-    return "".join(map(rnd.like, canon))
+    return "".join(map(rnd.like, canon)) + more("0")
 
 
 def render(kind: str, original: str, surrogate: str) -> str:
     """A surrogate in the format of the text it replaces."""
     if kind in ("phone", "card", "ssn", "account"):
         rest = iter(surrogate.removeprefix("+"))
-        return "".join(next(rest) if c.isalnum() else c for c in original)
+        return "".join(next(rest) if c.isalnum() else c for c in original) + "".join(rest)
     if kind == "email":
         same = len(surrogate) == len(original)
         return "".join(s.upper() if o.isupper() else s for o, s in zip(original, surrogate)) if same else surrogate
@@ -226,10 +244,13 @@ def entities(documents: DataFrame) -> DataFrame:
 
 
 def assign(found: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, canon, surrogate): distinct within a kind, and never itself an entity of that kind. found: distinct (kind, canon)."""
+    """(kind, canon, surrogate): distinct within a kind, and never itself an entity of that kind. found: distinct (kind, canon).
+
+    Ends for every input, as formats widen without end.
+    """
     known = stored(found, "entities")
     taken, open_ = None, known
-    for attempt in range(ROUNDS):
+    for attempt in itertools.count():
         def pick(batches: Iterator[pa.RecordBatch], attempt: int = attempt) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 made = [draw(k, c, key, attempt) for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
@@ -248,7 +269,6 @@ def assign(found: DataFrame, key: bytes = KEY) -> DataFrame:
         open_ = stored(drawn.select("kind", "canon").join(taken.select("kind", "canon"), ["kind", "canon"], "left_anti"), "open")
         if not open_.limit(1).count():
             return taken
-    raise RuntimeError(f"surrogates still collide after {ROUNDS} draws")
 
 
 def replace_entities(documents: DataFrame, key: bytes = KEY, send_bound: int = SEND_BOUND, count_to: str | None = None) -> DataFrame:

@@ -141,6 +141,18 @@ def test_surrogates_never_collide(spark, monkeypatch):
     assert len(got) == 60 and len({r.surrogate for r in got}) == 60 and not {r.surrogate for r in got} & {r.canon for r in got}
 
 
+def test_surrogates_of_full_formats(spark):
+    masked = ["Password: ********", "token: ----------", "pwd=!@#$%^&*"]
+    assert [len(surrogates.detect(t)) for t in masked] == [0, 0, 1]
+    found = [("ip", f"192.168.{a}.{b}") for a in range(1, 10) for b in range(1, 10)] + [("email", f"{c}@example.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("email", "½@example.com"), ("secret", "!@#$%^&*"), ("secret", "a-------")]
+    got = surrogates.assign(spark.createDataFrame(found, "kind string, canon string")).collect()
+    assert len({(r.kind, r.surrogate) for r in got}) == len(got) == len(found) and not {(r.kind, r.surrogate) for r in got} & set(found)
+    assert all(r.surrogate.startswith("192.168.") for r in got if r.kind == "ip")
+    full = [surrogates.draw(k, c, b"k", a) for k, c in found for a in (16, 24, 32, 100)]
+    assert all(full) and len(set(full[:324])) > 300
+    assert surrogates.render("phone", "(030) 12", "23456789") == "(234) 56789"
+
+
 # ---- 3
 
 
