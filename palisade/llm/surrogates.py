@@ -1,7 +1,7 @@
 """Personal data: detected entities receive keyed, type-consistent surrogates.
 
 detect() finds e-mail addresses, telephone, card, social security and bank account numbers, IP addresses, access keys, assigned
-secrets and titled names in whole texts. Each has a canonical form, so all its spellings share one surrogate. A surrogate keeps
+secrets and titled names in whole texts; a name that stands behind a title is replaced wherever its text mentions it. Each has a canonical form, so all its spellings share one surrogate. A surrogate keeps
 what the type fixes (length and kinds of characters, card and account checks, the country, private networks, a name's gender and
 script) and is drawn from HMAC-SHA256 of a secret key. assign() draws for all distinct entities of the corpus; a surrogate that
 two entities of a type draw, or that is itself an entity of the corpus, is drawn anew, until all differ. After every WIDEN
@@ -12,8 +12,10 @@ tasks if its size stays below a bound that is checked; otherwise it reaches the
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
+import ipaddress
 import itertools
 import re
 import string
@@ -49,13 +51,17 @@ TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, GENDER), key=len,
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NUMBERS = (
     ("account", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){3,7}(?: ?[A-Z\d]{1,3})?(?!\w)")),
-    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])")),
+    ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\w.,+-])(?<!\d )(?:0\d{1,4}(?: \d{2,8}){1,4}|\d{3} \d{3} \d{4})(?![\w-]| \d|[.,]\d)")),
     ("card", re.compile(r"(?<![\w.-])(?:[3-6]\d{12,18}|[3-6]\d{3}([ -])\d{4}\1\d{4}\1\d{4})(?![\w-])")),
+    ("card", re.compile(r"(?<![\w.-])3\d{3}([ -])\d{6}\1\d{5}(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("ip", re.compile(rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.\d)")),
 )
 THREE_DIGITS = re.compile(r"\d{2}")
-IP6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
+COLONS = re.compile(r"(?<![\w:])[\w:]+")
+GROUP = re.compile(r"[0-9A-Fa-f]{0,4}")
+MENTION = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+PART = re.compile(r"[^\W\d_]+")
 ACCESS_KEY = re.compile(r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)")
 SECRET = re.compile(r"(?i)(?<![a-z])(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>]{8,})")
 LOCAL = re.compile(r"[\w.%+-]")
@@ -86,6 +92,58 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    """IPv6 addresses, full or compressed, as (start, end, canonical form); "::" and "::1" name no one, and words take no part."""
+    for m in COLONS.finditer(text):
+        if m.group().count(":") < 2 or re.match(r"\.\d", text[m.end() : m.end() + 2]):
+            continue
+        at, spans = m.start(), []
+        for group in m.group().split(":"):
+            if GROUP.fullmatch(group):
+                spans.append((at, at + len(group)))
+            else:
+                yield from _address(text, spans)
+                spans = []
+            at += len(group) + 1
+        yield from _address(text, spans)
+
+
+def _address(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """The address that the groups of a run make, if need be without a single colon at an end."""
+    for first, last in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        own = spans[first : len(spans) - last]
+        if 3 <= len(own) <= 9 and not (first and spans[0][0] < spans[0][1] or last and spans[-1][0] < spans[-1][1]):
+            found = text[own[0][0] : own[-1][1]]
+            if any(c.isdigit() for c in found):
+                try:
+                    address = ipaddress.IPv6Address(found)
+                except ValueError:
+                    continue
+                if int(address) > 1:
+                    yield own[0][0], own[-1][1], ":".join(f"{int(x, 16):x}" for x in address.exploded.split(":"))
+                return
+
+
+def _mentions(text: str, names: dict[str, str]) -> Iterator[tuple[int, int, str, str]]:
+    """Whole words, also in capitals, that are names of the text. names: kind by word."""
+    for m in MENTION.finditer(text):
+        parts = [p.span() for p in PART.finditer(text, *m.span())]
+        i = 0
+        while i < len(parts):
+            for j in (i + 1, i):
+                own = text[parts[i][0] : parts[j][1]] if j < len(parts) else ""
+                if own in names:
+                    yield parts[i][0], parts[j][1], names[own], own.lower()
+                    i = j
+                    break
+            i += 1
+
+
+def same_name(kind: str) -> str:
+    """Names are one kind: gender and place only shape what is drawn."""
+    return "name" if kind.startswith("name-") else kind
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical form) of the entities of a text, in order, without overlaps; earlier kinds win."""
     found: list[tuple[int, int, str, str]] = []
@@ -98,27 +156,37 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     if "=" in text or ":" in text:
         # One sign repeated is a mask or a rule, not a value.
         found += [(*m.span(1), "secret", m.group(1)) for m in SECRET.finditer(text) if m.group(1)[0].isalnum() or len(set(m.group(1))) > 1]
-    if text.count(":") >= 7:
-        found += [(*m.span(), "ip6", m.group().lower()) for m in IP6.finditer(text)]
+    if "::" in text or text.count(":") >= 7:
+        found += [(s, e, "ip6", canon) for s, e, canon in _addresses(text)]
     if THREE_DIGITS.search(text):
         for kind, pattern in NUMBERS:
             for m in pattern.finditer(text):
                 s = m.group()
+                if kind == "card" and len(s) == 17 and luhn(_digits(s)):
+                    continue
+                if kind == "phone" and s[0] == "0" and " " in s and not 8 <= len(_digits(s)) <= 13:
+                    continue
                 canon = s if kind == "ip" else s.replace(" ", "") if kind == "account" else ("+" if s[0] == "+" else "") + _digits(s)
                 found.append((*m.span(), kind, canon))
     if any(t in text for t in GENDER):
+        names: dict[str, str] = {}
         for m in TITLED.finditer(text):
             at, parts = m.start(2), m.group(2).split(" ")
             for i, part in enumerate(parts):
-                kind = "s" if i == len(parts) - 1 else GENDER[m.group(1)]
-                found.append((at, at + len(part), f"name-{kind}-{script_of(part)}", part.lower()))
+                own = part[:-2] if part[-2:] in ("'s", "’s", "'S", "’S") else part
+                kind = f"name-{'s' if i == len(parts) - 1 else GENDER[m.group(1)]}-{script_of(own)}"
+                found.append((at, at + len(own), kind, own.lower()))
+                for form in (own, own.upper(), own[0] + own[1:].lower()):
+                    names.setdefault(form, kind)
                 at += len(part) + 1
+        if names:
+            found += _mentions(text, names)
     kept: list[tuple[int, int, str, str]] = []
-    order = {id(x): i for i, x in enumerate(found)}
-    for x in sorted(found, key=lambda x: (order[id(x)], x[0])):
-        if all(x[1] <= s or x[0] >= e for s, e, *_ in kept[-64:]) and (len(kept) <= 64 or all(x[1] <= s or x[0] >= e for s, e, *_ in kept)):
-            kept.append(x)
-    return sorted(kept)
+    for x in found:
+        at = bisect.bisect(kept, x)
+        if (not at or kept[at - 1][1] <= x[0]) and (at == len(kept) or kept[at][0] >= x[1]):
+            kept.insert(at, x)
+    return kept
 
 
 class _Draws:
@@ -171,7 +239,7 @@ def draw(kind: str, canon: str, key: bytes, attempt: int) -> str:
         check = next(c for c in "0123456789" if luhn(made + c) == 0)
         return made + (check if luhn(canon) == 0 else str((int(check) + 1 + rnd.below(9)) % 10))
     if kind == "phone":
-        keep = 2 if canon.startswith("+1") else 3 if canon.startswith("+") else 0
+        keep = 2 if canon.startswith("+1") else 3 if canon.startswith("+") else 1 if canon.startswith("0") else 0
         rest = canon[keep:]
         return canon[:keep] + str(2 + rnd.below(8)) + "".join(map(rnd.like, rest[1:])) + more("0")
     if kind == "ip":
@@ -190,7 +258,8 @@ def draw(kind: str, canon: str, key: bytes, attempt: int) -> str:
             made[0] = "5" * len(made[0]) if len(made[0]) < 3 else "155"
         return ".".join(octets[:keep] + made)
     if kind == "ip6":
-        return ":".join("".join("0123456789abcdef"[rnd.below(16)] for _ in ("0000" if wide else part)) for part in canon.split(":"))
+        group = lambda n: "123456789abcdef"[rnd.below(15)] + "".join("0123456789abcdef"[rnd.below(16)] for _ in range(n - 1))
+        return ":".join("0" if part == "0" and not wide else group(4 if wide else len(part)) for part in canon.split(":"))
     if kind == "account":
         made = canon[:2] + "00" + "".join(map(rnd.like, canon[4:])) + more("0")
         return made[:2] + _account_check(made) + made[4:]
@@ -217,7 +286,9 @@ def render(kind: str, original: str, surrogate: str) -> str:
         same = len(surrogate) == len(original)
         return "".join(s.upper() if o.isupper() else s for o, s in zip(original, surrogate)) if same else surrogate
     if kind == "ip6":
-        return surrogate.upper() if original.isupper() else surrogate
+        groups = original.split(":")
+        made = ipaddress.IPv6Address(surrogate).compressed if "::" in original else ":".join(g.zfill(len(o)) for g, o in zip(surrogate.split(":"), groups))
+        return made.upper() if original.isupper() else made
     if kind.startswith("name-"):
         return surrogate.upper() if original.isupper() else surrogate[0].upper() + surrogate[1:]
     return surrogate
@@ -226,7 +297,7 @@ def render(kind: str, original: str, surrogate: str) -> str:
 def replace(text: str, found: list[tuple[int, int, str, str]], mapping: dict[tuple[str, str], str]) -> str:
     out, at = [], 0
     for start, end, kind, canon in found:
-        out += [text[at:start], render(kind, text[start:end], mapping[kind, canon])]
+        out += [text[at:start], render(kind, text[start:end], mapping[same_name(kind), canon])]
         at = end
     return "".join([*out, text[at:]])
 
@@ -246,17 +317,19 @@ def entities(documents: DataFrame) -> DataFrame:
 def assign(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, canon, surrogate): distinct within a kind, and never itself an entity of that kind. found: distinct (kind, canon).
 
+    Names of all kinds come back as the kind "name": a word has one surrogate whatever its gender and place.
     Ends for every input, as formats widen without end.
     """
-    known = stored(found, "entities")
+    name = F.when(F.startswith("kind", F.lit("name-")), F.lit("name")).otherwise(F.col("kind"))
+    known = stored(found.groupBy(name.alias("kind"), "canon").agg(F.min("kind").alias("shape")), "entities")
     taken, open_ = None, known
     for attempt in itertools.count():
         def pick(batches: Iterator[pa.RecordBatch], attempt: int = attempt) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                made = [draw(k, c, key, attempt) for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], ["kind", "canon", "surrogate"])
+                made = [draw(k, c, key, attempt) for k, c in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "canon", "shape", "surrogate"])
 
-        drawn = open_.select("kind", "canon").mapInArrow(pick, "kind string, canon string, surrogate string")
+        drawn = open_.select("kind", "canon", "shape").mapInArrow(pick, "kind string, canon string, shape string, surrogate string")
         drawn = drawn.join(known.select("kind", F.col("canon").alias("surrogate"), F.lit(1).alias("real")).distinct(), ["kind", "surrogate"], "left")
         if taken is not None:
             drawn = drawn.join(taken.select("kind", "surrogate", F.lit(1).alias("used")), ["kind", "surrogate"], "left")
@@ -266,7 +339,7 @@ def assign(found: DataFrame, key: bytes = KEY) -> DataFrame:
         free = drawn.where("real is null and used is null")
         won = free.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).select("kind", "canon", "surrogate")
         taken = stored(won if taken is None else taken.unionByName(won), "surrogates")
-        open_ = stored(drawn.select("kind", "canon").join(taken.select("kind", "canon"), ["kind", "canon"], "left_anti"), "open")
+        open_ = stored(drawn.select("kind", "canon", "shape").join(taken.select("kind", "canon"), ["kind", "canon"], "left_anti"), "open")
         if not open_.limit(1).count():
             return taken
 
@@ -306,7 +379,7 @@ def replace_entities(documents: DataFrame, key: bytes = KEY, send_bound: int = S
 
     def own_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted({(a, b, k, c) for text, a, b in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()) for *_, k, c in detect(text.as_py())})
+            rows = sorted({(a, b, same_name(k), c) for text, a, b in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()) for *_, k, c in detect(text.as_py())})
             cols = list(zip(*rows)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["_ta", "_tb", "kind", "canon"])
 

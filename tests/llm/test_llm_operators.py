@@ -153,6 +153,23 @@ def test_surrogates_of_full_formats(spark):
     assert surrogates.render("phone", "(030) 12", "23456789") == "(234) 56789"
 
 
+def test_surrogates_hold_everywhere_in_a_text(spark):
+    kinds = lambda t: [(t[s:e], k) for s, e, k, _ in surrogates.detect(t)]
+    assert kinds("at 2001:db8::1: down, src:2001:0DB8:0:0::1, not ::1, std::vector, 12:30:45 or a::b") == [("2001:db8::1", "ip6"), ("2001:0DB8:0:0::1", "ip6")]
+    assert kinds("card 3782 822463 10005, not 3782 822463 10006") == [("3782 822463 10005", "card")]
+    assert kinds("call 030 1234 5678 or 555 123 4567, in 100 000 000 cases") == [("030 1234 5678", "phone"), ("555 123 4567", "phone")]
+    rows = [(0, "Mr John Smith came. Smith's brother SMITH said: John, a smith, is not Smithson."), (1, "Mr John and Mr John Smith."), (2, "Dr Anna Meier, Frau Anna Meier"), (3, "from 2001:db8::1 to 2001:0db8:0::1")]
+    for bound in (surrogates.SEND_BOUND, 0):
+        out = {r.doc_id: r.text for r in surrogates.replace_entities(docs_of(spark, rows), send_bound=bound).collect()}
+        own = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+)'s brother (\w+) said: (\w+), a smith, is not Smithson\.", out[0])
+        assert own[2] == own[3] == own[4].capitalize() and own[4].isupper() and own[1] == own[5] and not {"John", "Smith"} & {own[1], own[2]}
+        assert out[1] == f"Mr {own[1]} and Mr {own[1]} {own[2]}."
+        first, last = re.fullmatch(r"Dr (\w+ \w+), Frau (\w+ \w+)", out[2]).groups()
+        assert first == last != "Anna Meier"
+        one, two = re.fullmatch(r"from (\S+) to (\S+)", out[3]).groups()
+        assert one == two != "2001:db8::1"
+
+
 # ---- 3
 
 
