@@ -1,10 +1,11 @@
-"""License scans: exact set-similarity join between lines of texts and license templates, in DataFrame functions only.
-
-A line meets a template T if it holds at least `threshold` of T's distinct words. Words are put in one global order, rarest in the
-corpus first. At least need = ceil(threshold * |T|) of T's words must occur, so one of its first |T| - need + 1 words does: only
-these are joined with the words of the lines (prefix filter). A line with fewer than `need` distinct words is out (length filter),
-and so is a pair whose first common word stands so late in T that too few words can follow (positional filter). What is left is
-verified on the whole sets.
+"""License scans: exact set-similarity join between blocks of texts and license templates, in DataFrame functions only.
+
+The blocks of a template of L words are all runs of 2 L consecutive words of a line (a shorter line is one block), and all runs of
+L consecutive words of the text, across line ends. A block meets a template T if it holds at least `threshold` of T's distinct
+words. Words are put in one global order, rarest in the corpus first. At least need = ceil(threshold * |T|) of T's words must
+occur, so one of its first |T| - need + 1 words does: only these are joined with the words of the lines and texts (prefix filter).
+A line or text with fewer than `need` distinct words is out (length filter), and so is a pair whose first common word stands so
+late in T that too few words can follow (positional filter). What is left is verified on every block that begins with a word of T.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ TEMPLATES = {
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def word_sequence(text: Column) -> Column:
+    """Lower-cased words of a text in their order."""
+    return F.array_remove(F.split(F.translate(text, *LOWER), GAP), "")
+
+
 def words(text: Column) -> Column:
     """Distinct lower-cased words of a text, as a set."""
     return F.array_remove(F.array_distinct(F.split(F.translate(text, *LOWER), GAP)), "")
@@ -73,11 +79,11 @@ def word_order(texts: DataFrame, text_col: str, vocabulary: list[str]) -> list[s
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def license_lines(texts: DataFrame, key_cols: list[str], text_col: str, templates: dict[str, str] = TEMPLATES, threshold: str = THRESHOLD) -> DataFrame:
-    """(key columns, line int, label, containment double): every line of every text that meets a template.
+def license_blocks(texts: DataFrame, key_cols: list[str], text_col: str, templates: dict[str, str] = TEMPLATES, threshold: str = THRESHOLD) -> DataFrame:
+    """(key columns, line int, label, containment double): the best block of every line that meets a template, and of every text.
 
-    Lines end at \\n and count from 0. Null and empty texts, and lines without words, meet nothing. Repeated rows come back as
-    often. threshold is a decimal text, so that need is exact. A very long line is one set of words.
+    Lines end at \\n and count from 0; the text itself is number -1. Null and empty texts, and lines without words, meet nothing.
+    Repeated rows come back as often. threshold is a decimal text, so that need is exact.
     """
     spark = texts.sparkSession
     sets = {label: sorted(set(t.split(" "))) for label, t in templates.items()}
@@ -88,14 +94,15 @@ def license_lines(texts: DataFrame, key_cols: list[str], text_col: str, template
     for label, own in sets.items():
         ordered = sorted(own, key=rank.__getitem__)
         prefix = ordered[: len(own) - need[label] + 1]
-        index += [(w, at, label, ordered, prefix, need[label]) for at, w in enumerate(prefix)]
-    prefixes = spark.createDataFrame(index, "word string, at int, label string, template array<string>, prefix array<string>, need int")
+        index += [(w, at, label, ordered, prefix, need[label], len(templates[label].split(" "))) for at, w in enumerate(prefix)]
+    prefixes = spark.createDataFrame(index, "word string, at int, label string, template array<string>, prefix array<string>, need int, length int")
 
     rare = sorted({w for w, *_ in index})
     some = rf"(?i)(?<!{ANY_CASE_WORD[:-1]})(?:{'|'.join(rare)})(?!{ANY_CASE_WORD[:-1]})"
     text = F.col(text_col)
-    lines = texts.where(text.rlike(some)).select(*key_cols, F.posexplode(F.split(text, "\n")).alias("line", "_line")).where(F.col("_line").rlike(some))
-    lines = lines.select(*key_cols, "line", words(F.col("_line")).alias("_words"))
+    parts = F.posexplode(F.concat(F.array(text), F.split(text, "\n"))).alias("_part", "_line")
+    lines = texts.where(text.rlike(some)).select(*key_cols, parts).where(F.col("_line").rlike(some))
+    lines = lines.select(*key_cols, (F.col("_part") - 1).alias("line"), word_sequence(F.col("_line")).alias("_sequence")).withColumn("_words", F.array_distinct("_sequence"))
     probes = lines.withColumn("word", F.explode(F.array_intersect("_words", F.array(*[F.lit(w) for w in rare]))))
     pairs = probes.join(F.broadcast(prefixes), "word")  # bounded by the templates
     once = F.get(F.array_intersect("prefix", "_words"), F.lit(0)) == F.col("word")
@@ -103,6 +110,10 @@ def license_lines(texts: DataFrame, key_cols: list[str], text_col: str, template
     can_reach = F.size("template") - F.col("at") >= F.col("need")
     common = F.size(F.array_intersect("template", "_words"))
     found = pairs.where(once & long_enough & can_reach).withColumn("_common", common).where(F.col("_common") >= F.col("need"))
+    span = F.when(F.col("line") < 0, F.col("length")).otherwise(2 * F.col("length"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("_sequence")), lambda i: F.array_contains("template", F.get("_sequence", i - 1)))
+    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect("template", F.slice("_sequence", i, span)))))
+    found = found.withColumn("_common", F.when(F.size("_sequence") <= span, F.col("_common")).otherwise(best)).where(F.col("_common") >= F.col("need"))
     return found.select(*key_cols, "line", "label", (F.col("_common") / F.size("template")).alias("containment"))
 
 
@@ -114,7 +125,7 @@ def license_scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, th
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key("text").alias("_key"))
-    found = license_lines(docs, ["_key"], "text", templates, threshold).groupBy("_key").agg(F.collect_set("label").alias("_labels"), F.max("containment").alias("_best"))
+    found = license_blocks(docs, ["_key"], "text", templates, threshold).groupBy("_key").agg(F.collect_set("label").alias("_labels"), F.max("containment").alias("_best"))
     base = docs.select("doc_id", "_key", *phrase_places(F.col("text")))
     own = F.when(F.col("base_labels") != "", F.split("base_labels", ",")).otherwise(F.expr("cast(array() as array<string>)"))
     labels = F.array_join(F.array_sort(F.array_union(own, F.coalesce("_labels", F.expr("cast(array() as array<string>)")))), ",")

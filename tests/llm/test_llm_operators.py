@@ -246,6 +246,19 @@ def test_license_join(spark):
     assert license_join.license_scan(docs_of(spark, [])).count() == 0
 
 
+def test_license_blocks_cross_lines_and_end_inside_them(spark):
+    filler = " filler" * 30
+    rows = [
+        (0, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"),
+        (1, "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. */"),
+        (2, f"released{filler} under{filler} the{filler} license"),
+        (3, f"{filler} released under the MIT license {filler}"),
+        (4, "It is licensed under the terms of the Apache free License, Version 2.0"),
+    ]
+    got = {r.doc_id: r.labels for r in license_join.license_scan(docs_of(spark, rows)).collect()}
+    assert got == {0: "bsd", 1: "mpl-2.0", 2: "", 3: "mit", 4: "apache-2.0"}
+
+
 # ---- 5
 
 
