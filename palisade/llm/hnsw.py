@@ -3,8 +3,9 @@
 Equal vectors form one class, and only classes are compared. Classes are dealt by hash into shards; each shard's graph is built in
 one task and stored. Every pair of shards is one task or more: a block of one shard's vectors searches the other's graph, all
 queries of a batch in step. A search follows the beam, then widens through every neighbour above the threshold, so a large cluster
-is found whole whatever the beam. Each task audits its recall on a sample by brute force and doubles the beam until the audit
-passes; a beam as wide as the shard becomes an exhaustive comparison. Pairs are verified by cosine in double precision. Tasks
+is found whole whatever the beam. Each task audits its recall by brute force on queries drawn evenly at random, as many as it takes
+to have AUDIT_ROWS of them with a true link (all, if there are fewer), and doubles the beam until their mean recall passes; a beam
+as wide as the shard, or an audit of all queries, is an exhaustive comparison. No vector is audited against itself. Pairs are verified by cosine in double precision. Tasks
 return link counts and star edges of their components, never the pairs.
 """
 
@@ -25,6 +26,7 @@ ROWS_PER_BLOCK = 8192
 LINKS = 12
 BUILD_BEAM = 48
 BEAM = 96
+#: Audited queries that have a true link.
 AUDIT_ROWS = 256
 AUDIT_RECALL = 0.99
 SLACK = 1e-4
@@ -169,10 +171,12 @@ class Graph:
             entries = np.full((len(part), 1), self.entry)
             for level in range(len(self.levels) - 1, 0, -1):
                 entries = self._search(part, entries, 1, level)[0]
-            seen = np.zeros((len(part), len(self.x)), bool)
-            ids, sims = self._search(part, entries, beam, 0, seen)
+            ids, sims = self._search(part, entries, beam, 0)
             row, col = np.nonzero(sims >= least)
             node = ids[row, col]
+            # Nodes that fell out of a full beam are met again.
+            seen = np.zeros((len(part), len(self.x)), bool)
+            seen[row, node] = True
             while len(row):
                 rows.append(row + at)
                 nodes.append(node)
@@ -190,19 +194,42 @@ def _exhaustive(q: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(nodes)
 
 
-def audited_pairs(graph: Graph, q: np.ndarray, least: float, beam: int = BEAM, recall: float = AUDIT_RECALL, audit_rows: int = AUDIT_ROWS) -> tuple[np.ndarray, np.ndarray, int]:
-    """within() with the first beam whose audit passes: half of the audited queries had finds, the others are spread evenly."""
-    n = len(graph.x)
+def _apart(rows: np.ndarray, nodes: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where queries are the graph's own vectors, a pair is looked for from the smaller number, and no vector meets itself."""
+    keep = nodes > rows if own else slice(None)
+    return rows[keep], nodes[keep]
+
+
+def audited_beam(graph: Graph, q: np.ndarray, least: float, beam: int = BEAM, recall: float = AUDIT_RECALL, audit_rows: int = AUDIT_ROWS, own: bool = False) -> int:
+    """The first beam whose audit passes; the number of nodes stands for the exhaustive comparison."""
+    n, order = len(graph.x), np.random.default_rng(7).permutation(len(q))
+    taken, linked, truth = 0, 0, [np.empty(0, np.int64)]
+    while taken < len(q) and linked < audit_rows:
+        part = order[taken : taken + 512]
+        rows, nodes = _exhaustive(q[part], graph.x, least)
+        rows, nodes = _apart(part[rows], nodes, own)
+        truth.append(rows.astype(np.int64) * n + nodes)
+        linked += len(np.unique(rows))
+        taken += len(part)
+    if taken == len(q):
+        return n
+    truth, sample = np.concatenate(truth), order[:taken]
+    queries, of, wanted = np.unique(truth // n, return_inverse=True, return_counts=True)
     while beam < n:
-        rows, nodes = graph.within(q, least, beam)
-        hit = np.unique(rows)
-        sample = np.unique(np.concatenate([np.linspace(0, len(q) - 1, min(len(q), audit_rows // 2)).astype(int), hit[np.linspace(0, len(hit) - 1, min(len(hit), audit_rows // 2)).astype(int)] if len(hit) else np.empty(0, int)]))
-        true_rows, true_nodes = _exhaustive(q[sample], graph.x, least)
-        truth = sample[true_rows].astype(np.int64) * n + true_nodes
-        if not len(truth) or np.isin(truth, rows.astype(np.int64) * n + nodes).mean() >= recall:
-            return rows, nodes, beam
+        rows, nodes = graph.within(q[sample], least, beam)
+        rows, nodes = _apart(sample[rows], nodes, own)
+        hits = np.bincount(of, np.isin(truth, rows.astype(np.int64) * n + nodes), len(queries))
+        if (hits / wanted).mean() >= recall:
+            return beam
         beam *= 2
-    return *_exhaustive(q, graph.x, least), n
+    return n
+
+
+def audited_pairs(graph: Graph, q: np.ndarray, least: float, beam: int = BEAM, recall: float = AUDIT_RECALL, audit_rows: int = AUDIT_ROWS, own: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """within() with the first beam whose audit passes, or all pairs. own: the queries are the graph's vectors in their order."""
+    beam = audited_beam(graph, q, least, beam, recall, audit_rows, own)
+    found = graph.within(q, least, beam) if beam < len(graph.x) else _exhaustive(q, graph.x, least)
+    return *_apart(*found, own), beam
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -285,10 +312,7 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
         graph, vectors, ids, copies = pickle.loads(left["graph"].iloc[0])
         vectors = vectors.astype(np.float64)
         if left["own"].iloc[0]:
-            rows, nodes, _ = audited_pairs(graph, graph.x, threshold - SLACK)
-            key = np.unique(np.minimum(rows, nodes) * len(ids) + np.maximum(rows, nodes))
-            rows, nodes = key // len(ids), key % len(ids)
-            rows, nodes = rows[rows != nodes], nodes[rows != nodes]
+            rows, nodes, _ = audited_pairs(graph, graph.x, threshold - SLACK, own=True)
             keep = _verified(vectors, vectors, rows, nodes, threshold)
             return _summary(ids[rows[keep]], ids[nodes[keep]], copies[rows[keep]], copies[nodes[keep]])
         if not len(right):

@@ -493,3 +493,17 @@ def test_graph_recall_and_audit():
     found = set(zip(rows.tolist(), nodes.tolist()))
     assert found <= want and len(found) >= 0.99 * len(want)
     assert hnsw.Graph(np.empty((0, 4))).entry == -1
+
+
+def test_audit_sees_missed_sparse_links(monkeypatch):
+    """Twenty pairs among 1,500 vectors, all missed by a search that finds every vector itself and nothing else."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(1500, 32))
+    x[20:40] = x[:20] + rng.normal(size=(20, 32)) * 0.01
+    graph = hnsw.Graph(hnsw.unit(x).astype(np.float32))
+    want = {(i, i + 20) for i in range(20)}
+    monkeypatch.setattr(hnsw.Graph, "within", lambda self, q, least, beam: (np.arange(len(q)), np.arange(len(q))))
+    rows, nodes, _ = hnsw.audited_pairs(graph, graph.x, 0.95, own=True)
+    assert set(zip(rows.tolist(), nodes.tolist())) == want
+    rows, nodes, beam = hnsw.audited_pairs(graph, graph.x, 0.95, audit_rows=8, own=True)
+    assert set(zip(rows.tolist(), nodes.tolist())) == want and beam == len(graph.x)
