@@ -5,13 +5,14 @@ one task and stored. Every pair of shards is one task or more: a block of one sh
 queries of a batch in step. A search follows the beam, then widens through every neighbour above the threshold, so a large cluster
 is found whole whatever the beam. Each task audits its recall by brute force on queries drawn evenly at random, as many as it takes
 to have AUDIT_ROWS of them with a true link (all, if there are fewer), and doubles the beam until their mean recall passes; a beam
-as wide as the shard, or an audit of all queries, is an exhaustive comparison. No vector is audited against itself. Pairs are verified by cosine in double precision. Tasks
-return link counts and star edges of their components, never the pairs.
+as wide as the shard, or an audit of all queries, is an exhaustive comparison. No vector is audited against itself. Pairs are verified by cosine in double precision and dropped,
+batch by batch: a task holds link counts and a forest, and returns the counts and the forest's edges, never the pairs.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ BEAM = 96
 #: Audited queries that have a true link.
 AUDIT_ROWS = 256
 AUDIT_RECALL = 0.99
+#: (query, node) pairs that are widened or compared in one go.
+PAIRS_AT_ONCE = 20_000
 SLACK = 1e-4
 
 
@@ -164,7 +167,10 @@ class Graph:
 
     def within(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) of similarity >= least that a beam search and the spread from its finds reach."""
-        rows, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        return _joined(self.pieces(q, least, beam))
+
+    def pieces(self, q: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """within() piece by piece; every pair once."""
         size = max(1, min(256, 32_000_000 // max(1, len(self.x))))
         for at in range(0, len(q), size):
             part = q[at : at + size]
@@ -178,22 +184,29 @@ class Graph:
             seen = np.zeros((len(part), len(self.x)), bool)
             seen[row, node] = True
             while len(row):
-                rows.append(row + at)
-                nodes.append(node)
-                row, node, s = self._spread(part, row, node, 0, seen)
-                row, node = row[s >= least], node[s >= least]
-        return np.concatenate(rows), np.concatenate(nodes)
+                yield row + at, node
+                wider = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+                for k in range(0, len(row), PAIRS_AT_ONCE):
+                    r, n, s = self._spread(part, row[k : k + PAIRS_AT_ONCE], node[k : k + PAIRS_AT_ONCE], 0, seen)
+                    wider.append((r[s >= least], n[s >= least]))
+                row, node = _joined(wider)
 
 
-def _exhaustive(q: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    rows, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for at in range(0, len(q), 512):
-        r, n = np.nonzero(q[at : at + 512] @ x.T >= least)
-        rows.append(r + at)
-        nodes.append(n)
+def _joined(pieces: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    rows, nodes = zip((np.empty(0, np.int64), np.empty(0, np.int64)), *pieces)
     return np.concatenate(rows), np.concatenate(nodes)
 
 
+def _exhaustive_pieces(q: np.ndarray, x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for at in range(0, len(q), 128):
+        rows, nodes = np.nonzero(q[at : at + 128] @ x.T >= least)
+        yield rows + at, nodes
+
+
+def _exhaustive(q: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    return _joined(_exhaustive_pieces(q, x, least))
+
+
 def _apart(rows: np.ndarray, nodes: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
     """Where queries are the graph's own vectors, a pair is looked for from the smaller number, and no vector meets itself."""
     keep = nodes > rows if own else slice(None)
@@ -205,7 +218,7 @@ def audited_beam(graph: Graph, q: np.ndarray, least: float, beam: int = BEAM, re
     n, order = len(graph.x), np.random.default_rng(7).permutation(len(q))
     taken, linked, truth = 0, 0, [np.empty(0, np.int64)]
     while taken < len(q) and linked < audit_rows:
-        part = order[taken : taken + 512]
+        part = order[taken : taken + 64]
         rows, nodes = _exhaustive(q[part], graph.x, least)
         rows, nodes = _apart(part[rows], nodes, own)
         truth.append(rows.astype(np.int64) * n + nodes)
@@ -228,8 +241,13 @@ def audited_beam(graph: Graph, q: np.ndarray, least: float, beam: int = BEAM, re
 def audited_pairs(graph: Graph, q: np.ndarray, least: float, beam: int = BEAM, recall: float = AUDIT_RECALL, audit_rows: int = AUDIT_ROWS, own: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
     """within() with the first beam whose audit passes, or all pairs. own: the queries are the graph's vectors in their order."""
     beam = audited_beam(graph, q, least, beam, recall, audit_rows, own)
-    found = graph.within(q, least, beam) if beam < len(graph.x) else _exhaustive(q, graph.x, least)
-    return *_apart(*found, own), beam
+    return *_joined(audited_pieces(graph, q, least, beam, own)), beam
+
+
+def audited_pieces(graph: Graph, q: np.ndarray, least: float, beam: int, own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of audited_pairs() at a beam, piece by piece."""
+    for rows, nodes in graph.pieces(q, least, beam) if beam < len(graph.x) else _exhaustive_pieces(q, graph.x, least):
+        yield _apart(rows, nodes, own)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -246,31 +264,35 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 
 def _verified(left: np.ndarray, right: np.ndarray, rows: np.ndarray, nodes: np.ndarray, threshold: float) -> np.ndarray:
     keep = np.zeros(len(rows), bool)
-    for at in range(0, len(rows), 100_000):
-        a, b = left[rows[at : at + 100_000]], right[nodes[at : at + 100_000]]
+    for at in range(0, len(rows), PAIRS_AT_ONCE):
+        a, b = left[rows[at : at + PAIRS_AT_ONCE]], right[nodes[at : at + PAIRS_AT_ONCE]]
         norm = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))
-        keep[at : at + 100_000] = np.einsum("ij,ij->i", a, b) / norm >= threshold
+        keep[at : at + PAIRS_AT_ONCE] = np.einsum("ij,ij->i", a, b) / norm >= threshold
     return keep
 
 
-def _summary(a: np.ndarray, b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray) -> pd.DataFrame:
-    """Counts of links (b = -1) and star edges of the components of links a[i] - b[i]."""
-    if not len(a):
-        return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
-    counts = pd.DataFrame({"a": np.concatenate([a, b]), "n": np.concatenate([copies_b, copies_a])}).groupby("a", as_index=False)["n"].sum()
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    low = np.arange(len(nodes))
-    while True:
-        new = low.copy()
-        np.minimum.at(new, i, low[j])
-        np.minimum.at(new, j, low[i])
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    star = pd.DataFrame({"a": nodes, "b": nodes[low], "n": 0})
-    return pd.concat([counts.assign(b=-1), star[star["a"] != star["b"]]])[["a", "b", "n"]].astype("int64")
+def _summary(pieces: Iterator[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, copies: np.ndarray) -> pd.DataFrame:
+    """Counts of links (b = -1) and star edges of the components of the links between places of ids; a piece is dropped when counted."""
+    count, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for i, j in pieces:
+        np.add.at(count, i, copies[j])
+        np.add.at(count, j, copies[i])
+        i, j = low[i], low[j]
+        if (i == j).all():
+            continue
+        new = np.arange(len(ids))
+        while True:
+            last = new.copy()
+            np.minimum.at(new, i, last[j])
+            np.minimum.at(new, j, last[i])
+            new = new[new]
+            if (new == last).all():
+                break
+        low = new[low]
+    some = np.flatnonzero(count)
+    star = np.flatnonzero(low != np.arange(len(ids)))
+    table = {"a": np.concatenate([ids[some], ids[star]]), "b": np.concatenate([np.full(len(some), -1), ids[low[star]]]), "n": np.concatenate([count[some], np.zeros(len(star))])}
+    return pd.DataFrame(table).astype("int64")
 
 
 def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, least_shards: int = SHARDS) -> DataFrame:
@@ -307,21 +329,22 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     right = right.select("c", "copies", "v", number(F.col("to"), F.col("shard"), F.col("block")).alias("task"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return _summary(*(np.empty(0, np.int64),) * 4)
+        own = len(left) > 0 and left["own"].iloc[0]
+        if not len(left) or not own and not len(right):
+            return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
         graph, vectors, ids, copies = pickle.loads(left["graph"].iloc[0])
         vectors = vectors.astype(np.float64)
-        if left["own"].iloc[0]:
-            rows, nodes, _ = audited_pairs(graph, graph.x, threshold - SLACK, own=True)
-            keep = _verified(vectors, vectors, rows, nodes, threshold)
-            return _summary(ids[rows[keep]], ids[nodes[keep]], copies[rows[keep]], copies[nodes[keep]])
-        if not len(right):
-            return _summary(*(np.empty(0, np.int64),) * 4)
-        asked = _matrix(right["v"], width)
-        rows, nodes, _ = audited_pairs(graph, unit(asked).astype(np.float32), threshold - SLACK)
-        keep = _verified(asked, vectors, rows, nodes, threshold)
-        c, k = right["c"].to_numpy(), right["copies"].to_numpy()
-        return _summary(c[rows[keep]], ids[nodes[keep]], k[rows[keep]], copies[nodes[keep]])
+        asked = vectors if own else _matrix(right["v"], width)
+        q = graph.x if own else unit(asked).astype(np.float32)
+        beam, n = audited_beam(graph, q, threshold - SLACK, own=own), len(ids)
+        places, k = (ids, copies) if own else (np.concatenate([ids, right["c"]]), np.concatenate([copies, right["copies"]]))
+
+        def links() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for rows, nodes in audited_pieces(graph, q, threshold - SLACK, beam, own):
+                keep = _verified(asked, vectors, rows, nodes, threshold)
+                yield rows[keep] + (0 if own else n), nodes[keep]
+
+        return _summary(links(), places, k)
 
     found = stored(left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(search, "a long, b long, n long"), "links")
     links = found.where("b < 0").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "c")

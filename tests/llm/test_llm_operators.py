@@ -507,3 +507,20 @@ def test_audit_sees_missed_sparse_links(monkeypatch):
     assert set(zip(rows.tolist(), nodes.tolist())) == want
     rows, nodes, beam = hnsw.audited_pairs(graph, graph.x, 0.95, audit_rows=8, own=True)
     assert set(zip(rows.tolist(), nodes.tolist())) == want and beam == len(graph.x)
+
+
+def test_links_are_counted_piece_by_piece():
+    """A group of near copies: no piece holds all of its pairs, and counts and components are whole."""
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(2000, 16))
+    x[:1200] = x[0] + rng.normal(size=(1200, 16)) * 0.01
+    graph = hnsw.Graph(hnsw.unit(x).astype(np.float32))
+    want = graph.x @ graph.x.T >= 0.95
+    for beam in (64, len(x)):
+        pieces = list(hnsw.audited_pieces(graph, graph.x, 0.95, beam, True))
+        assert max(len(rows) for rows, _ in pieces) < 1200 * 1199 / 2 / 3
+        out = hnsw._summary(iter(pieces), np.arange(2000) + 5, np.ones(2000, int))
+        n = dict(out[out["b"] < 0][["a", "n"]].itertuples(index=False))
+        full = want.sum(axis=1) - 1
+        assert sum(n.values()) >= 0.99 * full.sum() and all(v <= full[a - 5] for a, v in n.items())
+        assert {a for a, b in out[out["b"] == 5][["a", "b"]].itertuples(index=False)} >= {*range(6, 1205)}
