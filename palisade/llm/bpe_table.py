@@ -5,8 +5,9 @@
 3. The answers return to their block, where the positions are filled in: ids, and pieces by a join with the id-to-piece table,
    which is bounded by the vocabulary and therefore sent to every task.
 
-The texts themselves never travel, and a word at most once a block. A block's number is a hash of its words in their order, so it is
-the same whenever the block is worked out again, as after the loss of an executor; nothing has to be written in between.
+The texts themselves never travel, and a word at most once a block. A block's number is a hash of its partition, its place there,
+its doc_ids and its words in their order, so it is the same whenever the block is worked out again, as after the loss of an
+executor, and blocks of copies stay apart; nothing has to be written in between.
 """
 
 from __future__ import annotations
@@ -44,7 +45,10 @@ def _unsqueeze(data: bytes) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[int, list[str], list[tuple[list, list, bytes]]]]:
     """(block number, words, [(ids of texts, word counts, word numbers)]) of the texts of a partition."""
     import xxhash
+    from pyspark import TaskContext
 
+    task = TaskContext.get()
+    partition, place = task.partitionId() if task else 0, 0
     words_of = encoder(tokenizer).words
     numbers: dict[str, int] = {}
     rows: list[tuple[list, list, bytes]] = []
@@ -52,7 +56,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple
 
     def block() -> tuple[int, list[str], list[tuple[list, list, bytes]]]:
         words = list(numbers)
-        return xxhash.xxh64_intdigest("\x00".join(words)) - 2**63, words, rows
+        own = xxhash.xxh64(f"{partition} {place} ")
+        for ids, _, _ in rows:
+            own.update(f"{ids}")
+        own.update("\x00".join(words))
+        return own.intdigest() - 2**63, words, rows
 
     for batch in batches:
         codes: list[int] = []
@@ -68,7 +76,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple
         total += len(codes)
         if total >= WORDS_PER_BLOCK:
             yield block()
-            numbers, rows, total = {}, [], 0
+            numbers, rows, total, place = {}, [], 0, place + 1
     if rows:
         yield block()
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -406,6 +407,15 @@ def test_bpe_round_trip(spark):
     assert bpe_table.encode_and_decode(docs_of(spark, []), TOKENIZER).count() == 0
 
 
+def test_blocks_of_copies_stay_apart(monkeypatch):
+    monkeypatch.setattr(bpe_table, "WORDS_PER_BLOCK", 4)
+    batch = lambda ids: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(["one two three four"] * len(ids))], ["doc_id", "text"])
+    made = lambda batches: [b for b, _, _ in bpe_table._blocks(iter(batches), TOKENIZER)]
+    got = made([batch([1]), batch([2]), batch([2]), batch([None]), batch([None])])
+    assert len(got) == 5 == len(set(got)) and got == made([batch([1]), batch([2]), batch([2]), batch([None]), batch([None])])
+    assert made([batch([1])]) != made([batch([2])])
+
+
 def test_plain_short_cut_equals_the_library():
     own = encoder(TOKENIZER)
     assert own.short_cut
