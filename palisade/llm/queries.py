@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palisade.llm import bpe_table, hnsw, license_join, ngram_join, packing, surrogates, topk, toxicity, url_cascade, warc_bundles
+from palisade.llm import bpe_table, hnsw, language, lexical_search, license_join, ngram_join, packing, prefix_trie, surrogates, topk, toxicity, url_cascade, warc_bundles
 from palisade.operators.urls import SUSPICIOUS_TLDS
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -82,6 +82,21 @@ def op10_hnsw_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id")))
+    answers = language.identify(docs.select("doc_id", "text"), model)
+    return answers.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def _rows(rows: list[tuple[str, ...]]) -> str:
     return ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for row in rows)
 
@@ -139,6 +154,58 @@ from base left join found using (r)
 """
 
 
+def _search_sql(k: int = 10) -> str:
+    lower = lambda c: f"translate({c}, '{license_join.LOWER[0]}', '{license_join.LOWER[1]}')"
+    return f"""
+with docs as (
+  select row_number() over () r, doc_id, regexp_extract_all({lower("coalesce(text, '')")}, '{license_join.WORD}') w from documents
+), totals as (select count(*) nd, sum(len(w)) nt from docs where len(w) > 0),
+wanted as (
+  select distinct item_id, unnest(regexp_extract_all({lower("coalesce(text, '')")}, '{license_join.WORD}')) term from benchmark
+), tf as (
+  select r, term, count(*) tf from (select r, unnest(w) term from docs) where term in (select term from wanted) group by all
+), weights as (
+  select term, cast(floor(1000 * ln((2.0 * nd + 2) / (2.0 * count(*) + 1))) as bigint) weight from tf, totals group by term, nd
+), scores as (
+  select item_id, r, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(w) * nd) // nt)))) as bigint) score
+  from wanted join tf using (term) join weights using (term) join docs using (r), totals group by item_id, r, doc_id
+), ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) "rank", doc_id, score from scores where score > 0
+)
+select item_id, "rank", doc_id, score from ranked where "rank" <= {k}
+"""
+
+
+def _trie_sql() -> str:
+    bits = "list_reduce(range(8), lambda y, b: case when y % 2 = 1 then xor(y >> 1, 3988292384) else y >> 1 end, xor({}, ascii(ch)::bigint))"
+    crc = f"xor(list_reduce(string_split(cast(conv_id as varchar), ''), lambda x, ch: {bits.format('x')}, 4294967295::bigint), 4294967295::bigint)"
+    return f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') "role", coalesce(text, '') "text" from conversations where conv_id is not null
+), own as (
+  select conv_id, list({{'r': "role", 't': "text"}} order by turn nulls first, "role", "text") own, {crc} % 9 h from turns group by conv_id
+), rebuilt as (
+  select o.conv_id, coalesce(b.own[1:o.h], []) || o.own[o.h + 1:] seq from own o left join own b on b.conv_id = o.conv_id - o.conv_id % 5
+), prefixes as (
+  select conv_id, d, seq[1:d] pre, len(seq) = d ends from (select conv_id, seq, unnest(range(len(seq) + 1)) d from rebuilt)
+), nodes as (
+  select d, pre, min(conv_id) conv_id, count(*) n_convs, case when d = 0 then 0 else strlen(pre[d]['t']) end bytes,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) ends_sha256
+  from prefixes group by d, pre
+), kids as (
+  select p.conv_id, p.d, any_value(u.conv_id) parent_conv_id, count(distinct k.conv_id) n_children
+  from nodes p left join nodes k on k.d = p.d + 1 and k.pre[1:p.d] = p.pre left join nodes u on u.d = p.d - 1 and u.pre = p.pre[1:p.d - 1]
+  group by p.conv_id, p.d
+), subtrees as (
+  select p.conv_id, p.d, count(*) filter (k.n_children = 0) n_leaves, sum((s.n_convs - 1) * s.bytes) saved
+  from nodes p join nodes s on s.d >= p.d and s.pre[1:p.d] = p.pre join kids k on k.conv_id = s.conv_id and k.d = s.d group by p.conv_id, p.d
+)
+select n.conv_id, cast(n.d as bigint) "depth", parent_conv_id, n_convs, cast(n_children as bigint) n_children, cast(n_leaves as bigint) n_leaves,
+  cast(saved as bigint) saved_tokens, ends_sha256
+from nodes n join kids k on k.conv_id = n.conv_id and k.d = n.d join subtrees t on t.conv_id = n.conv_id and t.d = n.d
+"""
+
+
 _ALL = (
     op1_url_cascade,
     op2_surrogates,
@@ -150,11 +217,16 @@ _ALL = (
     op8_bpe_round_trip,
     op9_warc_bundles,
     op10_hnsw_near_duplicates,
+    op11_prefix_trie,
+    op12_ranked_search,
+    op13_language,
 )
 QUERIES = {query.__name__: query for query in _ALL}
 ORACLE: dict[str, str] = {
     "op1_url_cascade": _url_sql(),
     "op4_license_join": _license_sql(),
+    "op11_prefix_trie": _trie_sql(),
+    "op12_ranked_search": _search_sql(),
     "op7_exact_top_k": """
 with good as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v
