@@ -186,43 +186,41 @@ def _trie(turns: DataFrame, k: Residues, group: int) -> DataFrame | None:
     )
 
 
+def _batch(rows: list[list], numbers: list[str], text: str) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(numbers))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([r[-1] for r in rows], pa.string())], [*numbers, text])
+
+
 def _digests(ends: DataFrame) -> DataFrame:
     """SHA-256 of the ascending, comma-joined ids of each node: ids become pieces in ranges, pieces of a node one digest."""
     node = ", ".join(f"{x} long" for x in NODE)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids = None, []
-
-        def row() -> pa.RecordBatch:
-            out = [*at, ids[0], ",".join(map(str, ids))]
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in out], [*NODE, "low", "ids"])
-
         for batch in batches:
+            out = []
             for *key, c in zip(*(batch.column(x).to_pylist() for x in (*NODE, "c"))):
                 if ids and (key != at or len(ids) == IDS_PER_PIECE):
-                    yield row()
+                    out.append([*at, ids[0], ",".join(map(str, ids))])
                     ids = []
                 at = key
                 ids.append(c)
-        if ids:
-            yield row()
+            yield _batch(out, [*NODE, "low"], "ids")
+        yield _batch([[*at, ids[0], ",".join(map(str, ids))]] if ids else [], [*NODE, "low"], "ids")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, None
-
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*[pa.array([x], pa.int64()) for x in at], pa.array([state.hexdigest()])], [*NODE, "ends_sha256"])
-
         for batch in batches:
+            out = []
             for *key, ids in zip(*(batch.column(x).to_pylist() for x in (*NODE, "ids"))):
                 if key != at:
                     if at is not None:
-                        yield row()
+                        out.append([*at, state.hexdigest()])
                     at, state = key, hashlib.sha256(ids.encode())
                 else:
                     state.update(b"," + ids.encode())
-        if at is not None:
-            yield row()
+            yield _batch(out, NODE, "ends_sha256")
+        yield _batch([] if at is None else [[*at, state.hexdigest()]], NODE, "ends_sha256")
 
     cut = ends.repartitionByRange(*NODE, "c").sortWithinPartitions(*NODE, "c").mapInArrow(pieces, f"{node}, low long, ids string")
     return cut.repartition(*NODE).sortWithinPartitions(*NODE, "low").mapInArrow(digest, f"{node}, ends_sha256 string")
