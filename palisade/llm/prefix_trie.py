@@ -128,8 +128,9 @@ def _numbered(turns: DataFrame, k: Residues) -> tuple[DataFrame, DataFrame]:
 
 
 def _trie(turns: DataFrame, k: Residues, group: int) -> DataFrame | None:
-    keyed = turns.select(F.struct("role", "text").alias("t"), *[F.xxhash64("role", "text", F.lit(2 * k.attempt + i)).alias(n) for i, n in enumerate("ab")])
-    if keyed.groupBy("a", "b").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x != y").limit(1).count():
+    texts = turns.groupBy("role", "text").agg(F.lit(1).alias("one"))
+    keys = texts.select(*[F.xxhash64("role", "text", F.lit(2 * k.attempt + i)).alias(n) for i, n in enumerate("ab")])
+    if keys.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         return None
     local, spans = _numbered(turns, k)
     spans = stored(spans, "spans")
