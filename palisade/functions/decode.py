@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palisade.functions.text import find_all, is_meaningful, java_regex, strip
+from palisade.storage import run_folder
 
 # Escape patterns in scripts.
 HEX_ESCAPES = r"(?:\\x[0-9a-fA-F]{2})+"
@@ -90,8 +91,6 @@ def percent_decoded(text: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def _gunzip_base64(texts: pd.Series) -> pd.Series:
     def one(text):
-        if text is None:
-            return None
         try:
             return gzip.decompress(base64.b64decode(text)).decode("utf-8", errors="replace")
         except (ValueError, binascii.Error, OSError, EOFError, zlib.error):
@@ -104,40 +103,69 @@ def _gunzip_base64(texts: pd.Series) -> pd.Series:
 _gunzip_base64 = _gunzip_base64.asNondeterministic()
 
 
+def _looks_encoded(data: Column) -> Column:
+    """Whether any decoder could take the text."""
+    return data.rlike("(?d)^[A-Za-z0-9+/=]+$") | F.contains(data, F.lit("%")) | _looks_zipped(data)
+
+
+def _looks_zipped(data: Column) -> Column:
+    """Base64 of a gzip head, whatever stands between its letters."""
+    return data.rlike("^[^A-Za-z0-9+/]*H[^A-Za-z0-9+/]*4[^A-Za-z0-9+/]*s[^A-Za-z0-9+/]*I")
+
+
+def _peeled(rows: DataFrame, zipped: Column) -> DataFrame:
+    """rows with _text: what the first decoder that accepts ``_data`` makes of it, and with what is left for the next layer."""
+    data = F.col("_data")
+    candidates = F.array(
+        _candidate("plain", F.when(data.rlike("(?d)^[0-9a-fA-F]+$") & (F.length(data) >= 4), hex_text(data))),
+        _candidate(
+            "plain",
+            F.when(
+                data.rlike("(?d)^[A-Za-z0-9+/=]+$") & (F.length(data) > 10),
+                strict_base64_text(F.rtrim(data, F.lit("\n"))),
+            ),
+        ),
+        _candidate("gzip", zipped),
+        _candidate("percent", F.when(F.contains(data, F.lit("%")), percent_decoded(data))),
+    )
+    # A lambda variable holds each candidate, so none is decoded again for its tests.
+    accepted = F.filter(
+        candidates,
+        lambda c: F.coalesce(is_meaningful(c["text"]), F.lit(False)) & ((c["kind"] != "percent") | (c["text"] != data)),
+    )
+    # A one-row generator keeps the optimizer from writing the decoders out again for each use of their result.
+    one = rows.withColumn("_layer", F.explode_outer(F.array(F.get(accepted, F.lit(0)))))
+    kind, text = F.col("_layer.kind"), F.col("_layer.text")
+    left = F.when(kind == "plain", strip(text)).when(kind == "percent", text)
+    return one.withColumns({"_text": F.coalesce(text, F.col("_text")), "_data": left}).drop("_layer")
+
+
 def layered_decode(df: DataFrame, column: str, output: str = "decoded", max_layers: int = MAX_LAYERS) -> DataFrame:
     """Peel up to ``max_layers`` encodings; each layer is hex, base64, gzip in base64, or percent, in that order,
-    and counts only if what comes out reads like text. Only rows that look like gzip go through Python."""
-    work = df.withColumn("_data0", F.col(column))
-    layers = []
+    and counts only if what comes out reads like text.
+
+    A worklist: rows that cannot be encoded leave at once, and only rows that changed in a layer go on to the next, which is
+    a table in the shared folder; where none did, the loop ends. Rows that look like gzip are split off, and they alone go
+    through Python.
+    """
+    spark = df.sparkSession
+    folder = run_folder(spark, "layers")
+    work = df.withColumns({"_data": F.col(column), "_text": F.lit(None).cast("string")})
+    out = work.where(~F.coalesce(_looks_encoded(F.col("_data")), F.lit(False)))
+    work = work.where(_looks_encoded(F.col("_data")))
     for n in range(max_layers):
-        data = F.col(f"_data{n}")
-        zipped = F.startswith(F.regexp_replace(data, "[^A-Za-z0-9+/]", ""), F.lit("H4sI"))
-        work = work.withColumn(f"_gz{n}", _gunzip_base64(F.when(zipped, data)))
-        candidates = F.array(
-            _candidate("plain", F.when(data.rlike("(?d)^[0-9a-fA-F]+$") & (F.length(data) >= 4), hex_text(data))),
-            _candidate(
-                "plain",
-                F.when(
-                    data.rlike("(?d)^[A-Za-z0-9+/=]+$") & (F.length(data) > 10),
-                    strict_base64_text(F.rtrim(data, F.lit("\n"))),
-                ),
-            ),
-            _candidate("gzip", F.col(f"_gz{n}")),
-            _candidate("percent", F.when(F.contains(data, F.lit("%")), percent_decoded(data))),
-        )
-        # A lambda variable holds each candidate, so none is decoded again for its tests.
-        accepted = F.filter(
-            candidates,
-            lambda c: F.coalesce(is_meaningful(c["text"]), F.lit(False)) & ((c["kind"] != "percent") | (c["text"] != data)),
-        )
-        # A one-row generator keeps the optimizer from writing this layer out again for each later use.
-        work = work.select(
-            *work.columns, F.explode_outer(F.array(F.get(accepted, F.lit(0)))).alias(f"_layer{n}")
-        )
-        kind, text = F.col(f"_layer{n}.kind"), F.col(f"_layer{n}.text")
-        work = work.withColumn(f"_data{n + 1}", F.when(kind == "plain", strip(text)).when(kind == "percent", text))
-        layers.append(f"_layer{n}.text")
-    return work.select(*df.columns, F.coalesce(*[F.col(x) for x in reversed(layers)]).alias(output))
+        zipped = work.where(_looks_zipped(F.col("_data"))).withColumn("_zip", _gunzip_base64("_data"))
+        plain = work.where(~_looks_zipped(F.col("_data")))
+        layer = _peeled(plain, F.lit(None).cast("string")).unionByName(_peeled(zipped, F.col("_zip")).drop("_zip"))
+        layer.write.parquet(f"{folder}/layer={n}")
+        layer = spark.read.schema(layer.schema).parquet(f"{folder}/layer={n}")
+        goes_on = F.coalesce(_looks_encoded(F.col("_data")), F.lit(False))
+        out = out.unionByName(layer.where(~goes_on))
+        work = layer.where(goes_on)
+        if n + 1 == max_layers or not work.limit(1).count():
+            out = out.unionByName(work)
+            break
+    return out.select(*df.columns, F.col("_text").alias(output))
 
 
 def _candidate(kind: str, text: Column) -> Column:

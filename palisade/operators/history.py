@@ -81,6 +81,44 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/version={known[-1]}") if known else None
 
 
+# One row a committed run. A run's tables are written under its own names first; its row comes last.
+COMMITS = "run long, run_key string, scan_time timestamp, rules_version string, duration_ms long"
+
+
+def committed_runs(spark: SparkSession, out: str) -> DataFrame:
+    """Runs whose tables are complete. Whatever else lies under ``out`` belongs to a run that was cut off, and no reader sees it."""
+    return read_or_empty(spark, f"{out}/commits", COMMITS)
+
+
+def commit_run(spark: SparkSession, out: str, run: int, run_key: str, scan_time: Column, rules_version: str, duration_ms: int) -> None:
+    """The one write that makes a run visible: a single file that appears whole under its name."""
+    row = spark.range(1, numPartitions=1).select(
+        F.lit(run_key).alias("run_key"), scan_time.alias("scan_time"), F.lit(rules_version).alias("rules_version"),
+        F.lit(duration_ms).cast("long").alias("duration_ms"),
+    )
+    row.write.mode("overwrite").parquet(f"{out}/commits/run={run}")
+
+
+def write_run_part(rows: DataFrame, path: str, run_key: str, *partitions: str) -> None:
+    """A run's share of a growing table, in directories of its own key: a repeated run replaces its share and nothing else."""
+    keyed = rows.withColumn("run_key", F.lit(run_key))
+    writer = keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partitions, "run_key").parquet(path)
+
+
+def of_committed_runs(spark: SparkSession, out: str, table: str, schema: str) -> DataFrame:
+    """Rows of a growing table that belong to committed runs."""
+    rows = read_or_empty(spark, f"{out}/{table}", f"{schema}, run_key string")
+    return rows.join(committed_runs(spark, out).select("run_key"), "run_key", "left_semi").drop("run_key")
+
+
+SCANS = (
+    "scan_id string, repo_id string, scan_time timestamp, duration_ms long, files_count long, score double, "
+    "max_severity string, critical long, high long, medium long, low long, total long, scan_date date"
+)
+TAGS = "scan_id string, tag string"
+
+
 def append_scans(scans: DataFrame, path: str) -> None:
     """Append, one directory per scan date. Overwriting only the touched dates would drop other runs of the day."""
     scans.write.mode("append").partitionBy("scan_date").parquet(path)

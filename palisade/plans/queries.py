@@ -1211,3 +1211,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """All text tables, behaviour and secret rules in one pass, risk per repository, gate."""
     files = corpus_as_files(spark, sf)
     return scoring.decide_counts(severity_counts_of(files, [*behavior.RULES, *secrets.RULES]))
+
+
+# Queries in modules of their own register themselves.
+from palisade.plans import queries_runs  # noqa: E402, F401

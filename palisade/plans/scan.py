@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import replace
 
@@ -11,7 +13,7 @@ from palisade.operators import entropy, families, mime, scripts, svg, unicode_tr
 from palisade.operators.advice import with_advice
 from palisade.operators.dependencies import DEPENDENCY_FILES, detect_deps, manifest_errors
 from palisade.operators.history import (
-    append_scans, current, delete_scans, next_version, read_or_empty, redact, scan_rows, tag_rows, write_version,
+    SCANS, TAGS, commit_run, committed_runs, delete_scans, of_committed_runs, read_or_empty, redact, scan_rows, tag_rows, write_run_part,
 )
 from palisade.operators.incremental import ledger_rows, reused_findings, split_cached
 from palisade.operators.matching import match_content, match_lines
@@ -20,7 +22,9 @@ from palisade.operators.scoring import decide, union_findings
 from palisade.rules import docker, workflows
 from palisade.rules.base import LineRule, Rule, limited, named, registered_rules, rules_version, select_rules
 from palisade.schema import as_findings
+from palisade.sources.archives import ArchiveLimits
 from palisade.sources.files import inventory_totals, left_out, unreadable
+from palisade.sources.ingest import archive_members
 
 Detector = Callable[[DataFrame], DataFrame]
 
@@ -119,43 +123,66 @@ def analyzer_errors(errors: DataFrame) -> DataFrame:
 
 
 def run_scan(spark: SparkSession, files: DataFrame, out: str, scan_time: Column, policy: Policy | None = None,
-             quick: bool = False, skip: Iterable[str] = (), limits: dict[str, int] | None = None, tags: Column | None = None) -> DataFrame:
+             quick: bool = False, skip: Iterable[str] = (), limits: dict[str, int] | None = None, tags: Column | None = None,
+             expand: bool = True, archive_limits: ArchiveLimits | None = None) -> DataFrame:
     """Scan what is new, keep a history under ``out``, and return the gate decision per repository.
 
-    The inventory is written once; everything else reads that table. Files whose content and rules are those of an earlier run
-    take their findings from it. ``findings`` and ``ledger`` get a new version each run, ``scans`` and ``scan_tags`` grow by the
-    run, ``history`` holds the findings masked. ``files`` needs sha256.
+    ``files`` are prepared files with sha256. With ``expand``, archives among them whose bytes are there are opened, and their
+    members are scanned as files of the repository "repo!archive". The inventory is written once; everything else reads that
+    table. Files whose content and rules are those of the last committed run take their findings from it.
+
+    Every table of a run is written under names of its own, and one row in ``commits``, written last, makes them visible
+    together. A run that is cut off anywhere leaves nothing that a reader sees, and can be repeated. A run is known by its time and
+    rules: repeating a committed one writes nothing and returns its decision.
     """
-    step = f"{out}/runs/run={next_version(spark, f'{out}/findings')}"
+    started = time.monotonic()
+    micros = spark.range(1).select(F.unix_micros(scan_time.cast("timestamp"))).first()[0]
+    scan_time = F.timestamp_micros(F.lit(micros))
+    version = rules_version(detectors=_USER_DETECTORS) + ("-quick" if quick else "") + "".join(f"-{s}" for s in sorted(skip))
+    version += "".join(f"-{k}<{v}" for k, v in sorted((limits or {}).items())) + ("" if expand else "-closed")
+    run_key = hashlib.sha256(f"{micros}|{version}".encode()).hexdigest()[:16]
+    newest = committed_runs(spark, out).orderBy(F.desc("run"))
+    done = newest.where(F.col("run_key") == run_key).first()
+    if done is not None:
+        return spark.read.parquet(f"{out}/runs/run={done.run}/decided")
+    last = newest.first()
+    run = last.run + 1 if last is not None else 1
+    step = f"{out}/runs/run={run}"
+    if expand and "raw" in files.columns:
+        files = files.unionByName(archive_members(files, archive_limits), allowMissingColumns=True)
     files.write.mode("overwrite").parquet(f"{step}/files")
     files = spark.read.parquet(f"{step}/files")
-    version = rules_version(detectors=_USER_DETECTORS) + ("-quick" if quick else "") + "".join(f"-{s}" for s in sorted(skip))
-    version += "".join(f"-{k}<{v}" for k, v in sorted((limits or {}).items()))
-    ledger, before = current(spark, f"{out}/ledger"), current(spark, f"{out}/findings")
     fresh, kept = files, None
-    if ledger is not None and before is not None:
-        fresh, reused = split_cached(files, ledger, version)
-        kept = reused_findings(reused, before)
+    if last is not None:
+        fresh, reused = split_cached(files, spark.read.parquet(f"{out}/ledger/version={last.run}"), version)
+        kept = reused_findings(reused, spark.read.parquet(f"{out}/findings/version={last.run}"))
     found = scan(fresh, skip, quick, f"{step}/focus", limits)
     found = found if kept is None else union_findings(found, kept)
-    write_version(found, f"{out}/findings")
-    findings = current(spark, f"{out}/findings")
-    write_version(ledger_rows(files.where("sha256 is not null"), version, scan_time), f"{out}/ledger")
+    found.write.mode("overwrite").parquet(f"{out}/findings/version={run}")
+    findings = spark.read.parquet(f"{out}/findings/version={run}")
+    ledger_rows(files.where("sha256 is not null"), version, scan_time).write.mode("overwrite").parquet(f"{out}/ledger/version={run}")
     scan_errors(files, limits).write.mode("overwrite").parquet(f"{step}/errors")
     decide(findings, files, policy).write.mode("overwrite").parquet(f"{step}/decided")
     decided = spark.read.parquet(f"{step}/decided")
-    rows = scan_rows(decided, scan_time, inventory_totals(files))
-    append_scans(rows, f"{out}/scans")
-    if tags is not None:
-        tag_rows(rows, tags).write.mode("append").parquet(f"{out}/scan_tags")
     redact(findings).write.mode("overwrite").parquet(f"{step}/history")
+    duration = int(1000 * (time.monotonic() - started))
+    rows = scan_rows(decided, scan_time, inventory_totals(files), F.lit(duration))
+    write_run_part(rows, f"{out}/scans", run_key, "scan_date")
+    if tags is not None:
+        write_run_part(tag_rows(rows, tags), f"{out}/scan_tags", run_key)
+    commit_run(spark, out, run, run_key, scan_time, version, duration)
     return decided
 
 
+def stored_findings(spark: SparkSession, out: str) -> DataFrame | None:
+    """Findings of the last committed run; None before the first."""
+    last = committed_runs(spark, out).orderBy(F.desc("run")).first()
+    return None if last is None else spark.read.parquet(f"{out}/findings/version={last.run}")
+
+
 def stored_scans(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
-    """Scans and tags of a stored history, without deleted ones."""
-    scans = spark.read.parquet(f"{out}/scans")
-    tags = read_or_empty(spark, f"{out}/scan_tags", "scan_id string, tag string")
+    """Scans and tags of committed runs, without deleted ones."""
+    scans, tags = of_committed_runs(spark, out, "scans", SCANS), of_committed_runs(spark, out, "scan_tags", TAGS)
     return delete_scans(scans, tags, read_or_empty(spark, f"{out}/deleted", "scan_id string"))
 
 
