@@ -135,6 +135,34 @@ def list_scans(scans: DataFrame, limit: int = 50, offset: int = 0, tag: str | No
     return kept.orderBy(F.col("scan_time").desc(), "scan_id").offset(offset).limit(limit)
 
 
+def scan_dates(spark: SparkSession, path: str) -> list[str]:
+    """Date directories of a stored scans table, newest first; names only, no file is opened."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
+    return sorted((n.removeprefix("scan_date=") for n in names if n.startswith("scan_date=")), reverse=True)
+
+
+def page_of_scans(spark: SparkSession, path: str, limit: int = 50, offset: int = 0, tag: str | None = None,
+                  tags: DataFrame | None = None, max_severity: str | None = None) -> DataFrame:
+    """``list_scans`` over a stored history, by date from the newest on: twice as many days each time, until the page is full.
+
+    scan_date must be the date of scan_time, or a time span that grows with it. Only the directories of these days are read.
+    """
+    dates = scan_dates(spark, path)
+    if not dates:
+        raise ValueError(f"no scans under {path}")
+    days = 1
+    while True:
+        recent = spark.read.parquet(path).where(F.col("scan_date") >= F.lit(dates[min(days, len(dates)) - 1]).cast("date"))
+        page = list_scans(recent, limit, offset, tag, tags, max_severity)
+        if days >= len(dates) or list_scans(recent, limit + offset, 0, tag, tags, max_severity).count() == limit + offset:
+            return page
+        days *= 2
+
+
 def scan_by_id(scans: DataFrame, scan_id: str) -> DataFrame:
     return scans.where(F.col("scan_id") == scan_id)
 

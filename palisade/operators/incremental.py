@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from palisade.operators.joins import numbered, salted_join
+
 # Fixed value: ledger rows kept per repository.
 LEDGER_LIMIT = 1000
 
@@ -37,6 +39,35 @@ def diff_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def diff_with_renames(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``diff_snapshots`` with moves: repo_id, path, change, old_path.
+
+    Within a repository, added and deleted files of equal content are paired one to one, the k-th added by path with the k-th
+    deleted: ``renamed``, and the deletion goes. An added file that finds no partner but whose content stood in the old snapshot is
+    ``copied`` from the first such path. Files without a hash only come and go. Numbers within a content are taken in ranges, so
+    one content that most files share is many tasks' work.
+    """
+    diff = diff_snapshots(old, new)
+    hashes = old.select("repo_id", "path", "sha256", F.lit("deleted").alias("change")).unionByName(
+        new.select("repo_id", "path", "sha256", F.lit("added").alias("change"))
+    )
+    moved = numbered(diff.join(hashes, ["repo_id", "path", "change"]).where("sha256 is not null"), ["repo_id", "sha256", "change"], ["path"], "_k")
+    key = ["repo_id", "sha256", "_k"]
+    gone = moved.where("change = 'deleted'").select(*key, F.col("path").alias("old_path"))
+    came = moved.where("change = 'added'").select(*key, "path")
+    pairs = came.join(gone, key)
+    renamed = pairs.select("repo_id", "path", F.lit("renamed").alias("change"), "old_path")
+    first = old.where("sha256 is not null").groupBy("repo_id", "sha256").agg(F.min("path").alias("old_path"))
+    copied = salted_join(came.join(pairs.select(*key), key, "left_anti").select("repo_id", "sha256", "path"), first, ["repo_id", "sha256"])
+    copied = copied.select("repo_id", "path", F.lit("copied").alias("change"), "old_path")
+    settled = renamed.unionByName(copied)
+    explained = settled.select("repo_id", "path", F.lit("added").alias("change")).unionByName(
+        renamed.select("repo_id", F.col("old_path").alias("path"), F.lit("deleted").alias("change"))
+    )
+    rest = diff.join(explained, ["repo_id", "path", "change"], "left_anti")
+    return settled.unionByName(rest.withColumn("old_path", F.lit(None).cast("string")))
+
+
 def changed_paths(old: DataFrame, new: DataFrame) -> DataFrame:
     """What has to be scanned: added and modified files."""
     return diff_snapshots(old, new).where("change <> 'deleted'").select("repo_id", "path")

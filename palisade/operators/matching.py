@@ -114,7 +114,12 @@ def snippet_of(rule: Column, matched: Column = None) -> Column:
 
 def match_content(files: DataFrame, rules: Sequence[Rule], text: str = "content") -> DataFrame:
     """One finding per occurrence of each rule."""
-    found = occurrences(files, rules, text).withColumn("_r", _rule_table(rules, F.col("rule")))
+    return findings_of(occurrences(files, rules, text), rules)
+
+
+def findings_of(found: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Findings of occurrences (repo_id, path, rule, line_no, matched, before, after)."""
+    found = found.withColumn("_r", _rule_table(rules, F.col("rule")))
     rule = F.col("_r")
     url = F.lit(None).cast("string")
     if any(r.calls_url for r in rules):

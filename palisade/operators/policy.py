@@ -61,6 +61,25 @@ def load_policy(spark: SparkSession, path: str) -> Policy:
     return policy_from_row(rows[0].asDict())
 
 
+def policy_errors(policies: DataFrame) -> DataFrame:
+    """policy_id, reason for each fault of stored policies (policy_id, body: a JSON object); sound ones give no row.
+
+    The rules are those of ``Policy`` for one: a known threshold, and lists of texts; what is missing or null takes its preset.
+    """
+    parsed = policies.select("policy_id", F.expr("try_parse_json(body)").alias("v"))
+    kind = lambda name: F.expr(f"schema_of_variant(try_variant_get(v, '$.{name}', 'variant'))")
+    absent = lambda name: F.expr(f"is_variant_null(try_variant_get(v, '$.{name}', 'variant'))") | F.expr(f"try_variant_get(v, '$.{name}', 'variant')").isNull()
+    whole = F.col("v").isNull() | ~F.startswith(F.coalesce(F.expr("schema_of_variant(v)"), F.lit("")), F.lit("OBJECT"))
+    threshold = F.expr("try_variant_get(v, '$.severity_threshold', 'string')")
+    checks = [F.when(whole, F.lit("it is no JSON object"))]
+    known = (kind("severity_threshold") == "STRING") & F.coalesce(threshold.isin("", *THRESHOLDS), F.lit(False))
+    checks.append(F.when(~whole & ~absent("severity_threshold") & ~known, F.lit("severity_threshold is unknown")))
+    for name in ("block_categories", "allow_paths"):
+        listed = kind(name).isin("ARRAY<STRING>", "ARRAY<VOID>")
+        checks.append(F.when(~whole & ~absent(name) & ~listed, F.lit(f"{name} is no list of texts")))
+    return parsed.select("policy_id", F.explode(F.array_compact(F.array(*checks))).alias("reason"))
+
+
 def policy_from_row(values: dict) -> Policy:
     return Policy(
         values.get("severity_threshold") or DEFAULT_THRESHOLD,

@@ -466,16 +466,46 @@ def _(spark, sf):
 def _wrapped_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = explode_lines(documents_as_files(spark, sf))
     encoded = F.encode("line", "UTF-8")
-    once, hexed = F.base64(encoded), F.hex(encoded)
+    # Some versions of Spark break base64 into lines, which the decoders do not take for base64.
+    packed = lambda raw: F.regexp_replace(F.base64(raw), "[\r\n]", "")
+    once, hexed = packed(encoded), F.hex(encoded)
     kind = F.length("line") % 4
     return lines.where("line <> ''").select(
         "repo_id", "path", "line_no", "line",
-        F.when(kind == 0, once).when(kind == 1, hexed).when(kind == 2, F.base64(F.encode(hexed, "UTF-8")))
+        F.when(kind == 0, once).when(kind == 1, hexed).when(kind == 2, packed(F.encode(hexed, "UTF-8")))
         .otherwise(F.url_encode("line")).alias("wrapped"),
     )
 
 
-@query("layered_decode")
+def _layers_sql() -> str:
+    """The decoders one after the other; bytes that are no text count as not decoded, which prose never meets."""
+
+    def fine(text: str) -> str:
+        printable = f"length(regexp_replace({text}, '[^\\x20-\\x7e]', '', 'g'))"
+        return f"(coalesce(length({text}), 0) >= 5 AND {printable} / length({text}) >= 0.7 AND NOT (length({text}) > 50 AND regexp_full_match({text}, '\\pL+')))"
+
+    url = "replace(replace(replace(url_encode(line), '%20', '+'), '%2A', '*'), '~', '%7E')"
+    steps = [
+        f"d AS ({DOCS})",
+        "l AS (SELECT * FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM d) WHERE line <> '')",
+        "w0 AS (SELECT repo_id, path, line_no, CASE length(line) % 4 WHEN 0 THEN to_base64(encode(line)) WHEN 1 THEN hex(encode(line)) "
+        f"WHEN 2 THEN to_base64(encode(hex(encode(line)))) ELSE {url} END AS d, CAST(NULL AS VARCHAR) AS t FROM l)",
+    ]
+    for n in range(decode.MAX_LAYERS):
+        steps.append(
+            f"c{n} AS (SELECT *, CASE WHEN regexp_full_match(d, '[0-9a-fA-F]+') AND length(d) >= 4 AND length(d) % 2 = 0 THEN try(decode(unhex(d))) END AS h, "
+            "CASE WHEN regexp_full_match(d, '[A-Za-z0-9+/]+={0,2}') AND length(d) > 10 AND length(d) % 4 = 0 THEN try(decode(from_base64(d))) END AS b, "
+            f"CASE WHEN contains(d, '%') THEN try(url_decode(d)) END AS p FROM w{n})"
+        )
+        pick = f"CASE WHEN {fine('h')} THEN {{h}} WHEN {fine('b')} THEN {{b}} WHEN {fine('p')} AND p <> d THEN p"
+        strip = f"trim({{}}, {oracle.SP})"
+        steps.append(
+            f"w{n + 1} AS (SELECT repo_id, path, line_no, {pick.format(h=strip.format('h'), b=strip.format('b'))} END AS d, {pick.format(h='h', b='b')} ELSE t END AS t FROM c{n})"
+        )
+    return f"WITH {', '.join(steps)} SELECT repo_id, path, CAST(line_no AS INTEGER) AS line_no, t AS decoded FROM w{decode.MAX_LAYERS}"
+
+
+@query("layered_decode", _layers_sql())
 def _(spark, sf):
     wrapped = _wrapped_lines(spark, sf)
     return decode.layered_decode(wrapped, "wrapped").select("repo_id", "path", "line_no", "decoded")
@@ -1214,4 +1244,4 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Queries in modules of their own register themselves.
-from palisade.plans import queries_runs  # noqa: E402, F401
+from palisade.plans import queries_more, queries_runs  # noqa: E402, F401
