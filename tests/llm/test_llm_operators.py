@@ -494,29 +494,68 @@ def test_hnsw_near_duplicates(spark):
     assert hnsw.near_duplicates(frame.limit(0)).count() == 0
 
 
+def all_links(x, least):
+    return {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= least)))}
+
+
 def test_graph_recall_and_audit():
     rng = np.random.default_rng(14)
     x = hnsw.unit(vectors_with_clusters(rng, 1500, 32)).astype(np.float32)
-    graph = hnsw.Graph(x)
-    rows, nodes, _ = hnsw.audited_pairs(graph, x, 0.9, beam=4)
-    want = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.9))}
+    graph, want = hnsw.Graph(x), all_links(x, 0.9)
+    ladder = hnsw.audit(graph, x, *hnsw.true_links(x, x, 0.9, most=10**9), 0.9, beam=4)
+    assert [b for b, _, _ in ladder] == [4 << i for i in range(len(ladder))] and {w for _, w, _ in ladder} == {len(want)}
+    beam, recall = hnsw.chosen_beam([(0, *x) for x in ladder])
+    rows, nodes = graph.within(x, 0.9, beam)
     found = set(zip(rows.tolist(), nodes.tolist()))
-    assert found <= want and len(found) >= 0.99 * len(want)
-    assert hnsw.Graph(np.empty((0, 4))).entry == -1
+    assert len(found) == len(rows) and found <= want and len(found) >= 0.99 * len(want) and recall >= 0.99
+    empty = hnsw.Graph(np.empty((0, 4)))
+    assert empty.entry == -1 and not len(empty.within(np.ones((2, 4), np.float32), 0.9, 8)[0])
+
+
+def test_the_beam_is_chosen_over_all_shards():
+    rows = [(0, 24, 100, 99), (1, 24, 100, 80), (1, 48, 100, 98), (1, 96, 100, 100)]
+    assert hnsw.chosen_beam(rows) == (96, 0.995) and hnsw.chosen_beam(rows, 0.98) == (48, 0.985)
+    assert hnsw.chosen_beam([]) == (hnsw.BEAM, 1.0) and hnsw.chosen_beam([(0, 24, 10, 1)]) == (24, 0.1)
 
 
 def test_audit_sees_missed_sparse_links(monkeypatch):
-    """Twenty pairs among 1,500 vectors, all missed by a search that finds every vector itself and nothing else."""
+    """Vectors without a link among them: turned copies show that a search misses what it should find."""
     rng = np.random.default_rng(15)
-    x = rng.normal(size=(1500, 32))
-    x[20:40] = x[:20] + rng.normal(size=(20, 32)) * 0.01
-    graph = hnsw.Graph(hnsw.unit(x).astype(np.float32))
-    want = {(i, i + 20) for i in range(20)}
-    monkeypatch.setattr(hnsw.Graph, "within", lambda self, q, least, beam: (np.arange(len(q)), np.arange(len(q))))
-    rows, nodes, _ = hnsw.audited_pairs(graph, graph.x, 0.95, own=True)
-    assert set(zip(rows.tolist(), nodes.tolist())) == want
-    rows, nodes, beam = hnsw.audited_pairs(graph, graph.x, 0.95, audit_rows=8, own=True)
-    assert set(zip(rows.tolist(), nodes.tolist())) == want and beam == len(graph.x)
+    x = hnsw.unit(rng.normal(size=(1500, 32))).astype(np.float32)
+    graph, twins, every = hnsw.Graph(x), hnsw.turned(x, 0.95), np.arange(1500)
+    cosine = np.einsum("ij,ij->i", twins, x)
+    assert np.allclose(cosine, 0.95 + 0.05 / 3, atol=1e-5)
+    real = hnsw.Graph.within
+
+    def half_blind(self, q, least, beam):
+        rows, nodes = real(self, q, least, beam)
+        keep = (nodes % 2 == 0) | (beam > 200)
+        return rows[keep], nodes[keep]
+
+    monkeypatch.setattr(hnsw.Graph, "within", half_blind)
+    ladder = hnsw.audit(graph, twins, every, every, 0.95, beam=30)
+    assert all(found <= 750 for beam, _, found in ladder if beam <= 200) and hnsw.chosen_beam([(0, *x) for x in ladder])[0] == 240
+
+
+def test_no_task_compares_all_pairs(spark, monkeypatch):
+    """A sparse table takes the same way as a dense one: brute force is the audit's alone."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(3000, 24))
+    x[100:130] = x[:30] + rng.normal(size=(30, 24)) * 0.01
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(frame).where("n_links > 0").collect()}
+    assert got == {**{i: (1, i) for i in range(30)}, **{100 + i: (1, i) for i in range(30)}}
+    u = hnsw.unit(x).astype(np.float32)
+    graph, met = hnsw.Graph(u), []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            met.append(np.size(key) if isinstance(key, np.ndarray) else 0)
+            return np.asarray(super().__getitem__(key))
+
+    graph.x = graph.x.view(Counted)
+    graph.within(u, 0.95, hnsw.BEAM)
+    assert sum(met) < 0.35 * 3000 * 3000
 
 
 def test_links_are_counted_piece_by_piece():
@@ -526,8 +565,9 @@ def test_links_are_counted_piece_by_piece():
     x[:1200] = x[0] + rng.normal(size=(1200, 16)) * 0.01
     graph = hnsw.Graph(hnsw.unit(x).astype(np.float32))
     want = graph.x @ graph.x.T >= 0.95
-    for beam in (64, len(x)):
-        pieces = list(hnsw.audited_pieces(graph, graph.x, 0.95, beam, True))
+    for beam in (24, 64):
+        found = graph.pieces(graph.x, 0.95, beam)
+        pieces = [(r[n > r], n[n > r]) for r, n in found]
         assert max(len(rows) for rows, _ in pieces) < 1200 * 1199 / 2 / 3
         out = hnsw._summary(iter(pieces), np.arange(2000) + 5, np.ones(2000, int))
         n = dict(out[out["b"] < 0][["a", "n"]].itertuples(index=False))
