@@ -1,9 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine on a block-max inverted index, distance-weighted votes.
 
-Terms are lower-cased words and their first four and five letters, which also catch stems. fit() keeps the terms that set the
-labels of a bounded sample of examples apart (log-likelihood ratio), counts them over all documents for their IDF, and
-calibrates the votes on the examples, each judged without itself. score() passes every document once: whole texts, no shuffle.
-The model holds at most EXAMPLES_PER_LABEL examples a label and MAX_TERMS terms, whatever the size of the corpus.
+The examples are a bounded sample of labelled rows, and the index holds every word of theirs. fit() counts these words over all
+documents for their IDF, and calibrates the votes on the examples, each judged without itself; beside the votes the calibration sees how
+far the labels lie apart at the text's most telling words. score() passes every document once: whole texts, no shuffle, and nothing
+of a document but its text. A document whose words equal an example's meets that example at cosine 1.
+
+The index: examples stand in blocks; words that few examples hold are added up over all blocks at once, and the longer lists have a
+maximum a block. So each block has an upper bound, and blocks are opened by falling bound while it reaches the k-th best cosine.
 """
 
 from __future__ import annotations
@@ -19,35 +22,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from palisade.llm.common import small_arrow_batches
+from palisade.llm.common import small_arrow_batches, stored
 
-#: Bounds of the fitted sample and its vocabulary.
+#: Bound of the fitted sample.
 EXAMPLES_PER_LABEL = 4000
-MAX_TERMS = 4000
+#: Examples that must hold a word before it tells labels apart.
 LEAST_SUPPORT = 3
-LEAST_RATIO = 25.0
 NEIGHBOURS = 15
-MEMO_WORDS = 500_000
 BLOCK = 256
-WORD = re.compile(r"[^\W\d_]+")
+#: Words with longer lists have block maxima.
+SHORT_LIST = 32
+#: Blocks that are opened at first.
+FIRST_BLOCKS = 6
+WORD = re.compile(r"[^\W_]+")
 
 
-def terms_of(text: str) -> Counter:
+def terms_of(text: str | None) -> Counter:
     """Word counts of a whole text."""
-    return Counter(WORD.findall(text.lower()))
-
-
-def all_terms(text: str) -> set[str]:
-    words = terms_of(text)
-    return {*words, *("^" + w[:4] for w in words if len(w) > 4), *("^" + w[:5] for w in words if len(w) > 5)}
-
+    return Counter(WORD.findall(text.lower())) if text else Counter()
 
-def sketch(text: str) -> int:
-    """The smallest hash of the five-word passages: near copies of a text mostly share it."""
-    import xxhash
 
-    words = WORD.findall(text.lower())
-    return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0) - 2**63
+def _gather(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all entries of lists, and the number of the list each belongs to."""
+    of = np.repeat(np.arange(len(starts)), lengths)
+    return np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths), of
 
 
 @dataclass
@@ -60,90 +58,113 @@ class Model:
     labels: np.ndarray
     vectors: list[tuple[np.ndarray, np.ndarray]]
     k: int = NEIGHBOURS
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    #: IDF of words that no example holds, and how far the labels lie apart at each word.
+    rare: float = 1.0
+    odds: np.ndarray = field(default_factory=lambda: np.empty(0))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(6))
     base: float = 0.0
 
     def __post_init__(self) -> None:
-        self.plain: set[str] = set()
-        # Examples with the same heaviest term stand together, so the bounds of most blocks are low for any one text.
-        heaviest = [int(t[np.argmax(w)]) if len(t) else len(self.vocabulary) for t, w in self.vectors]
-        self.order = np.lexsort((self.example_ids, heaviest)) if len(self.vectors) else np.empty(0, np.int64)
-        self.blocks = -(-len(self.vectors) // BLOCK)
-        self.tops = np.zeros((len(self.vocabulary), self.blocks))
-        lists: dict[tuple[int, int], tuple[list, list]] = {}
-        for place, e in enumerate(self.order.tolist()):
-            terms, w = self.vectors[e]
-            b = place // BLOCK
-            np.maximum.at(self.tops[:, b], terms, w)
-            for t, x in zip(terms.tolist(), w.tolist()):
-                at, weight = lists.setdefault((t, b), ([], []))
-                at.append(place % BLOCK)
-                weight.append(x)
-        self.postings = {key: (np.array(a), np.array(w)) for key, (a, w) in lists.items()}
+        # Examples with the same heaviest word stand together, so the bounds of most blocks are low for any one text.
+        size, count = len(self.vocabulary), len(self.vectors)
+        heaviest = [int(t[np.argmax(w)]) if len(t) else size for t, w in self.vectors]
+        self.order = np.lexsort((self.example_ids, heaviest)) if count else np.empty(0, np.int64)
+        self.blocks = -(-count // BLOCK)
+        lengths = np.array([len(self.vectors[e][0]) for e in self.order], np.int64)
+        term = np.concatenate([np.empty(0, np.int64), *[self.vectors[e][0] for e in self.order]])
+        weight = np.concatenate([np.empty(0), *[self.vectors[e][1] for e in self.order]])
+        place = np.repeat(np.arange(count, dtype=np.int32), lengths)
+        sort = np.lexsort((place, term))
+        self.place, self.weight = place[sort], weight[sort]
+        n = np.bincount(term, minlength=size) if size else np.empty(0, np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        # Long lists: where each block begins in them, and the largest weight in it.
+        long = np.flatnonzero(n > SHORT_LIST)
+        self.row = np.full(size, -1, np.int32)
+        self.row[long] = np.arange(len(long))
+        at, of = _gather(self.starts[long], n[long])
+        cell = of * self.blocks + self.place[at] // BLOCK
+        cells = np.bincount(cell, minlength=len(long) * self.blocks).reshape(len(long), self.blocks)
+        self.block_starts = self.starts[long][:, None] + np.concatenate([np.zeros((len(long), 1), np.int64), np.cumsum(cells, axis=1)], axis=1)
+        self.tops = np.zeros(len(long) * self.blocks)
+        np.maximum.at(self.tops, cell, self.weight[at])
+        self.tops = self.tops.reshape(len(long), self.blocks)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("tops", "postings", "blocks", "plain", "order")}
+        made = ("order", "blocks", "place", "weight", "starts", "row", "block_starts", "tops")
+        return {k: v for k, v in self.__dict__.items() if k not in made}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit-length TF-IDF weights. Words without a term are remembered, up to a bound, and passed over."""
-        counts: dict[int, int] = {}
-        get, plain, words = self.vocabulary.get, self.plain, terms_of(text)
-        for word in words.keys() - plain:
-            found = False
-            for term in (word, "^" + word[:4] if len(word) > 4 else "", "^" + word[:5] if len(word) > 5 else ""):
-                t = get(term)
-                if t is not None:
-                    found = True
-                    counts[t] = counts.get(t, 0) + words[word]
-            if not found:
-                plain.add(word)
-        if len(plain) > MEMO_WORDS:
-            plain.clear()
-        terms = np.array(sorted(counts), np.int64)
-        w = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms] if len(terms) else np.empty(0)
-        return terms, w / np.linalg.norm(w) if len(w) else w
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, own_id: int | None = None) -> list[tuple[int, float]]:
-        """(example, cosine) of the k nearest with a cosine above 0, exactly; ties go to the smaller doc_id.
-
-        Blocks are opened by falling upper bound until the bound falls below the k-th best cosine.
-        """
+    def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and TF-IDF weights of a text of unit length; words that no example holds count in its length."""
+        get, known, outside = self.vocabulary.get, {}, 0.0
+        for word, n in words.items():
+            t = get(word)
+            if t is None:
+                outside += (1 + math.log(n)) ** 2
+            else:
+                known[t] = n
+        terms = np.array(sorted(known), np.int64)
+        if not len(terms):
+            return terms, np.empty(0)
+        w = (1 + np.log([known[t] for t in terms.tolist()])) * self.idf[terms]
+        return terms, w / math.sqrt(w @ w + outside * self.rare * self.rare)
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, own: int | None = None) -> list[tuple[int, float]]:
+        """(example, cosine) of the k nearest with a cosine above 0, exactly; ties go to the smaller doc_id. own: an example left out."""
         if not len(terms) or not self.blocks:
             return []
-        bound = w @ self.tops[terms]
-        best = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            full = len(best[0]) >= self.k
-            if bound[b] <= 0 or full and bound[b] < best[0][-1] - 1e-9:
+        row = self.row[terms]
+        short, long = terms[row < 0], row[row >= 0]
+        at, of = _gather(self.starts[short], self.starts[short + 1] - self.starts[short])
+        scores = np.bincount(self.place[at], w[row < 0][of] * self.weight[at], self.blocks * BLOCK).astype(float)
+        wide = w[row >= 0]
+        bound = scores.reshape(self.blocks, BLOCK).max(axis=1) + (wide @ self.tops[long] if len(long) else 0.0)
+        order = np.argsort(-bound, kind="stable")
+        least, opened = 0.0, np.zeros(self.blocks, bool)
+        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            part = part[(bound[part] > 0) & (bound[part] >= least - 1e-9)]
+            if not len(part):
                 break
-            scores = np.zeros(BLOCK)
-            for t, x in zip(terms.tolist(), w.tolist()):
-                found = self.postings.get((t, b))
-                if found is not None:
-                    scores[found[0]] += x * found[1]
-            scores = np.round(scores, 12)
-            at = np.flatnonzero(scores >= best[0][-1] if full else scores > 0)
-            e = self.order[b * BLOCK + at] if len(at) else at
-            if own_id is not None:
-                at, e = at[self.example_ids[e] != own_id], e[self.example_ids[e] != own_id]
-            if len(at):
-                joined = [np.concatenate(x) for x in zip(best, (scores[at], self.example_ids[e], e))]
-                top = np.lexsort((joined[2], joined[1], -joined[0]))[: self.k]
-                best = tuple(x[top] for x in joined)
-        return list(zip(best[2].tolist(), best[0].tolist()))
-
-    def features(self, found: list[tuple[int, float]]) -> np.ndarray:
+            opened[part] = True
+            if len(long):
+                first = self.block_starts[long][:, part]
+                at, of = _gather(first.ravel(), (self.block_starts[long][:, part + 1] - first).ravel())
+                scores += np.bincount(self.place[at], np.repeat(wide, len(part))[of] * self.weight[at], len(scores))
+            if own is not None:
+                scores[: len(self.order)][self.order == own] = 0.0
+            done = np.where(np.repeat(opened, BLOCK), scores, 0.0)
+            if len(done) > self.k:
+                least = np.partition(done, len(done) - self.k)[len(done) - self.k]
+        done = np.round(done, 12)
+        found = np.flatnonzero((done > 0) & (done >= round(least, 12) - 1e-12))
+        e = self.order[found]
+        best = np.lexsort((e, self.example_ids[e], -done[found]))[: self.k]
+        return list(zip(e[best].tolist(), done[found[best]].tolist()))
+
+    def features(self, words: Counter, found: list[tuple[int, float]]) -> np.ndarray:
         near = np.array([1 / (1.05 - min(1.0, s)) for _, s in found])
-        vote = float(near @ self.labels[[e for e, _ in found]] / near.sum())
-        return np.array([1.0, vote, found[0][1], vote * found[0][1]])
-
-    def judge(self, text: str | None, own_id: int | None) -> tuple[float, list[tuple[int, float]]]:
-        found = self.nearest(*self.vector(text or ""), own_id)
-        return (1 / (1 + math.exp(-float(np.clip(self.weights @ self.features(found), -30, 30)))) if found else self.base), found
+        vote = float(near @ self.labels[[e for e, _ in found]] / near.sum()) if found else 0.0
+        top = found[0][1] if found else 0.0
+        return np.array([1.0, vote, top, vote * top, *self.telling(words)])
+
+    def telling(self, words: Counter) -> tuple[float, float]:
+        """The largest log odds of a word of the text, and the mean of the five largest."""
+        if not len(self.odds):
+            return 0.0, 0.0
+        known = [t for t in map(self.vocabulary.get, words) if t is not None]
+        odds = np.sort(self.odds[known])[-5:] if known else np.zeros(1)
+        return float(odds[-1]), float(odds.sum() / 5)
+
+    def judge(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
+        words = terms_of(text)
+        found = self.nearest(*self.vector(words))
+        if not found:
+            return self.base, found
+        return 1 / (1 + math.exp(-float(np.clip(self.weights @ self.features(words, found), -30, 30)))), found
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -158,75 +179,84 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta
 
 
-def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per_label: int = EXAMPLES_PER_LABEL, max_terms: int = MAX_TERMS) -> Model:
-    """A model from the labelled documents: (doc_id, text) and (doc_id, label 0 or 1).
-
-    Null ids and labels are left out, a doc_id with several labels takes the largest. Of each label the `per_label` rows with the
-    smallest hash of the id are examples; of those whose texts share a sketch, one. Without labelled rows the model scores 0.
-    """
+def _examples(documents: DataFrame, labels: DataFrame, label_col: str, per_label: int) -> tuple[pa.Table, dict[int, int]]:
+    """(doc_id, y, words, counts) of the examples, equal ones once, and the number of labelled rows by label."""
     spark = documents.sparkSession
-    small_arrow_batches(spark)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     drawn = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()]
+    schema = "doc_id long, y int, words array<string>, counts array<int>"
     if not drawn:
-        return Model({}, np.empty(0), np.empty(0, np.int64), np.empty(0), [])
+        return spark.createDataFrame([], schema).toArrow(), totals
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sorted(terms_of(t.as_py()).items()) for t in batch.column("text")]
+            columns = [batch.column("doc_id"), batch.column("y"), pa.array([[w for w, _ in m] for m in made], pa.list_(pa.string())), pa.array([[n for _, n in m] for m in made], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "words", "counts"])
+
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sample = texts.join(F.broadcast(spark.createDataFrame(drawn, "doc_id long, y int")), "doc_id")  # bounded by per_label
+    counted = stored(sample.select("doc_id", "y", "text").mapInArrow(count, schema), "toxic-examples")
+    # A copy says nothing new, so of texts with the same words as often and the same label one is kept; other copies stay.
+    once = counted.groupBy("y", "words", "counts").agg(F.min("doc_id").alias("doc_id"))
+    return once.select("doc_id", "y", "words", "counts").orderBy("doc_id", "y", "words", "counts").toArrow(), totals
 
-    def example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column("text")]
-            out = pa.array([sorted(all_terms(t)) for t in texts], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([sketch(t) for t in texts], pa.int64()), out], ["doc_id", "y", "sketch", "terms"])
-
-    one = sample.select("doc_id", "y", "text").mapInArrow(example_terms, "doc_id long, y int, sketch long, terms array<string>")
-    one = one.groupBy("sketch").agg(F.min_by(F.struct("doc_id", "y", "terms"), "doc_id").alias("e")).select("e.*").persist()
-    have = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = have.get(1, 0), have.get(0, 0)
-    counted = one.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("k1"), F.sum(1 - F.col("y")).alias("k0"))
-    share = (F.col("k1") + F.col("k0")) / F.lit(max(1, n1 + n0))
-    part = lambda k, n: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * share))).otherwise(0.0) + F.when(F.col(k) < n, (n - F.col(k)) * F.log((n - F.col(k)) / (n * (1 - share)))).otherwise(0.0)
-    ratio = 2 * (part("k1", F.lit(n1)) + part("k0", F.lit(n0)))
-    chosen = counted.where((F.col("k1") + F.col("k0") >= LEAST_SUPPORT) & (share < 1)).withColumn("g", ratio).where(F.col("g") >= LEAST_RATIO).orderBy(F.desc("g"), "term").limit(max_terms)
-    vocabulary = {r["term"]: i for i, r in enumerate(chosen.select("term").collect())}
-    examples = {r["doc_id"]: r["y"] for r in one.select("doc_id", "y").collect()}
-    one.unpersist()
-
-    blank = Model(vocabulary, np.ones(len(vocabulary)), np.empty(0, np.int64), np.empty(0), [])
+
+def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per_label: int = EXAMPLES_PER_LABEL) -> Model:
+    """A model from the labelled documents: (doc_id, text) and (doc_id, label 0 or 1).
+
+    Null ids and labels are left out, a doc_id with several labels takes the largest. Of each label the `per_label` rows with the
+    smallest hash of the id are examples, with all their words; a doc_id with several texts gives one example a text. Without
+    labelled rows the model scores 0. The model grows with the distinct words of the examples, not with the corpus.
+    """
+    small_arrow_batches(documents.sparkSession)
+    table, totals = _examples(documents, labels, label_col, per_label)
+    ids, y = table.column("doc_id").to_numpy(), table.column("y").to_numpy().astype(float)
+    if not len(ids):
+        return Model({}, np.empty(0), np.empty(0, np.int64), np.empty(0), [])
+    vocabulary: dict[str, int] = {}
+    texts = []
+    for words, counts in zip(table.column("words"), table.column("counts")):
+        numbers = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words.as_py()], np.int64)
+        texts.append((numbers, np.array(counts.as_py(), np.int64)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows = np.zeros(len(vocabulary), np.int64), 0
+        df, rows, words = np.zeros(len(vocabulary), np.int64), 0, vocabulary.keys()
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0):
-                df[blank.vector(text.as_py() or "")[0]] += 1
+                df[[vocabulary[w] for w in words & terms_of(text.as_py()).keys()]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], rows))], ["t", "n"])
 
-    counts = {r["t"]: r["n"] for r in texts.select("text").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    total = counts.pop(-1, 0)
-    df = np.array([counts.get(t, 0) for t in range(len(vocabulary))], float)
-    model = Model(vocabulary, np.log((1 + total) / (1 + df)) + 1, np.empty(0, np.int64), np.empty(0), [])
+    counted = documents.select("text").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # one row a word of the examples
+    t, n = counted.column("t").to_numpy(), counted.column("n").to_numpy()
+    df, total = np.zeros(len(vocabulary)), int(n[t == -1].sum())
+    df[t[t >= 0]] = n[t >= 0]
+    idf = np.log((1 + total) / (1 + df)) + 1
+
+    vectors, held = [], np.zeros((2, len(vocabulary)))
+    for (numbers, counts), label in zip(texts, y):
+        sort = np.argsort(numbers)
+        w = (1 + np.log(counts[sort])) * idf[numbers[sort]]
+        vectors.append((numbers[sort], w / np.linalg.norm(w) if len(w) else w))
+        held[int(label), numbers] += 1
+    sizes = np.array([(y == 0).sum(), (y == 1).sum()])
+    log_odds = np.log((held[1] + 0.5) / (sizes[1] + 1)) - np.log((held[0] + 0.5) / (sizes[0] + 1))
+    odds = np.where(held.sum(axis=0) >= LEAST_SUPPORT, log_odds, 0.0)
+    model = Model(vocabulary, idf, ids, y, vectors, rare=math.log((1 + total) / 2) + 1, odds=odds)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [model.vector(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.tolist() for t, _ in made], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in made], pa.list_(pa.float64()))], ["doc_id", "t", "w"])
-
-    rows = sample.select("doc_id", "text").mapInArrow(vectors, "doc_id long, t array<long>, w array<double>").collect()
-    rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["t"]))}.values(), key=lambda r: r["doc_id"])
-    rows = [r for r in rows if r["doc_id"] in examples]
-    y = np.array([examples[r["doc_id"]] for r in rows], float)
-    model = Model(vocabulary, model.idf, np.array([r["doc_id"] for r in rows], np.int64), y, [(np.array(r["t"], np.int64), np.array(r["w"])) for r in rows])
     # Calibration at the labels' own shares: each example is judged without itself.
-    share_of = {label: totals.get(label, 0) / max(1, (y == label).sum()) for label in (0, 1)}
+    share_of = {label: totals.get(label, 0) / max(1, sizes[label]) for label in (0, 1)}
     weight = np.array([share_of[int(v)] for v in y])
-    found = [model.nearest(*v, own_id=int(i)) for v, i in zip(model.vectors, model.example_ids)]
+    words_of = list(vocabulary)
+    bags = [Counter(dict(zip([words_of[i] for i in numbers.tolist()], counts.tolist()))) for numbers, counts in texts]
+    found = [model.nearest(*v, own=i) for i, v in enumerate(model.vectors)]
     some = np.array([bool(f) for f in found], bool)
     model.base = float((weight * y)[~some].sum() / (weight[~some].sum() + 1)) if (~some).any() else float((weight * y).sum() / weight.sum())
     if some.any():
-        x = np.array([model.features(f) for f in found if f])
+        x = np.array([model.features(words, f) for words, f in zip(bags, found) if f])
         model.weights = _logistic(x, y[some], weight[some] / weight.mean())
     return model
 
@@ -234,9 +264,9 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per_l
 def score(documents: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """documents with score double (0 to 1), predicted int (1 from 0.5 on) and evidence (the nearest examples).
 
-    Null and empty texts, and texts without any term of the model, get the share of toxic rows among examples without a
-    neighbour. A document that is an example is judged without itself. Repeated rows score alike; columns of the new names are
-    replaced.
+    Null and empty texts, and texts without any word of the examples, get the share of toxic rows among examples without a
+    neighbour. Only the text is read: documents of the same text score alike, examples too. Texts of any length are read whole.
+    Columns of the new names are replaced; other columns are kept whatever they are called.
     """
     small_arrow_batches(documents.sparkSession)
     new = [f"{prefix}score", f"{prefix}predicted", f"{prefix}evidence"]
@@ -247,7 +277,7 @@ def score(documents: DataFrame, model: Model, prefix: str = "") -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [model.judge(t.as_py(), i) for t, i in zip(batch.column("text"), batch.column("doc_id").to_pylist())]
+            made = [model.judge(t.as_py()) for t in batch.column("text")]
             scores = [s for s, _ in made]
             evidence = [[{"doc_id": int(model.example_ids[e]), "label": int(model.labels[e]), "cosine": c} for e, c in found] for _, found in made]
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, arrow)]
@@ -258,4 +288,11 @@ def score(documents: DataFrame, model: Model, prefix: str = "") -> DataFrame:
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """documents without those predicted toxic; columns stay."""
-    return score(documents, fit(documents, labels), "_toxic_").where(F.col("_toxic_predicted") == 0).select(*documents.columns)
+    model = fit(documents, labels)
+    small_arrow_batches(documents.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.judge(t.as_py())[0] < 0.5 for t in batch.column("text")], pa.bool_()))
+
+    return documents.mapInArrow(keep, documents.schema)

@@ -365,7 +365,80 @@ def test_block_max_search_is_exact():
     for i in range(0, 500, 11):
         s = np.round(dense @ dense[i], 12)
         want = [e for e in np.lexsort((np.arange(500), -s)) if s[e] > 0 and e != i][:7]
-        assert [e for e, _ in model.nearest(*vectors[i], own_id=i)] == want
+        assert [e for e, _ in model.nearest(*vectors[i], own=i)] == want
+
+
+def test_long_and_short_lists_together_are_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    monkeypatch.setattr(toxicity, "SHORT_LIST", 4)
+    monkeypatch.setattr(toxicity, "FIRST_BLOCKS", 2)
+    rng = np.random.default_rng(19)
+    dense = np.zeros((700, 900))
+    for row in dense:
+        for t in set((900 * rng.random(rng.integers(0, 25)) ** 3).astype(int).tolist()):
+            row[t] = rng.integers(1, 9)
+        row /= max(1e-9, np.linalg.norm(row))
+    vectors = [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in dense]
+    ids = rng.permutation(700)
+    model = toxicity.Model({f"t{i}": i for i in range(900)}, np.ones(900), ids, np.zeros(700), vectors, k=9)
+    assert (model.row >= 0).any() and (model.row < 0).any()
+    for i in range(0, 700, 7):
+        s = np.round(dense @ dense[i], 12)
+        want = [e for e in np.lexsort((ids, -s)) if s[e] > 0][:9]
+        got = model.nearest(*vectors[i])
+        assert [e for e, _ in got] == want and np.allclose([c for _, c in got], s[want])
+
+
+def test_every_copy_of_an_example_finds_it(spark):
+    """Many words, few of them toxic: no example is out of the index, whatever its words."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7)) + rng.choice(["", "1", "22"])
+    rows = [(i, " ".join(word() for _ in range(30))) for i in range(300)]
+    copies = [(1000 + i, t.upper()) for i, t in rows if i % 3 == 0]
+    docs = docs_of(spark, rows + copies + [(5000, "x" * 2_000_000), (5001, (rows[4][1] + " ") * 3000)])
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, _ in copies:
+        best = got[i].evidence[0]
+        assert best.doc_id == i - 1000 and best.label == 1 and abs(best.cosine - 1) < 1e-9 and got[i].score == got[i - 1000].score
+    assert got[5000].evidence == [] and got[5001].evidence[0].doc_id == 4
+
+
+def test_toxicity_query_equals_brute_force_tf_idf(spark, tmp_path):
+    """The whole query against vectors over all words, compared one by one."""
+    from palisade.llm.queries import held_out, op6_toxicity_neighbours
+
+    rows, labels = toxic_docs(random.Random(31), 120)
+    rows += [(900, None), (901, ""), (902, rows[4][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in op6_toxicity_neighbours(spark, str(tmp_path)).collect()}
+    bags = {i: Counter(re.findall(r"[^\W_]+", (t or "").lower())) for i, t in rows}
+    df = Counter(w for c in bags.values() for w in c)
+    vectors = {}
+    for i, c in bags.items():
+        v = {w: (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df[w])) + 1) for w, n in c.items()}
+        norm = np.sqrt(sum(x * x for x in v.values())) or 1.0
+        vectors[i] = {w: x / norm for w, x in v.items()}
+    learns = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    once = {}
+    for i in sorted(learns):
+        once.setdefault((tuple(sorted(bags[i].items())), dict(labels)[i]), i)
+    words = {w for i in once.values() for w in bags[i]}
+    for i, v in vectors.items():
+        if set(bags[i]) <= words:  # a word of no example has an IDF of its own
+            near = sorted(((-round(sum(x * vectors[e].get(w, 0) for w, x in v.items()), 9), e) for e in once.values()))
+            assert got[i].neighbours == [e for s, e in near if s < 0][:15], i
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got) and held_out is not None
+    assert got[902].score == got[4].score and {got[i].predicted for i in (900, 901)} == {0}
+
+
+def test_no_document_sees_its_own_number(spark):
+    rows, labels = toxic_docs(random.Random(33), 80)
+    docs = docs_of(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    one, two = (sorted((r.text, r.score) for r in toxicity.score(d, model).collect()) for d in (docs, docs.withColumn("doc_id", F.col("doc_id") + 10_000)))
+    assert one == two
 
 
 # ---- 7
