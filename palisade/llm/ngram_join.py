@@ -29,7 +29,8 @@ RECALL = 0.995
 MAX_HASHES = 128
 BLOCK = 1024
 WORD = re.compile(r"\w+")
-MEMO_WORDS = 500_000
+#: Words whose hashes a task remembers, about 30 MB of them; it forgets them when it ends.
+MEMO_WORDS = 160_000
 _MEMO: dict[str, int] = {}
 
 
@@ -116,6 +117,7 @@ def signatures(documents: DataFrame, words: int, bands: int, rows: int) -> DataF
                 hashes.append(band_hashes(grams, bands, rows, a, b) if len(grams) else None)
             ab = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "ta", "tb", "ka", "kb", "n", "bands"])
+        _MEMO.clear()
 
     return _keyed(documents).mapInArrow(sign, "doc_id long, ta long, tb long, ka long, kb long, n long, bands array<long>")
 
@@ -234,6 +236,7 @@ def ngram_join(documents: DataFrame, words: int = WORDS, threshold: float = THRE
         for batch in batches:
             sets = [ngrams(text.as_py() or "", words)[0].tobytes() for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "grams"])
+        _MEMO.clear()
 
     wanted = placed.select("rep.doc_id", "rep.ta", "rep.tb", "node", "component", "copies", "blk")
     # A merge join at every size: what is wanted grows with the corpus, so it is never sent to all tasks.
