@@ -40,11 +40,11 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     end, width = int(end_id).to_bytes(4, "little"), 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).id_bytes
+        coder = encoder(tokenizer)
         for batch in batches:
             doc, piece, start, length, crc, key = [], [], [], [], [], []
             for doc_id, text, row_key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                ids = encode(text.as_py() or "") + end
+                ids = coder.id_bytes(text.as_py() or "") + end
                 for n, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     doc.append(doc_id), piece.append(n), start.append(at // 4), length.append(len(part) // 4)
@@ -52,6 +52,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY,
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "row_key"]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((doc, piece, start, length, crc, key), kinds)], names)
+        coder.clear()
 
     key = text_key("text")["a"].bitwiseXOR(F.xxhash64("doc_id"))
     return documents.select(F.col("doc_id").cast("long"), "text", key.alias("row_key")).mapInArrow(cut, PIECES)

@@ -1,4 +1,5 @@
-"""Whole-text encoding inside tasks with a public tokenizer file; words seen before come from a bounded memo."""
+"""Whole-text encoding inside tasks with a public tokenizer file; words seen before come from a memo of bounded bytes, which a
+task empties when it ends."""
 
 from __future__ import annotations
 
@@ -6,7 +7,9 @@ import array
 import json
 import re
 
-MEMO_WORDS = 600_000
+#: Bytes of a memo, and what an entry takes beside its word and its ids.
+MEMO_BYTES = 48_000_000
+ENTRY_BYTES = 190
 BATCH = 20_000
 #: The normalizer and splitter of the word-level tokenizer file, for which short cuts are valid.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -42,8 +45,12 @@ class WordEncoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, [*range(33, 127), *range(0xDF, 0x100)])}
         self.model = self.tokenizer.model
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Empty the memo."""
+        self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word, as the library gives them."""
@@ -69,27 +76,24 @@ class WordEncoder:
         return split_words(text)
 
     def id_bytes(self, text: str) -> bytes:
-        """The ids of the text, each as four little-endian bytes. The memo keeps two generations of words."""
+        """The ids of the text, each as four little-endian bytes."""
         words = self.words(text)
-        new = self.new
+        memo = self.memo
         try:
-            return b"".join([new[w] for w in words])
+            return b"".join([memo[w] for w in words])
         except KeyError:
-            missing = [w for w in set(words) if w not in new]
-            if len(new) + len(missing) > MEMO_WORDS:
-                self.old, self.new = new, {}
-                new, missing = self.new, list(set(words))
-            old = self.old
-            unknown = []
-            for w in missing:
-                known = old.get(w)
-                if known is None:
-                    unknown.append(w)
-                else:
-                    new[w] = known
+            own: dict[str, bytes] = {}
+            unknown = [w for w in set(words) if w not in memo]
             for w, ids in zip(unknown, self.encode_words(unknown)):
-                new[w] = array.array("I", ids).tobytes()
-            return b"".join([new[w] for w in words])
+                own[w] = array.array("I", ids).tobytes()
+            out = b"".join([memo[w] if w in memo else own[w] for w in words])
+            more = sum(len(w) + len(ids) for w, ids in own.items()) + ENTRY_BYTES * len(own)
+            if self.held + more > MEMO_BYTES:
+                self.clear()
+            if more <= MEMO_BYTES:
+                self.memo.update(own)
+                self.held += more
+            return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
