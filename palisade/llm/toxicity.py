@@ -5,8 +5,10 @@ documents for their IDF, and calibrates the votes on the examples, each judged w
 far the labels lie apart at the text's most telling words. score() passes every document once: whole texts, no shuffle, and nothing
 of a document but its text. A document whose words equal an example's meets that example at cosine 1.
 
-The index: examples stand in blocks; words that few examples hold are added up over all blocks at once, and the longer lists have a
-maximum a block. So each block has an upper bound, and blocks are opened by falling bound while it reaches the k-th best cosine.
+The index: examples stand in blocks. The words that most examples hold are rows of a dense matrix, which a product adds up for a
+batch of texts; words that few examples hold are added up over all blocks at once; the lists between have a maximum a block. So
+each block has an upper bound, and blocks are opened by falling bound while it reaches the k-th best cosine. The matrix is in single
+precision, so bounds leave it room, and the cosines of all that come near the k best are taken again in double precision.
 """
 
 from __future__ import annotations
@@ -32,14 +34,23 @@ NEIGHBOURS = 15
 BLOCK = 256
 #: Words with longer lists have block maxima.
 SHORT_LIST = 32
-#: Blocks that are opened at first.
+#: The words with the longest lists are rows of a matrix.
+DENSE_WORDS = 384
+#: Blocks that are opened at first, and texts that share a product.
 FIRST_BLOCKS = 6
+TEXTS_AT_ONCE = 32
+#: What single precision may be off by.
+ROOM = 2e-5
 WORD = re.compile(r"[^\W_]+")
+#: The same for ASCII: what is no letter or digit becomes a blank.
+_ASCII = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
 
 
 def terms_of(text: str | None) -> Counter:
     """Word counts of a whole text."""
-    return Counter(WORD.findall(text.lower())) if text else Counter()
+    if not text:
+        return Counter()
+    return Counter(text.translate(_ASCII).split() if text.isascii() else WORD.findall(text.lower()))
 
 
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +59,11 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths), of
 
 
+def _kth(values: np.ndarray, k: int) -> float:
+    """The k-th largest; 0 if there are fewer, or it is below 0."""
+    return max(0.0, float(np.partition(values, len(values) - k)[len(values) - k])) if len(values) >= k else 0.0
+
+
 @dataclass
 class Model:
     """Vocabulary, IDF, the examples' vectors in block-max form, and the calibration."""
@@ -73,13 +89,20 @@ class Model:
         lengths = np.array([len(self.vectors[e][0]) for e in self.order], np.int64)
         term = np.concatenate([np.empty(0, np.int64), *[self.vectors[e][0] for e in self.order]])
         weight = np.concatenate([np.empty(0), *[self.vectors[e][1] for e in self.order]])
-        place = np.repeat(np.arange(count, dtype=np.int32), lengths)
+        place = np.repeat(np.arange(count), lengths)
         sort = np.lexsort((place, term))
         self.place, self.weight = place[sort], weight[sort]
         n = np.bincount(term, minlength=size) if size else np.empty(0, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-        # Long lists: where each block begins in them, and the largest weight in it.
-        long = np.flatnonzero(n > SHORT_LIST)
+        common = np.argsort(-n, kind="stable")[:DENSE_WORDS]
+        common = np.sort(common[n[common] > SHORT_LIST])
+        self.dense_row = np.full(size, -1, np.int32)
+        self.dense_row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        at, of = _gather(self.starts[common], n[common])
+        self.dense[of, self.place[at]] = self.weight[at]
+        # Lists between short and dense: where each block begins in them, and the largest weight in it.
+        long = np.flatnonzero((n > SHORT_LIST) & (self.dense_row < 0))
         self.row = np.full(size, -1, np.int32)
         self.row[long] = np.arange(len(long))
         at, of = _gather(self.starts[long], n[long])
@@ -89,82 +112,118 @@ class Model:
         self.tops = np.zeros(len(long) * self.blocks)
         np.maximum.at(self.tops, cell, self.weight[at])
         self.tops = self.tops.reshape(len(long), self.blocks)
+        self.query = np.zeros(size)
 
     def __getstate__(self) -> dict:
-        made = ("order", "blocks", "place", "weight", "starts", "row", "block_starts", "tops")
-        return {k: v for k, v in self.__dict__.items() if k not in made}
+        """Without the index, which each worker builds, and with the vectors end to end."""
+        kept = ("idf", "example_ids", "labels", "k", "rare", "odds", "weights", "base")
+        lengths = np.array([len(t) for t, _ in self.vectors], np.int64)
+        term = np.concatenate([np.empty(0, np.int32), *[t.astype(np.int32) for t, _ in self.vectors]])
+        weight = np.concatenate([np.empty(0), *[w for _, w in self.vectors]])
+        return {k: self.__dict__[k] for k in kept} | {"packed": (list(self.vocabulary), lengths, term, weight)}
 
     def __setstate__(self, state: dict) -> None:
+        words, lengths, term, weight = state.pop("packed")
         self.__dict__.update(state)
+        self.vocabulary = {w: i for i, w in enumerate(words)}
+        ends = np.cumsum(lengths)[:-1]
+        self.vectors = list(zip(np.split(term.astype(np.int64), ends), np.split(weight, ends))) if len(lengths) else []
         self.__post_init__()
 
     def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and TF-IDF weights of a text of unit length; words that no example holds count in its length."""
-        get, known, outside = self.vocabulary.get, {}, 0.0
-        for word, n in words.items():
-            t = get(word)
-            if t is None:
-                outside += (1 + math.log(n)) ** 2
-            else:
-                known[t] = n
-        terms = np.array(sorted(known), np.int64)
-        if not len(terms):
-            return terms, np.empty(0)
-        w = (1 + np.log([known[t] for t in terms.tolist()])) * self.idf[terms]
+        vocabulary = self.vocabulary
+        known = list(words.keys() & vocabulary.keys())
+        if not known:
+            return np.empty(0, np.int64), np.empty(0)
+        terms = np.array([vocabulary[w] for w in known], np.int64)
+        sort = np.argsort(terms)
+        raw = (1 + np.log(np.array([words[w] for w in known], float)))[sort]
+        terms = terms[sort]
+        every = 1 + np.log(np.fromiter(words.values(), float, len(words)))
+        outside = max(0.0, every @ every - raw @ raw) if len(known) < len(words) else 0.0
+        w = raw * self.idf[terms]
         return terms, w / math.sqrt(w @ w + outside * self.rare * self.rare)
 
-    def nearest(self, terms: np.ndarray, w: np.ndarray, own: int | None = None) -> list[tuple[int, float]]:
-        """(example, cosine) of the k nearest with a cosine above 0, exactly; ties go to the smaller doc_id. own: an example left out."""
+    def common_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the dense words add to the cosine of each text with each example."""
+        q = np.zeros((len(vectors), len(self.dense)), np.float32)
+        for i, (terms, w) in enumerate(vectors):
+            row = self.dense_row[terms]
+            q[i, row[row >= 0]] = w[row >= 0]
+        return q @ self.dense
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, own: int | None = None, common: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """(example, cosine) of the k nearest with a cosine above 0, exactly; ties go to the smaller doc_id.
+
+        own: an example left out. common: the text's row of common_part().
+        """
         if not len(terms) or not self.blocks:
             return []
+        common = self.common_part([(terms, w)])[0] if common is None else common
         row = self.row[terms]
-        short, long = terms[row < 0], row[row >= 0]
-        at, of = _gather(self.starts[short], self.starts[short + 1] - self.starts[short])
-        scores = np.bincount(self.place[at], w[row < 0][of] * self.weight[at], self.blocks * BLOCK).astype(float)
-        wide = w[row >= 0]
-        bound = scores.reshape(self.blocks, BLOCK).max(axis=1) + (wide @ self.tops[long] if len(long) else 0.0)
-        order = np.argsort(-bound, kind="stable")
-        least, opened = 0.0, np.zeros(self.blocks, bool)
-        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
-            part = part[(bound[part] > 0) & (bound[part] >= least - 1e-9)]
-            if not len(part):
-                break
-            opened[part] = True
-            if len(long):
-                first = self.block_starts[long][:, part]
-                at, of = _gather(first.ravel(), (self.block_starts[long][:, part + 1] - first).ravel())
-                scores += np.bincount(self.place[at], np.repeat(wide, len(part))[of] * self.weight[at], len(scores))
-            if own is not None:
-                scores[: len(self.order)][self.order == own] = 0.0
-            done = np.where(np.repeat(opened, BLOCK), scores, 0.0)
-            if len(done) > self.k:
-                least = np.partition(done, len(done) - self.k)[len(done) - self.k]
-        done = np.round(done, 12)
-        found = np.flatnonzero((done > 0) & (done >= round(least, 12) - 1e-12))
+        is_short, is_long = (row < 0) & (self.dense_row[terms] < 0), row >= 0
+        short, long, wide = terms[is_short], row[is_long], w[is_long]
+        scores = self._lists(short, w[is_short], None) + common
+        if own is not None:
+            scores[: len(self.order)][self.order == own] = -1.0
+        by_block = scores.reshape(self.blocks, BLOCK)
+        bound = by_block.max(axis=1) + (wide @ self.tops[long] if len(long) else 0.0)
+        # What the best blocks hold so far is a lower bound of the k-th best cosine: no weight is below 0.
+        least = _kth(by_block[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]].ravel(), self.k)
+        opened = np.flatnonzero(bound >= max(ROOM, least - ROOM))
+        if not len(opened):
+            return []
+        if len(long):
+            scores += self._lists(terms[is_long], wide, None if 2 * len(opened) > self.blocks else opened)
+        # So is the k-th largest of the blocks' maxima, which leaves few to rank.
+        least = max(least, _kth(by_block[opened].max(axis=1), self.k))
+        block, place = np.nonzero(by_block[opened] >= max(ROOM, least - ROOM))
+        found = opened[block] * BLOCK + place
+        least = _kth(scores[found], self.k)
+        found = found[(scores[found] >= least - ROOM) & (found < len(self.order))]
+        # The cosines themselves, in double precision.
+        self.query[terms] = w
         e = self.order[found]
-        best = np.lexsort((e, self.example_ids[e], -done[found]))[: self.k]
-        return list(zip(e[best].tolist(), done[found[best]].tolist()))
-
-    def features(self, words: Counter, found: list[tuple[int, float]]) -> np.ndarray:
+        exact = np.array([round(float(self.query[self.vectors[i][0]] @ self.vectors[i][1]), 12) for i in e.tolist()])
+        self.query[terms] = 0.0
+        e, exact = e[exact > 0], exact[exact > 0]
+        top = np.lexsort((e, self.example_ids[e], -exact))[: self.k]
+        return list(zip(e[top].tolist(), exact[top].tolist()))
+
+    def _lists(self, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray | None) -> np.ndarray:
+        """What the lists of the terms add up to at each place; with blocks, only the parts of long lists in these."""
+        if blocks is None:
+            first, last = self.starts[terms], self.starts[terms + 1]
+        else:
+            row = self.row[terms]
+            first, last = self.block_starts[row][:, blocks].ravel(), self.block_starts[row][:, blocks + 1].ravel()
+            w = np.repeat(w, len(blocks))
+        if not len(first):
+            return np.zeros(self.blocks * BLOCK)
+        spans = list(zip(first.tolist(), last.tolist()))
+        place = np.concatenate([self.place[a:b] for a, b in spans])
+        weight = np.concatenate([self.weight[a:b] for a, b in spans])
+        return np.bincount(place, weight * np.repeat(w, last - first), self.blocks * BLOCK).astype(float, copy=False)
+
+    def features(self, terms: np.ndarray, found: list[tuple[int, float]]) -> np.ndarray:
+        """Vote, largest cosine, their product, the largest log odds of a word of the text, and the mean of the five largest."""
         near = np.array([1 / (1.05 - min(1.0, s)) for _, s in found])
-        vote = float(near @ self.labels[[e for e, _ in found]] / near.sum()) if found else 0.0
-        top = found[0][1] if found else 0.0
-        return np.array([1.0, vote, top, vote * top, *self.telling(words)])
-
-    def telling(self, words: Counter) -> tuple[float, float]:
-        """The largest log odds of a word of the text, and the mean of the five largest."""
-        if not len(self.odds):
-            return 0.0, 0.0
-        known = [t for t in map(self.vocabulary.get, words) if t is not None]
-        odds = np.sort(self.odds[known])[-5:] if known else np.zeros(1)
-        return float(odds[-1]), float(odds.sum() / 5)
-
-    def judge(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        words = terms_of(text)
-        found = self.nearest(*self.vector(words))
-        if not found:
-            return self.base, found
-        return 1 / (1 + math.exp(-float(np.clip(self.weights @ self.features(words, found), -30, 30)))), found
+        vote, top = float(near @ self.labels[[e for e, _ in found]] / near.sum()), found[0][1]
+        odds = np.sort(self.odds[terms])[-5:] if len(self.odds) else np.zeros(1)
+        return np.array([1.0, vote, top, vote * top, odds[-1], odds.sum() / 5])
+
+    def judge(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """(score, nearest examples) of each text."""
+        out = []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            vectors = [self.vector(terms_of(t)) for t in texts[at : at + TEXTS_AT_ONCE]]
+            common = self.common_part(vectors)
+            for (terms, w), row in zip(vectors, common):
+                found = self.nearest(terms, w, common=row)
+                z = float(np.clip(self.weights @ self.features(terms, found), -30, 30)) if found else 0.0
+                out.append((1 / (1 + math.exp(-z)) if found else self.base, found))
+        return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -250,13 +309,11 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per_l
     # Calibration at the labels' own shares: each example is judged without itself.
     share_of = {label: totals.get(label, 0) / max(1, sizes[label]) for label in (0, 1)}
     weight = np.array([share_of[int(v)] for v in y])
-    words_of = list(vocabulary)
-    bags = [Counter(dict(zip([words_of[i] for i in numbers.tolist()], counts.tolist()))) for numbers, counts in texts]
     found = [model.nearest(*v, own=i) for i, v in enumerate(model.vectors)]
     some = np.array([bool(f) for f in found], bool)
     model.base = float((weight * y)[~some].sum() / (weight[~some].sum() + 1)) if (~some).any() else float((weight * y).sum() / weight.sum())
     if some.any():
-        x = np.array([model.features(words, f) for words, f in zip(bags, found) if f])
+        x = np.array([model.features(terms, f) for (terms, _), f in zip(model.vectors, found) if f])
         model.weights = _logistic(x, y[some], weight[some] / weight.mean())
     return model
 
@@ -277,7 +334,7 @@ def score(documents: DataFrame, model: Model, prefix: str = "") -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [model.judge(t.as_py()) for t in batch.column("text")]
+            made = model.judge(batch.column("text").to_pylist())
             scores = [s for s, _ in made]
             evidence = [[{"doc_id": int(model.example_ids[e]), "label": int(model.labels[e]), "cosine": c} for e, c in found] for _, found in made]
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, arrow)]
@@ -293,6 +350,6 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.judge(t.as_py())[0] < 0.5 for t in batch.column("text")], pa.bool_()))
+            yield batch.filter(pa.array([s < 0.5 for s, _ in model.judge(batch.column("text").to_pylist())], pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)

@@ -372,6 +372,7 @@ def test_long_and_short_lists_together_are_exact(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 16)
     monkeypatch.setattr(toxicity, "SHORT_LIST", 4)
     monkeypatch.setattr(toxicity, "FIRST_BLOCKS", 2)
+    monkeypatch.setattr(toxicity, "DENSE_WORDS", 5)
     rng = np.random.default_rng(19)
     dense = np.zeros((700, 900))
     for row in dense:
@@ -381,7 +382,7 @@ def test_long_and_short_lists_together_are_exact(monkeypatch):
     vectors = [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in dense]
     ids = rng.permutation(700)
     model = toxicity.Model({f"t{i}": i for i in range(900)}, np.ones(900), ids, np.zeros(700), vectors, k=9)
-    assert (model.row >= 0).any() and (model.row < 0).any()
+    assert len(model.dense) == 5 and (model.row >= 0).any() and (model.row < 0).sum() > 5
     for i in range(0, 700, 7):
         s = np.round(dense @ dense[i], 12)
         want = [e for e in np.lexsort((ids, -s)) if s[e] > 0][:9]
