@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,15 @@ WORD = re.compile(r"[^\W_]+")
 _ASCII = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
 
 
-def terms_of(text: str | None) -> Counter:
-    """Word counts of a whole text."""
+def words_of(text: str | None) -> list[str]:
+    """The words of a whole text."""
     if not text:
-        return Counter()
-    return Counter(text.translate(_ASCII).split() if text.isascii() else WORD.findall(text.lower()))
+        return []
+    return text.translate(_ASCII).split() if text.isascii() else WORD.findall(text.lower())
+
+
+def terms_of(text: str | None) -> Counter:
+    return Counter(words_of(text))
 
 
 def _gather(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +92,11 @@ class Model:
         self.order = np.lexsort((self.example_ids, heaviest)) if count else np.empty(0, np.int64)
         self.blocks = -(-count // BLOCK)
         lengths = np.array([len(self.vectors[e][0]) for e in self.order], np.int64)
-        term = np.concatenate([np.empty(0, np.int64), *[self.vectors[e][0] for e in self.order]])
+        term = np.concatenate([np.empty(0, np.int32), *[self.vectors[e][0].astype(np.int32) for e in self.order]])
         weight = np.concatenate([np.empty(0), *[self.vectors[e][1] for e in self.order]])
         place = np.repeat(np.arange(count), lengths)
         sort = np.lexsort((place, term))
-        self.place, self.weight = place[sort], weight[sort]
+        self.place, self.weight = place[sort], weight[sort].astype(np.float32)
         n = np.bincount(term, minlength=size) if size else np.empty(0, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
         common = np.argsort(-n, kind="stable")[:DENSE_WORDS]
@@ -127,7 +132,7 @@ class Model:
         self.__dict__.update(state)
         self.vocabulary = {w: i for i, w in enumerate(words)}
         ends = np.cumsum(lengths)[:-1]
-        self.vectors = list(zip(np.split(term.astype(np.int64), ends), np.split(weight, ends))) if len(lengths) else []
+        self.vectors = list(zip(np.split(term, ends), np.split(weight, ends))) if len(lengths) else []
         self.__post_init__()
 
     def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -136,12 +141,12 @@ class Model:
         known = list(words.keys() & vocabulary.keys())
         if not known:
             return np.empty(0, np.int64), np.empty(0)
-        terms = np.array([vocabulary[w] for w in known], np.int64)
-        sort = np.argsort(terms)
-        raw = (1 + np.log(np.array([words[w] for w in known], float)))[sort]
-        terms = terms[sort]
-        every = 1 + np.log(np.fromiter(words.values(), float, len(words)))
-        outside = max(0.0, every @ every - raw @ raw) if len(known) < len(words) else 0.0
+        of = itemgetter(*known) if len(known) > 1 else lambda d: (d[known[0]],)
+        terms, raw = np.array(of(vocabulary), np.int64), 1 + np.log(np.array(of(words), float))
+        outside = 0.0
+        if len(known) < len(words):
+            every = 1 + np.log(np.fromiter(words.values(), float, len(words)))
+            outside = max(0.0, every @ every - raw @ raw)
         w = raw * self.idf[terms]
         return terms, w / math.sqrt(w @ w + outside * self.rare * self.rare)
 
@@ -278,14 +283,17 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per_l
     texts = []
     for words, counts in zip(table.column("words"), table.column("counts")):
         numbers = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words.as_py()], np.int64)
-        texts.append((numbers, np.array(counts.as_py(), np.int64)))
+        texts.append((numbers, counts.values.to_numpy().astype(float)))
+    del table
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows, words = np.zeros(len(vocabulary), np.int64), 0, vocabulary.keys()
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0):
-                df[[vocabulary[w] for w in words & terms_of(text.as_py()).keys()]] += 1
+                held = words & set(words_of(text.as_py()))
+                if held:
+                    df[[*map(vocabulary.__getitem__, held)]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], rows))], ["t", "n"])
 
@@ -301,6 +309,7 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per_l
         w = (1 + np.log(counts[sort])) * idf[numbers[sort]]
         vectors.append((numbers[sort], w / np.linalg.norm(w) if len(w) else w))
         held[int(label), numbers] += 1
+    del texts
     sizes = np.array([(y == 0).sum(), (y == 1).sum()])
     log_odds = np.log((held[1] + 0.5) / (sizes[1] + 1)) - np.log((held[0] + 0.5) / (sizes[0] + 1))
     odds = np.where(held.sum(axis=0) >= LEAST_SUPPORT, log_odds, 0.0)
@@ -336,8 +345,12 @@ def score(documents: DataFrame, model: Model, prefix: str = "") -> DataFrame:
         for batch in batches:
             made = model.judge(batch.column("text").to_pylist())
             scores = [s for s, _ in made]
-            evidence = [[{"doc_id": int(model.example_ids[e]), "label": int(model.labels[e]), "cosine": c} for e, c in found] for _, found in made]
-            columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, arrow)]
+            near = np.array([e for _, found in made for e, _ in found], np.int64)
+            cosines = pa.array([c for _, found in made for _, c in found], pa.float64())
+            ends = pa.array(np.cumsum([0, *(len(found) for _, found in made)]), pa.int32())
+            flat = pa.StructArray.from_arrays([pa.array(model.example_ids[near], pa.int64()), pa.array(model.labels[near].astype(np.int32)), cosines], fields=list(arrow.value_type))
+            evidence = pa.ListArray.from_arrays(ends, flat).cast(arrow)
+            columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), evidence]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *new])
 
     return rest.mapInArrow(judge, schema)
