@@ -169,7 +169,8 @@ class Model:
         row = self.row[terms]
         is_short, is_long = (row < 0) & (self.dense_row[terms] < 0), row >= 0
         short, long, wide = terms[is_short], row[is_long], w[is_long]
-        scores = self._lists(short, w[is_short], None) + common
+        at, of = _gather(self.starts[short], self.starts[short + 1] - self.starts[short])
+        scores = np.bincount(self.place[at], w[is_short][of] * self.weight[at], len(common)) + common
         if own is not None:
             scores[: len(self.order)][self.order == own] = -1.0
         by_block = scores.reshape(self.blocks, BLOCK)
@@ -197,7 +198,7 @@ class Model:
         return list(zip(e[top].tolist(), exact[top].tolist()))
 
     def _lists(self, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray | None) -> np.ndarray:
-        """What the lists of the terms add up to at each place; with blocks, only the parts of long lists in these."""
+        """What long lists add up to at each place; with blocks, only their parts in these."""
         if blocks is None:
             first, last = self.starts[terms], self.starts[terms + 1]
         else:
