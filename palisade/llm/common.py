@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +40,14 @@ def small_arrow_batches(spark: SparkSession, size: str = "16m") -> None:
     spark.conf.set(ARROW_BYTES, size)
 
 
+def release_memory() -> None:
+    """At the start of a task: give back what earlier tasks of a reused Python worker left behind, such as their models."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_key(text: Column | str) -> Column:
     """128 bits of a text as two longs; a null text has a key too."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

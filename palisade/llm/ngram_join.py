@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from palisade.llm.common import components, small_arrow_batches, stored, text_key
+from palisade.llm.common import components, release_memory, small_arrow_batches, stored, text_key
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -107,6 +107,7 @@ def signatures(documents: DataFrame, words: int, bands: int, rows: int) -> DataF
     small_arrow_batches(documents.sparkSession, "8m")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         a, b = _multipliers(bands * rows)
         for batch in batches:
             keys, sizes, hashes = [], [], []

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from palisade.llm.common import shard_count, small_arrow_batches, stored, text_key
+from palisade.llm.common import release_memory, shard_count, small_arrow_batches, stored, text_key
 from palisade.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -40,6 +40,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     end, width = int(end_id).to_bytes(4, "little"), 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         coder = encoder(tokenizer)
         for batch in batches:
             doc, piece, start, length, crc, key = [], [], [], [], [], []

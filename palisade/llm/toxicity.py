@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from palisade.llm.common import small_arrow_batches, stored
+from palisade.llm.common import release_memory, small_arrow_batches, stored
 
 #: Bound of the fitted sample.
 EXAMPLES_PER_LABEL = 4000
@@ -288,6 +288,7 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per_l
     del table
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         df, rows, words = np.zeros(len(vocabulary), np.int64), 0, vocabulary.keys()
         for batch in batches:
             rows += batch.num_rows
@@ -343,6 +344,7 @@ def score(documents: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             made = model.judge(batch.column("text").to_pylist())
             scores = [s for s, _ in made]
@@ -363,6 +365,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     small_arrow_batches(documents.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             yield batch.filter(pa.array([s < 0.5 for s, _ in model.judge(batch.column("text").to_pylist())], pa.bool_()))
 
