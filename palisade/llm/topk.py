@@ -22,11 +22,17 @@ def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int =
     return rows.where(good).select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("v"))
 
 
-def _unique(frame: pd.DataFrame) -> tuple[np.ndarray, list]:
-    """Repeated (id, vector) rows once, by id."""
-    seen = {(i, tuple(v)) for i, v in zip(frame["vec_id"], frame["v"])}
-    kept = sorted(seen)
-    return np.array([i for i, _ in kept], np.int64), [v for _, v in kept]
+def _counted(frame: DataFrame, k: int) -> DataFrame:
+    """Equal (vec_id, v) rows as one with their number n, of which at most k can be among the k best."""
+    return frame.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+
+
+def _rows(frame: pd.DataFrame) -> tuple[np.ndarray, list]:
+    """Ids and vectors of the rows, each as often as it is counted, by id."""
+    ids, vectors = frame["vec_id"].to_numpy(), [tuple(v) for v in frame["v"]]
+    order = np.argsort(ids, kind="stable")
+    order = np.repeat(order, frame["n"].to_numpy()[order])
+    return ids[order], [vectors[i] for i in order]
 
 
 def _postings(vectors: list) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
@@ -72,17 +78,18 @@ def score_block(query_ids: np.ndarray, queries: list, ids: np.ndarray, vectors:
 def top_k(rows: DataFrame, queries: DataFrame, k: int, rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows with the highest inner product for each query, over every row but its own.
 
-    rows and queries: (vec_id long, v array<long>). Both are dealt into blocks by a hash of the id; each pair of blocks is one
-    task of bounded size, which scatters the query weights over the postings of its rows, term by term, into a score array.
-    Ties go to the smaller vec_id. A repeated (vec_id, v) counts once; rows that share the query's vec_id count as its own;
-    a query_id with two different vectors merges both. Shorter vectors end in zeros. No queries or no rows: no result.
+    rows and queries: (vec_id long, v array<long>). Both are counted by value and dealt into blocks by a hash of it, so neither
+    copies nor a frequent id fill one block; each pair of blocks is one task of bounded size, which scatters the query weights over
+    the postings of its rows, term by term, into a score array. Ties go to the smaller vec_id. A repeated row is a candidate, or a
+    query, as often as it occurs; rows that share the query's vec_id count as its own; all queries of one id are ranked together.
+    Shorter vectors end in zeros. No queries or no rows: no result.
     """
     n_rows, n_queries = (x.count() for x in (rows, queries))
     row_blocks, query_blocks = shard_count(n_rows, rows_per_block), shard_count(n_queries, queries_per_block)
 
     def dealt(frame: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        at = F.pmod(F.xxhash64("vec_id"), F.lit(own_n)).cast("int")
-        return frame.select("vec_id", "v", at.alias(own), F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other))
+        at = F.pmod(F.xxhash64("vec_id", "v"), F.lit(own_n)).cast("int")
+        return _counted(frame, k).select("vec_id", "v", "n", at.alias(own), F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other))
 
     left = dealt(queries, "q", query_blocks, "r", row_blocks).groupBy("q", "r")
     right = dealt(rows, "r", row_blocks, "q", query_blocks).groupBy("q", "r")
@@ -90,8 +97,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, rows_per_block: int = ROW
     def score(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if not len(one) or not len(two):
             return score_block(np.empty(0, np.int64), [], np.empty(0, np.int64), [], k)
-        return score_block(*_unique(one), *_unique(two), k)
+        return score_block(*_rows(one), *_rows(two), k)
 
-    found = left.cogroup(right).applyInPandas(score, SCORES).distinct()
+    found = left.cogroup(right).applyInPandas(score, SCORES)
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

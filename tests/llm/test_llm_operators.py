@@ -449,14 +449,15 @@ def test_top_k(spark):
     rng = np.random.default_rng(10)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 4 + 0.001]) for i in range(160)]
     rows += [(200, None), (201, []), (202, [1.0, None]), (203, [float("nan")] * 6), (204, [float("inf")] * 6), (None, [1.0] * 6), (150, [1e6] * 6), (5, rows[5][1]), (206, [1.0])]
+    rows += [(300, [50.0] * 6)] * 7 + [(301, [49.0] * 6)] * 2 + [(100, rows[100][1])]
     vectors = topk.integer_vectors(spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int"), "vec_id", "embedding")
     got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, rows_per_block=50, queries_per_block=2).collect()
-    ints = sorted({(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()})
-    want = set()
-    for q in {i for i, _ in ints if i % 50 == 0}:
-        found = {(-sum(a * b for a, b in zip(v, w)), i) for p, v in ints if p == q for i, w in ints if i != q}
-        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(found)[:5])}
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+    ints = sorted((i, tuple(int(np.floor(256 * x)) for x in v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all())
+    want = []
+    for q in sorted({i for i, _ in ints if i % 50 == 0}):
+        found = [(-sum(a * b for a, b in zip(v, w)), i) for p, v in ints if p == q for i, w in ints if i != q]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(found)[:5])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
     assert topk.top_k(vectors.limit(0), vectors.limit(0), 5).count() == 0
 
 
