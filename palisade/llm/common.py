@@ -54,25 +54,41 @@ def text_key(text: Column | str) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shard_count(rows: int, per_shard: int, least: int = 1) -> int:
     return max(least, -(-rows // per_shard))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with an edge; component is the smallest node it reaches.
 
-    Each round joins every node with the smallest label among its neighbours and itself, then jumps to that label's own
-    label; labels are aggregates that combine before the shuffle, and the table is stored each round.
+    Each round every node, and the node its label names, take the smallest label that the labels of its neighbours have, then
+    every node its label's own label. Hooking the named node too makes a long chain settle in a few rounds, where passing labels
+    on alone takes as many as the chain is long. Labels are aggregates that combine before the shuffle, and are stored each round.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
     both = stored(both.union(both.select("v", "u")).distinct(), "edges")
     labels = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")), "labels")
-    for _ in range(rounds):
-        seen = both.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("n"))
-        lower = labels.join(seen, "u").select("u", F.least("c", "n").alias("n"), "c")
-        jump = labels.select(F.col("u").alias("n"), F.col("c").alias("j"))
-        new = stored(lower.join(jump, "n", "left").select("u", F.least("n", F.coalesce("j", "n")).alias("c"), F.col("c").alias("old")), "labels")
-        if not new.where("c != old").limit(1).count():
-            return new.select(F.col("u").alias("node"), F.col("c").alias("component"))
-        labels = new.select("u", "c")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    while True:
+        named = labels.join(labels.select(F.col("u").alias("c"), F.col("c").alias("g")), "c")
+        seen = both.join(named.select(F.col("u").alias("v"), "g"), "v").groupBy("u").agg(F.min("g").alias("n"))
+        own = F.struct("u", F.least("g", "n").alias("c"), F.col("c").alias("old"))
+        hook = F.struct(F.col("c").alias("u"), F.col("n").alias("c"), F.lit(None).cast(labels.schema["c"].dataType).alias("old"))
+        taken = named.join(seen, "u").select(F.inline(F.array(own, hook)))
+        labels = stored(taken.groupBy("u").agg(F.min("c").alias("c"), F.max("old").alias("old")), "labels")
+        if not labels.where("c != old").limit(1).count():
+            return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
+        labels = labels.select("u", "c")
+
+

@@ -3,7 +3,8 @@
 1. One pass over the texts gives each its word n-gram set as 64-bit hashes, reduced to band hashes and a 128-bit key of the text.
    Texts with equal words form one class; from here on only classes travel, so exact copies are never compared.
 2. Classes meet in the bands (a shuffle on band hashes). A band's bucket yields a star around its smallest class, not pairs;
-   the components of the stars are the groups within which every candidate pair lies.
+   every candidate pair lies in a component of the stars. A component is one group; one of more than a block whose buckets hold
+   fewer pairs than it has in all, such as a chain of neighbours, is compared bucket by bucket instead.
 3. Only the texts of groups are read again, for their full sets. A group is cut into blocks by set size; pairs of blocks whose
    sizes allow the threshold are single tasks of bounded size. A task compares all pairs of its two blocks exactly: n-grams
    that many members hold are counted by a matrix product, the others along their posting lists.
@@ -21,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from palisade.llm.common import components, release_memory, small_arrow_batches, stored, text_key
+from palisade.llm.common import components, free_names, release_memory, small_arrow_batches, stored, text_key
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -176,6 +177,17 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def met_before(hit: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The pairs of `hit` that share a hash at the same place: an earlier band has them in one bucket."""
+    one, two = np.nonzero(hit)
+    again = np.zeros(len(one), bool)
+    for a, b in zip(np.array(left).T, np.array(right).T):
+        again |= a[one] == b[two]
+    out = np.zeros_like(hit)
+    out[one[again], two[again]] = True
+    return out
+
+
 def compare_blocks(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which pairs of sets have at least this Jaccard similarity, exactly."""
     common = _overlaps(left, right).astype(np.float64)
@@ -197,6 +209,27 @@ def _stars(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> pd.DataFrame
     return edges[edges["a"] != edges["b"]].drop_duplicates()
 
 
+def comparison_groups(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, component, band, hash, rep, copies, n, earlier) of (c, rep, copies, n, bands): within which groups classes are compared.
+
+    A group is a component of the candidates (band -1), or one bucket of a component that has more than `block` classes and whose
+    buckets hold fewer pairs than all its classes make. A pair may meet in several buckets; `earlier` holds a class's hashes of
+    the bands before the bucket's, so that only the first one counts it.
+    """
+    banded = classes.select("c", F.posexplode("bands").alias("band", "hash"))
+    stars = stored(banded.groupBy("band", "hash").agg(F.min("c").alias("m"), F.count("*").alias("k")).where("k > 1"), "stars")
+    candidates = stored(banded.join(stars, ["band", "hash"]).where("c != m").select(F.col("m").alias("a"), F.col("c").alias("b")).distinct(), "candidates")
+    groups = components(candidates)
+    size = groups.groupBy("component").agg(F.count("*").cast("double").alias("size")).where(F.col("size") > block)
+    pairs = stars.join(groups.withColumnRenamed("node", "m"), "m").groupBy("component").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("pairs"))
+    loose = stored(size.join(pairs, "component").where("pairs < size * size").select("component"), "loose")
+    nodes = stored(groups.join(classes.withColumnRenamed("c", "node"), "node"), "groups")
+    none = F.lit(None).cast("array<bigint>")
+    whole = nodes.join(loose, "component", "left_anti").select("node", "component", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("hash"), "rep", "copies", "n", none.alias("earlier"))
+    spread = nodes.join(loose, "component").select("*", F.posexplode("bands").alias("band", "hash")).join(stars.select("band", "hash"), ["band", "hash"])
+    return whole.unionByName(spread.select("node", "component", "band", "hash", "rep", "copies", "n", F.slice("bands", F.lit(1), F.col("band")).alias("earlier")))
+
+
 def ngram_join(documents: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(doc_id, ta, tb, class_id, n_links, kept) of every row of (doc_id, text).
 
@@ -204,65 +237,64 @@ def ngram_join(documents: DataFrame, words: int = WORDS, threshold: float = THRE
     lower-cased word n-gram sets of at least `threshold`; copies count each), kept whether the row stands for its class: it has
     the smallest (doc_id, ta, tb), where ta, tb are a key of the text. Texts of fewer words than an n-gram are one n-gram. Texts
     without words, null texts and rows with a null doc_id link with nothing, are kept, and have themselves as class. Repeated rows
-    are copies of each other and share kept. An empty table stays empty.
+    are copies of each other and share kept. An empty table stays empty. A pair at the threshold is found with the probability
+    `recall`, a closer one with a higher one; inside groups of up to `block` classes all pairs are compared.
     """
     bands, rows = choose_bands(threshold, recall)
     signed = stored(signatures(documents, words, bands, rows), "signatures")
     able = signed.where("n > 0 and doc_id is not null")
     classes = stored(able.groupBy("ka", "kb").agg(F.min(F.struct("doc_id", "ta", "tb")).alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.first("bands").alias("bands")), "classes")
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    banded = classes.select("c", F.posexplode("bands").alias("band", "hash"))
-    stars = banded.groupBy("band", "hash").agg(F.min("c").alias("m"), F.count("*").alias("k")).where("k > 1")
-    candidates = stored(banded.join(stars, ["band", "hash"]).where("c != m").select(F.col("m").alias("a"), F.col("c").alias("b")).distinct(), "candidates")
-    groups = components(candidates)
-    in_groups = stored(groups.join(classes.select(F.col("c").alias("node"), "rep", "copies", "n"), "node"), "groups")
+    members = stored(comparison_groups(classes, block), "members")
+    group = ["component", "band", "hash"]
 
     # Blocks of a group by set size. Ranks inside a group come from counts by size, so a large group is never sorted in one task.
-    sizes = in_groups.groupBy("component", "n").agg(F.count("*").alias("k"))
-    before = Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("component", "n", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"), "k")
-    pieces = in_groups.join(starts, ["component", "n"]).withColumn("within", F.pmod(F.xxhash64("node"), F.greatest(F.ceil(F.col("k") / block), F.lit(1))).cast("long"))
+    sizes = members.groupBy(*group, "n").agg(F.count("*").alias("k"))
+    before = Window.partitionBy(*group).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*group, "n", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"), "k")
+    pieces = members.join(starts, [*group, "n"]).withColumn("within", F.pmod(F.xxhash64("node"), F.greatest(F.ceil(F.col("k") / block), F.lit(1))).cast("long"))
     pieces = pieces.withColumn("blk", F.struct(F.floor(F.col("first") / block).alias("x"), F.when(F.col("k") > block, F.col("n")).otherwise(F.lit(0)).alias("y"), F.when(F.col("k") > block, F.col("within")).otherwise(F.lit(0)).alias("z")))
-    placed = stored(pieces.select("component", "node", "rep", "copies", "n", "blk"), "placed")
-    ranges = placed.groupBy("component", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    one, two = ranges.select("component", F.col("blk").alias("l"), F.col("lo").alias("llo"), F.col("hi").alias("lhi")), ranges.select("component", F.col("blk").alias("r"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"))
+    placed = stored(pieces.select(*group, "node", "rep", "copies", "n", "blk", "earlier"), "placed")
+    ranges = placed.groupBy(*group, "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    one, two = ranges.select(*group, F.col("blk").alias("l"), F.col("lo").alias("llo"), F.col("hi").alias("lhi")), ranges.select(*group, F.col("blk").alias("r"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"))
     fits = (F.col("l") <= F.col("r")) & (F.col("rhi") >= threshold * F.col("llo") - 1e-9) & (F.col("lhi") >= threshold * F.col("rlo") - 1e-9)
-    tasks = stored(one.join(two, "component").where(fits).select("component", "l", "r").withColumn("task", F.monotonically_increasing_id()), "tasks")
-    sides = tasks.select("component", F.col("l").alias("blk"), "task", F.lit(0).alias("side")).union(tasks.where("l != r").select("component", "r", "task", F.lit(1)))
-
-    kind = dict(placed.dtypes)["blk"]
+    tasks = stored(one.join(two, group).where(fits).select(*group, "l", "r").withColumn("task", F.monotonically_increasing_id()), "tasks")
+    sides = tasks.select(*group, F.col("l").alias("blk"), "task", F.lit(0).alias("side")).union(tasks.where("l != r").select(*group, "r", "task", F.lit(1)))
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "component", "copies", "blk"]
         for batch in batches:
             sets = [ngrams(text.as_py() or "", words)[0].tobytes() for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "grams"])
         _MEMO.clear()
 
-    wanted = placed.select("rep.doc_id", "rep.ta", "rep.tb", "node", "component", "copies", "blk")
+    wanted = placed.select("rep.doc_id", "rep.ta", "rep.tb", "node").distinct()
     # A merge join at every size: what is wanted grows with the corpus, so it is never sent to all tasks.
-    texts = _keyed(documents).join(wanted.hint("merge"), ["doc_id", "ta", "tb"]).select("text", "node", "component", "copies", "blk")
-    sets = texts.mapInArrow(full_sets, f"node long, component long, copies long, blk {kind}, grams binary")
-    sets = stored(sets.dropDuplicates(["node"]), "sets")
+    texts = _keyed(documents).join(wanted.hint("merge"), ["doc_id", "ta", "tb"]).select("text", "node")
+    sets = stored(texts.mapInArrow(full_sets, "node long, grams binary").dropDuplicates(["node"]), "sets")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         part = [frame[frame["side"] == s] for s in (0, 1)]
         left = [np.frombuffer(g, np.uint64) for g in part[0]["grams"]]
+        met = frame["band"].iat[0] > 0
         ids, copies = part[0]["node"].to_numpy(), part[0]["copies"].to_numpy()
         if len(part[1]):
             right, rids, rcopies = [np.frombuffer(g, np.uint64) for g in part[1]["grams"]], part[1]["node"].to_numpy(), part[1]["copies"].to_numpy()
             hit = compare_blocks(left, right, threshold)
+            if met:
+                hit &= ~met_before(hit, list(part[0]["earlier"]), list(part[1]["earlier"]))
             n = [pd.DataFrame({"a": ids, "n": hit @ rcopies}), pd.DataFrame({"a": rids, "n": hit.T @ copies})]
             edges = _stars(hit, ids, rids)
         else:
             hit = compare_blocks(left, left, threshold)
             np.fill_diagonal(hit, False)
+            if met:
+                hit &= ~met_before(hit, list(part[0]["earlier"]), list(part[0]["earlier"]))
             n = [pd.DataFrame({"a": ids, "n": hit @ copies})]
             edges = _stars(hit, ids, ids)
         n = [x[x["n"] > 0].assign(b=-1) for x in n]
         return pd.concat([*n, edges.assign(n=0)])[["a", "b", "n"]].astype("int64")
 
-    blocks = sets.join(sides, ["component", "blk"]).select("task", "side", "node", "copies", "grams")
+    blocks = placed.join(sides, [*group, "blk"]).select("task", "side", "node", "copies", "band", "earlier").join(sets, "node")
     found = stored(blocks.groupBy("task").applyInPandas(verify, "a long, b long, n long"), "found")
     links = found.where("b < 0").groupBy("a").agg(F.sum("n").alias("links"))
     joined = components(found.where("b >= 0"))
@@ -288,9 +320,10 @@ def drop_near_copies(documents: DataFrame, **options: float) -> DataFrame:
     Rows with a null doc_id and rows without words all stay. Columns are those of documents; a row whose class another one stands
     for is found by doc_id and text.
     """
-    gone = ngram_join(documents.select("doc_id", "text"), **options).where("not kept").select("doc_id", F.col("ta").alias("_ta"), F.col("tb").alias("_tb")).distinct()
+    ta, tb = free_names(documents.columns, "_ta", "_tb")
+    gone = ngram_join(documents.select("doc_id", "text"), **options).where("not kept").select("doc_id", F.col("ta").alias(ta), F.col("tb").alias(tb)).distinct()
     key = text_key("text")
-    left = documents.withColumns({"_ta": key["a"], "_tb": key["b"]}).join(gone.hint("merge"), ["doc_id", "_ta", "_tb"], "left_anti")
+    left = documents.withColumns({ta: key["a"], tb: key["b"]}).join(gone.hint("merge"), ["doc_id", ta, tb], "left_anti")
     worded = F.col("doc_id").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)\w")
-    once = left.where(worded).dropDuplicates(["doc_id", "_ta", "_tb"])
+    once = left.where(worded).dropDuplicates(["doc_id", ta, tb])
     return once.unionByName(left.where(~worded)).select(*documents.columns)

@@ -307,6 +307,33 @@ def test_ngram_join_against_brute_force(spark):
     assert ngram_join.ngram_join(docs_of(spark, [])).count() == 0 and ngram_join.drop_near_copies(docs_of(spark, [])).count() == 0
 
 
+def test_chains_are_compared_by_buckets(spark):
+    """Neighbours just below the threshold join into long components; the work stays with the buckets, and the links are those of brute force."""
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(5 * 400 + 60)]
+    texts = [" ".join(words[5 * i : 5 * i + 44]) for i in range(400)]
+    texts += [f"{texts[i]} z{i}" for i in range(0, 400, 10)] + [f"y{i} {texts[i]}" for i in range(0, 400, 20)]
+    sets = [set(ngram_join.ngrams(t)[0].tolist()) for t in texts]
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    count = Counter(itertools.chain.from_iterable(near))
+    got = ngram_join.ngram_join(docs_of(spark, enumerate(texts)), recall=0.9999, block=16)
+    assert {r.doc_id: r.n_links for r in got.collect()} == {i: count[i] for i in range(len(texts))} and len(near) >= 60
+    bands, rows = ngram_join.choose_bands(0.8, 0.9999)
+    signed = ngram_join.signatures(docs_of(spark, enumerate(texts)).select("doc_id", "text"), 5, bands, rows)
+    classes = common.stored(signed.select(F.col("doc_id").alias("c"), F.struct("doc_id", "ta", "tb").alias("rep"), F.lit(1).alias("copies"), "n", "bands"), "classes")
+    groups = ngram_join.comparison_groups(classes, 16).groupBy("component", "band", "hash").count().collect()
+    largest = max(r["count"] for r in groups)
+    by_component = ngram_join.comparison_groups(classes, 10**6).groupBy("component").count().collect()
+    assert max(r["count"] for r in by_component) > 200 and largest < 40
+    assert sum(r["count"] ** 2 for r in groups) < 0.25 * sum(r["count"] ** 2 for r in by_component)
+
+
+def test_near_copies_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 5, "x"), (2, "a b c d e f g", 6, "y"), (3, "other words here", None, None)], "doc_id long, text string, _ta int, _TB string")
+    left = ngram_join.drop_near_copies(docs)
+    assert left.columns == docs.columns and sorted(tuple(r) for r in left.collect()) == [(1, "a b c d e f g", 5, "x"), (3, "other words here", None, None)]
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.995)
     assert bands * rows <= ngram_join.MAX_HASHES and 1 - (1 - 0.8**rows) ** bands >= 0.995
