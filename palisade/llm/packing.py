@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from palisade.llm.common import release_memory, shard_count, small_arrow_batches, stored, text_key
+from palisade.llm.common import free_names, release_memory, shard_count, small_arrow_batches, stored, text_key
 from palisade.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -163,10 +163,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = ROW
     """
     n = pieces.count()
     buckets = shard_count(n, rows_per_bucket, 8)
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("row_key", "piece"), F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("length").alias("_l"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    bucket, row, place_in, of_length, of_bucket, first = free_names(pieces.columns, "_bucket", "_row", "_rank", "_l", "_b", "_first")
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64("row_key", "piece"), F.lit(buckets)).cast("int"))
+    sizes = dealt.groupBy("length", bucket).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("length").alias(of_length), F.col(bucket).alias(of_bucket), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(first))
     counts = {row["length"]: row["n"] for row in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     segments, _ = plan(counts, capacity)
 
@@ -175,15 +176,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = ROW
         grouped.setdefault(segment[0], []).append(segment[1:])
     by_length = {length: tuple(np.array(c, np.int64) for c in zip(*sorted(own))) for length, own in grouped.items()}
 
-    inside = Window.partitionBy("length", "_bucket").orderBy("row_key", "piece", "start")
-    ranked = dealt.withColumn("_row", F.row_number().over(inside) - 1).join(starts, (F.col("length") == F.col("_l")) & (F.col("_bucket") == F.col("_b")))
-    ranked = ranked.withColumn("_rank", F.col("_first") + F.col("_row")).drop("_l", "_b", "_bucket", "_first", "_row")
-    kept = [c for c in ranked.columns if c != "_rank"]
+    inside = Window.partitionBy("length", bucket).orderBy("row_key", "piece", "start")
+    ranked = dealt.withColumn(row, F.row_number().over(inside) - 1).join(starts, (F.col("length") == F.col(of_length)) & (F.col(bucket) == F.col(of_bucket)))
+    ranked = ranked.withColumn(place_in, F.col(first) + F.col(row)).drop(of_length, of_bucket, bucket, first, row)
+    kept = [c for c in ranked.columns if c != place_in]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("length").to_numpy()
-            rank = batch.column("_rank").to_numpy()
+            rank = batch.column(place_in).to_numpy()
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             order = np.argsort(length, kind="stable")
             values, at = np.unique(length[order], return_index=True)

@@ -23,10 +23,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from palisade.llm.common import small_arrow_batches, stored, text_key
+from palisade.llm.common import free_names, small_arrow_batches, stored, text_key
 
 KEY = b"palisade-surrogates"
 SEND_BOUND = 32 * 1024 * 1024
@@ -344,14 +344,21 @@ def assign(found: DataFrame, key: bytes = KEY) -> DataFrame:
             return taken
 
 
-def replace_entities(documents: DataFrame, key: bytes = KEY, send_bound: int = SEND_BOUND, count_to: str | None = None) -> DataFrame:
+def secret_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting `spark.palisade.surrogates.key`; without it the published KEY, with which surrogates can be recomputed."""
+    named = spark.conf.get("spark.palisade.surrogates.key", None)
+    return named.encode() if named else KEY
+
+
+def replace_entities(documents: DataFrame, key: bytes | None = None, send_bound: int = SEND_BOUND, count_to: str | None = None) -> DataFrame:
     """documents with surrogates in the text column; with count_to, also the number of entities replaced in a column of that name.
 
+    Without a key, that of the session's setting is used (`secret_key`).
     Texts without entities, null and empty ones stay as they are; other columns stay; repeated rows change alike; an empty
     table stays empty.
     """
     spark = documents.sparkSession
-    mapping = assign(entities(documents), key)
+    mapping = assign(entities(documents), key or secret_key(spark))
     size = mapping.agg(F.sum(F.octet_length("kind") + F.octet_length("canon") + F.octet_length("surrogate") + 100)).first()[0] or 0
     small_arrow_batches(spark)
     columns = [c for c in documents.columns if c != count_to]
@@ -377,18 +384,20 @@ def replace_entities(documents: DataFrame, key: bytes = KEY, send_bound: int = S
 
         return documents.select(*columns).mapInArrow(apply, schema)
 
+    ta, tb, own_map = free_names([*documents.columns, count_to or "", "kind", "canon", "surrogate"], "_ta", "_tb", "_map")
+
     def own_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = sorted({(a, b, same_name(k), c) for text, a, b in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()) for *_, k, c in detect(text.as_py())})
             cols = list(zip(*rows)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["_ta", "_tb", "kind", "canon"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))], [ta, tb, "kind", "canon"])
 
-    keyed = documents.select(*columns, text_key("text")["a"].alias("_ta"), text_key("text")["b"].alias("_tb"))
-    held = keyed.select("text", "_ta", "_tb").mapInArrow(own_entities, "_ta long, _tb long, kind string, canon string").distinct()
-    by_text = held.join(mapping, ["kind", "canon"]).groupBy("_ta", "_tb").agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias("_map"))
+    keyed = documents.select(*columns, text_key("text")["a"].alias(ta), text_key("text")["b"].alias(tb))
+    held = keyed.select("text", ta, tb).mapInArrow(own_entities, f"{ta} long, {tb} long, kind string, canon string").distinct()
+    by_text = held.join(mapping, ["kind", "canon"]).groupBy(ta, tb).agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias(own_map))
 
     def apply_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield rewritten(batch, ({(x["kind"], x["canon"]): x["surrogate"] for x in m.as_py() or []} for m in batch.column("_map")))
+            yield rewritten(batch, ({(x["kind"], x["canon"]): x["surrogate"] for x in m.as_py() or []} for m in batch.column(own_map)))
 
-    return keyed.join(by_text, ["_ta", "_tb"], "left").select(*columns, "_map").mapInArrow(apply_own, schema)
+    return keyed.join(by_text, [ta, tb], "left").select(*columns, own_map).mapInArrow(apply_own, schema)

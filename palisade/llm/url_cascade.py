@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.llm.common import shard_count, stored
+from palisade.llm.common import free_names, shard_count, stored
 
 KEYS_PER_SHARD = 1_000_000
 SEND_BOUND = 64 * 1024 * 1024
@@ -149,11 +149,12 @@ def mark(rows: DataFrame, cascade: Cascade, keys: str, to: str) -> DataFrame:
     key = rows.select(F.explode(keys).alias("key")).distinct().withColumn("h", hashes(F.col("key"))).select("key", "h.a", "h.b")
     asked = key.withColumn("of", F.pmod("a", F.lit(shards)).cast("int"))
     answers = cascade.levels.groupBy("shard").cogroup(asked.groupBy("of")).applyInPandas(answer, "key string, listed boolean")
-    named = rows.withColumn("_row", F.monotonically_increasing_id())
-    flags = named.select("_row", F.posexplode(keys).alias("_at", "key")).join(answers, "key").groupBy("_row")
+    (row,) = free_names([*rows.columns, to, "_at", "key"], "_row")
+    named = rows.withColumn(row, F.monotonically_increasing_id())
+    flags = named.select(row, F.posexplode(keys).alias("_at", "key")).join(answers, "key").groupBy(row)
     flags = flags.agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "listed"))), lambda x: x["listed"]).alias(to))
     none = F.when(F.col(keys).isNotNull(), F.expr("cast(array() as array<boolean>)"))
-    return named.join(flags, "_row", "left").withColumn(to, F.coalesce(to, none)).drop("_row")
+    return named.join(flags, row, "left").withColumn(to, F.coalesce(to, none)).drop(row)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -182,12 +183,14 @@ def judge_urls(pages: DataFrame, allow: DataFrame, block: DataFrame, path_length
     are judged alike. Columns of pages with the names of the new ones are replaced.
     """
     host, path = host_and_path(F.col(url_col))
-    rows = pages.drop("host", "path", "rule", "rule_verdict").withColumns({"host": host, "path": path}).withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), path_lengths))
-    universe = rows.select(F.explode("_keys").alias("key"))
+    rows = pages.drop("host", "path", "rule", "rule_verdict").withColumns({"host": host, "path": path})
+    keys, allowed, blocked, best = free_names([*rows.columns, "rule", "rule_verdict"], "_keys", "_allow", "_block", "_hit")
+    rows = rows.withColumn(keys, candidate_keys(F.col("host"), F.col("path"), path_lengths))
+    universe = rows.select(F.explode(keys).alias("key"))
     lists = [build(allow, universe), build(block, universe)]
     if any(x.sent is None for x in lists):
         rows = stored(rows, "urls")
-    rows = mark(mark(rows, lists[0], "_keys", "_allow"), lists[1], "_keys", "_block")
-    hit = F.transform(F.arrays_zip("_keys", "_allow", "_block"), lambda x: F.struct(x["_keys"].alias("rule"), F.when(x["_block"], "block").when(x["_allow"], "allow").alias("verdict")))
+    rows = mark(mark(rows, lists[0], keys, allowed), lists[1], keys, blocked)
+    hit = F.transform(F.arrays_zip(keys, allowed, blocked), lambda x: F.struct(x[keys].alias("rule"), F.when(x[blocked], "block").when(x[allowed], "allow").alias("verdict")))
     first = F.get(F.filter(hit, lambda x: x["verdict"].isNotNull()), F.lit(0))
-    return rows.withColumn("_hit", first).withColumns({"rule": F.col("_hit.rule"), "rule_verdict": F.col("_hit.verdict")}).drop("_keys", "_allow", "_block", "_hit")
+    return rows.withColumn(best, first).withColumns({"rule": F.col(best)["rule"], "rule_verdict": F.col(best)["verdict"]}).drop(keys, allowed, blocked, best)

@@ -171,6 +171,36 @@ def test_surrogates_hold_everywhere_in_a_text(spark):
         assert one == two != "2001:db8::1"
 
 
+def test_private_columns_do_not_clash(spark):
+    """Columns of the input that are named like the operators' own ones come out as they went in."""
+    own = "'u' as _keys, 'v' as _ALLOW, 3 as _hit, 4 as _row, 5 as _ta, 6 as _TB, 7 as _map, 8 as _bucket, 9 as _rank, 10 as _l, 11 as _first"
+    kept = lambda frame: {tuple(r[c] for c in ("_keys", "_ALLOW", "_hit", "_row", "_ta", "_TB", "_map", "_bucket", "_rank", "_l", "_first")) for r in frame.collect()}
+    want = {("u", "v", 3, 4, 5, 6, 7, 8, 9, 10, 11)}
+    keys = lambda *v: spark.createDataFrame([(x,) for x in v], "key string")
+    urls = spark.sql(f"select id as page_id, concat('http://a.org/', id) as url, {own} from range(5)")
+    judged = url_cascade.judge_urls(urls, keys("org/"), keys("net/"), [1])
+    assert kept(judged) == want and {r.rule for r in judged.collect()} == {"org/"} and judged.columns[: len(urls.columns)] == urls.columns
+    docs = spark.sql(f"select id as doc_id, concat('mail a', id, '@b.org') as text, {own} from range(5)")
+    for bound in (0, 10**6):
+        out = surrogates.replace_entities(docs, send_bound=bound)
+        assert out.columns == docs.columns and kept(out) == want and not any("@b.org" in r.text and r.text in {f"mail a{i}@b.org" for i in range(5)} for r in out.collect())
+    pieces = spark.sql(f"select id as row_key, 0 as piece, 0L as start, 700 + id as length, {own} from range(6)")
+    packed = packing.pack(pieces, 2048)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"] and kept(packed) == want and packed.select("sequence_id").distinct().count() == 3
+
+
+def test_the_key_of_the_session_is_used(spark):
+    docs = docs_of(spark, [(1, "Write to Ann.Lee42@mail.example.com today.")])
+    texts = [surrogates.replace_entities(docs).first().text]
+    spark.conf.set("spark.palisade.surrogates.key", "another")
+    try:
+        texts.append(surrogates.replace_entities(docs).first().text)
+    finally:
+        spark.conf.unset("spark.palisade.surrogates.key")
+    texts.append(surrogates.replace_entities(docs, b"another").first().text)
+    assert texts[0] != texts[1] == texts[2]
+
+
 # ---- 3
 
 
