@@ -40,6 +40,16 @@ def test_tree_to_files(spark, tmp_path):
     assert (single.path, single.size) == ("a.py", 3)
 
 
+def test_one_file_by_ranges(spark, tmp_path):
+    """Ranges joined in order are the file, whatever its size and name; no range is larger than asked for."""
+    for name, size in (("a b%41.bin", 10_007), ("even.bin", 4_096), ("empty.bin", 0), ("one.bin", 1)):
+        body = bytes(i * 7 % 251 for i in range(size))
+        (tmp_path / name).write_bytes(body)
+        rows = inventory.read_ranges(spark, str(tmp_path / name), "r", 1024).orderBy("at").collect()
+        assert b"".join(r.raw for r in rows) == body and [r.start for r in rows] == [1024 * i for i in range(-(-size // 1024))]
+        assert all(len(r.raw) <= 1024 and (r.repo_id, r.size) == ("r", size) for r in rows)
+
+
 def test_sniffed_text(spark):
     rows = [("r", "a.json", 2, bytearray(b"{}")), ("r", "b.rs", 9, bytearray(b"#!/bin/sh")), ("r", "c.rs", 2, bytearray(b"\x00\x01"))]
     df = spark.createDataFrame(rows, "repo_id string, path string, size long, raw binary")
