@@ -1216,7 +1216,8 @@ def _(spark, sf):
     from palisade.sources.tables import text_as_file
 
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # As a pattern the path may be a file or a folder of files; a stream's plain path has to be a folder.
+    stream = spark.readStream.schema(schema).option("basePath", sf).parquet(f"{sf}/documents.parque[t]")
     path = F.concat(F.lit("docs/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     files = text_as_file(stream, F.col("source"), path, F.col("text"))
     out = run_folder(spark, "stream")
