@@ -15,9 +15,9 @@ from palisade.operators.joins import salted_join
 
 
 def _tokens(names: DataFrame, name: str) -> DataFrame:
-    """name, its length, and its (letter, number) tokens."""
+    """name, its length, and its (letter, number) tokens, each as one number: the letter's bytes, then its number in 30 bits."""
     letters = F.array_sort(F.split(F.col(name), ""))
-    numbered = F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c) + 1).cast("string")))
+    numbered = F.transform(letters, lambda c, i: F.conv(F.hex(c), 16, 10).cast("long") * (1 << 30) + i - F.array_position(letters, c) + 1)
     return names.where((F.length(name) > 0)).select(name, F.length(name).alias("n"), numbered.alias("tokens")).distinct()
 
 
@@ -33,7 +33,7 @@ def _indexed(tokens: DataFrame, order: DataFrame, name: str, own: str, other: st
     high = F.floor(F.col("n") * (2 - least) / least + F.lit(1e-9)).cast("int")
     wide = ranked.select(name, F.col("n").alias(own), "t", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias(other))
     prefix = F.slice("t.token", F.lit(1), F.col(own) - _need(F.col(own), F.col(other), least) + 1)
-    return wide.select(name, own, other, prefix.alias(f"{name}_prefix")).withColumn("token", F.explode(f"{name}_prefix"))
+    return wide.select(name, own, other, F.col("t.token").alias(f"{name}_tokens"), F.explode(prefix).alias("token"))
 
 
 def bound_pairs(names: DataFrame, popular: DataFrame, least: float = MIN_RATIO) -> DataFrame:
@@ -45,14 +45,11 @@ def bound_pairs(names: DataFrame, popular: DataFrame, least: float = MIN_RATIO)
     order = a.select("tokens").unionByName(b.select("tokens")).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("count"))
     left, right = _indexed(a, order, "name", "la", "lb", least), _indexed(b, order, "popular", "lb", "la", least)
     met = salted_join(left, right, ["token", "la", "lb"]).where("name <> popular")
-    # Prefixes keep the common order, so the first common token of both is where the intersection begins.
-    met = met.where(F.get(F.array_intersect("name_prefix", "popular_prefix"), F.lit(0)) == F.col("token"))
-
-    def count(text: str, letter: Column) -> Column:
-        return F.length(text) - F.length(F.replace(F.col(text), letter, F.lit("")))
-
-    shared = F.aggregate(F.array_distinct(F.split("popular", "")), F.lit(0), lambda acc, c: acc + F.least(count("name", c), count("popular", c)))
-    return met.select("name", "popular", "la", "lb", shared.alias("shared")).where(F.col("shared") >= _need(F.col("la"), F.col("lb"), least)).select("name", "popular", "shared")
+    # Tokens stand in the common order, of which prefixes are the beginning: the first common token of both names is the first of the prefixes
+    # too, and all of them are the shared letters. A one-row generator keeps the optimizer from comparing a pair twice.
+    common = met.select("name", "popular", "la", "lb", "token", F.explode_outer(F.array(F.array_intersect("name_tokens", "popular_tokens"))).alias("common"))
+    taken = common.where((F.get("common", F.lit(0)) == F.col("token")) & (F.size("common") >= _need(F.col("la"), F.col("lb"), least)))
+    return taken.select("name", "popular", F.size("common").alias("shared"))
 
 
 def similar_names(names: DataFrame, popular: DataFrame, least: float = MIN_RATIO) -> DataFrame:
