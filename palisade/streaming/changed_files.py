@@ -9,18 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "repo_id string, path string, size long, sha256 string, at long"
-NUMBERS = {"size": "Int64", "at": "int64"}
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["repo_id", "path", "size", "sha256", "at"]).astype(NUMBERS)
 
 
 class LastSeen(StatefulProcessor):
@@ -36,26 +30,32 @@ class LastSeen(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "size long, sha256 string, rules string, at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        versions = pd.concat(list(rows)).sort_values(["at", "size", "sha256"], kind="stable")
-        last = self.last.get()
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        versions = [(r["at"], r["size"], r["sha256"]) for r in rows]
+        versions.sort(key=lambda v: (v[0], v[1] is None, v[1] or 0, v[2] is None, v[2] or ""))
+        last = before = self.last.get()
         kept = []
-        for size, sha256, at in zip(versions["size"], versions["sha256"], versions["at"].astype(int)):
-            size, sha256 = None if pd.isna(size) else int(size), None if pd.isna(sha256) else sha256
+        for at, size, sha256 in versions:
             known = last is not None and last[2] == self.rules_version and last[0] == size and last[1] == sha256
             if not known or at - last[3] > self.ttl:
-                kept.append((*key, size, sha256, at))
+                kept.append(Row(repo_id=key[0], path=key[1], size=size, sha256=sha256, at=at))
             # A late row does not set the clock back.
-            last = (size, sha256, self.rules_version, int(at) if last is None else max(int(at), last[3]))
+            last = (size, sha256, self.rules_version, at if last is None else max(at, last[3]))
         self.last.update(last)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer((last[3] + self.ttl) // 1000 + 1)
-        yield _frame(kept)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        # A file has one timer, at a place that its state tells.
+        if before is None or self._ends(before) != self._ends(last):
+            if before is not None:
+                self.handle.deleteTimer(self._ends(before))
+            self.handle.registerTimer(self._ends(last))
+        yield from kept
+
+    def _ends(self, last: tuple) -> int:
+        """When the file's state is let go, in milliseconds."""
+        return (last[3] + self.ttl) // 1000 + 1
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         self.last.clear()
-        yield _frame([])
+        yield from ()
 
 
 def changed_versions(versions: DataFrame, rules_version: str, ttl: timedelta, late: str = "1 hour") -> DataFrame:
@@ -66,7 +66,7 @@ def changed_versions(versions: DataFrame, rules_version: str, ttl: timedelta, la
     """
     slim = versions.select("repo_id", "path", F.col("size").cast("long").alias("size"), "sha256", "seen", F.unix_micros("seen").alias("at"))
     keyed = slim.withWatermark("seen", late).groupBy("repo_id", "path")
-    changed = keyed.transformWithStateInPandas(LastSeen(rules_version, ttl), OUT, "append", "EventTime")
+    changed = keyed.transformWithState(LastSeen(rules_version, ttl), OUT, "append", "EventTime")
     return changed.withColumn("seen", F.timestamp_micros("at")).drop("at")
 
 

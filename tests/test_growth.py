@@ -27,3 +27,46 @@ def test_shared_letters_are_compared_as_numbers(spark):
                 want[a, b] = shared
     assert {(r.name, r.popular): r.shared for r in pairs.collect()} == want and want
     assert "replace(" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+class _Handle:
+    """State and timers of one key, and the calls they cost."""
+
+    def __init__(self):
+        self.state, self.timers, self.calls = None, set(), Counter()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.state
+
+    def update(self, value):
+        self.state = value
+
+    def clear(self):
+        self.state = None
+
+    def listTimers(self):
+        self.calls["list"] += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.calls["register"] += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls["delete"] += 1
+        self.timers.discard(at)
+
+
+def test_a_file_keeps_one_timer_without_listing_them():
+    handle, seen = _Handle(), LastSeen("r", timedelta(seconds=1))
+    seen.init(handle)
+    rows = lambda *r: iter([Row(at=at, size=size, sha256=sha) for at, size, sha in r])
+    out = list(seen.handleInputRows(("a", "p"), rows((30, 1, "x"), (10, None, None), (20, 1, "x")), None))
+    assert [(r.size, r.sha256, r.at) for r in out] == [(None, None, 10), (1, "x", 20)]
+    assert list(seen.handleInputRows(("a", "p"), rows((5, 1, "x")), None)) == [] and handle.calls == {"register": 1}
+    assert len(list(seen.handleInputRows(("a", "p"), rows((2_000_000, 1, "x")), None))) == 1
+    assert handle.timers == {3001} and handle.calls == {"register": 2, "delete": 1}
+    assert list(seen.handleExpiredTimer(("a", "p"), None, None)) == [] and handle.state is None
