@@ -608,11 +608,12 @@ def _(spark, sf):
 
 def _document_archives(spark: SparkSession, sf: str) -> DataFrame:
     """A zip per document: the text, copies under names that must be skipped, and a nested zip with the text."""
-    @F.pandas_udf("binary")
-    def pack(texts: pd.Series) -> pd.Series:
+    def pack(batches):
         import io
         import zipfile
 
+        import pyarrow as pa
+
         def zipped(members):
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
@@ -624,12 +625,16 @@ def _document_archives(spark: SparkSession, sf: str) -> DataFrame:
             inner = zipped([("b.txt", text), ("dist/c.js", text), ("d.zip", "x")])
             return zipped([("a.md", text), ("../e.txt", text), ("node_modules/f.js", text), ("g.so", text), ("pack/inner.zip", inner)])
 
-        return texts.map(one)
+        # Few archives leave at a time: they are larger than the texts, and a worker holds no more of them.
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                raw = pa.array([one(text.as_py()) for text in part["text"]], pa.binary())
+                yield pa.RecordBatch.from_arrays([part["repo_id"], part["path"], raw], ["repo_id", "path", "raw"])
 
     docs = read_texts(spark, sf, "documents", "doc_id", "source", "text")
-    return docs.select(
-        F.col("source").alias("repo_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".zip")).alias("path"), pack("text").alias("raw")
-    )
+    named = docs.select(F.col("source").alias("repo_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".zip")).alias("path"), "text")
+    return named.mapInArrow(pack, "repo_id string, path string, raw binary")
 
 
 @query(

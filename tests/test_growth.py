@@ -70,3 +70,22 @@ def test_a_file_keeps_one_timer_without_listing_them():
     assert len(list(seen.handleInputRows(("a", "p"), rows((2_000_000, 1, "x")), None))) == 1
     assert handle.timers == {3001} and handle.calls == {"register": 2, "delete": 1}
     assert list(seen.handleExpiredTimer(("a", "p"), None, None)) == [] and handle.state is None
+
+
+def test_members_leave_in_small_batches(spark):
+    """A worker holds a few megabytes of members, however many archives a batch brings."""
+    import io
+    import zipfile
+
+    def zipped(n):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for i in range(n):
+                z.writestr(f"m{i}.txt", b"x" * (1 << 20))
+        return buffer.getvalue()
+
+    rows = spark.createDataFrame([("r", f"{i}.zip", zipped(4)) for i in range(6)] + [("r", "gone.zip", None)], "repo_id string, path string, raw binary").coalesce(1)
+    got = archives.read_archives(rows).mapInArrow(lambda it: (b.select(["size"]).append_column("held", [sum(len(x.as_py() or b"") for x in b["raw"])] * b.num_rows) for b in it), "size long, held long")
+    assert archives._BATCH_BYTES <= 4 << 20
+    assert archives.expand_archives(rows).agg(F.sum("size")).first()[0] == 24 << 20 and archives.archive_errors(rows).count() == 1
+    assert got.where("size is null").count() == 1
