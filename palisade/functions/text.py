@@ -80,12 +80,10 @@ def is_meaningful(text: Column, min_len: int = 5) -> Column:
 def shannon_entropy(text: Column) -> Column:
     """Bits per character. Meant for single lines that already passed a cheap shape test."""
     total = F.length(text)
-    symbols = F.array_distinct(F.split(text, ""))
-
-    def share(symbol: Column) -> Column:
-        return (total - F.length(F.replace(text, symbol, F.lit("")))) / total
-
-    bits = F.aggregate(symbols, F.lit(0.0), lambda acc, s: acc - share(s) * F.log2(share(s)))
+    # Sorted, equal characters stand together: a run each, whatever their number.
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    shares = F.transform(runs, lambda run: F.length(run) / total)
+    bits = F.aggregate(shares, F.lit(0.0), lambda acc, share: acc - share * F.log2(share))
     return F.when(total > 0, F.round(bits, 9)).otherwise(0.0)
 
 
@@ -98,7 +96,7 @@ def fold_case(text: Column) -> Column:
 
 
 # Matches handled together; array functions copy their input, so work per match must not see the whole array.
-MATCH_BLOCK = 256
+MATCH_BLOCK = 64
 
 
 def _running_before(values: str) -> str:
@@ -163,9 +161,10 @@ def locate_matches(df: DataFrame, keep: list[str], gaps: str = "gaps", hits: str
         _running_before("_chars") + " AS _chars",
         _running_before("_breaks") + " AS _breaks",
     )
+    # Most pieces are longer than the context; only short ones need their neighbours.
     near = f"greatest(i + 1 - {behind}, 0)"
-    earlier = f"array_join(slice(_tails, {near} + 1, i + 1 - {near}), '')"
-    later = f"array_join(slice(_heads, i + 2, {ahead}), '')"
+    earlier = f"CASE WHEN length(get(_g, i)) >= {behind} THEN '' ELSE array_join(slice(_tails, {near} + 1, i + 1 - {near}), '') END"
+    later = f"CASE WHEN length(get(_heads, i + 1)) >= {ahead} THEN get(_heads, i + 1) ELSE array_join(slice(_heads, i + 2, {ahead}), '') END"
     return blocks.selectExpr(
         *keep,
         "inline_outer(transform(sequence(0, greatest(size(_h) - 1, 0)), i -> named_struct("

@@ -89,3 +89,11 @@ def test_members_leave_in_small_batches(spark):
     assert archives._BATCH_BYTES <= 4 << 20
     assert archives.expand_archives(rows).agg(F.sum("size")).first()[0] == 24 << 20 and archives.archive_errors(rows).count() == 1
     assert got.where("size is null").count() == 1
+
+
+def test_entropy_counts_sorted_characters(spark):
+    lines = ["aab", "a\nb\nb", "\U0001f600é\U0001f600", " ", "x" * 500, "abc" * 70 + "ß", ""]
+    frame = spark.createDataFrame([(x,) for x in lines] + [(None,)], "t string").select("t", shannon_entropy(F.col("t")).alias("e"))
+    want = lambda t: -sum(n / len(t) * log2(n / len(t)) for n in Counter(t).values()) if t else 0.0
+    assert all(abs(r.e - want(r.t)) < 1e-8 for r in frame.collect())
+    assert "replace(" not in frame._jdf.queryExecution().optimizedPlan().toString()
