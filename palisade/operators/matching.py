@@ -65,8 +65,9 @@ def _gated(files: DataFrame, rules: Sequence[Rule], text: str, keep: Sequence[st
     for r in rules:
         patterns.append(_literal(java_regex(r.pattern, r.ignore_case)))
         guard = gates[r.gate]
-        if r.needles:
-            guard += " AND (" + " OR ".join(f"contains(_folded, {_literal(n)})" for n in r.needles) + ")"
+        for literals in (r.needles, r.also):
+            if literals:
+                guard += " AND (" + " OR ".join(f"contains(_folded, {_literal(n)})" for n in literals) + ")"
         guards.append(guard)
     return prepared.withColumn("_folded", fold_case(F.col(text))), guards, patterns
 

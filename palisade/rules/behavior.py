@@ -38,11 +38,17 @@ PATTERNS = [
     ("B26", "exfiltration_behavior", r"environ\[.*(?:TOKEN|KEY|SECRET|PASS)", "high", ("environ[",)),
     ("B27", "exfiltration_behavior", r"(?:ftp|sftp|scp)\s+[^\s]+@", "high", ("ftp", "scp")),
 ]
+# Rules whose literals most texts with a link hold, and further literals, one of which every match holds as well.
+ALSO = {
+    "B1": ("download", "payload", "shell", "backdoor", "beacon", "callback"),
+    "B2": ("curl", "wget", "fetch", ".get"),
+    "B22": ("token=", "key=", "secret=", "pass=", "credential="),
+}
 
 RULES = [
     Rule(
         rule_id=rule_id, analyzer="behavioral", pattern=pattern, severity=severity, category=GROUPS[group][0],
-        title=GROUPS[group][1], ignore_case=True, needles=needles, description=f"Pattern '{group}': ", cut=120,
+        title=GROUPS[group][1], ignore_case=True, needles=needles, also=ALSO.get(rule_id, ()), description=f"Pattern '{group}': ", cut=120,
         window=(20, 40, 200), gate=text_files, priority=45,
     )
     for rule_id, group, pattern, severity, needles in PATTERNS

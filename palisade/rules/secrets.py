@@ -36,6 +36,9 @@ PATTERNS = [
     ("K22", r"\bkey-[0-9a-z]{32}\b", "high", "Mailgun API key", ("key-",)),
 ]
 
+# Further literals, one of which every match holds as well.
+ALSO = {"K4": ("postgres", "mysql", "mariadb", "mongodb", "redis", "amqp"), "K6": ("\"", "'")}
+
 
 def _not_a_lock_file():
     return F.col("is_text") & ~F.lower(F.substring_index("path", "/", -1)).isin(*LOCK_FILES)
@@ -44,7 +47,7 @@ def _not_a_lock_file():
 RULES = [
     Rule(
         rule_id=rule_id, analyzer="secrets", pattern=pattern, severity=severity, category="credential_theft",
-        title=title, confidence="high" if severity == "critical" else "medium", needles=needles,
+        title=title, confidence="high" if severity == "critical" else "medium", needles=needles, also=ALSO.get(rule_id, ()),
         description="Matches the documented format: ", cut=60, window=(20, 40, 150), gate=_not_a_lock_file, slow=True,
         priority=8,
     )

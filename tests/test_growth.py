@@ -97,3 +97,14 @@ def test_entropy_counts_sorted_characters(spark):
     want = lambda t: -sum(n / len(t) * log2(n / len(t)) for n in Counter(t).values()) if t else 0.0
     assert all(abs(r.e - want(r.t)) < 1e-8 for r in frame.collect())
     assert "replace(" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_alone_do_not_start_the_expressions_for_links(spark, as_files):
+    """Rules about links have further literals: prose with a link skips them, every match still comes out."""
+    rules = [r for r in [*behavior.RULES, *secrets.RULES] if r.rule_id in ("B1", "B2", "B22", "K4", "K6")]
+    hits = ["https://a.example/x/PAYLOAD", "FETCH ( 'http://a')", "http.get('https://b')", "https://a.example/?a=1&Token=x", "mongodb+srv://u:p@h/d", "amqps://u:p@h", "api_key = 'abcdefgh01234567'"]
+    files = as_files([("prose.txt", "see https://a.example/x for the key and more")] + [(f"{i}.txt", t) for i, t in enumerate(hits)])
+    prepared, guards, _ = _gated(files, rules, "content", ["path"])
+    admitted = prepared.select("path", *[F.expr(g).alias(r.rule_id) for r, g in zip(rules, guards)]).where("path = 'prose.txt'").first()
+    assert not any(admitted[r.rule_id] for r in rules)
+    assert {r.path for r in match_content(files, rules).collect()} == {f"{i}.txt" for i in range(len(hits))}
