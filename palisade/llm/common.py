@@ -41,7 +41,9 @@ def small_arrow_batches(spark: SparkSession, size: str = "16m") -> None:
 
 
 def release_memory() -> None:
-    """At the start of a task: give back what earlier tasks of a reused Python worker left behind, such as their models."""
+    """At the start of a task: give back what earlier tasks of a reused Python worker left behind, such as their models.
+
+    In the driver: give back what making a model took."""
     gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

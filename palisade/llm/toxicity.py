@@ -18,7 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from operator import itemgetter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,19 +39,22 @@ SHORT_LIST = 32
 DENSE_WORDS = 384
 #: Blocks that are opened at first, and texts that share a product.
 FIRST_BLOCKS = 6
-TEXTS_AT_ONCE = 32
+TEXTS_AT_ONCE = 128
 #: What single precision may be off by.
 ROOM = 2e-5
 WORD = re.compile(r"[^\W_]+")
-#: The same for ASCII: what is no letter or digit becomes a blank.
-_ASCII = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
+#: The same for Latin-1: what is no letter or digit becomes a blank.
+_LATIN = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(256)).encode("latin-1")
 
 
 def words_of(text: str | None) -> list[str]:
     """The words of a whole text."""
     if not text:
         return []
-    return text.translate(_ASCII).split() if text.isascii() else WORD.findall(text.lower())
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(text.lower())
 
 
 def terms_of(text: str | None) -> Counter:
@@ -64,6 +67,15 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths), of
 
 
+def _numbered(words: pa.Array) -> dict[str, int]:
+    return {w: i for i, w in enumerate(words.to_pylist())}
+
+
+def _opened(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and weights of entries of lists."""
+    return entries >> 32, entries.view("<f4")[::2]
+
+
 def _kth(values: np.ndarray, k: int) -> float:
     """The k-th largest; 0 if there are fewer, or it is below 0."""
     return max(0.0, float(np.partition(values, len(values) - k)[len(values) - k])) if len(values) >= k else 0.0
@@ -73,7 +85,8 @@ def _kth(values: np.ndarray, k: int) -> float:
 class Model:
     """Vocabulary, IDF, the examples' vectors in block-max form, and the calibration."""
 
-    vocabulary: dict[str, int]
+    #: Numbers of words, or the words in order: the driver needs no dictionary of them.
+    vocabulary: dict[str, int] | pa.Array
     idf: np.ndarray
     example_ids: np.ndarray
     labels: np.ndarray
@@ -92,31 +105,37 @@ class Model:
         self.order = np.lexsort((self.example_ids, heaviest)) if count else np.empty(0, np.int64)
         self.blocks = -(-count // BLOCK)
         lengths = np.array([len(self.vectors[e][0]) for e in self.order], np.int64)
-        term = np.concatenate([np.empty(0, np.int32), *[self.vectors[e][0].astype(np.int32) for e in self.order]])
-        weight = np.concatenate([np.empty(0), *[self.vectors[e][1] for e in self.order]])
-        place = np.repeat(np.arange(count), lengths)
-        sort = np.lexsort((place, term))
-        self.place, self.weight = place[sort], weight[sort].astype(np.float32)
+        term = np.concatenate([np.empty(0, np.int32), *[self.vectors[e][0] for e in self.order]]).astype(np.int32, copy=False)
+        sort = np.argsort(term, kind="stable")
+        place = np.repeat(np.arange(count, dtype=np.int32), lengths)[sort]
+        weight = np.concatenate([np.empty(0), *[self.vectors[e][1] for e in self.order]]).astype(np.float32)[sort]
+        del sort
+        # An entry of a list is one number, the place above the bits of the weight: a part of a list is copied once.
+        self.entries = place.astype("<i8")
+        self.entries <<= 32
+        self.entries |= weight.view(np.uint32)
         n = np.bincount(term, minlength=size) if size else np.empty(0, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        del term
         common = np.argsort(-n, kind="stable")[:DENSE_WORDS]
         common = np.sort(common[n[common] > SHORT_LIST])
         self.dense_row = np.full(size, -1, np.int32)
         self.dense_row[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
         at, of = _gather(self.starts[common], n[common])
-        self.dense[of, self.place[at]] = self.weight[at]
+        self.dense[of, place[at]] = weight[at]
         # Lists between short and dense: where each block begins in them, and the largest weight in it.
         long = np.flatnonzero((n > SHORT_LIST) & (self.dense_row < 0))
         self.row = np.full(size, -1, np.int32)
         self.row[long] = np.arange(len(long))
         at, of = _gather(self.starts[long], n[long])
-        cell = of * self.blocks + self.place[at] // BLOCK
+        cell = of * self.blocks + place[at] // BLOCK
         cells = np.bincount(cell, minlength=len(long) * self.blocks).reshape(len(long), self.blocks)
         self.block_starts = self.starts[long][:, None] + np.concatenate([np.zeros((len(long), 1), np.int64), np.cumsum(cells, axis=1)], axis=1)
         self.tops = np.zeros(len(long) * self.blocks)
-        np.maximum.at(self.tops, cell, self.weight[at])
+        np.maximum.at(self.tops, cell, weight[at])
         self.tops = self.tops.reshape(len(long), self.blocks)
+        self.lists = [self.entries[a:b] for a, b in zip(self.starts[long].tolist(), self.starts[long + 1].tolist())]
         self.query = np.zeros(size)
 
     def __getstate__(self) -> dict:
@@ -125,28 +144,31 @@ class Model:
         lengths = np.array([len(t) for t, _ in self.vectors], np.int64)
         term = np.concatenate([np.empty(0, np.int32), *[t.astype(np.int32) for t, _ in self.vectors]])
         weight = np.concatenate([np.empty(0), *[w for _, w in self.vectors]])
-        return {k: self.__dict__[k] for k in kept} | {"packed": (list(self.vocabulary), lengths, term, weight)}
+        return {k: self.__dict__[k] for k in kept} | {"packed": (pa.array(list(self.vocabulary), pa.string()) if isinstance(self.vocabulary, dict) else self.vocabulary, lengths, term, weight)}
 
     def __setstate__(self, state: dict) -> None:
         words, lengths, term, weight = state.pop("packed")
         self.__dict__.update(state)
-        self.vocabulary = {w: i for i, w in enumerate(words)}
+        self.vocabulary = _numbered(words)
         ends = np.cumsum(lengths)[:-1]
         self.vectors = list(zip(np.split(term, ends), np.split(weight, ends))) if len(lengths) else []
         self.__post_init__()
 
     def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and TF-IDF weights of a text of unit length; words that no example holds count in its length."""
-        vocabulary = self.vocabulary
-        known = list(words.keys() & vocabulary.keys())
-        if not known:
+        if not isinstance(self.vocabulary, dict):
+            self.vocabulary = _numbered(self.vocabulary)
+        every = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+        counts = np.fromiter(words.values(), float, len(words))
+        known = every >= 0
+        terms = every[known]
+        if not len(terms):
             return np.empty(0, np.int64), np.empty(0)
-        of = itemgetter(*known) if len(known) > 1 else lambda d: (d[known[0]],)
-        terms, raw = np.array(of(vocabulary), np.int64), 1 + np.log(np.array(of(words), float))
+        raw = 1 + np.log(counts)
         outside = 0.0
-        if len(known) < len(words):
-            every = 1 + np.log(np.fromiter(words.values(), float, len(words)))
-            outside = max(0.0, every @ every - raw @ raw)
+        if len(terms) < len(words):
+            rest = raw[~known]
+            raw, outside = raw[known], float(rest @ rest)
         w = raw * self.idf[terms]
         return terms, w / math.sqrt(w @ w + outside * self.rare * self.rare)
 
@@ -170,7 +192,8 @@ class Model:
         is_short, is_long = (row < 0) & (self.dense_row[terms] < 0), row >= 0
         short, long, wide = terms[is_short], row[is_long], w[is_long]
         at, of = _gather(self.starts[short], self.starts[short + 1] - self.starts[short])
-        scores = np.bincount(self.place[at], w[is_short][of] * self.weight[at], len(common)) + common
+        place, weight = _opened(self.entries[at])
+        scores = np.bincount(place, w[is_short][of] * weight, len(common)) + common
         if own is not None:
             scores[: len(self.order)][self.order == own] = -1.0
         by_block = scores.reshape(self.blocks, BLOCK)
@@ -191,7 +214,8 @@ class Model:
         # The cosines themselves, in double precision.
         self.query[terms] = w
         e = self.order[found]
-        exact = np.array([round(float(self.query[self.vectors[i][0]] @ self.vectors[i][1]), 12) for i in e.tolist()])
+        take, vectors = self.query.take, self.vectors
+        exact = np.array([round(float(take(t).dot(v)), 12) for t, v in map(vectors.__getitem__, e.tolist())])
         self.query[terms] = 0.0
         e, exact = e[exact > 0], exact[exact > 0]
         top = np.lexsort((e, self.example_ids[e], -exact))[: self.k]
@@ -199,18 +223,18 @@ class Model:
 
     def _lists(self, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray | None) -> np.ndarray:
         """What long lists add up to at each place; with blocks, only their parts in these."""
+        if not len(terms):
+            return np.zeros(self.blocks * BLOCK)
+        row = self.row[terms]
         if blocks is None:
-            first, last = self.starts[terms], self.starts[terms + 1]
+            lengths = self.starts[terms + 1] - self.starts[terms]
+            parts = [self.lists[r] for r in row.tolist()]
         else:
-            row = self.row[terms]
             first, last = self.block_starts[row][:, blocks].ravel(), self.block_starts[row][:, blocks + 1].ravel()
-            w = np.repeat(w, len(blocks))
-        if not len(first):
-            return np.zeros(self.blocks * BLOCK)
-        spans = list(zip(first.tolist(), last.tolist()))
-        place = np.concatenate([self.place[a:b] for a, b in spans])
-        weight = np.concatenate([self.weight[a:b] for a, b in spans])
-        return np.bincount(place, weight * np.repeat(w, last - first), self.blocks * BLOCK).astype(float, copy=False)
+            lengths, w = last - first, np.repeat(w, len(blocks))
+            parts = [self.entries[a:b] for a, b in zip(first.tolist(), last.tolist())]
+        place, weight = _opened(np.concatenate(parts))
+        return np.bincount(place, weight * np.repeat(w, lengths), self.blocks * BLOCK).astype(float, copy=False)
 
     def features(self, terms: np.ndarray, found: list[tuple[int, float]]) -> np.ndarray:
         """Vote, largest cosine, their product, the largest log odds of a word of the text, and the mean of the five largest."""
@@ -280,52 +304,63 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per_l
     ids, y = table.column("doc_id").to_numpy(), table.column("y").to_numpy().astype(float)
     if not len(ids):
         return Model({}, np.empty(0), np.empty(0, np.int64), np.empty(0), [])
-    vocabulary: dict[str, int] = {}
-    texts = []
-    for words, counts in zip(table.column("words"), table.column("counts")):
-        numbers = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words.as_py()], np.int64)
-        texts.append((numbers, counts.values.to_numpy().astype(float)))
-    del table
+    # The words' numbers, in the order in which they first occur, and the examples' vectors end to end: never a Python object a word.
+    words = table.column("words").combine_chunks()
+    ends = np.cumsum(words.value_lengths().to_numpy(), dtype=np.int64)
+    coded = words.flatten().dictionary_encode()
+    numbers, words = np.array(coded.indices), coded.dictionary
+    counts = table.column("counts").combine_chunks().flatten().to_numpy()
+    size = len(words)
+    del table, coded
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        df, rows, words = np.zeros(len(vocabulary), np.int64), 0, vocabulary.keys()
+        number = _numbered(words).get
+        # Words that no example holds meet in one more place, which is not returned.
+        df, rows = np.zeros(size + 1, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0):
-                held = words & set(words_of(text.as_py()))
-                if held:
-                    df[[*map(vocabulary.__getitem__, held)]] += 1
+                held = set(words_of(text.as_py()))
+                df[np.fromiter(map(number, held, repeat(size)), np.int64, len(held))] += 1
+        df = df[:-1]
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], rows))], ["t", "n"])
 
     counted = documents.select("text").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # one row a word of the examples
     t, n = counted.column("t").to_numpy(), counted.column("n").to_numpy()
-    df, total = np.zeros(len(vocabulary)), int(n[t == -1].sum())
+    df, total = np.zeros(size), int(n[t == -1].sum())
     df[t[t >= 0]] = n[t >= 0]
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    vectors, held = [], np.zeros((2, len(vocabulary)))
-    for (numbers, counts), label in zip(texts, y):
-        sort = np.argsort(numbers)
-        w = (1 + np.log(counts[sort])) * idf[numbers[sort]]
-        vectors.append((numbers[sort], w / np.linalg.norm(w) if len(w) else w))
-        held[int(label), numbers] += 1
-    del texts
+    weights, held = 1 + np.log(counts), np.zeros((2, size))
+    for start, end, label in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), y):
+        sort = np.argsort(numbers[start:end])
+        own = numbers[start:end] = numbers[start:end][sort]
+        w = weights[start:end][sort] * idf[own]
+        weights[start:end] = w / np.linalg.norm(w) if len(w) else w
+        held[int(label), own] += 1
+    del counts
+    vectors = list(zip(np.split(numbers, ends[:-1]), np.split(weights, ends[:-1])))
+    release_memory()
     sizes = np.array([(y == 0).sum(), (y == 1).sum()])
     log_odds = np.log((held[1] + 0.5) / (sizes[1] + 1)) - np.log((held[0] + 0.5) / (sizes[0] + 1))
     odds = np.where(held.sum(axis=0) >= LEAST_SUPPORT, log_odds, 0.0)
-    model = Model(vocabulary, idf, ids, y, vectors, rare=math.log((1 + total) / 2) + 1, odds=odds)
+    model = Model(words, idf, ids, y, vectors, rare=math.log((1 + total) / 2) + 1, odds=odds)
 
     # Calibration at the labels' own shares: each example is judged without itself.
     share_of = {label: totals.get(label, 0) / max(1, sizes[label]) for label in (0, 1)}
     weight = np.array([share_of[int(v)] for v in y])
-    found = [model.nearest(*v, own=i) for i, v in enumerate(model.vectors)]
-    some = np.array([bool(f) for f in found], bool)
+    release_memory()
+    some, features = np.zeros(len(y), bool), []
+    for i, (terms, w) in enumerate(model.vectors):
+        found = model.nearest(terms, w, own=i)
+        if found:
+            some[i] = True
+            features.append(model.features(terms, found))
     model.base = float((weight * y)[~some].sum() / (weight[~some].sum() + 1)) if (~some).any() else float((weight * y).sum() / weight.sum())
     if some.any():
-        x = np.array([model.features(terms, f) for (terms, _), f in zip(model.vectors, found) if f])
-        model.weights = _logistic(x, y[some], weight[some] / weight.mean())
+        model.weights = _logistic(np.array(features), y[some], weight[some] / weight.mean())
     return model
 
 
@@ -356,7 +391,9 @@ def score(documents: DataFrame, model: Model, prefix: str = "") -> DataFrame:
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), evidence]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *new])
 
-    return rest.mapInArrow(judge, schema)
+    made = rest.mapInArrow(judge, schema)
+    release_memory()
+    return made
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -369,4 +406,6 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([s < 0.5 for s, _ in model.judge(batch.column("text").to_pylist())], pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    kept = documents.mapInArrow(keep, documents.schema)
+    release_memory()
+    return kept
