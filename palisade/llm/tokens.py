@@ -69,31 +69,65 @@ class WordEncoder:
                 out[i] = e.ids
         return out
 
+    def _plain(self, text: str) -> bool:
+        return self.short_cut and "<|" not in text and PLAIN_TEXT.fullmatch(text) is not None
+
     def words(self, text: str) -> list[str]:
         """The text as words that can be encoded one by one: the splitter's own in plain texts, else what stands between blanks."""
-        if self.short_cut and "<|" not in text and PLAIN_TEXT.fullmatch(text):
-            return PLAIN_PARTS.findall(text.lower())
-        return split_words(text)
+        return PLAIN_PARTS.findall(text.lower()) if self._plain(text) else split_words(text)
+
+    def _remember(self, own: dict[str, bytes]) -> None:
+        """Take words into the memo, which is emptied when they would not fit."""
+        more = sum(len(w) + len(ids) for w, ids in own.items()) + ENTRY_BYTES * len(own)
+        if self.held + more > MEMO_BYTES:
+            self.clear()
+        if more <= MEMO_BYTES:
+            self.memo.update(own)
+            self.held += more
 
     def id_bytes(self, text: str) -> bytes:
         """The ids of the text, each as four little-endian bytes."""
-        words = self.words(text)
+        if self._plain(text):
+            return self._plain_id_bytes(text)
+        words = split_words(text)
+        found = list(map(self.memo.get, words))
+        if None not in found:
+            return b"".join(found)
+        unknown = list({w for w, ids in zip(words, found) if ids is None})
+        own = {w: array.array("I", ids).tobytes() for w, ids in zip(unknown, self.encode_words(unknown))}
+        self._remember(own)
+        return b"".join([own[w] if ids is None else ids for w, ids in zip(words, found)])
+
+    def _plain_id_bytes(self, text: str) -> bytes:
+        """The same for a plain text, cut at blanks first: what stands between them is mostly one word, which needs no splitter.
+
+        The memo holds what the splitter gives; of other pieces, such as a word and a full stop, only the parts. Bytes of plain
+        ASCII stand for themselves.
+        """
+        pieces = text.lower().split()
         memo = self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            own: dict[str, bytes] = {}
-            unknown = [w for w in set(words) if w not in memo]
-            for w, ids in zip(unknown, self.encode_words(unknown)):
-                own[w] = array.array("I", ids).tobytes()
-            out = b"".join([memo[w] if w in memo else own[w] for w in words])
-            more = sum(len(w) + len(ids) for w, ids in own.items()) + ENTRY_BYTES * len(own)
-            if self.held + more > MEMO_BYTES:
-                self.clear()
-            if more <= MEMO_BYTES:
-                self.memo.update(own)
-                self.held += more
-            return out
+        found = list(map(memo.get, pieces))
+        if None not in found:
+            return b"".join(found)
+        letters, tokenize = self.letters, self.model.tokenize
+        own: dict[str, bytes] = {}
+        joined: dict[str, bytes] = {}
+        for piece in {w for w, ids in zip(pieces, found) if ids is None}:
+            if piece.isalpha():
+                parts = [piece]
+            elif piece[-1] in ".," and piece[:-1].isalpha():
+                parts = [piece[:-1], piece[-1]]
+            else:
+                parts = PLAIN_PARTS.findall(piece)
+            made = []
+            for part in parts:
+                ids = memo.get(part) or own.get(part)
+                if ids is None:
+                    ids = own[part] = array.array("I", [t.id for t in tokenize(part if part.isascii() else part.translate(letters))]).tobytes()
+                made.append(ids)
+            joined[piece] = made[0] if len(made) == 1 else b"".join(made)
+        self._remember(own)
+        return b"".join([joined[w] if ids is None else ids for w, ids in zip(pieces, found)])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -1,8 +1,10 @@
 """The operators of the subpackage against brute force, round trips and held-out accuracy, on small tables with odd rows."""
 
+import array
 import base64
 import hashlib
 import itertools
+import pickle
 import random
 import re
 import zlib
@@ -15,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palisade.llm import bpe_table, common, hnsw, license_join, ngram_join, packing, surrogates, topk, toxicity, url_cascade, warc_bundles
+from palisade.llm import bpe_table, common, hnsw, license_join, ngram_join, packing, surrogates, tokens, topk, toxicity, url_cascade, warc_bundles
 from palisade.llm.tokens import encoder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -706,3 +708,31 @@ def test_links_are_counted_piece_by_piece():
         full = want.sum(axis=1) - 1
         assert sum(n.values()) >= 0.99 * full.sum() and all(v <= full[a - 5] for a, v in n.items())
         assert {a for a, b in out[out["b"] == 5][["a", "b"]].itertuples(index=False)} >= {*range(6, 1205)}
+
+
+def test_toxicity_latin_words_need_no_expression(monkeypatch):
+    every = "".join(map(chr, range(256)))
+    texts = [f"{a}{b}x{c} Straße_ÀÉ½" for a, b, c in zip(every, every[7:] + every[:7], every[90:] + every[:90])]
+    wanted = [toxicity.WORD.findall(t.lower()) for t in texts]
+    monkeypatch.setattr(toxicity, "WORD", None)
+    assert [toxicity.words_of(t) for t in texts] == wanted and toxicity.words_of(None) == []
+
+
+def test_toxicity_model_is_no_dictionary_in_the_driver(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} word{i % 3} plain" if i else None) for i in range(40)], "doc_id long, text string")
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert isinstance(model.vocabulary, pa.Array) and len(model.vocabulary) == len(model.idf) == 8
+    shipped = pickle.loads(pickle.dumps(model))
+    assert shipped.vocabulary == {w: i for i, w in enumerate(model.vocabulary.to_pylist())}
+    assert shipped.judge(["word1 plain", "none of it", None]) == model.judge(["word1 plain", "none of it", None])
+
+
+def test_plain_words_between_blanks_need_no_splitter(monkeypatch):
+    library = encoder(TOKENIZER).tokenizer
+    odd = ["it's 2024, (ÀB) ...x!? a.b, Straße. . , \t\r\n  don't 'round", ",", "", "a" * 300, "é.è,", "x,, y..", "1.", "a1. b2,"]
+    own = tokens.WordEncoder(TOKENIZER)
+    for _ in range(2):
+        assert [array.array("I", own.id_bytes(t)).tolist() for t in odd] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+    monkeypatch.setattr(tokens, "PLAIN_PARTS", None)
+    text = "Plain words, and a Straße. Words again"
+    assert array.array("I", own.id_bytes(text)).tolist() == library.encode(text, add_special_tokens=False).ids
