@@ -6,6 +6,7 @@ import base64
 import binascii
 import gzip
 import zlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -113,9 +114,19 @@ def _looks_zipped(data: Column) -> Column:
     return data.rlike("^[^A-Za-z0-9+/]*H[^A-Za-z0-9+/]*4[^A-Za-z0-9+/]*s[^A-Za-z0-9+/]*I")
 
 
-def _peeled(rows: DataFrame, zipped: Column) -> DataFrame:
-    """rows with _text: what the first decoder that accepts ``_data`` makes of it, and with what is left for the next layer."""
-    data = F.col("_data")
+#: What a row of the worklist waits for: nothing, a layer's decoders, those with gzip.
+_DONE, _CODED, _ZIPPED = 0, 1, 2
+
+
+def _state(data: Column) -> Column:
+    coded = F.when(_looks_zipped(data), _ZIPPED).otherwise(_CODED)
+    return F.when(F.coalesce(_looks_encoded(data), F.lit(False)), coded).otherwise(_DONE)
+
+
+def _peeled(rows: DataFrame, state: int, zipped: Column) -> DataFrame:
+    """rows with _text: what the first decoder that accepts ``_data`` makes of it, with what is left for the next layer and its
+    state there. Only rows of the state change; _now is the state that a row had."""
+    data, now = F.col("_data"), F.col("_now")
     candidates = F.array(
         _candidate("plain", F.when(data.rlike("(?d)^[0-9a-fA-F]+$") & (F.length(data) >= 4), hex_text(data))),
         _candidate(
@@ -134,38 +145,46 @@ def _peeled(rows: DataFrame, zipped: Column) -> DataFrame:
         lambda c: F.coalesce(is_meaningful(c["text"]), F.lit(False)) & ((c["kind"] != "percent") | (c["text"] != data)),
     )
     # A one-row generator keeps the optimizer from writing the decoders out again for each use of their result.
-    one = rows.withColumn("_layer", F.explode_outer(F.array(F.get(accepted, F.lit(0)))))
+    one = rows.withColumn("_layer", F.explode_outer(F.array(F.when(now == state, F.get(accepted, F.lit(0))))))
     kind, text = F.col("_layer.kind"), F.col("_layer.text")
-    left = F.when(kind == "plain", strip(text)).when(kind == "percent", text)
-    return one.withColumns({"_text": F.coalesce(text, F.col("_text")), "_data": left}).drop("_layer")
+    left = F.when(kind == "plain", strip(text)).when(kind == "percent", text).when(now != state, data)
+    peeled = one.withColumns({"_text": F.coalesce(text, F.col("_text")), "_data": left}).drop("_layer")
+    return peeled.withColumn("_next", F.when(now == state, _state(F.col("_data"))))
 
 
 def layered_decode(df: DataFrame, column: str, output: str = "decoded", max_layers: int = MAX_LAYERS) -> DataFrame:
     """Peel up to ``max_layers`` encodings; each layer is hex, base64, gzip in base64, or percent, in that order,
     and counts only if what comes out reads like text.
 
-    A worklist: rows that cannot be encoded leave at once, and only rows that changed in a layer go on to the next, which is
-    a table in the shared folder; where none did, the loop ends. Rows that look like gzip are split off, and they alone go
-    through Python.
+    A worklist: each layer reads its rows once and is a table in the shared folder, with the state of every row for the next
+    layer. Rows that cannot be encoded are done at once, and only rows that changed in a layer go on to the next; where none
+    did, the loop ends. Rows that look like gzip are taken from the layer's table, and they alone go through Python.
     """
     spark = df.sparkSession
     folder = run_folder(spark, "layers")
-    work = df.withColumns({"_data": F.col(column), "_text": F.lit(None).cast("string")})
-    out = work.where(~F.coalesce(_looks_encoded(F.col("_data")), F.lit(False)))
-    work = work.where(_looks_encoded(F.col("_data")))
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    work = df.withColumns({"_data": F.col(column), "_text": F.lit(None).cast("string")}).withColumn("_now", _state(F.col("_data")))
+    out = []
     for n in range(max_layers):
-        zipped = work.where(_looks_zipped(F.col("_data"))).withColumn("_zip", _gunzip_base64("_data"))
-        plain = work.where(~_looks_zipped(F.col("_data")))
-        layer = _peeled(plain, F.lit(None).cast("string")).unionByName(_peeled(zipped, F.col("_zip")).drop("_zip"))
-        layer.write.parquet(f"{folder}/layer={n}")
-        layer = spark.read.schema(layer.schema).parquet(f"{folder}/layer={n}")
-        goes_on = F.coalesce(_looks_encoded(F.col("_data")), F.lit(False))
-        out = out.unionByName(layer.where(~goes_on))
-        work = layer.where(goes_on)
-        if n + 1 == max_layers or not work.limit(1).count():
-            out = out.unionByName(work)
+        layer = kept(_peeled(work, _CODED, F.lit(None).cast("string")), f"layer={n}")
+        waiting = layer.where(F.col("_now") == _ZIPPED)
+        layer = layer.where(F.col("_now") != _ZIPPED).withColumn("_next", F.coalesce("_next", F.lit(_DONE)))
+        if waiting.limit(1).count():
+            zipped = waiting.drop("_next").withColumn("_zip", _gunzip_base64("_data"))
+            layer = layer.unionByName(kept(_peeled(zipped, _ZIPPED, F.col("_zip")).drop("_zip"), f"zipped={n}"))
+        goes_on = F.col("_next") != _DONE
+        if n + 1 == max_layers or not layer.where(goes_on).limit(1).count():
+            out.append(layer)
             break
-    return out.select(*df.columns, F.col("_text").alias(output))
+        out.append(layer.where(~goes_on))
+        work = layer.where(goes_on).withColumn("_now", F.col("_next")).drop("_next")
+    if not out:
+        out = [work]
+    return reduce(DataFrame.unionByName, [rows.select(*df.columns, F.col("_text").alias(output)) for rows in out])
 
 
 def _candidate(kind: str, text: Column) -> Column:

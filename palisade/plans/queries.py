@@ -507,7 +507,7 @@ def _layers_sql() -> str:
 
 @query("layered_decode", _layers_sql())
 def _(spark, sf):
-    wrapped = _wrapped_lines(spark, sf)
+    wrapped = _wrapped_lines(spark, sf).drop("line")
     return decode.layered_decode(wrapped, "wrapped").select("repo_id", "path", "line_no", "decoded")
 
 

@@ -84,6 +84,22 @@ def test_layered_decode(spark):
     assert sum(r.decoded is not None for r in got) > 100
 
 
+def test_layered_decode_reads_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    zipped = base64.b64encode(gzip.compress(b"hello zipped world")).decode()
+    texts = ["hello%20world", "plain text", zipped, base64.b64encode(zipped.encode()).decode(), None, b"hello world".hex().encode().hex()]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").mapInArrow(seen, "t string")
+    got = decode.layered_decode(rows, "t")
+    assert read.value == len(texts)
+    assert sorted((r.t or "", r.decoded) for r in got.collect()) == sorted((t or "", peel(t) if t else None) for t in texts)
+
+
 def test_unescape_js(spark):
     texts = ["\\x68\\x65\\x6c\\x6c\\x6f", "hello", "hell\\u006f", "\\uZZZZ", "\u00e9", "\u00e9\\n"]
     want = ["hello", None, "hello", None, "\u00c3\u00a9", "\u00c3\u00a9\n"]
