@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -45,6 +46,7 @@ def release_memory() -> None:
 
     In the driver: give back what making a model took."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

@@ -22,6 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
@@ -42,6 +43,8 @@ FIRST_BLOCKS = 6
 TEXTS_AT_ONCE = 128
 #: What single precision may be off by.
 ROOM = 2e-5
+#: Bytes of an Arrow batch: texts stand beside the model in every worker, and twice over in it and on its way.
+BATCH_BYTES = "2m"
 WORD = re.compile(r"[^\W_]+")
 #: The same for Latin-1: what is no letter or digit becomes a blank.
 _LATIN = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(256)).encode("latin-1")
@@ -108,7 +111,7 @@ class Model:
         term = np.concatenate([np.empty(0, np.int32), *[self.vectors[e][0] for e in self.order]]).astype(np.int32, copy=False)
         sort = np.argsort(term, kind="stable")
         place = np.repeat(np.arange(count, dtype=np.int32), lengths)[sort]
-        weight = np.concatenate([np.empty(0), *[self.vectors[e][1] for e in self.order]]).astype(np.float32)[sort]
+        weight = np.concatenate([np.empty(0, np.float32), *[self.vectors[e][1].astype(np.float32) for e in self.order]])[sort]
         del sort
         # An entry of a list is one number, the place above the bits of the weight: a part of a list is copied once.
         self.entries = place.astype("<i8")
@@ -139,7 +142,7 @@ class Model:
         self.query = np.zeros(size)
 
     def __getstate__(self) -> dict:
-        """Without the index, which each worker builds, and with the vectors end to end."""
+        """Without the index, which each worker builds once, and with the vectors end to end."""
         kept = ("idf", "example_ids", "labels", "k", "rare", "odds", "weights", "base")
         lengths = np.array([len(t) for t, _ in self.vectors], np.int64)
         term = np.concatenate([np.empty(0, np.int32), *[t.astype(np.int32) for t, _ in self.vectors]])
@@ -299,7 +302,7 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per_l
     smallest hash of the id are examples, with all their words; a doc_id with several texts gives one example a text. Without
     labelled rows the model scores 0. The model grows with the distinct words of the examples, not with the corpus.
     """
-    small_arrow_batches(documents.sparkSession)
+    small_arrow_batches(documents.sparkSession, BATCH_BYTES)
     table, totals = _examples(documents, labels, label_col, per_label)
     ids, y = table.column("doc_id").to_numpy(), table.column("y").to_numpy().astype(float)
     if not len(ids):
@@ -364,6 +367,14 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", per_l
     return model
 
 
+def _in_task(shared: Broadcast) -> Model:
+    """The model, which a worker loads once: after it gave back what earlier stages held, and without what loading took."""
+    release_memory()
+    model = shared.value
+    release_memory()
+    return model
+
+
 def score(documents: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """documents with score double (0 to 1), predicted int (1 from 0.5 on) and evidence (the nearest examples).
 
@@ -371,7 +382,8 @@ def score(documents: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     neighbour. Only the text is read: documents of the same text score alike, examples too. Texts of any length are read whole.
     Columns of the new names are replaced; other columns are kept whatever they are called.
     """
-    small_arrow_batches(documents.sparkSession)
+    small_arrow_batches(documents.sparkSession, BATCH_BYTES)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
     new = [f"{prefix}score", f"{prefix}predicted", f"{prefix}evidence"]
     rest = documents.drop(*new)
     kind = "array<struct<doc_id:long,label:int,cosine:double>>"
@@ -379,7 +391,7 @@ def score(documents: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
+        model = _in_task(shared)
         for batch in batches:
             made = model.judge(batch.column("text").to_pylist())
             scores = [s for s, _ in made]
@@ -398,11 +410,11 @@ def score(documents: DataFrame, model: Model, prefix: str = "") -> DataFrame:
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """documents without those predicted toxic; columns stay."""
-    model = fit(documents, labels)
-    small_arrow_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
+    small_arrow_batches(documents.sparkSession, BATCH_BYTES)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
+        model = _in_task(shared)
         for batch in batches:
             yield batch.filter(pa.array([s < 0.5 for s, _ in model.judge(batch.column("text").to_pylist())], pa.bool_()))
 

@@ -501,6 +501,31 @@ def test_no_document_sees_its_own_number(spark):
     assert one == two
 
 
+def test_toxicity_tasks_carry_no_model_and_small_batches(spark, monkeypatch):
+    """The model goes to the workers apart from the function, so a worker loads it once, when it has given back what it held."""
+    from pyspark import cloudpickle
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = random.Random(40)
+    rows, labels = toxic_docs(rng, 120)
+    rows = [(i, t + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))) for i, t in rows]
+    docs, labels = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    want = {i: s for (i, _), (s, _) in zip(rows, model.judge([t for _, t in rows]))}
+    taken, plain = [], DataFrame.mapInArrow
+
+    def noted(self, func, *args, **kwargs):
+        taken.append(func)
+        return plain(self, func, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", noted)
+    scored, kept = toxicity.score(docs.repartition(6), model), toxicity.drop_toxic(docs.repartition(6), labels)
+    assert len(cloudpickle.dumps(model)) > 100_000 and all(len(cloudpickle.dumps(taken[i])) < 20_000 for i in (0, -1))
+    assert spark.conf.get(common.ARROW_BYTES) == toxicity.BATCH_BYTES == "2m"
+    assert {r.doc_id: r.score for r in scored.collect()} == want
+    assert {r.doc_id for r in kept.collect()} == {i for i, s in want.items() if s < 0.5}
+
+
 # ---- 7
 
 
