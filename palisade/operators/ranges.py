@@ -1,7 +1,8 @@
 """Content rules over huge texts by ranges, with the matches of the whole text.
 
-A text is cut into ranges of equal length; each is matched with some context on both sides, by a task of its own, and owns the
-matches that start in it. Lines are counted by sums over the ranges. Three things make the result that of the whole text:
+Literals are tried on the whole text first; only the rules that they admit go on. A text is cut into ranges of equal length; each is
+matched with some context on both sides, by a task of its own, and owns the matches that start in it. Lines are counted by sums over
+the ranges. Three things make the result that of the whole text:
 
 * Reach. What a match and its look-around may span is bounded by the pattern's fixed parts and, for each open repetition of one kind
   of character, by the longest run of that kind in this very text. Where the sum is within the overlap, the rule runs on ranges.
@@ -21,7 +22,7 @@ from re import _constants as sre, _parser as parser
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palisade.functions.text import LOOK_AHEAD, LOOK_BEHIND, java_regex
-from palisade.operators.matching import findings_of, occurrences
+from palisade.operators.matching import _gated, findings_of, occurrences
 from palisade.rules.base import Rule
 from palisade.storage import run_folder
 
@@ -102,32 +103,55 @@ def reach_of(pattern: str) -> Reach | None:
     return _reach(list(parser.parse(pattern)))
 
 
-def _needs(rules: Sequence[Rule], text: str) -> list[Column | None]:
-    """Per rule the characters a match may span in the text; None where the pattern has no bound."""
+def _marked(files: DataFrame, rules: Sequence[Rule], text: str, range_chars: int, overlap: int) -> DataFrame:
+    """KEY, the text, and the rules that its literals admit: those that run by ranges (_ranged) and the others (_whole); _breaks: line feeds of each range.
+
+    Texts that admit no rule are left out. Runs of a kind are looked for only in texts that admit a rule which asks for them.
+    """
+    prepared, guards, _ = _gated(files, rules, text, KEY)
+    admitted = ", ".join(f"CASE WHEN {guard} THEN {i} END" for i, guard in enumerate(guards))
+    # The one-row generators keep the optimizer from repeating what they hold in filters and later columns.
+    opened = prepared.select(*KEY, text, F.explode_outer(F.array(F.array_compact(F.expr(f"array({admitted})")))).alias("_open")).where("size(_open) > 0")
     reaches = [reach_of(r.pattern) for r in rules]
-    kinds = dict.fromkeys((k, r.ignore_case) for r, reach in zip(rules, reaches) if reach is not None for k in reach.runs)
-    longest = {
-        key: F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(java_regex(f"(?:{key[0]})+", key[1])), F.lit(0)), F.length)), F.lit(0))
-        for key in kinds
-    }
-    out: list[Column | None] = []
-    for r, reach in zip(rules, reaches):
-        need = None if reach is None else F.lit(reach.fixed)
-        for kind in reach.runs if reach is not None else ():
-            need = need + longest[kind, r.ignore_case]
-        out.append(need)
-    return out
+    askers: dict[tuple[str, bool], list[int]] = {}
+    for i, (r, reach) in enumerate(zip(rules, reaches)):
+        for kind in dict.fromkeys(reach.runs) if reach is not None else ():
+            askers.setdefault((kind, r.ignore_case), []).append(i)
+    # Runs of one character need no search: each counts as one at least.
+    runs = [
+        F.when(
+            F.arrays_overlap("_open", F.array(*map(F.lit, some))),
+            F.greatest(F.lit(1), F.array_max(F.transform(F.regexp_extract_all(text, F.lit(java_regex(f"{kind}{kind}+", no_case)), F.lit(0)), F.length))),
+        )
+        for (kind, no_case), some in askers.items()
+    ]
+    longest = {key: F.get("_runs", F.lit(i)) for i, key in enumerate(askers)}
+    bounded = []
+    for i, (r, reach) in enumerate(zip(rules, reaches)):
+        if reach is not None:
+            need = F.lit(reach.fixed)
+            for kind in reach.runs:
+                need = need + longest[kind, r.ignore_case]
+            bounded.append(F.when(F.array_contains("_open", i) & (need + LOOK_AHEAD <= overlap), i))
+    measured = opened.select(*KEY, text, "_open", F.explode_outer(F.array(F.array(*runs) if runs else F.lit(None).cast("array<int>"))).alias("_runs"))
+    ranged = F.array_compact(F.array(F.lit(None).cast("int"), *bounded))
+    breaks = F.transform(_chunks(text, range_chars), _line_feeds)
+    return measured.select(*KEY, text, "_open", F.explode_outer(F.array(ranged)).alias("_ranged")).select(
+        *KEY, text, "_ranged", F.array_except("_open", "_ranged").alias("_whole"), F.when(F.size("_ranged") > 0, breaks).alias("_breaks"),
+    )
 
 
-def _but(rule: Rule, i: int) -> Rule:
-    """The rule for texts on which it does not run by ranges."""
-    gate = rule.gate
-    return replace(rule, gate=lambda: gate() & ~F.array_contains("_ranged", i))
+def _chunks(text: str, range_chars: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{range_chars}}}"), F.lit(0))
 
 
-def _only(rule: Rule, i: int) -> Rule:
-    gate = rule.gate
-    return replace(rule, gate=lambda: gate() & F.array_contains("_ranged", i))
+def _line_feeds(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _listed(rules: Sequence[Rule], names: str, **changes: object) -> list[Rule]:
+    """The rules for texts whose column ``names`` lists them; their own gates and literals have been tried on the whole texts."""
+    return [replace(r, gate=lambda i=i: F.array_contains(names, i), **changes) for i, r in enumerate(rules)]
 
 
 def ranged_occurrences(files: DataFrame, rules: Sequence[Rule], text: str = "content", range_chars: int = RANGE_CHARS, overlap: int = OVERLAP) -> DataFrame:
@@ -141,15 +165,15 @@ def ranged_occurrences(files: DataFrame, rules: Sequence[Rule], text: str = "con
     spark, folder = files.sparkSession, run_folder(files.sparkSession, "ranges")
     long = F.coalesce(F.length(text) > range_chars, F.lit(False))
     small = occurrences(files.where(~long), rules, text).select(columns)
-    ranged = F.array_compact(F.array(*[F.lit(None).cast("int") if need is None else F.when(need + LOOK_AHEAD <= overlap, i) for i, need in enumerate(_needs(rules, text))]))
-    files.where(long).withColumn("_ranged", ranged).write.parquet(f"{folder}/files")
+    _marked(files.where(long), rules, text, range_chars, overlap).write.parquet(f"{folder}/files")
     large = spark.read.parquet(f"{folder}/files")
     if not large.limit(1).count():
         return small
-    whole = occurrences(large, [_but(r, i) for i, r in enumerate(rules)], text).select(columns)
+    anyway = {"needles": (), "also": ()}
+    whole = occurrences(large.where("size(_whole) > 0"), _listed(rules, "_whole", **anyway), text).select(columns)
 
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{range_chars}}}"), F.lit(0))
-    cut = large.withColumn("_chunks", chunks).drop(text)
+    by_range = large.where("size(_ranged) > 0")
+    cut = by_range.select(*KEY, "_ranged", _chunks(text, range_chars).alias("_chunks"))
     parts = F.transform(
         "_chunks",
         lambda c, i: F.struct(
@@ -158,19 +182,22 @@ def ranged_occurrences(files: DataFrame, rules: Sequence[Rule], text: str = "con
             F.coalesce(F.left(F.get("_chunks", i + 1), F.lit(overlap)), F.lit("")).alias("ahead"),
         ),
     )
-    pieces = cut.select(*[c for c in cut.columns if c != "_chunks"], F.explode(parts).alias("p")).select("*", "p.*").drop("p")
+    pieces = cut.select(*KEY, "_ranged", F.explode(parts).alias("p")).select(
+        *KEY, "_ranged", "p.range", F.concat("p.behind", "p.own", "p.ahead").alias(text), F.length("p.behind").alias("_behind"), _line_feeds(F.col("p.behind")).alias("_back"),
+    )
     # One row a range; dealt by its number, so that no task gets all ranges of a text.
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    pieces = pieces.withColumns({text: F.concat("behind", "own", "ahead"), "_behind": F.length("behind"), "_own": F.length("own"), "_back": breaks(F.col("behind")), "_lines": breaks(F.col("own"))})
-    pieces.drop("behind", "own", "ahead").repartition(*KEY, "range").write.parquet(f"{folder}/pieces")
-    pieces = spark.read.parquet(f"{folder}/pieces")
-    earlier = Window.partitionBy(*KEY).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    lines = pieces.select(*KEY, "range", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
-    placed = pieces.join(lines, [*KEY, "range"])
-    keep = [*KEY, "range", "_behind", "_own", "_back", "_before"]
-    found = occurrences(placed, [_only(r, i) for i, r in enumerate(rules)], text, keep)
+    pieces = pieces.repartition(*KEY, "range")
+    found = occurrences(pieces, _listed(rules, "_ranged"), text, [*KEY, "range", "_behind", "_back"])
     at = F.col("range") * range_chars - F.col("_behind") + F.col("start")
-    found = found.select(*KEY, "rule", "range", at.cast("int").alias("start"), (F.col("_before") - F.col("_back") + F.col("line_no")).cast("int").alias("line_no"), "matched", "before", "after")
+    found = found.select(*KEY, "rule", "range", at.cast("int").alias("start"), (F.col("line_no") - F.col("_back")).alias("line_no"), "matched", "before", "after")
+    # What a range owns, and what it sees in the last `overlap` characters before its own.
+    side = F.floor(F.col("start") / range_chars)
+    found = found.where((side == F.col("range")) | ((side + 1 == F.col("range")) & (F.col("range") * range_chars - F.col("start") <= overlap)))
+    earlier = Window.partitionBy(*KEY).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    lines = by_range.select(*KEY, F.posexplode("_breaks").alias("range", "_lines"))
+    lines = lines.select(*KEY, "range", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    # Matches are joined with the lines before their range; the texts themselves are dealt once.
+    found = found.join(lines, [*KEY, "range"]).withColumn("line_no", (F.col("_before") + F.col("line_no")).cast("int")).drop("_before")
     found.write.parquet(f"{folder}/found")
     found = spark.read.parquet(f"{folder}/found")
     owned = found.where(F.floor(F.col("start") / range_chars) == F.col("range"))
@@ -178,15 +205,15 @@ def ranged_occurrences(files: DataFrame, rules: Sequence[Rule], text: str = "con
     border = (F.floor(F.col("start") / range_chars) + 1) * range_chars
     side = F.floor(F.col("start") / range_chars).alias("side")
     near = found.where((border - F.col("start") <= overlap) & F.col("range").isin(F.floor(F.col("start") / range_chars), F.floor(F.col("start") / range_chars) + 1))
-    ends = large.select(*KEY, F.floor((F.length(text) - 1) / range_chars).alias("_last"))
+    ends = by_range.select(*KEY, (F.size("_breaks") - 1).alias("_last"))
     seen = near.groupBy(*KEY, "rule", side, "start", F.length("matched").alias("n")).agg(F.count("*").alias("sides"))
     astray = seen.where("sides < 2").join(ends, KEY).where("side < _last").select(*KEY, "rule").distinct()
-    if not astray.limit(1).count():
-        return small.unionByName(whole).unionByName(owned.select(columns))
     astray.write.parquet(f"{folder}/astray")
     astray = spark.read.parquet(f"{folder}/astray")
+    if not astray.limit(1).count():
+        return small.unionByName(whole).unionByName(owned.select(columns))
     again = large.drop("_ranged").join(astray.groupBy(*KEY).agg(F.collect_set("rule").alias("_ranged")), KEY)
-    rest = occurrences(again, [_only(r, i) for i, r in enumerate(rules)], text).select(columns)
+    rest = occurrences(again, _listed(rules, "_ranged", **anyway), text).select(columns)
     return small.unionByName(whole).unionByName(owned.join(astray, [*KEY, "rule"], "left_anti").select(columns)).unionByName(rest)
 
 

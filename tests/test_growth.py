@@ -2,12 +2,13 @@
 
 from collections import Counter
 from datetime import timedelta
+from glob import glob
 from math import log2
 
 from pyspark.sql import Row, functions as F
 
 from palisade.functions.text import shannon_entropy
-from palisade.operators import similar_names
+from palisade.operators import ranges, similar_names
 from palisade.operators.matching import _gated, match_content
 from palisade.rules import behavior, secrets
 from palisade.sources import archives
@@ -108,3 +109,20 @@ def test_links_alone_do_not_start_the_expressions_for_links(spark, as_files):
     admitted = prepared.select("path", *[F.expr(g).alias(r.rule_id) for r, g in zip(rules, guards)]).where("path = 'prose.txt'").first()
     assert not any(admitted[r.rule_id] for r in rules)
     assert {r.path for r in match_content(files, rules).collect()} == {f"{i}.txt" for i in range(len(hits))}
+
+
+def test_ranges_take_up_texts_that_admit_a_rule_and_store_no_pieces(spark, as_files):
+    """Long texts without a rule's literals cost a search for literals; runs are measured, and ranges dealt, for the others only."""
+    plain, key = "word " * 600, "AKIA" + "A" * 16
+    spaced = "eval" + " " * 900 + "('1') " + plain
+    files = as_files([("plain.txt", plain), ("key.txt", f"{plain}\n{key}\n{plain}"), ("spaced.js", spaced), ("small.txt", key)])
+    rules = [r for r in [*behavior.RULES, *secrets.RULES] if r.rule_id in ("B7", "K1")]
+    folders = lambda: set(glob(f"{spark.conf.get('spark.checkpoint.dir')}/ranges-*"))
+    known = folders()
+    found = ranges.match_content_by_ranges(files, rules, range_chars=600, overlap=200)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(found) == rows(match_content(files, rules)) and len(rows(found)) == 3
+    (folder,) = folders() - known
+    assert {p.rpartition("/")[2] for p in glob(f"{folder}/*")} == {"files", "found", "astray"}
+    stored = {r.path: (r._ranged, r._whole) for r in spark.read.parquet(f"{folder}/files").collect()}
+    assert stored == {"key.txt": ([1], []), "spaced.js": ([], [0])}
