@@ -146,12 +146,48 @@ def _chunks(text: str, range_chars: int) -> Column:
 
 
 def _line_feeds(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _first(items: Sequence[tuple]) -> tuple[frozenset[str], bool] | None:
+    """The characters that a match can begin with, and whether it can be empty; None where they are no short list."""
+    firsts: frozenset[str] = frozenset()
+    for op, value in items:
+        if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            continue
+        if op is sre.LITERAL:
+            part = frozenset({chr(value)}), False
+        elif op is sre.SUBPATTERN and not value[1] and not value[2]:
+            part = _first(value[-1])
+        elif op is sre.BRANCH:
+            options = [_first(o) for o in value[1]]
+            part = None if None in options else (frozenset().union(*(o[0] for o in options)), any(o[1] for o in options))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            part = _first(value[2])
+            part = part and (part[0], part[1] or value[0] == 0)
+        else:
+            part = None
+        if part is None:
+            return None
+        firsts |= part[0]
+        if not part[1]:
+            return firsts, False
+    return firsts, True
+
+
+@lru_cache
+def led_by_first(pattern: str) -> str:
+    """The pattern behind a look at the next character, where it is one of several words: most places then try no word at all."""
+    parsed = parser.parse(pattern)
+    first = _first(list(parsed))
+    if first is None or first[1] or len(first[0]) < 2 or parsed.state.flags & ~sre.SRE_FLAG_UNICODE:
+        return pattern
+    return f"(?=[{''.join(map(re.escape, sorted(first[0])))}]){pattern}"
 
 
 def _listed(rules: Sequence[Rule], names: str, **changes: object) -> list[Rule]:
     """The rules for texts whose column ``names`` lists them; their own gates and literals have been tried on the whole texts."""
-    return [replace(r, gate=lambda i=i: F.array_contains(names, i), **changes) for i, r in enumerate(rules)]
+    return [replace(r, pattern=led_by_first(r.pattern), gate=lambda i=i: F.array_contains(names, i), **changes) for i, r in enumerate(rules)]
 
 
 def ranged_occurrences(files: DataFrame, rules: Sequence[Rule], text: str = "content", range_chars: int = RANGE_CHARS, overlap: int = OVERLAP) -> DataFrame:

@@ -1,6 +1,7 @@
 """Work per row: what costs most over large tables is done once, or not at all."""
 
 from collections import Counter
+from dataclasses import replace
 from datetime import timedelta
 from glob import glob
 from math import log2
@@ -9,7 +10,7 @@ from pyspark.sql import Row, functions as F
 
 from palisade.functions.text import shannon_entropy
 from palisade.operators import ranges, similar_names
-from palisade.operators.matching import _gated, match_content
+from palisade.operators.matching import _gated, match_content, occurrences
 from palisade.rules import behavior, secrets
 from palisade.sources import archives
 from palisade.streaming.changed_files import LastSeen
@@ -126,3 +127,16 @@ def test_ranges_take_up_texts_that_admit_a_rule_and_store_no_pieces(spark, as_fi
     assert {p.rpartition("/")[2] for p in glob(f"{folder}/*")} == {"files", "found", "astray"}
     stored = {r.path: (r._ranged, r._whole) for r in spark.read.parquet(f"{folder}/files").collect()}
     assert stored == {"key.txt": ([1], []), "spaced.js": ([], [0])}
+
+
+def test_a_look_at_the_first_character_changes_no_match(spark, as_files):
+    """Letters that folding equates with ASCII ones begin words too; patterns that may begin otherwise stay as they are."""
+    assert ranges.led_by_first(r"(?:dig|ping)\s+x") == r"(?=[dp])(?:dig|ping)\s+x"
+    for pattern in (r"(?i)\b(?:token|key)=", r"\s*(?:dig|ping)", r"(?:a|b)?c?", r"eval\(", r"(?:[ab]|c)d"):
+        assert ranges.led_by_first(pattern) == pattern
+    rules = [r for r in [*behavior.RULES, *secrets.RULES] if ranges.led_by_first(r.pattern) != r.pattern]
+    led = [replace(r, pattern=ranges.led_by_first(r.pattern)) for r in rules]
+    words = "socket \u017focket SEND \u017fend Fork FOR\u212a spawn sftp a@b scp a@b at  x AT\u00a0x reg add REG ADD redis://u:p@h chmod +x Dig x p\u0131ng x P\u0130NG x echo $MY_SECRET"
+    files = as_files([("a.txt", words), ("b.txt", words.upper()), ("c.txt", words.replace(" ", "\n"))])
+    rows = lambda rules: sorted(map(str, occurrences(files, rules).collect()))
+    assert len(rules) > 10 and rows(led) == rows(rules) and len(rows(rules)) > 20
